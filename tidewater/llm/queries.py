@@ -15,8 +15,20 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import id_digests
+
+    return id_digests(documents(spark, sf_dir))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_codec import round_trip
+
+    return round_trip(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in (op1_token_counts, op3_id_files, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
