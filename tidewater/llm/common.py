@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.functions.shipping import ship
+
 #: Bytes an Arrow batch holds at most, so that very long texts don't fill a worker.
 BATCH_BYTES = 16 << 20
 
@@ -22,11 +24,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def two_columns(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only ``doc_id`` (long) and ``text`` (a null text is empty); other columns can't clash."""
-    small_batches(docs.sparkSession)
+    for_workers(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def small_batches(spark: SparkSession) -> None:
+def for_workers(spark: SparkSession) -> None:
+    """Python workers get this package, and batches of bounded size."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 

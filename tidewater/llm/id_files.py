@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from .common import partitions, shared_path, small_batches, two_columns
+from .common import partitions, shared_path, for_workers, two_columns
 from .library_ids import library_ids
 from .repair import Grammar, compress, packed
 
@@ -70,7 +70,7 @@ def read_ids(spark: SparkSession, where: str) -> DataFrame:
 
 
 def _read(spark: SparkSession, where: str, with_ids: bool) -> DataFrame:
-    small_batches(spark)
+    for_workers(spark)
     files = spark.read.schema(FORMAT).parquet(where)
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()  # one number per part
     before, total = {}, 0

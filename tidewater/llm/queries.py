@@ -15,6 +15,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir))
+
+
 def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .id_files import id_digests
 
@@ -28,7 +34,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_id_files, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
