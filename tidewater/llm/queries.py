@@ -27,6 +27,21 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_digests(documents(spark, sf_dir))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(documents(spark, sf_dir), keep="largest")
+
+
+OP4_SQL = """
+WITH normalised AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM normalised
+"""
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import round_trip
 
@@ -34,8 +49,8 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_dedup": OP4_SQL}
