@@ -42,6 +42,18 @@ FROM normalised
 """
 
 
+def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import edited_likeness
+
+    return edited_likeness(documents(spark, sf_dir))
+
+
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import link_components
+
+    return link_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_codec import round_trip
 
@@ -49,7 +61,7 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
