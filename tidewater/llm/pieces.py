@@ -12,7 +12,7 @@ from collections.abc import Callable
 #: Pieces longer than this are worked out anew each time.
 LONGEST_KEPT = 64
 #: Pieces in either of the two generations of a memory.
-GENERATION = 350_000
+GENERATION = 700_000
 
 _CUT = re.compile(r" (?=\S)")
 

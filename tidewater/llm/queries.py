@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, labels
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,12 @@ FROM normalised
 """
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op6_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprints import edited_likeness
 
@@ -60,8 +66,14 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+#: For words of letters only: every ASCII byte but the letters separates.
+NO_LETTER = np.arange(256) < 128
+NO_LETTER[65:91] = NO_LETTER[97:123] = False
 #: A fixed random value for each byte; upper case has that of lower case.
 _VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
 _VALUE[65:91] = _VALUE[97:123]
@@ -38,11 +41,11 @@ def _powers(n: int) -> list[np.ndarray]:
     return _tables
 
 
-def _hashed(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and begin of each word of ``data``; a word also begins at each place in ``breaks``."""
     n = len(data)
     up, down = _powers(n + 1)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     begins[breaks] = inside[breaks]
@@ -56,7 +59,7 @@ def _hashed(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mix((prefix[e] - prefix[b]) * down[b]), b
 
 
-def column_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, word hashes, where each text's words begin, and the last's end) for runs of texts of a string column without nulls."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
@@ -67,16 +70,16 @@ def column_words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         begin, end = int(offsets[i]), int(offsets[j])
         if end - begin <= 2 * SLICE:
             own = offsets[i : j + 1] - begin
-            h, at = _hashed(data[begin:end], own[:-1][own[:-1] < end - begin])
+            h, at = _hashed(data[begin:end], own[:-1][own[:-1] < end - begin], separator)
             yield i, j, h, np.searchsorted(at, own)
         else:
             parts = []
             while begin < end:
                 stop = min(begin + SLICE, end)
-                while stop < end and not _SEPARATOR[data[stop]]:
-                    more = np.flatnonzero(_SEPARATOR[data[stop : stop + SLICE]])
+                while stop < end and not separator[data[stop]]:
+                    more = np.flatnonzero(separator[data[stop : stop + SLICE]])
                     stop = stop + int(more[0]) if len(more) else min(stop + SLICE, end)
-                parts.append(_hashed(data[begin:stop], np.zeros(1, np.int64))[0])
+                parts.append(_hashed(data[begin:stop], np.zeros(1, np.int64), separator)[0])
                 begin = stop
             h = np.concatenate(parts)
             yield i, j, h, np.array([0, len(h)])
