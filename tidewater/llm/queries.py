@@ -66,6 +66,12 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(documents(spark, sf_dir)).drop("base", "extra")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -73,7 +79,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op9_pii, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
