@@ -1,18 +1,34 @@
-"""Ids by the tokenizers library, asked once for each piece that a worker remembers."""
+"""Ids by the tokenizers library, asked once for each piece that a worker remembers.
+
+A piece of plain letters and signs is split here, as the library's pre-tokenizer does, and goes
+word by word to the library's BPE model, which spares most of a call's cost. Any other piece
+(special strings, letters beyond Latin-1, odd white space) goes through the library whole.
+"""
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 
+import regex
+
+from .bytebpe import byte_letters, split
 from .pieces import Memory, over_pieces
 
+#: Fixed value: the words of the vocabulary that drops white space.
+_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]*").fullmatch
+_PLAIN_SPACED = re.compile(r"[\t\n\x20-\x7e\xa1-\xff]*").fullmatch
+_LETTERS = dict(enumerate(byte_letters()))
+
 
 class LibraryIds:
     """Whole texts to ids (little-endian unsigned 32-bit integers).
 
     ``spaced``: a piece keeps its leading space (byte-level vocabularies). Otherwise the
-    vocabulary drops white space, and a text may be cut at every space.
+    vocabulary lower-cases and drops white space, and a text may be cut at every space.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -22,11 +38,23 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.spaced = spaced
-        self.later = Memory((lambda piece: self.piece(" " + piece)) if spaced else self.piece, spaced=spaced)
+        self.model, self.spaced = self.library.model, spaced
+        with open(path, encoding="utf-8") as f:
+            self.special = tuple(t["content"] for t in json.load(f)["added_tokens"])
+        self.later = Memory((lambda piece: self.piece(" " + piece)) if spaced else self.piece, spaced=spaced, size=700_000)
 
     def piece(self, piece: str) -> bytes:
-        ids = self.library.encode(piece, add_special_tokens=False).ids
+        if "<" in piece and any(s in piece for s in self.special):
+            words = None
+        elif self.spaced:
+            words = split(piece) if _PLAIN_SPACED(piece) else None
+        else:
+            words = _WORDS(piece.lower()) if _PLAIN(piece) else None
+        if words is None:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+        else:
+            model = self.model
+            ids = [t.id for w in words for t in model.tokenize(w.encode("utf-8").decode("latin-1").translate(_LETTERS))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str) -> bytes:

@@ -24,7 +24,7 @@ import numpy as np
 
 #: Rounds of replacement, pairs replaced in a round, and the least count of a replaced pair.
 ROUNDS, PAIRS_A_ROUND, LEAST = 4, 4096, 16
-_HASH_BITS = 20
+_HASH_BITS = 18
 
 
 def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
