@@ -1,15 +1,510 @@
-"""Every registered query of the reference's operators, re-hosted on the driver tables, with its DuckDB SQL."""
+"""Every registered query of the record operators on the driver tables, with DuckDB SQL for the same rows.
+
+Roles: a document is a clip (source = voice, lang = class, SHA-256 of the text = content), an event
+stream is a user's events in order, an embedding is a fingerprint, labels are truth. An event's
+score is value / (value + 35); ``purchase`` is the positive class.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import decibels, epoch_micros, mel
+from ..functions.shipping import ship
+from ..operators import evaluation, gate, quality, report, sequence, splits
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+DAY, HOUR = 86_400.0, 3_600.0
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with t (seconds), score, truth and hit."""
+    e = table(spark, sf_dir, "events")
+    score = F.col("value") / (F.col("value") + 35)
+    return e.select("event_id", "user_id", "event_type", "value", "props", (epoch_micros("ts") / 1e6).alias("t"), score.alias("score"), (F.col("event_type") == "purchase").alias("truth"), (score >= 0.6).alias("hit"))
+
+
+_SCORED = "scored AS (SELECT event_id, user_id, event_type, value, props, epoch_us(ts) / 1e6 AS t, value / (value + 35) AS score, event_type = 'purchase' AS truth, value / (value + 35) >= 0.6 AS hit FROM events)"
+_U = "CAST('0x' || substr(sha256('split' || coalesce(source, '')), 1, 12) AS BIGINT) / 281474976710656.0"
+_SPLIT = f"CASE WHEN {_U} < 0.8 THEN 'train' WHEN {_U} < 0.92 THEN 'validation' ELSE 'test' END"
+_UD = "CAST('0x' || substr(sha256('clip' || CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0"
+_SPLIT_DOC = f"CASE WHEN {_UD} < 0.8 THEN 'train' WHEN {_UD} < 0.92 THEN 'validation' ELSE 'test' END"
+_CLIPS = f"clips AS (SELECT doc_id, sha256(text) AS content, source, lang, 's' || (doc_id % 40) AS session, n_chars, lang = 'en' AS positive, doc_id % 7 = 0 AS synthetic, CASE WHEN doc_id % 11 = 0 THEN 'gain' ELSE 'none' END AS augmentation, {_SPLIT_DOC} AS split FROM documents)"
+
+
+def clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a manifest, split by document so that leaks occur."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content"), "source", "lang", F.concat(F.lit("s"), (F.col("doc_id") % 40).cast("string")).alias("session"), "n_chars", (F.col("lang") == "en").alias("positive"), (F.col("doc_id") % 7 == 0).alias("synthetic"), F.when(F.col("doc_id") % 11 == 0, "gain").otherwise("none").alias("augmentation"))
+    return splits.hash_split(d, "doc_id", "clip")
+
+
+# --- projections, filters, reports -------------------------------------------------------------
+
+
+@query(f"SELECT {_SPLIT} || '_' || lang || '_' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS clip_id, lang AS class, CASE lang WHEN 'en' THEN 'keyword' WHEN 'de' THEN 'unknown' ELSE 'background' END AS model_target, source AS voice_id, CAST(n_chars AS INTEGER) AS duration, sha256(text) AS content FROM documents")
+def manifest_typed_projection(spark, sf_dir):
+    d = splits.hash_split(table(spark, sf_dir, "documents"), "source")
+    target = splits.member({"en": "keyword", "de": "unknown"}, F.col("lang"), "background")
+    return d.select(F.concat_ws("_", "split", "lang", F.lpad(F.col("doc_id").cast("string"), 6, "0")).alias("clip_id"), F.col("lang").alias("class"), target.alias("model_target"), F.col("source").alias("voice_id"), F.col("n_chars").cast("int").alias("duration"), F.sha2("text", 256).alias("content"))
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE toxic = 0) AS n_clean, count(*) FILTER (WHERE toxic IS NULL) AS n_unlabelled FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE lang IN ('en', 'de') AND coalesce(source, '') <> '' AND NOT starts_with(source, 'src1') GROUP BY source")
+def subset_mask_counts(spark, sf_dir):
+    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kept = d.where(F.col("lang").isin("en", "de") & (F.coalesce("source", F.lit("")) != "") & ~F.col("source").startswith("src1"))
+    return kept.select("doc_id", "source").join(l, "doc_id", "left").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 0).alias("n_clean"), F.count_if(F.col("toxic").isNull()).alias("n_unlabelled"))
+
+
+@query("SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM documents), 6) AS share FROM documents GROUP BY lang")
+def class_balance(spark, sf_dir):
+    return report.share_by(table(spark, sf_dir, "documents"), "lang")
+
+
+@query(f"WITH d AS (SELECT lang, {_SPLIT} AS split FROM documents), g AS (SELECT split, lang FROM (VALUES ('train'), ('validation'), ('test')) a(split), (VALUES ('en'), ('de'), ('fr'), ('es'), ('it')) b(lang)) SELECT g.split, g.lang, count(d.lang) AS n FROM g LEFT JOIN d ON d.split = g.split AND d.lang = g.lang GROUP BY g.split, g.lang")
+def split_class_crosstab(spark, sf_dir):
+    return report.crosstab(splits.hash_split(table(spark, sf_dir, "documents"), "source"), "split", ["train", "validation", "test"], "lang", ["en", "de", "fr", "es", "it"])
+
+
+@query("SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang")
+def corpus_license_counts(spark, sf_dir):
+    return report.pair_counts(table(spark, sf_dir, "documents"), "source", "lang")
+
+
+@query("SELECT count(DISTINCT user_id) AS n_all, count(DISTINCT CASE WHEN value > 100 THEN user_id END) AS n_where, count(DISTINCT coalesce(CAST(user_id AS VARCHAR), '') || '|' || coalesce(event_type, '')) AS n_tuples FROM events")
+def distinct_entities(spark, sf_dir):
+    return report.distinct_entities(table(spark, sf_dir, "events"), "user_id", "value > 100", ["user_id", "event_type"])
+
+
+@query("WITH r AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(n) AS n, min(v) AS low, max(v) AS high, max(v) FILTER (WHERE i = least(n - 1, CAST(floor(0.05 * n) AS BIGINT))) AS p5, max(v) FILTER (WHERE i = least(n - 1, CAST(floor(0.5 * n) AS BIGINT))) AS p50, max(v) FILTER (WHERE i = least(n - 1, CAST(floor(0.95 * n) AS BIGINT))) AS p95 FROM r GROUP BY event_type")
+def quantile_nearest_rank(spark, sf_dir):
+    return report.quantile_nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", [0.05, 0.5, 0.95])
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.2), 6) AS p20, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def quantile_linear(spark, sf_dir):
+    return report.quantile_linear(table(spark, sf_dir, "events"), "event_type", "value", [0.2, 0.5, 0.99])
+
+
+@query("WITH r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE value IS NOT NULL) SELECT user_id, max(v) FILTER (WHERE i = n // 2) AS upper_median FROM r GROUP BY user_id")
+def upper_median(spark, sf_dir):
+    return report.upper_median(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+@query("SELECT g.bin, count(p.b) AS n FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(12)) g LEFT JOIN (SELECT CAST(least(greatest(floor((p_size - 1) / 5.0), 0), 11) AS INTEGER) AS b FROM part) p ON p.b = g.bin GROUP BY g.bin")
+def fixed_bin_histogram(spark, sf_dir):
+    return report.fixed_histogram(table(spark, sf_dir, "part"), "p_size", 1.0, 5.0, 12)
+
+
+@query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n) * CASE WHEN event_type = 'purchase' THEN 2.0 ELSE 1.0 END, 6) AS weight FROM c")
+def class_weights(spark, sf_dir):
+    return report.class_weights(table(spark, sf_dir, "events"), "event_type", "purchase", 2.0)
+
+
+@query("SELECT props, count(*) AS n FROM events GROUP BY props ORDER BY n DESC, props LIMIT 10")
+def top_reasons(spark, sf_dir):
+    return report.top_values(table(spark, sf_dir, "events"), "props", 10)
+
+
+@query("SELECT user_id, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(sqrt(avg(value * value)), 6) AS rms, bool_or(abs(value) >= 400) AS clipped FROM events GROUP BY user_id")
+def value_summary(spark, sf_dir):
+    return report.summary(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+@query("WITH w AS (SELECT * FROM (VALUES ('en', 700), ('de', 100), ('it', 50)) t(lang, want)), h AS (SELECT lang, count(*) AS have FROM documents GROUP BY lang) SELECT w.lang, coalesce(have, 0) AS have, CAST(want AS BIGINT) AS want, greatest(0, want - coalesce(have, 0)) AS missing FROM w LEFT JOIN h ON w.lang = h.lang")
+def target_gap(spark, sf_dir):
+    return report.gaps_to_target(table(spark, sf_dir, "documents"), "lang", {"en": 700, "de": 100, "it": 50})
+
+
+# --- splits and samples --------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, source, {_SPLIT} AS split FROM documents")
+def hash_split_assignment(spark, sf_dir):
+    return splits.hash_split(table(spark, sf_dir, "documents"), "source").select("doc_id", "source", "split")
+
+
+@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM documents) SELECT doc_id, position, CASE WHEN position % 5 < 3 THEN 'train' WHEN position % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM r")
+def round_robin_partition(spark, sf_dir):
+    return splits.round_robin(table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "position", "split")
+
+
+@query("WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) SELECT doc_id, source, CASE WHEN n % 4 = 0 AND n // 4 <= 5 THEN 'validation' ELSE 'train' END AS split FROM r")
+def every_nth_split(spark, sf_dir):
+    return splits.every_nth(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], 4, 5)
+
+
+@query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), t AS (SELECT CAST(sum(n) AS BIGINT) AS total FROM c) SELECT event_type, n, total FROM c, t WHERE n * 2 <= total ORDER BY n DESC, event_type DESC LIMIT 1")
+def heldout_choice(spark, sf_dir):
+    return splits.heldout_choice(table(spark, sf_dir, "events"), "event_type")
+
+
+@query(f"WITH d AS (SELECT doc_id, lang, {_SPLIT} AS split FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY split, lang ORDER BY doc_id) AS number FROM d) SELECT doc_id, split || '_' || lang || '_' || lpad(CAST(number AS VARCHAR), 6, '0') AS clip_id FROM r")
+def clip_id_numbering(spark, sf_dir):
+    d = splits.hash_split(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "source")
+    return splits.group_numbers(d, ["split", "lang"], ["doc_id"]).select("doc_id", F.concat_ws("_", "split", "lang", F.lpad(F.col("number").cast("string"), 6, "0")).alias("clip_id"))
+
+
+@query("WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY sha256('sample' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM documents) SELECT doc_id, lang, source FROM r WHERE n <= 2")
+def stratified_sample(spark, sf_dir):
+    return splits.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", 2, "sample")
+
+
+@query("SELECT doc_id, lang FROM documents ORDER BY sha256('cap' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 25")
+def capped_sample(spark, sf_dir):
+    return splits.capped_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 25, "cap")
+
+
+@query("WITH r AS (SELECT event_id, user_id, coalesce(sum(CAST(event_id AS HUGEINT) % 97) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM events) SELECT event_id, user_id, CAST(before AS BIGINT) AS before FROM r WHERE before < 500")
+def prefix_sum_cut(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 97).alias("length"))
+    return splits.prefix_sum_cut(e, "user_id", ["event_id"], "length", 500).select("event_id", "user_id", "before")
+
+
+# --- leakage -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_CLIPS} SELECT content, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM clips GROUP BY content HAVING count(DISTINCT split) > 1")
+def leak_hash_cross_split(spark, sf_dir):
+    return gate.spanning(clips(spark, sf_dir), ["content"])
+
+
+@query(f"WITH {_CLIPS}, p AS (SELECT split, content, count(*) AS n FROM clips GROUP BY split, content) SELECT split, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_dups, sum(n - 1) > 0.02 * sum(n) AS too_many FROM p GROUP BY split")
+def leak_dups_within_split(spark, sf_dir):
+    return gate.duplicates_within(clips(spark, sf_dir), "content")
+
+
+@query(f"WITH {_CLIPS} SELECT source, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM clips WHERE coalesce(source, '') <> '' AND NOT starts_with(source, 'src1') GROUP BY source HAVING count(DISTINCT split) > 1")
+def leak_entity_span(spark, sf_dir):
+    return gate.spanning(clips(spark, sf_dir), ["source"], exempt="src1")
+
+
+@query(f"WITH {_CLIPS} SELECT source, lang, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM clips WHERE coalesce(source, '') <> '' AND coalesce(lang, '') <> '' GROUP BY source, lang HAVING count(DISTINCT split) > 1")
+def leak_composite_span(spark, sf_dir):
+    return gate.spanning(clips(spark, sf_dir), ["source", "lang"])
+
+
+@query(f"WITH {_CLIPS}, p AS (SELECT session, max(CAST(split = 'test' AS INTEGER)) AS t, max(CAST(split <> 'test' AS INTEGER)) AS o FROM clips GROUP BY session) SELECT CAST(coalesce(sum(t * o), 0) AS BIGINT) AS n_mixed, CASE WHEN count(*) > 0 AND coalesce(max(t), 0) = 0 THEN 1 ELSE 0 END AS none_in_test FROM p")
+def leak_session_quarantine(spark, sf_dir):
+    return gate.quarantine(clips(spark, sf_dir), "session")
+
+
+@query(f"WITH {_CLIPS} SELECT count(*) AS n_test, count(*) FILTER (WHERE positive) AS n_positive, count(*) FILTER (WHERE synthetic AND positive) AS n_synthetic_positive, count(*) FILTER (WHERE synthetic AND NOT positive) AS n_synthetic_other, count(*) FILTER (WHERE augmentation NOT IN ('none', 'mic_band', '')) AS n_augmented FROM clips WHERE split = 'test'")
+def leak_test_purity(spark, sf_dir):
+    return gate.test_purity(clips(spark, sf_dir), "synthetic", "positive", "augmentation", ["none", "mic_band", ""])
+
+
+def _span_sql(keys: str, where: str = "true") -> str:
+    return f"(SELECT count(*) FROM (SELECT {keys} FROM clips WHERE {where} GROUP BY {keys} HAVING count(DISTINCT split) > 1))"
+
+
+_GATE_ROWS = f"""WITH {_CLIPS}, t AS (SELECT * FROM clips WHERE split = 'test'), p AS (SELECT session, max(CAST(split = 'test' AS INTEGER)) AS t, max(CAST(split <> 'test' AS INTEGER)) AS o FROM clips GROUP BY session),
+n AS (SELECT count(*) AS n_test, count(*) FILTER (WHERE positive) AS n_pos FROM t),
+checks AS (
+SELECT 'hash_in_two_splits' AS "check", {_span_sql('content')} AS n_bad, 'fail' AS kind
+UNION ALL SELECT 'duplicates_within_split', (SELECT count(*) FROM (SELECT split FROM (SELECT split, content, count(*) AS n FROM clips GROUP BY split, content) GROUP BY split HAVING sum(n - 1) > 0.02 * sum(n))), 'fail'
+UNION ALL SELECT 'voice_in_two_splits', {_span_sql('source')}, 'fail'
+UNION ALL SELECT 'session_in_test_and_elsewhere', (SELECT CAST(coalesce(sum(t * o), 0) AS BIGINT) FROM p), 'fail'
+UNION ALL SELECT 'no_session_in_test', (SELECT CASE WHEN count(*) > 0 AND coalesce(max(t), 0) = 0 THEN 1 ELSE 0 END FROM p), 'fail'
+UNION ALL SELECT 'speaker_in_two_splits', {_span_sql('lang')}, 'fail'
+UNION ALL SELECT 'voice_text_in_two_splits', {_span_sql('source, content')}, 'fail'
+UNION ALL SELECT 'synthetic_positive_in_test', (SELECT count(*) FROM t WHERE synthetic AND positive), 'fail'
+UNION ALL SELECT 'augmented_in_test', (SELECT count(*) FROM t WHERE augmentation NOT IN ('none', 'mic_band', '')), 'fail'
+UNION ALL SELECT 'test_empty', (SELECT CAST(n_test = 0 AS BIGINT) FROM n), 'fail'
+UNION ALL SELECT 'test_without_positives', (SELECT CAST(n_pos = 0 AS BIGINT) FROM n), 'fail'
+UNION ALL SELECT 'few_test_positives', (SELECT CAST(n_pos > 0 AND n_pos < 100 AS BIGINT) FROM n), 'warn'
+UNION ALL SELECT 'very_few_test_positives', (SELECT CAST(n_pos > 0 AND n_pos < 20 AS BIGINT) FROM n), 'warn')
+"""
+
+
+def _gate(spark, sf_dir):
+    return gate.gate(clips(spark, sf_dir), "content", "source", "lang", "session", "content", "synthetic", "positive", "augmentation")
+
+
+@query(_GATE_ROWS + "SELECT \"check\", CAST(n_bad AS BIGINT) AS n_bad, CASE WHEN n_bad > 0 THEN kind ELSE 'ok' END AS severity FROM checks")
+def leak_gate_checks(spark, sf_dir):
+    return _gate(spark, sf_dir)
+
+
+@query(_GATE_ROWS + "SELECT count(*) FILTER (WHERE n_bad > 0 AND kind = 'fail') AS n_fail, count(*) FILTER (WHERE n_bad > 0 AND kind = 'warn') AS n_warn, count(*) FILTER (WHERE n_bad > 0 AND kind = 'fail') = 0 AS passed FROM checks")
+def leak_gate_verdict(spark, sf_dir):
+    return gate.verdict(_gate(spark, sf_dir))
+
+
+@query("WITH f AS (SELECT sha256(text) AS h, min(doc_id) AS first_key FROM documents GROUP BY 1) SELECT doc_id, first_key FROM documents JOIN f ON sha256(text) = h WHERE doc_id <> first_key")
+def exact_duplicates(spark, sf_dir):
+    return gate.exact_duplicates(clips(spark, sf_dir).select("doc_id", "content"), "content", "doc_id")
+
+
+@query("WITH x AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT i, avg(v) AS m FROM x GROUP BY i), c AS (SELECT vec_id, list(v - m ORDER BY x.i) AS e FROM x JOIN m ON x.i = m.i GROUP BY vec_id) SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.e, b.e), 6) AS cosine FROM c a JOIN c b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.4")
+def near_duplicates_cosine(spark, sf_dir):
+    return quality.near_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.4).select("a", "b", F.round("cosine", 6).alias("cosine"))
+
+
+# --- evaluation ----------------------------------------------------------------------------------
+
+_CURVE = f"""WITH {_SCORED}, g AS (SELECT round(0.05::DOUBLE + 0.005::DOUBLE * range, 3) AS threshold FROM range(190)), s AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold AND truth) AS tp, count(*) FILTER (WHERE score >= threshold AND NOT truth) AS fp, count(*) FILTER (WHERE truth) AS p, count(*) FILTER (WHERE NOT truth) AS n FROM g, scored GROUP BY threshold),
+r AS (SELECT threshold, tp, fp, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN p > 0 THEN tp / p ELSE 'nan'::DOUBLE END AS rc, CASE WHEN n > 0 THEN fp / n ELSE 'nan'::DOUBLE END AS fa FROM s),
+curve AS (SELECT threshold, tp, fp, round(pr, 6) AS "precision", round(rc, 6) AS recall, round(CASE WHEN isnan(rc) THEN 'nan'::DOUBLE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1, round(fa, 6) AS far FROM r)
+"""
+
+
+@query(_CURVE + "SELECT * FROM curve")
+def threshold_sweep(spark, sf_dir):
+    return evaluation.sweep(scored(spark, sf_dir), "score", "truth")
+
+
+@query(_CURVE + "SELECT coalesce((SELECT min(threshold) FROM curve WHERE far <= 0.01), (SELECT threshold FROM curve ORDER BY f1 DESC, threshold LIMIT 1)) AS threshold, CASE WHEN (SELECT min(threshold) FROM curve WHERE far <= 0.01) IS NOT NULL THEN 'far' ELSE 'f1' END AS rule")
+def operating_point(spark, sf_dir):
+    return evaluation.operating_point(evaluation.sweep(scored(spark, sf_dir), "score", "truth"))
+
+
+@query(f"WITH {_SCORED} SELECT round(coalesce(least(greatest(quantile_cont(score, 0.99), 0.05), 0.99), 0.5), 6) AS threshold FROM scored WHERE NOT truth")
+def quantile_threshold(spark, sf_dir):
+    return evaluation.quantile_threshold(scored(spark, sf_dir), "score", "truth")
+
+
+@query("WITH c AS (SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tn FROM labels) SELECT tp, fp, fn, tn, round(tp / (tp + fp), 6) AS \"precision\", round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1, round(fp / (fp + tn), 6) AS far FROM c")
+def binary_metrics(spark, sf_dir):
+    return evaluation.binary_metrics(table(spark, sf_dir, "labels").select((F.col("quality") == 1).alias("y"), (F.col("toxic") == 0).alias("p")), "y", "p")
+
+
+@query("WITH e AS (SELECT event_type AS truth, CASE WHEN value < 15 THEN 'view' WHEN value < 40 THEN 'click' ELSE 'purchase' END AS predicted FROM events), k AS (SELECT * FROM (VALUES ('view'), ('click'), ('purchase'), ('signup'), ('error')) t(c)) SELECT a.c AS truth, b.c AS predicted, count(e.truth) AS n FROM k a CROSS JOIN k b LEFT JOIN e ON e.truth = a.c AND e.predicted = b.c GROUP BY a.c, b.c")
+def confusion_matrix(spark, sf_dir):
+    guess = F.when(F.col("value") < 15, "view").when(F.col("value") < 40, "click").otherwise("purchase")
+    return evaluation.confusion(table(spark, sf_dir, "events").select(F.col("event_type").alias("truth"), guess.alias("predicted")), "truth", "predicted", ["view", "click", "purchase", "signup", "error"])
+
+
+@query(f"WITH {_SCORED}, c AS (SELECT event_type, count(*) AS n, count(*) FILTER (WHERE hit) AS k, count(DISTINCT user_id) AS n_entities FROM scored GROUP BY event_type), w AS (SELECT *, k / n AS p, 1.96 AS z FROM c) SELECT event_type, n, k, n_entities, round(p, 6) AS rate, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS low, round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS high FROM w")
+def subset_recall_wilson(spark, sf_dir):
+    return evaluation.subset_recall(scored(spark, sf_dir), "event_type", "hit", "user_id")
+
+
+@query(f"WITH {_SCORED}, c AS (SELECT user_id, count(*) FILTER (WHERE hit) AS k, (max(t) - min(t)) / 3600.0 AS hours FROM scored GROUP BY user_id HAVING max(t) > min(t)) SELECT user_id, k, round(hours, 6) AS hours, round(k / hours, 6) AS rate, round(CASE WHEN k > 0 THEN k * pow(1 - 1 / (9.0 * k) - 1.96 / (3 * sqrt(k)), 3) ELSE 0.0 END / hours, 6) AS low, round((k + 1) * pow(1 - 1 / (9.0 * (k + 1)) + 1.96 / (3 * sqrt(k + 1)), 3) / hours, 6) AS high FROM c")
+def poisson_rate_ci(spark, sf_dir):
+    per = scored(spark, sf_dir).groupBy("user_id").agg(F.count_if("hit").alias("k"), ((F.max("t") - F.min("t")) / HOUR).alias("hours")).where("hours > 0")
+    return evaluation.rate_interval(per, "k", "hours").withColumn("hours", F.round("hours", 6))
+
+
+@query("WITH x AS (SELECT label, unnest(generate_series(1, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT dim, avg(v) FILTER (WHERE label = 0) AS ma, avg(v) FILTER (WHERE label = 1) AS mb, var_samp(v) FILTER (WHERE label = 0) AS va, var_samp(v) FILTER (WHERE label = 1) AS vb, count(v) FILTER (WHERE label = 0) AS na, count(v) FILTER (WHERE label = 1) AS nb FROM x GROUP BY dim) SELECT CAST(dim - 1 AS INTEGER) AS dim, na, nb, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM s")
+def cohens_d_by_dim(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    return evaluation.cohens_d(e, "dim", "x", "label", 0, 1)
+
+
+@query("WITH x AS (SELECT vec_id, unnest(generate_series(1, len(embedding))) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), s AS (SELECT dim, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x WHERE vec_id % 5 < 3 GROUP BY dim) SELECT vec_id, CAST(x.dim - 1 AS INTEGER) AS dim, round((v - m) / s, 4) AS z FROM x JOIN s ON x.dim = s.dim")
+def train_znorm(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    return evaluation.znorm(e, "dim", "x", "vec_id % 5 < 3").select("vec_id", "dim", "z")
+
+
+@query(f"WITH {_SCORED}, q AS (SELECT score, (least(greatest(round_even(score / 0.00390625, 0) - 128, -128.0), 127.0) + 128) * 0.00390625 AS s8 FROM scored), s AS (SELECT max(abs(score - s8)) AS d, corr(score, s8) AS c, avg(CAST((score >= 0.5) <> (s8 >= 0.5) AS INTEGER)) AS f FROM q) SELECT round(d, 6) AS max_diff, round(c, 6) AS corr, round(f, 6) AS flips, d <= 0.05 AND c >= 0.99 AND f <= 0.01 AS passed FROM s")
+def score_parity(spark, sf_dir):
+    s = scored(spark, sf_dir).select("score", evaluation.quantised(F.col("score"), 0.00390625, -128).alias("s8"))
+    return evaluation.parity(s, "score", "s8", 0.5)
+
+
+# --- series --------------------------------------------------------------------------------------
+
+_VOTED = f"{_SCORED}, voted AS (SELECT *, sum(CAST(hit AS INTEGER)) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 AS voted FROM scored)"
+_FIRES = _VOTED + ", c AS (SELECT user_id, t, event_id FROM voted WHERE voted), fires AS (SELECT user_id, min(t) AS fire FROM c GROUP BY user_id UNION ALL SELECT f.user_id, min(c.t) AS fire FROM fires f JOIN c ON c.user_id = f.user_id AND c.t >= f.fire + 86400.0 GROUP BY f.user_id)"
+
+
+def voted(spark, sf_dir):
+    return sequence.vote(scored(spark, sf_dir), "user_id", ["t", "event_id"], "hit")
+
+
+def fires(spark, sf_dir):
+    return sequence.refractory(voted(spark, sf_dir), "user_id", "t", "event_id", DAY)
+
+
+@query(f"WITH {_VOTED} SELECT event_id, user_id, voted FROM voted")
+def vote_m_of_n(spark, sf_dir):
+    return voted(spark, sf_dir).select("event_id", "user_id", "voted")
+
+
+@query(f"WITH RECURSIVE {_FIRES} SELECT f.user_id, round(fire, 6) AS fire, min(c.event_id) AS fired_tie FROM fires f JOIN c ON c.user_id = f.user_id AND c.t = f.fire GROUP BY f.user_id, fire")
+def refractory_detections(spark, sf_dir):
+    return fires(spark, sf_dir).withColumn("fire", F.round("fire", 6))
+
+
+@query(f"WITH RECURSIVE {_FIRES}, h AS (SELECT (max(t) - min(t)) / 3600.0 AS hours FROM scored), n AS (SELECT count(*) AS k FROM fires) SELECT k, round(hours, 6) AS hours, round(k / hours, 6) AS rate, round(CASE WHEN k > 0 THEN k * pow(1 - 1 / (9.0 * k) - 1.96 / (3 * sqrt(k)), 3) ELSE 0.0 END / hours, 6) AS low, round((k + 1) * pow(1 - 1 / (9.0 * (k + 1)) + 1.96 / (3 * sqrt(k + 1)), 3) / hours, 6) AS high FROM h, n")
+def detections_per_hour(spark, sf_dir):
+    hours = scored(spark, sf_dir).agg(((F.max("t") - F.min("t")) / HOUR).alias("hours"))
+    k = fires(spark, sf_dir).agg(F.count("*").alias("k"))  # one row against one
+    return evaluation.rate_interval(k.join(F.broadcast(hours)), "k", "hours").withColumn("hours", F.round("hours", 6))
+
+
+@query(f"WITH RECURSIVE {_FIRES}, s AS (SELECT event_id, user_id, t AS onset, t + 21600.0 AS offs FROM scored WHERE event_type = 'signup'), m AS (SELECT s.event_id, s.user_id, min(f.fire) AS first_fire, min(offs) AS offs FROM s LEFT JOIN fires f ON f.user_id = s.user_id AND f.fire BETWEEN s.onset AND s.offs + 1500.0 GROUP BY s.event_id, s.user_id) SELECT event_id, user_id, first_fire IS NOT NULL AS detected, round(first_fire - offs, 6) AS latency FROM m")
+def span_match_latency(spark, sf_dir):
+    s = scored(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", F.col("t").alias("onset"), (F.col("t") + 21_600.0).alias("offs"))
+    return sequence.spans_matched(s, fires(spark, sf_dir), "user_id", "onset", "offs", "fire", 1500.0).select("event_id", "user_id", "detected", "latency")
+
+
+_DAYS = "d AS (SELECT DISTINCT user_id, CAST(floor(epoch_us(ts) / 86400000000) AS BIGINT) AS day FROM events)"
+
+
+@query(f"WITH {_DAYS}, n AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY user_id ORDER BY day) > 2 THEN 1 ELSE 0 END AS new FROM d), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY day) AS run FROM n), g AS (SELECT user_id, run, min(day) AS start, max(day) AS stop, max(day) - min(day) + 1 AS length FROM r GROUP BY user_id, run) SELECT user_id, start, stop, length FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) AS k FROM g) WHERE k = 1")
+def islands_longest_run(spark, sf_dir):
+    d = table(spark, sf_dir, "events").select("user_id", F.floor(epoch_micros("ts") / 86_400_000_000).cast("long").alias("day")).distinct()
+    return sequence.longest_island(d, "user_id", "day", 2)
+
+
+@query("WITH m AS (SELECT user_id, event_id, value < 40 AS z FROM events), i AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, z ORDER BY event_id) AS island FROM m), r AS (SELECT user_id, z, island, count(*) AS n FROM i GROUP BY user_id, z, island) SELECT user_id, coalesce(max(n) FILTER (WHERE z), 0) AS longest FROM r GROUP BY user_id")
+def zero_run(spark, sf_dir):
+    return sequence.longest_zero_run(table(spark, sf_dir, "events"), "user_id", ["event_id"], "value < 40")
+
+
+@query("WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), g AS (SELECT l_orderkey, greatest(l_linenumber - coalesce(lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) + 1, 1), 0) AS g FROM l) SELECT l_orderkey, count(*) FILTER (WHERE g > 0) AS gaps, CAST(sum(g) AS BIGINT) AS lost FROM g GROUP BY l_orderkey")
+def sequence_gaps(spark, sf_dir):
+    return sequence.sequence_gaps(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct(), "l_orderkey", "l_linenumber", 1)
+
+
+@query("WITH r AS (SELECT user_id, value AS v, row_number() OVER (PARTITION BY user_id ORDER BY value) AS a, row_number() OVER (PARTITION BY user_id ORDER BY value DESC) AS d, greatest(1, count(*) OVER (PARTITION BY user_id) // 10) AS k FROM events), m AS (SELECT user_id, avg(v) FILTER (WHERE a <= k) AS low, avg(v) FILTER (WHERE d <= k) AS high FROM r GROUP BY user_id) SELECT user_id, round(low, 6) AS low, round(high, 6) AS high, round(10 * log10(greatest(high, 1e-12) / greatest(low, 1e-12)), 6) AS snr_db FROM m")
+def decile_snr(spark, sf_dir):
+    return sequence.decile_levels(table(spark, sf_dir, "events"), "user_id", "value")
+
+
+@query("SELECT user_id, coalesce(max(event_id) - max(event_id) FILTER (WHERE value > 100) < 500, false) AS truncated FROM events GROUP BY user_id")
+def truncation_test(spark, sf_dir):
+    return sequence.truncated(table(spark, sf_dir, "events"), "user_id", "event_id", "value > 100", 500)
+
+
+@query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id, event_id, CAST(n AS INTEGER) AS n FROM r WHERE n >= 49 AND n % 10 = 0")
+def cadence_sampling(spark, sf_dir):
+    return sequence.cadence(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"])
+
+
+# --- rules, sidecars, bits -----------------------------------------------------------------------
+
+
+@query("SELECT event_id, concat_ws('+', CASE WHEN value > 300 THEN 'too_loud' END, CASE WHEN value < 0.5 THEN 'too_quiet' END, CASE WHEN event_type = 'error' AND value > 100 THEN 'damaged' END) AS fails, concat_ws('+', CASE WHEN value > 200 THEN 'loud' END, CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) < 5 THEN 'low_k' END) AS warns, CASE WHEN value > 300 OR value < 0.5 OR (event_type = 'error' AND value > 100) THEN 'fail' WHEN value > 200 OR CAST(json_extract_string(props, '$.k') AS INTEGER) < 5 THEN 'warn' ELSE 'ok' END AS status FROM events")
+def qc_rule_flags(spark, sf_dir):
+    v, k = F.col("value"), F.get_json_object("props", "$.k").cast("int")
+    flagged = quality.rule_flags(table(spark, sf_dir, "events"), {"too_loud": v > 300, "too_quiet": v < 0.5, "damaged": (F.col("event_type") == "error") & (v > 100)}, {"loud": v > 200, "low_k": k < 5})
+    return flagged.select("event_id", F.concat_ws("+", "fails").alias("fails"), F.concat_ws("+", "warns").alias("warns"), "status")
+
+
+@query("SELECT event_id, CASE WHEN value < 1 THEN 'too_quiet' WHEN value NOT BETWEEN 10 AND 250 THEN 'span_out_of_range' WHEN event_type = 'error' THEN 'lost_blocks' ELSE 'accepted' END AS verdict FROM events")
+def take_verdict(spark, sf_dir):
+    v = F.col("value")
+    rules = [(v < 1, "too_quiet"), (~v.between(10, 250), "span_out_of_range"), (F.col("event_type") == "error", "lost_blocks")]
+    return table(spark, sf_dir, "events").select("event_id", quality.first_match(rules, "accepted").alias("verdict"))
+
+
+@query("SELECT d.doc_id, CASE WHEN e.event_id IS NOT NULL THEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) END AS k, CASE WHEN e.event_id IS NULL THEN 'missing' ELSE 'ok' END AS side_state, CASE WHEN e.event_id IS NOT NULL THEN 'k' || json_extract_string(e.props, '$.k') WHEN regexp_matches(source, '1$') THEN 'ambient' WHEN regexp_matches(source, '[2-4]$') THEN 'speech' ELSE 'keyword' END AS content FROM documents d LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) e ON e.event_id = d.doc_id")
+def sidecar_json_join(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    side = table(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("doc_id"), "props")
+    out = quality.sidecar(d, side, "doc_id", "props", "k int")
+    content = quality.content_class(F.concat(F.lit("k"), F.col("side.k").cast("string")), F.col("source"), {"ambient": "1$", "speech": "[2-4]$"}, "keyword")
+    return out.select("doc_id", "side.k", "side_state", content.alias("content"))
+
+
+@query("SELECT l_returnflag, " + ", ".join(f"bit_or(CAST({c} AS BIGINT)) AS {c}_or, bit_and(CAST({c} AS BIGINT)) AS {c}_and, bit_xor(CAST({c} AS BIGINT)) AS {c}_xor, bool_and({c} % 2 = 1) AS {c}_all_odd, bool_or({c} % 2 = 1) AS {c}_any_odd" for c in ("l_linenumber", "l_partkey")) + " FROM lineitem GROUP BY l_returnflag")
+def bit_summary(spark, sf_dir):
+    return quality.bits(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", "l_partkey")
+
+
+@query("SELECT event_id, round(20 * log10(greatest(value, 1e-12)), 6) AS db, round(2595 * log10(1 + value / 700), 6) AS mel, round(100.0 * (value - 50) / 50, 6) AS drift FROM events")
+def level_scalars(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", F.round(decibels(v), 6).alias("db"), F.round(mel(v), 6).alias("mel"), F.round(100.0 * (v - 50) / 50, 6).alias("drift"))
+
+
+# --- arrays --------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, CAST(i AS INTEGER) AS frame, round(list_sum(list_transform(embedding[i * 8 + 1 : i * 8 + 16], lambda x: x::DOUBLE * x::DOUBLE)), 6) AS energy FROM (SELECT vec_id, embedding, unnest(generate_series(0, (len(embedding) - 16) // 8)) AS i FROM embeddings)")
+def frame_windows(spark, sf_dir):
+    from ..functions.signal import frames
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(frames(F.col("embedding").cast("array<double>"), 16, 8)).alias("frame", "f"))
+    return e.select("vec_id", "frame", F.round(F.aggregate("f", F.lit(0.0), lambda a, x: a + x * x), 6).alias("energy"))
+
+
+@query("WITH p AS (SELECT vec_id, 20 * log10(greatest(list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))), 1e-12)) AS peak FROM embeddings) SELECT vec_id, round(peak, 6) AS peak_db, round(CASE WHEN peak <= -45 THEN 1.0 ELSE pow(10, (-6 - peak) / 20) END, 6) AS gain FROM p")
+def level_gain(spark, sf_dir):
+    peak = decibels(F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double")))))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", peak.alias("peak"))
+    return e.select("vec_id", F.round("peak", 6).alias("peak_db"), F.round(F.when(F.col("peak") <= -45, 1.0).otherwise(F.pow(F.lit(10.0), (-6 - F.col("peak")) / 20)), 6).alias("gain"))
+
+
+@query()
+def mel_dct_features(spark, sf_dir):
+    """Features of each vector repeated to a short clip: frames x coefficients, rounded."""
+    import numpy as np
+
+    from ..functions import signal
+
+    ship(spark)
+
+    def kernel(x):
+        return signal.features(np.resize(x, 1600), 1600).round(4)
+
+    run = signal.on_clips(kernel, "array<array<float>>")
+    return table(spark, sf_dir, "embeddings").select("vec_id", run(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+# --- streams -------------------------------------------------------------------------------------
+
+
+def _replayed(spark, sf_dir, make, mode: str = "append") -> DataFrame:
+    """A streaming query over the events file, run over all that is there, its rows written by each batch and read back."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-stream-")
+    top = f"{top.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    out = make(stream)
+    query = out.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{top}/rows/batch={n}")).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).option("recursiveFileLookup", True).parquet(f"{top}/rows")
+
+
+@query(_SQL["refractory_detections"])
+def stream_refractory(spark, sf_dir):
+    from ..streaming import stateful
+
+    def make(events):
+        rows = events.select("event_id", "user_id", (epoch_micros("ts") / 1e6).alias("t"), (F.col("value") / (F.col("value") + 35) >= 0.6).alias("hit"))
+        return stateful.trigger(rows, "user_id", "t", "event_id", "hit", DAY)
+
+    out = _replayed(spark, sf_dir, make)
+    return out.select(F.col("stream").alias("user_id"), F.round("fire", 6).alias("fire"), "fired_tie")
+
+
+@query()
+def stream_sequence_loss(spark, sf_dir):
+    from ..streaming import stateful
+
+    out = _replayed(spark, sf_dir, lambda events: stateful.loss(events.select("user_id", "event_id"), "user_id", "event_id"), "update")
+    return out.groupBy("stream").agg(F.max("seen").alias("seen"), F.max("gaps").alias("gaps"), F.max("lost").alias("lost"))
