@@ -3,7 +3,7 @@
 Documents are dealt to parts by ascending ranges of doc_id and sorted in each, so the files hold
 all ids in ascending doc_id order. Only one sum per part goes to the driver.
 
-Defined cases: a null text is empty and holds just the end id; rows of equal doc_id lie next to
+Defined cases: a null text is empty and holds just the end id; rows without an identifier come first; rows of equal doc_id lie next to
 each other, by text; an empty table writes no shard and reads back empty; other columns are not
 read. A text of any length lies whole in one shard.
 """
@@ -25,6 +25,8 @@ from .repair import Grammar, compress, packed
 
 #: A shard closes once it holds so many ids.
 SHARD_IDS = 1 << 20
+#: Stands for a null identifier in the files.
+NULL_ID = -(1 << 63)
 FORMAT = "part int, shard int, start long, n_ids long, first_id long, last_id long, doc_ids binary, ends binary, lengths binary, alphabet binary, rules binary, expansion binary, sequence binary, width int"
 
 
@@ -50,7 +52,7 @@ def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int = 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 ids = encode(text) + end
-                doc_ids.append(doc_id)
+                doc_ids.append(NULL_ID if doc_id is None else doc_id)
                 texts.append(ids)
                 held += len(ids) // 4
                 if held >= SHARD_IDS:
@@ -86,7 +88,8 @@ def _read(spark: SparkSession, where: str, with_ids: bool) -> DataFrame:
                 lengths = np.frombuffer(row["lengths"], "<i8")
                 ends = np.cumsum(lengths)
                 own = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths.tolist())]
-                out = [pa.array(np.frombuffer(row["doc_ids"], "<i8")), pa.array(ends - lengths + (base.value[row["part"]] + row["start"])), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
+                doc_ids = np.frombuffer(row["doc_ids"], "<i8")
+                out = [pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(ends - lengths + (base.value[row["part"]] + row["start"])), pa.array(lengths), pa.array([zlib.crc32(x) for x in own], pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     out, names = [*out, pa.array([bytes(x) for x in own], pa.binary())], [*names, "ids"]
