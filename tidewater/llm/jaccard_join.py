@@ -1,25 +1,28 @@
 """N-gram Jaccard self-join by universe partition and the pigeonhole principle.
 
-Sets are distinct word shingles. Equal sets are one node. Sizes fall into bands; a band's larger
-size bounds the symmetric difference of any linking pair by H. The universe of shingles is hashed
-into segments, and two linking sets agree on enough of them:
-
-* wide bands: H + 1 + x segments, of which at least x + 1 are equal. Each set leaves out its x
-  dearest segments (fewest shingles first: they are the most common ones, empty segments above
-  all; ties by content). The cheapest equal segment of a linking pair is never left out by either.
+Sets are distinct word shingles. Equal sets are one node, named by 64 bits of their digest. Sizes
+fall into bands; a band's larger size bounds the symmetric difference of any linking pair by H. The
+universe of shingles is hashed into segments, and two linking sets agree on enough of them:
+
+* wide bands: m = H + 1 + x segments. A set whose own partners differ from it by at most h <= H
+  agrees with each on at least m - h segments, so it may leave out its m - h - 1 dearest ones
+  (fewest shingles first: they are the most common, empty segments above all; ties by content).
+  The cheapest segment that a linking pair agrees on is never left out by either.
 * narrow bands (H up to ``DELETIONS``): ceil((H + 1) / 2) segments, of which one differs by at
   most one shingle; each set is indexed under the segment and all its one-deletion neighbours.
 
-Sets that share a signature form a bucket. Not all pairs of a bucket are verified, and yet no
-link between components is lost: first each set is held against one leader, the one it shares most
-buckets with; then against its other leaders outside its component; then, in buckets that still
-hold several components, sets outside the bucket's leading component are held against those
-of other components. Pairs within one component need no test. Every test is exact on whole sets.
+Sets that share a signature form a bucket. Before sets meet, ``WORDS`` 64-bit words of parities
+(of the counts of shingles by hash) bound their difference from below, exactly. Not all pairs of a
+bucket are verified, and yet no link between components is lost: first each set is held
+against the one leader it shares most buckets with; then, ``ROUNDS`` times, against leaders drawn
+anew by each bucket that still holds several components; at last, in such buckets, the sets outside
+the bucket's commonest component against those of other components. Pairs within one component
+need no test. Every test is exact on whole sets.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with
-nothing; a text of fewer words than a shingle has its whole sequence as one; repeated rows link;
-rows that share an identifier count as one document; a null identifier links with nothing and
-gets a null component; an empty table gives an empty one; columns other than the two named are
+nothing; a text of fewer words than a shingle has its whole sequence as one; repeated rows link,
+each row being a document of its own; a null identifier links with nothing and gets a null
+component; an empty table gives an empty one; columns other than the two named are
 passed on by ``dedup`` alone, whatever their names.
 """
 
@@ -39,7 +42,9 @@ from .words import mix, shingle_sets
 #: Largest H for which one-deletion neighbourhoods are indexed.
 DELETIONS = 3
 #: Growth of the sizes of a band, and the share of segments that a set may leave out.
-GROWTH, SPARE = 1.4, 16
+GROWTH, SPARE = 1.5, 16
+#: Rounds of newly drawn leaders; words of parities.
+ROUNDS, WORDS = 2, 8
 _K = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -54,7 +59,7 @@ class Bands:
             high = max(low, int(low * GROWTH))
             h = (100 - percent) * 2 * high // (100 + percent)
             deletion = 0 < h <= DELETIONS
-            spare = 0 if h <= DELETIONS else max(1, h // SPARE)
+            spare = 0 if h <= DELETIONS else max(1, h // SPARE)  # of a set whose partners may differ by h = H
             self.low.append(low)
             self.high.append(high)
             self.deletion.append(deletion)
@@ -94,12 +99,17 @@ def signatures(sets: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.nd
             found += [sig, less]
             continue
         sig = mix(content + np.tile(tag, len(at))).reshape(len(at), m)
-        if spare := bands.spare[k]:
+        if bands.spare[k]:
             count = np.bincount(slot, minlength=len(at) * m)
             # The dearest first: by shingles in the segment, then by content.
             dear = (np.minimum(count, 255).astype(np.uint64) << np.uint64(56)).reshape(len(at), m) | (sig >> np.uint64(8))
-            kept = np.argpartition(dear, spare - 1, axis=1)[:, spare:]
-            sig = np.take_along_axis(sig, kept, axis=1)
+            sig = np.take_along_axis(sig, np.argsort(dear, axis=1), axis=1)
+            partner = np.minimum(bands.high[k], 100 * size // percent)
+            differ = (100 - percent) * (size + partner) // (100 + percent)
+            kept = np.arange(m)[None] >= (m - 1 - differ)[:, None]
+            owners.append(np.repeat(at, kept.sum(axis=1)))
+            found.append(sig[kept])
+            continue
         owners.append(np.repeat(at, sig.shape[1]))
         found.append(sig.ravel())
     if not found:
@@ -107,8 +117,16 @@ def signatures(sets: np.ndarray, begin: np.ndarray, percent: int) -> tuple[np.nd
     return np.concatenate(owners), np.concatenate(found)
 
 
+def parities(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Sets x WORDS: bit by bit, whether an odd number of shingles hash there. Two sets differ at least by the bits that differ."""
+    bits = 64 * WORDS
+    owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+    odd = np.bincount(owner * bits + (mix(sets + _K2) % np.uint64(bits)).astype(np.int64), minlength=(len(begin) - 1) * bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").reshape(-1, WORDS)
+
+
 def _shingled(words: int, percent: int):
-    """Per row: id, size, digest of the set and its signatures."""
+    """Per row: id, size, node (64 bits of the set's digest), parities and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,19 +139,25 @@ def _shingled(words: int, percent: int):
                 fresh[1:] = (owner[1:] != owner[:-1]) | (sig[1:] != sig[:-1])
                 owner, sig = owner[fresh], sig[fresh]
                 ends = np.searchsorted(owner, np.arange(len(begin)))
-                digest = [hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(begin.tolist(), begin[1:].tolist())]
                 n = len(begin) - 1
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), pa.array(digest, pa.binary()), pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(sig)).cast(pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "signatures"])
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WORDS), pa.array(parities(sets, begin).ravel()))
+                listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sig))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), pa.array(_nodes(sets, begin)), odd, listed], ["doc_id", "n_shingles", "node", "odd", "signatures"])
 
     return run
 
 
+def _nodes(sets: np.ndarray, begin: np.ndarray) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(sets[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(begin.tolist(), begin[1:].tolist())]
+
+
 def _sets(words: int):
+    """Per row: node and its shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            for first, sets, begin in shingle_sets(batch.column("text"), words):
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(begin) - 1), pa.array([sets[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())], ["doc_id", "shingles"])
+            for _, sets, begin in shingle_sets(batch.column("text"), words):
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets, begin)), pa.array([sets[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())], ["node", "shingles"])
 
     return run
 
@@ -154,8 +178,8 @@ def _linking(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link; distinct on entry."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return written(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_linking(percent), "a long, b long"), "links")
 
 
@@ -173,57 +197,86 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
         labels = written(labels.join(jump, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
 
 
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) whose sizes and parities leave a link possible."""
+    a = sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    b = sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    return pairs.join(a, "a").join(b, "b").where(_may_link(percent)).select(pairs.columns)
+
+
+def _may_link(percent: int) -> str:
+    bits = " + ".join(f"bit_count(oa[{k}] ^ ob[{k}])" for k in range(WORDS))
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb) and {100 + percent} * ({bits}) <= {100 - percent} * (na + nb)"
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) that lie in two components."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select(pairs.columns)
+
+
+def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """sig, node, component, leading (the commonest component of the bucket) in the buckets that hold several."""
+    placed = buckets.join(labels, "node")
+    sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    leading = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("sig", F.col("top.component").alias("leading"))
+    return placed.join(leading, "sig")
+
+
+def _ordered(a: str, b: str) -> list:
+    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
+
+
+def _crossing(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Of each open bucket, the sets outside its leading component with those of other components, as far as they may link."""
+    known = placed.join(sketches, "node")
+    outside = known.where("component <> leading").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"), F.col("component").alias("ca"))
+    inside = known.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"), F.col("component").alias("cb"), F.expr("component <> leading").alias("both"))
+    pairs = outside.join(inside, (outside["sig"] == inside["sig"]) & F.expr("ca <> cb and (not both or a < b)") & F.expr(_may_link(percent)))
+    return pairs.select(*_ordered("a", "b")).distinct()
+
+
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest doc_id reachable over pairs of sets with a Jaccard similarity of at least ``percent`` hundredths."""
     rows = two_columns(docs, id_col, text_col)
-    marked = written(rows.mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, digest binary, signatures array<long>"), "signatures")
+    marked = written(rows.mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, node long, odd array<long>, signatures array<long>"), "signatures")
     filled = marked.where("n_shingles > 0 and doc_id is not null")
-    nodes = written(filled.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows")), "nodes")
 
-    # One row of each distinct set stands for it.
-    single = nodes.select(F.col("digest"), F.col("node").alias("doc_id"))
-    members = filled.join(single, ["digest", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), F.explode("signatures").alias("sig"))
-    leaders = members.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("most")).where("most <> lead.node").select("sig", F.col("lead.node").alias("leader"), F.col("lead.n").alias("leader_n"))
-    buckets = written(members.join(leaders, "sig"), "buckets")
-    close = F.expr(f"100 * least(n, leader_n) >= {percent} * greatest(n, leader_n)")
-    stars = written(buckets.where("node <> leader").where(close).groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared")), "stars")
+    members = filled.select("node", F.explode("signatures").alias("sig"))
+    shared = members.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("most <> leader").select("sig", "leader")
+    buckets = written(members.join(shared, "sig").select("sig", "node", "leader").distinct(), "buckets")
 
-    # Everything after this concerns only the sets that share a bucket.
+    # Everything after this concerns only the sets that share a bucket with another.
     involved = buckets.select("node").distinct()
-    sets = written(rows.join(involved, rows["doc_id"] == involved["node"], "left_semi").mapInArrow(_sets(words), "doc_id long, shingles binary").where("length(shingles) > 0").distinct(), "sets")
-    labels = written(involved.select("node", F.col("node").alias("component")), "labels")
+    sketches = written(filled.select("node", "n_shingles", "odd").join(involved, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")), "sketches")
+    stars = buckets.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
+    stars = written(_plausible(stars, sketches, percent), "stars")
+    labels = written(sketches.select("node", F.col("node").alias("component")), "labels")
 
-    best = stars.groupBy("a").agg(F.max(F.struct(F.col("shared"), (-F.col("b")).alias("least"))).alias("top")).select("a", (-F.col("top.least")).alias("b"))
-    labels = components(_verified(best, sets, percent), labels)
+    holders = filled.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = rows.join(holders.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary")
+    sets = written(sets.join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
+    best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
+    labels = components(_verified(best, sets, percent), labels)
     rest = _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
     labels = components(_verified(rest, sets, percent), labels)
 
-    labels = components(_verified(_crossing(buckets, labels, stars, percent), sets, percent), labels)
-
-    least = labels.select("node", "component")
-    of_set = nodes.join(least, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    out = marked.join(of_set, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))).alias("component_id"))
+    for turn in range(ROUNDS):
+        placed = written(_open(buckets.select("sig", "node"), labels), "open")
+        drawn = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)), "node", "component")).alias("d")).select("sig", F.col("d.node").alias("leader"), F.col("d.component").alias("of"))
+        pairs = placed.join(drawn, "sig").where("component <> of").select(*_ordered("node", "leader")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+        labels = components(_verified(written(_plausible(pairs, sketches, percent).select("a", "b"), "drawn"), sets, percent), labels)
 
+    placed = written(_open(buckets.select("sig", "node"), labels), "open")
+    labels = components(_verified(written(_crossing(placed, sketches, percent), "crossing"), sets, percent), labels)
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) that lie in two components."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b")
-
-
-def _crossing(buckets: DataFrame, labels: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs of one bucket and two components: of each bucket, the sets outside its leader's component against all others."""
-    placed = buckets.select("sig", "node", "n", "leader").join(labels, "node")
-    of_leader = labels.select(F.col("node").alias("leader"), F.col("component").alias("leading"))
-    placed = placed.join(of_leader, "leader").select("sig", "node", "n", "component", "leading")
-    outside = placed.where("component <> leading").select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    inside = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), F.expr("component <> leading").alias("both"))
-    pairs = outside.join(inside, "sig").where("ca <> cb and (not both or a < b)").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return written(pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "crossing")
+    least = filled.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = least.join(smallest, "component").select("node", "component_id")
+    out = marked.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

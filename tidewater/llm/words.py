@@ -88,7 +88,7 @@ def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> Iterat
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, sorted distinct k-word shingles of a run of texts, where each set begins and the last ends). Texts of fewer words have their whole sequence as one; without words, none."""
-    odd = [np.uint64((0xD6E8FEB86659FD93 * (2 * p + 1) + 0x632BE59BD9B4E019 * p) & (1 << 64) - 1 | 1) for p in range(k)]
+    odd = np.random.default_rng(70).integers(1 << 62, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # no places in proportion
     for first, last, words, begin in column_words(column):
         n = np.diff(begin)
         mixed = np.zeros(max(0, len(words) - k + 1), np.uint64)
