@@ -116,3 +116,26 @@ def quantised(x: Column, scale: float, zero: int) -> Column:
     """Through signed bytes and back: half to even, clamped."""
     q = F.least(F.greatest(F.bround(x / scale) + zero, F.lit(-128.0)), F.lit(127.0))
     return (q - zero) * scale
+
+
+def compare_models(df: DataFrame, case: str, model: str, score: str, truth: str, models: list[str], threshold: float) -> DataFrame:
+    """One row a pair of decisions: truth, a and b (the two models' decisions on the same case), n; cases that one model lacks are left out."""
+    wide = df.groupBy(case, truth).pivot(model, models).agg(F.max(score))
+    a, b = (F.col(m) >= threshold for m in models)
+    return wide.where(F.col(models[0]).isNotNull() & F.col(models[1]).isNotNull()).groupBy(F.col(truth).alias("truth"), a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
+
+
+def det_curve(curve: DataFrame) -> DataFrame:
+    """threshold, false accepts and false rejects of a sweep, on a logarithmic scale floored at 1e-6."""
+    log = lambda c: rounded(F.log10(F.greatest(c, F.lit(1e-6))), 6)
+    return curve.select("threshold", log(F.col("far")).alias("log_far"), log(1 - F.col("recall")).alias("log_frr"))
+
+
+def session_latency(matched: DataFrame, session: str) -> DataFrame:
+    """By session: spans, detected ones, and the median latency of these."""
+    return matched.groupBy(session).agg(F.count("*").alias("n"), F.count_if("detected").alias("n_detected"), F.round(F.median("latency"), 6).alias("median_latency"))
+
+
+def best_class(scores: Column) -> Column:
+    """The place of the largest score, the first of equals, from 0."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def share_by(df: DataFrame, key: str) -> DataFrame:
     """key, n, share of all rows; null keys are a group of their own."""
@@ -34,16 +36,32 @@ def distinct_entities(df: DataFrame, entity: str, condition: str, tuple_of: Sequ
 
 
 def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Non-null values by group with their 0-based rank and the group's size."""
-    kept = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(group, F.col(value).alias("v"))
-    in_order = Window.partitionBy(group).orderBy("v")
-    return kept.withColumn("i", F.row_number().over(in_order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(group)))
+    """Distinct non-null values by group: v, the ranks below and up to it (below, upto, from 0), and the group's size n.
+
+    Equal values are counted first. The distinct ones are numbered over ranges of (group, value), and running
+    counts are summed within a range and over the ranges before it, so no task holds a whole group.
+    """
+    counts = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(group), F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    spark = df.sparkSession
+    ranged = counts.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), group, "v").withColumn("_part", F.spark_partition_id())
+    placed = written(ranged, "ranked")
+    own = placed.withColumn("_own", F.sum("c").over(Window.partitionBy("_part", group).orderBy("v")))
+    parts = placed.groupBy(group, "_part").agg(F.sum("c").alias("_c"))
+    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(group, "_part", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_before"), F.sum("_c").over(Window.partitionBy(group)).alias("n"))
+    at = own.join(parts, [group, "_part"])
+    return at.select(group, "v", (F.col("_before") + F.col("_own") - F.col("c")).alias("below"), (F.col("_before") + F.col("_own")).alias("upto"), "n")
+
+
+def _at(place: Column) -> Column:
+    """The value whose ranks hold a place."""
+    return F.max(F.when((F.col("below") <= place) & (place < F.col("upto")), F.col("v")))
 
 
 def quantile_nearest_rank(df: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
     """By group: n, min, max and the value at place min(n - 1, int(p * n)) of each probability."""
     ranked = _ranked(df, group, value)
-    picks = [F.max(F.when(F.col("i") == F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("v"))).alias(f"p{round(p * 100)}") for p in probabilities]
+    picks = [_at(F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))).alias(f"p{round(p * 100)}") for p in probabilities]
     return ranked.groupBy(group).agg(F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *picks)
 
 
@@ -54,7 +72,7 @@ def quantile_linear(df: DataFrame, group: str, value: str, probabilities: Sequen
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """The value at place n // 2: the upper of the two middle ones."""
     ranked = _ranked(df, group, value)
-    return ranked.groupBy(group).agg(F.max(F.when(F.col("i") == F.floor(F.col("n") / 2), F.col("v"))).alias("upper_median"))
+    return ranked.groupBy(group).agg(_at(F.floor(F.col("n") / 2)).alias("upper_median"))
 
 
 def fixed_histogram(df: DataFrame, value: str, low: float, width: float, bins: int) -> DataFrame:
@@ -88,3 +106,23 @@ def gaps_to_target(df: DataFrame, key: str, targets: dict[str, int]) -> DataFram
     want = df.sparkSession.createDataFrame(list(targets.items()), f"`{key}` string, want long")
     have = df.groupBy(key).agg(F.count("*").alias("have"))
     return want.join(have, key, "left").select(key, F.coalesce("have", F.lit(0)).alias("have"), "want", F.greatest(F.lit(0), F.col("want") - F.coalesce("have", F.lit(0))).alias("missing"))
+
+
+def weighted_rank(df: DataFrame, key: str, weights: dict[str, float]) -> DataFrame:
+    """key, total (the weighted sum of its criteria) and its rank, the best first; ties share a rank. For a table of candidates, not of records."""
+    total = sum((F.coalesce(F.col(c), F.lit(0)) * w for c, w in weights.items()), F.lit(0.0))
+    scored = df.select(key, F.round(total, 6).alias("total"))
+    better = scored.select(F.col("total").alias("_t")).groupBy("_t").agg(F.count("*").alias("_n"))
+    places = better.withColumn("rank", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
+    return scored.join(places, scored["total"] == places["_t"]).select(key, "total", "rank")
+
+
+def single_value(df: DataFrame, column: str) -> DataFrame:
+    """The one value that the column holds; the query fails where there is another number of them."""
+    n = df.agg(F.count_distinct(column).alias("n"), F.min(column).alias(column))
+    return n.select(F.when(F.assert_true(F.col("n") == 1, F.lit(f"{column} doesn't hold one value")).isNull(), F.col(column)).alias(column))
+
+
+def sliding_counts(df: DataFrame, key: str, ts: str, length: str, slide: str) -> DataFrame:
+    """key, window start, n: overlapping windows of event time; the same expression serves a stream."""
+    return df.groupBy(key, F.window(ts, length, slide)).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hash_fraction
+from ..functions.tables import written
 
 
 def hash_split(df: DataFrame, key: str, salt: str = "split", train: float = 0.8, validation: float = 0.12, to: str = "split") -> DataFrame:
@@ -20,22 +21,22 @@ def hash_split(df: DataFrame, key: str, salt: str = "split", train: float = 0.8,
     return df.withColumn(to, F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 
-def numbered(df: DataFrame, order: Sequence[str], to: str = "position", per: int = 4096) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], to: str = "position") -> DataFrame:
     """A running number from 0 over a total order of the whole table, without one task for all rows.
 
-    Rows are range-partitioned and numbered within their partition; the partitions' counts, one
-    number each, are summed up on the driver.
+    Rows are range-partitioned and numbered within their partition; that is written once, as the
+    ranges come from a sample. The partitions' counts, one number each, are summed on the driver.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id() % F.lit(1 << 33))
-    counts = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    placed = written(ranged.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id() % F.lit(1 << 33)}), "numbered")
     before, total = [], 0
-    for part, count in counts:
+    for part, count in sorted((r["_part"], r["count"]) for r in placed.groupBy("_part").count().collect()):
         before.append((part, total))
         total += count
     offsets = spark.createDataFrame(before, "_part int, _before long")
-    return ranged.join(F.broadcast(offsets), "_part").withColumn(to, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+    return placed.join(F.broadcast(offsets), "_part").withColumn(to, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
 
 
 def round_robin(df: DataFrame, order: Sequence[str], to: str = "split") -> DataFrame:
@@ -85,3 +86,16 @@ def member(values: dict[str, str], key: Column, default: str) -> Column:
     for k, v in values.items():
         out = F.when(key == k, v) if out is None else out.when(key == k, v)
     return out.otherwise(default) if out is not None else F.lit(default)
+
+
+def plan_grid(df: DataFrame, repeats: Column, to: str = "take") -> DataFrame:
+    """Each row as often as ``repeats`` says, numbered from 0; none for 0 or null."""
+    return df.withColumn(to, F.explode(F.when(repeats > 0, F.sequence(F.lit(0), repeats.cast("int") - 1)).otherwise(F.array().cast("array<int>"))))
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of all parts, by column name; columns that a part lacks are null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

@@ -508,3 +508,67 @@ def stream_sequence_loss(spark, sf_dir):
 
     out = _replayed(spark, sf_dir, lambda events: stateful.loss(events.select("user_id", "event_id"), "user_id", "event_id"), "update")
     return out.groupBy("stream").agg(F.max("seen").alias("seen"), F.max("gaps").alias("gaps"), F.max("lost").alias("lost"))
+
+
+# --- comparisons, plans, windows -----------------------------------------------------------------
+
+
+@query(f"WITH {_SCORED} SELECT truth, score >= 0.5 AS a, value / (value + 60) >= 0.5 AS b, count(*) AS n FROM scored GROUP BY 1, 2, 3")
+def model_comparison(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    one = s.select("event_id", "truth", F.lit("first").alias("model"), "score")
+    two = s.select("event_id", "truth", F.lit("second").alias("model"), (F.col("value") / (F.col("value") + 60)).alias("score"))
+    return evaluation.compare_models(splits.union([one, two]), "event_id", "model", "score", "truth", ["first", "second"], 0.5)
+
+
+@query(_CURVE + "SELECT threshold, round(log10(greatest(far, 1e-6)), 6) AS log_far, round(log10(greatest(1 - recall, 1e-6)), 6) AS log_frr FROM curve")
+def det_curve(spark, sf_dir):
+    return evaluation.det_curve(evaluation.sweep(scored(spark, sf_dir), "score", "truth"))
+
+
+@query(f"WITH RECURSIVE {_FIRES}, s AS (SELECT event_id, user_id, t AS onset, t + 21600.0 AS offs FROM scored WHERE event_type = 'signup'), m AS (SELECT s.event_id, s.user_id, min(f.fire) AS first_fire, min(offs) AS offs FROM s LEFT JOIN fires f ON f.user_id = s.user_id AND f.fire BETWEEN s.onset AND s.offs + 1500.0 GROUP BY s.event_id, s.user_id) SELECT user_id, count(*) AS n, count(first_fire) AS n_detected, round(median(round(first_fire - offs, 6)), 6) AS median_latency FROM m GROUP BY user_id")
+def session_latency(spark, sf_dir):
+    s = scored(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", F.col("t").alias("onset"), (F.col("t") + 21_600.0).alias("offs"))
+    return evaluation.session_latency(sequence.spans_matched(s, fires(spark, sf_dir), "user_id", "onset", "offs", "fire", 1500.0), "user_id")
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS best FROM embeddings")
+def argmax_class(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", evaluation.best_class(F.col("embedding")).alias("best"))
+
+
+@query("SELECT p_partkey, CAST(take AS INTEGER) AS take FROM (SELECT p_partkey, unnest(generate_series(0, CAST(p_size % 4 AS INTEGER) - 1)) AS take FROM part)")
+def plan_grid(spark, sf_dir):
+    return splits.plan_grid(table(spark, sf_dir, "part"), F.col("p_size") % 4).select("p_partkey", "take")
+
+
+@query("SELECT lang AS class, doc_id AS key, 'document' AS origin FROM documents UNION ALL SELECT event_type, event_id, 'event' FROM events UNION ALL SELECT CAST(NULL AS VARCHAR), vec_id, 'vector' FROM embeddings")
+def union_of_generators(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("class"), F.col("doc_id").alias("key"), F.lit("document").alias("origin"))
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("class"), F.col("event_id").alias("key"), F.lit("event").alias("origin"))
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), F.lit("vector").alias("origin"))
+    return splits.union([d, e, v])
+
+
+@query("WITH p AS (SELECT event_type, count(*) AS n, avg(value) AS mean, max(value) AS high FROM events GROUP BY event_type), s AS (SELECT event_type, round(n * 0.01 + mean * 2.0 + high * 0.1, 6) AS total FROM p) SELECT event_type, total, CAST(rank() OVER (ORDER BY total DESC) AS BIGINT) AS rank FROM s")
+def weighted_ranking(spark, sf_dir):
+    p = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("high"))
+    return report.weighted_rank(p, "event_type", {"n": 0.01, "mean": 2.0, "high": 0.1})
+
+
+@query("SELECT 'purchase' AS event_type FROM events WHERE event_type = 'purchase' GROUP BY ALL HAVING count(DISTINCT event_type) = 1")
+def single_heldout(spark, sf_dir):
+    return report.single_value(table(spark, sf_dir, "events").where("event_type = 'purchase'"), "event_type")
+
+
+@query("WITH w AS (SELECT event_type, (CAST(floor(epoch_us(ts) / 7200000000) AS BIGINT) - k) * 7200 AS start FROM events, (SELECT unnest([0, 1, 2]) AS k)) SELECT event_type, start, count(*) AS n FROM w GROUP BY event_type, start")
+def sliding_window_counts(spark, sf_dir):
+    w = report.sliding_counts(table(spark, sf_dir, "events").select("event_type", "ts"), "event_type", "ts", "6 hours", "2 hours")
+    return w.select("event_type", F.floor(epoch_micros("start") / 1_000_000).cast("long").alias("start"), "n")
+
+
+@query("SELECT doc_id, len(string_split(a, '+')) AS n_steps, list_contains(string_split(a, '+'), 'noise') AS noisy FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'mic_band+gain' ELSE 'mic_band+gain+noise' END AS a FROM documents)")
+def augmentation_steps(spark, sf_dir):
+    a = F.when(F.col("doc_id") % 3 == 0, "none").when(F.col("doc_id") % 3 == 1, "mic_band+gain").otherwise("mic_band+gain+noise")
+    steps = F.split(a, r"\+")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(steps).cast("long").alias("n_steps"), F.array_contains(steps, "noise").alias("noisy"))
