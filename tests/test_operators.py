@@ -196,3 +196,29 @@ def test_framer_in_chunks_equals_batch(spark, tmp_path):
     got = stateful.replay(stateful.framer(stream, "s", "o", "x", 8, 4), spark, str(tmp_path / "c"), "frames_out").orderBy("frame").collect()
     whole = spark.createDataFrame([(x.tolist(),)], "x array<double>").select(signal.frames(F.col("x"), 8, 4)).first()[0]
     assert [r["samples"] for r in got] == whole
+
+
+def test_corrupted_clips_fail_and_silence_does_not(spark):
+    from tidewater.operators import clip_qc
+
+    rng = np.random.default_rng(7)
+    good = np.round(rng.normal(size=16000) * np.repeat([200, 3000], 8000)) / 32768
+    gap = good.copy()
+    gap[9000:10600] = 0
+    even = np.round(good * 16384) / 16384
+    cases = {"good": good, "clipping": np.clip(good * 40, -1, 32767 / 32768), "raw_offset": good + 0.03, "zero_run": gap, "all_even": even, "silence": np.zeros(16000), "empty": good[:0]}
+    rows = [(k, v.tolist(), 16000) for k, v in cases.items()] + [("rate", good.tolist(), 8000), ("undecoded", None, None)]
+    df = clip_qc.measured(spark.createDataFrame(rows, "k string, samples array<double>, rate int"))
+    got = {r["k"]: (r["status"], r["fails"]) for r in clip_qc.clip_rules(df).collect()}
+    assert got["good"] == ("ok", []) and got["silence"][1] == []
+    for k in set(got) - {"good", "silence"}:
+        assert got[k][0] == "fail" and k in got[k][1]
+
+
+def test_take_verdicts(spark):
+    from tidewater.operators import clip_qc
+
+    rows = [("keyword", 500.0, 20.0, -20.0, False, True, 0.0, 0.0, 0.0, "usable"), ("keyword", 100.0, 3.0, -20.0, True, True, 0.0, 0.0, 0.0, "no_speech"), ("keyword", 100.0, 9.0, -20.0, True, True, 0.0, 0.0, 0.0, "cut_off"), ("speech", 100.0, 9.0, -20.0, False, False, 0.0, 0.0, 0.0, "barely_any"), ("ambient", 0.0, 0.0, 0.0, False, False, 2.0, 0.0, 0.0, "speech_detected"), ("ambient", 0.0, 0.0, 0.0, False, False, 1.0, 1.0, float("nan"), "usable")]
+    df = spark.createDataFrame(rows, "c string, s double, n double, p double, t boolean, f boolean, d double, q double, m double, want string")
+    got = df.select("want", clip_qc.take_verdict(*(F.col(x) for x in "csnptfdqm"), level=-30.0).alias("got")).collect()
+    assert all(r["want"] == r["got"] for r in got)
