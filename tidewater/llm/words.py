@@ -59,26 +59,26 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tupl
     return mix((prefix[e] - prefix[b]) * down[b]), b
 
 
-def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR, at_once: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, word hashes, where each text's words begin, and the last's end) for runs of texts of a string column without nulls."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(column):
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + SLICE, side="right")) - 1)
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + at_once, side="right")) - 1)
         begin, end = int(offsets[i]), int(offsets[j])
-        if end - begin <= 2 * SLICE:
+        if end - begin <= 2 * at_once:
             own = offsets[i : j + 1] - begin
             h, at = _hashed(data[begin:end], own[:-1][own[:-1] < end - begin], separator)
             yield i, j, h, np.searchsorted(at, own)
         else:
             parts = []
             while begin < end:
-                stop = min(begin + SLICE, end)
+                stop = min(begin + at_once, end)
                 while stop < end and not separator[data[stop]]:
-                    more = np.flatnonzero(separator[data[stop : stop + SLICE]])
-                    stop = stop + int(more[0]) if len(more) else min(stop + SLICE, end)
+                    more = np.flatnonzero(separator[data[stop : stop + at_once]])
+                    stop = stop + int(more[0]) if len(more) else min(stop + at_once, end)
                 parts.append(_hashed(data[begin:stop], np.zeros(1, np.int64), separator)[0])
                 begin = stop
             h = np.concatenate(parts)
