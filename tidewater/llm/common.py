@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.shipping import ship
+from tidewater.functions.tables import shared_path, written
+
+__all__ = ["documents", "for_workers", "labels", "partitions", "shared_path", "two_columns", "written"]
 
 #: Bytes an Arrow batch holds at most, so that very long texts don't fill a worker.
 BATCH_BYTES = 16 << 20
@@ -34,27 +34,5 @@ def for_workers(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_path(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that all executors share (spark.checkpoint.dir); one of our own only where unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/tidewater/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read from there: its lineage ends here."""
-    spark = df.sparkSession
-    path = shared_path(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -16,11 +16,12 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, each: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], list[int], dict[int, int]]:
     """Texts and labels of at most ``each`` rows of either class, least hash of the identifier first, and how many rows each class has. Null labels and the held-out fold take no part."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id")))
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.where("_y = 0").orderBy(*order).limit(each).unionByName(known.where("_y = 1").orderBy(*order).limit(each))
-    rows = docs.select(F.col(id_col).alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_doc", "_text", "_y").collect()  # 2 * each rows
+    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
+    rows = rows.groupBy("_doc", "_y").agg(F.min("_text").alias("_text")).collect()  # 2 * each rows, however often an identifier is repeated
     rows.sort(key=lambda r: (hash_order(r["_doc"]), r["_doc"], r["_text"]))
     return [r["_text"] for r in rows], [r["_y"] for r in rows], counts
 
