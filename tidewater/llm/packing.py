@@ -236,4 +236,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    return pieces.join(before, ["part", "length"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # Sorted and merged: a broadcast of it would grow with the parts.
+    return pieces.join(before.hint("merge"), ["part", "length"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
