@@ -216,6 +216,26 @@ def test_edited_likeness(spark):
     assert fingerprints.edited_likeness(frame(spark, [])).count() == 0
 
 
+def test_likeness_over_all_lengths():
+    """Bins hold the least of all spans whatever the length, so that texts of any two lengths compare."""
+    r = random.Random(8)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    spans = lambda t: {t[k : k + fingerprints.SPAN] for k in range(len(t) - fingerprints.SPAN + 1)}
+    t, long = text(2040), text(3000)
+    pairs = [(t, t + text(24)), (long, long[:1500] + text(300)), (long, long[:2040]), (text(30000) + t, t), (t, text(2100)), (long * 9, long), ("ab" * 4000, "ab" * 40)]
+    for a, b in pairs:
+        bins, *_ = fingerprints.sketches([a, b])
+        want = len(spans(a) & spans(b)) / len(spans(a) | spans(b))
+        assert abs(fingerprints.likeness(bins[:1], bins[1:])[0] - want) < 0.17
+        for one, alone in zip(bins, (a, b)):  # by brute force: every span in its bin
+            h = prefix_hash.PrefixHash(prefix_hash.code_points([alone])[0])
+            at = np.arange(len(alone) - fingerprints.SPAN + 1)
+            values = fingerprints._mixed(h.spans(at, at + fingerprints.SPAN) * fingerprints._MIX)
+            for k in range(fingerprints.BINS):
+                mine = values[(values & np.uint64(63)) == k]
+                assert one[k] == (int(fingerprints._mixed(mine.min(keepdims=True) >> np.uint64(6))[0]) % fingerprints.EMPTY if len(mine) else fingerprints.EMPTY)
+
+
 def shingles(text, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(ASCII_LOWER))
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()

@@ -1,10 +1,10 @@
 """Document fingerprints from prefix polynomial hashes.
 
 A fingerprint is the hash of the whole text (62 bits) and ``BINS`` bins of a one-permutation
-min-hash: every span of ``SPAN`` code points gets its hash from the prefix arrays, one in
-``THIN`` by value takes part (all, in texts of less than ``SHORT`` code points), and each bin
-keeps the least. The likeness of two fingerprints is the share of equal bins among those that
-either fills, so 1 for equal texts and about the resemblance of their spans else.
+min-hash: every span of ``SPAN`` code points gets its hash from the prefix arrays and takes part,
+whatever the length of its text, and each bin keeps the least. The likeness of two fingerprints is
+the share of equal bins among those that either fills, so 1 for equal texts and about the
+resemblance of their spans else.
 
 ``edited`` pairs each document with the next in falling order of doc_id: it replaces the last half of
 the text by the first of the next one's (which after the last document is the first).
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import partitions, two_columns, written
 from .prefix_hash import PrefixHash, code_points
 
-SPAN, BINS, THIN, SHORT = 16, 64, 8, 2048
+SPAN, BINS = 16, 64
+#: So many spans of a text are looked at first, the least by hash: where they fill all bins, no other span can be a bin's least.
+FIRST = 1024
 #: Code points that are hashed at once (a longer text goes alone).
 AT_ONCE = 1 << 19
 EMPTY = 0xFFFF
@@ -37,6 +39,7 @@ RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, e
 ROW, HEAD, TAIL = 0, 1, 2
 _PASSED = RESULT + ", part int, role int, text string"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_NONE = np.iinfo(np.uint64).max
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -55,13 +58,24 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, PrefixHash, np.n
     owner = np.repeat(np.arange(len(texts)), spans)
     l = np.arange(len(owner)) + np.repeat(begin[:-1] - (np.cumsum(spans) - spans), spans)
     h = _mixed(ph.spans(l, np.minimum(l + SPAN, begin[1:][owner])) * _MIX)
-    taken = ((h & np.uint64(THIN - 1)) == 0) | (lengths < SHORT)[owner]
-    h, owner = h[taken] >> np.uint64(3), owner[taken]
-    slot = owner * BINS + (h & np.uint64(BINS - 1)).astype(np.int64)
-    least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, slot, h >> np.uint64(6))
-    bins = np.where(least == np.iinfo(np.uint64).max, EMPTY, _mixed(least) % np.uint64(EMPTY)).astype(np.uint16)
-    return bins.reshape(len(texts), BINS), whole, ph, begin
+    least = _least(h, owner, spans)
+    bins = np.where(least == _NONE, EMPTY, _mixed(least) % np.uint64(EMPTY)).astype(np.uint16)
+    return bins, whole, ph, begin
+
+
+def _least(h: np.ndarray, owner: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """Texts x BINS: the least hash of all spans in each bin. Spans under a bound by their number go first; a text with a bin that these don't fill takes all of its spans."""
+    least = np.full(len(spans) * BINS, _NONE, np.uint64)
+
+    def take(at: np.ndarray) -> None:
+        np.minimum.at(least, owner[at] * BINS + (h[at] & np.uint64(BINS - 1)).astype(np.int64), h[at] >> np.uint64(6))
+
+    bound = np.minimum(FIRST / np.maximum(spans, 1), 1.0) * 2.0**58
+    low = (h >> np.uint64(6)) <= bound.astype(np.uint64)[owner]
+    take(np.flatnonzero(low))
+    unfilled = (least.reshape(-1, BINS) == _NONE).any(axis=1) & (spans > FIRST)
+    take(np.flatnonzero(~low & unfilled[owner]))
+    return least.reshape(-1, BINS)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
