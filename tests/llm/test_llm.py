@@ -182,6 +182,46 @@ def test_one_group_over_all_partitions(spark):
     assert [tuple(r) for r in exact_dedup.dedup(frame(spark, rows)).collect()] == [rows[0]]
 
 
+@pytest.mark.parametrize("keep", ["smallest", "largest"])
+def test_exact_dedup_of_repeated_rows(spark, keep):
+    r = random.Random(9)
+    rows = [(r.choice([*range(60), None]), r.choice(["a", "A", "b", "é", None, "x" * 500, *(f"own {k}" for k in range(90))]), r.randrange(3)) for _ in range(500)]
+    rows += [(70, "repeated", 1), (70, "repeated", 2), (71, "REPEATED", 3), (72, "one", 4), (72, "only here", 5), (0, "one", 6), (None, "no id", 7), (None, "no id", 8)] + [(99, "many", 0)] * 50
+    rows += [(73, "as it is", 9)]
+    got = [tuple(x) for x in exact_dedup.dedup(frame(spark, rows), keep).collect()]
+    groups = {}
+    for i, t, n in rows:
+        groups.setdefault((t or "").translate(ASCII_LOWER), []).append((i, t, n))
+    assert len(got) == len(groups) and set(got) <= set(rows)
+    for i, t, _ in got:
+        there = [x for x, _, _ in groups.pop((t or "").translate(ASCII_LOWER)) if x is not None]
+        assert i == ((max if keep == "largest" else min)(there) if there else None)
+    assert not groups
+    assert exact_dedup.dedup(frame(spark, [])).count() == 0
+
+
+def test_near_dedup_of_repeated_rows(spark):
+    r = random.Random(10)
+    text = lambda n=40: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    near = lambda t: t + " changed"
+    a, b, c, d, e = (text() for _ in range(5))
+    # Repeated rows; one identifier on a near copy and a text of its own; and on near copies of each other; two components of one smallest identifier.
+    rows = [(1, a, 1), (1, a, 1), (1, a, 2), (2, near(a), 3), (2, b, 4), (3, c, 5), (3, near(c), 6), (4, d, 7), (4, e, 8), (5, near(d), 9), (5, near(e), 10)]
+    rows += [(6, "", 11), (6, None, 12), (6, "", 11), (None, a, 13), (None, a, 13)]
+    got = [tuple(x) for x in jaccard_join.dedup(frame(spark, rows)).collect()]
+    one = [x for x in got if x[0] == 3]
+    assert len(one) == 1 and one[0] in rows
+    want = [(1, a, 1), (2, b, 4), (4, d, 7), (4, e, 8)] + rows[-5:]
+    assert sorted(map(str, got)) == sorted(map(str, want + one))
+    assert jaccard_join.dedup(frame(spark, [])).count() == 0
+
+
+def test_dedup_passes_on_all_columns(spark):
+    docs = frame(spark, [(1, "a b", 1), (1, "a b", 2), (2, "c d", 3)]).selectExpr("doc_id", "text", "map('k', n) as row", "n as _id")
+    for dedup in (exact_dedup.dedup, jaccard_join.dedup):
+        assert sorted((x["doc_id"], x["row"]["k"], x["_id"]) for x in dedup(docs).collect()) == [(1, 1, 1), (2, 3, 3)]
+
+
 def test_prefix_hashes():
     r = random.Random(2)
     t = "".join(r.choice("ab é😀") for _ in range(900))

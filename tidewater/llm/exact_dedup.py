@@ -10,8 +10,9 @@ two small records a partition for that.
 
 Defined cases: a null text is empty, and empty texts are equal; of a group the row of the
 smallest (or largest) identifier stays, of rows that repeat it just one; a null identifier stays
-only where its group has no other; an empty table gives an empty one; columns other than the two
-named are passed on by ``dedup`` alone, whatever their names.
+only where its group has no other; one identifier on several texts is a row in each group; an
+empty table gives an empty one; columns other than the two named are passed on by ``dedup`` alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,20 +25,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, two_columns, written
+from .common import kept_rows, partitions, two_columns, written
 
 #: Characters of the normalised text that lead the sort key.
 HEAD = 64
 SCHEMA = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 _SORTED = "doc_id long, head string, sha binary, norm string"
 _GROUPED = "doc_id long, first boolean, part int, edge int, keep_id long, group_size long, n_bytes long, text_sha256 string"
+_KEY = ", row binary"
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         norm = pc.ascii_lower(batch.column("text"))
         sha = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in norm.cast(pa.binary())], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.utf8_slice_codeunits(norm, 0, HEAD), sha, norm], ["doc_id", "head", "sha", "norm"])
+        keys = batch.schema.names[2:]  # the row's key, where it is asked for
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.utf8_slice_codeunits(norm, 0, HEAD), sha, norm, *map(batch.column, keys)], ["doc_id", "head", "sha", "norm", *keys])
 
 
 def _best(ids: list[int | None], largest: bool) -> int | None:
@@ -45,13 +48,13 @@ def _best(ids: list[int | None], largest: bool) -> int | None:
     return (max if largest else min)(there) if there else None
 
 
-def _grouping(largest: bool):
-    names = [x.split()[0] for x in _GROUPED.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+def _grouping(largest: bool, keyed: bool):
+    names = [x.split()[0] for x in (_GROUPED + _KEY * keyed).split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * keyed]
 
-    def rows(ids: list, part: int, edge: int, n_bytes: int, sha: bytes) -> list[tuple]:
+    def rows(ids: list, keys: list, part: int, edge: int, n_bytes: int, sha: bytes) -> list[tuple]:
         keep, n, text = _best(ids, largest), len(ids), sha.hex()
-        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text) for k, i in enumerate(ids)]
+        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text, *keys[k : k + 1]) for k, i in enumerate(ids)]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -59,24 +62,26 @@ def _grouping(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ids, last, sha, n_bytes, groups = TaskContext.get().partitionId(), [], None, b"", 0, 0
+        part, ids, keys, last, sha, n_bytes, groups = TaskContext.get().partitionId(), [], [], None, b"", 0, 0
         for batch in batches:
             norm, n = batch.column("norm"), len(batch)
             if not n:
                 continue
             same = [last is not None and norm[0].as_py() == last, *pc.equal(norm.slice(1), norm.slice(0, n - 1)).to_pylist()]
             shas, sizes, out = batch.column("sha"), pc.binary_length(norm), []
+            row = batch.column("row").to_pylist() if keyed else []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 if not same[k]:
                     if ids:
-                        out += rows(ids, part, int(groups == 1), n_bytes, sha)
-                    ids, sha, n_bytes, groups = [], shas[k].as_py(), sizes[k].as_py(), groups + 1
+                        out += rows(ids, keys, part, int(groups == 1), n_bytes, sha)
+                    ids, keys, sha, n_bytes, groups = [], [], shas[k].as_py(), sizes[k].as_py(), groups + 1
                 ids.append(doc_id)
+                keys += row[k : k + 1]
             last = norm[n - 1].as_py()
             if out:
                 yield batch_of(out)
         if ids:
-            yield batch_of(rows(ids, part, 2 + (groups == 1), n_bytes, sha))
+            yield batch_of(rows(ids, keys, part, 2 + (groups == 1), n_bytes, sha))
 
     return run
 
@@ -98,23 +103,25 @@ def _across(edges: list, largest: bool) -> list[tuple]:
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    return _groups(docs, keep, id_col, text_col, keyed=False)
+
+
+def _groups(docs: DataFrame, keep: str, id_col: str, text_col: str, keyed: bool) -> DataFrame:
+    """The rows of ``exact_groups``; ``keyed`` adds each row's key (``row``)."""
     largest = {"smallest": False, "largest": True}[keep]
-    rows = two_columns(docs, id_col, text_col).mapInArrow(_normalised, _SORTED)
-    rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
-    groups = written(rows.mapInArrow(_grouping(largest), _GROUPED), "groups")
+    key = ["row"] * keyed
+    rows = two_columns(docs, id_col, text_col, keyed).mapInArrow(_normalised, _SORTED + _KEY * keyed)
+    rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id", *key)
+    groups = written(rows.mapInArrow(_grouping(largest, keyed), _GROUPED + _KEY * keyed), "groups")
     edges = groups.where("edge > 0").groupBy("part", "edge").agg(*(F.first(c).alias(c) for c in ("keep_id", "group_size", "n_bytes", "text_sha256"))).collect()  # two rows a partition at most
     spark = docs.sparkSession
     joined = spark.createDataFrame(_across(edges, largest), "part int, edge int, k long, n long, owner boolean")
     out = groups.join(F.broadcast(joined), ["part", "edge"], "left")
     keep_id = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(F.col("keep_id"))
     kept = F.col("first") & F.when(keep_id.isNull(), F.coalesce(F.col("owner"), F.lit(True))).otherwise(F.coalesce(F.col("doc_id") == keep_id, F.lit(False)))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", "group_size").alias("group_size"), kept.alias("kept"), "text_sha256")
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", "group_size").alias("group_size"), kept.alias("kept"), "text_sha256", *key)
 
 
 def dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that duplicate another's text: all columns, one row for each kept identifier.
-
-    Identifiers have to be unique here; rows of a null identifier stay.
-    """
-    lost = exact_groups(docs, keep, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """``docs`` without the rows that ``exact_groups`` doesn't keep: all columns, one row of each group."""
+    return kept_rows(docs, _groups(docs, keep, id_col, text_col, keyed=True).where("group_size > 1"), id_col, text_col)

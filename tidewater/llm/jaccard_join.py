@@ -22,8 +22,8 @@ need no test. Every test is exact on whole sets.
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle has its whole sequence as one; repeated rows link,
 each row being a document of its own; a null identifier links with nothing and gets a null
-component; an empty table gives an empty one; columns other than the two named are
-passed on by ``dedup`` alone, whatever their names.
+component; one identifier on several texts is a document for each; an empty table gives an empty
+one; columns other than the two named are passed on by ``dedup`` alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import two_columns, written
+from .common import kept_rows, two_columns, written
 from .words import mix, shingle_sets
 
 #: Largest H for which one-deletion neighbourhoods are indexed.
@@ -130,7 +130,7 @@ def _shingled(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
+            ids, keys = batch.column("doc_id"), batch.schema.names[2:]  # the row's key, where it is asked for
             for first, sets, begin in shingle_sets(batch.column("text"), words):
                 owner, sig = signatures(sets, begin, percent)
                 order = np.lexsort((sig, owner))
@@ -142,7 +142,7 @@ def _shingled(words: int, percent: int):
                 n = len(begin) - 1
                 odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WORDS), pa.array(parities(sets, begin).ravel()))
                 listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sig))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), pa.array(_nodes(sets, begin)), odd, listed], ["doc_id", "n_shingles", "node", "odd", "signatures"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), pa.array(_nodes(sets, begin)), odd, listed, *(batch.column(c).slice(first, n) for c in keys)], ["doc_id", "n_shingles", "node", "odd", "signatures", *keys])
 
     return run
 
@@ -239,8 +239,18 @@ def _crossing(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest doc_id reachable over pairs of sets with a Jaccard similarity of at least ``percent`` hundredths."""
+    marked, least = _linked(docs, words, percent, id_col, text_col, keyed=False)
+    smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = least.join(smallest, "component").select("node", "component_id")
+    out = marked.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keyed: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, n_shingles, node (and ``row``, its key, if ``keyed``) of each row; node, first (its smallest doc_id) and component of each node."""
     rows = two_columns(docs, id_col, text_col)
-    marked = written(rows.mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, node long, odd array<long>, signatures array<long>"), "signatures")
+    marked = two_columns(docs, id_col, text_col, keyed).mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, node long, odd array<long>, signatures array<long>" + ", row binary" * keyed)
+    marked = written(marked, "signatures")
     filled = marked.where("n_shingles > 0 and doc_id is not null")
 
     members = filled.select("node", F.explode("signatures").alias("sig"))
@@ -273,13 +283,12 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = components(_verified(written(_crossing(placed, sketches, percent), "crossing"), sets, percent), labels)
 
     least = filled.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = least.join(smallest, "component").select("node", "component_id")
-    out = marked.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
+    return marked, least
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest identifier: all columns. Identifiers have to be unique here; rows of a null identifier stay."""
-    lost = link_components(docs, words, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, docs[id_col] == lost["_lost"], "left_anti")
+    """``docs`` with one row of each component, that of the smallest identifier (ties by the text's hash): all columns. Rows of a null identifier or an empty set stay."""
+    marked, least = _linked(docs, words, percent, id_col, text_col, keyed=True)
+    placed = marked.where("n_shingles > 0 and doc_id is not null").select("doc_id", "row", "node").join(least.select("node", "component"), "node")
+    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    return kept_rows(docs, placed.join(best, "component").select("doc_id", "row", (F.struct("doc_id", "row") == F.col("best")).alias("kept")), id_col, text_col)
