@@ -100,6 +100,26 @@ def test_grammar_round_trip_and_random_access():
     assert len(g["rules"]) and len(g["sequence"]) < n
 
 
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(5)
+    run, copied, mixed = np.full(5000, 3, "u4"), np.tile(r.integers(0, 500, 300).astype("u4"), 40), r.integers(0, 4, 6000).astype("u4")
+    for docs in ([run], [run[:1], run[:2], run[:999], run], [copied], [run, copied, mixed, run[:77]]):
+        ids, ends = np.concatenate(docs), np.cumsum([len(d) for d in docs])
+        g = repair.compress(ids, ends)
+        made = repair.Grammar(g["alphabet"], g["rules"], g["expansion"])
+        for a, b, d in zip(np.append(0, g["ends"][:-1]), g["ends"], docs):
+            assert (made.expand(g["sequence"][a:b]) == d).all()
+        left: dict[tuple[int, int], int] = {}
+        for a, b in zip(np.append(0, g["ends"][:-1]).tolist(), g["ends"].tolist()):
+            last: dict[tuple[int, int], int] = {}
+            for k in range(a, b - 1):
+                pair = (int(g["sequence"][k]), int(g["sequence"][k + 1]))
+                if last.get(pair) != k - 1 or pair[0] != pair[1]:  # places that don't overlap
+                    left[pair] = left.get(pair, 0) + 1
+                    last[pair] = k
+        assert max(left.values(), default=0) < repair.LEAST
+
+
 def test_id_files(spark, library, tmp_path):
     rows = [c for c in CASES if c[0] is not None]
     to = f"file://{tmp_path}/ids"

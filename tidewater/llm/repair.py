@@ -3,7 +3,8 @@
 Ids are cut into shards of whole documents. In each, frequent adjacent pairs are replaced by
 nonterminals again and again; pairs never cross a document's end. A round replaces many pairs at
 once: none of them has as its left symbol what another has as its right, so no two occurrences
-overlap. A shard is one row of a Parquet file in the shared folder:
+overlap; of a pair of equal symbols every other place in a run takes part. Rounds go on until no
+pair has ``LEAST`` places. A shard is one row of a Parquet file in the shared folder:
 
     part, shard            place of the shard: ascending range of doc_id, then number in it
     start, n_ids           ids in the same part before this shard, and in it
@@ -22,8 +23,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Rounds of replacement, pairs replaced in a round, and the least count of a replaced pair.
-ROUNDS, PAIRS_A_ROUND, LEAST = 4, 4096, 16
+#: Pairs replaced in a round, and the least count of a replaced pair.
+PAIRS_A_ROUND, LEAST = 4096, 16
 _HASH_BITS = 18
 
 
@@ -35,15 +36,17 @@ def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndar
     few = min(4 * PAIRS_A_ROUND, rough.size - 1)
     least = max(LEAST, int(np.partition(rough, rough.size - few)[rough.size - few]))
     pairs, counts = np.unique(key[open_ & (rough[slot] >= least)], return_counts=True)
+    if least > LEAST and counts.max(initial=0) < LEAST:  # the fullest slots held rare pairs alone
+        pairs, counts = np.unique(key[open_ & (rough[slot] >= LEAST)], return_counts=True)
     order = np.lexsort((pairs, -counts))
     pairs, counts = pairs[order], counts[order]
     pairs = pairs[counts >= LEAST][: 2 * PAIRS_A_ROUND]
     left, right = (pairs // np.uint64(symbols)).astype(np.int64), (pairs % np.uint64(symbols)).astype(np.int64)
-    side = bytearray(symbols)  # 1: only as left symbol, 2: only as right
+    side = bytearray(symbols)  # 1: only as left symbol, 2: only as right, 3: only in a pair of its own
     chosen = []
     for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        if a != b and side[a] != 2 and side[b] != 1:
-            side[a], side[b] = 1, 2
+        if (not side[a]) if a == b else (side[a] < 2 and side[b] in (0, 2)):
+            side[a], side[b] = (3, 3) if a == b else (1, 2)
             chosen.append(i)
             if len(chosen) == PAIRS_A_ROUND:
                 break
@@ -63,12 +66,14 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     expansion = np.ones(len(alphabet), np.int64)
     rules = np.empty((0, 2), np.int64)
     ends = ends.astype(np.int64)
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         symbols = len(expansion)
         open_ = np.ones(len(seq), bool)
         open_[ends[ends > 0] - 1] = False
+        equal = np.flatnonzero(open_[:-1] & (seq[:-1] == seq[1:]))
+        fresh = np.append(True, np.diff(equal) != 1)[: len(equal)]
+        rank = np.arange(len(equal)) - np.maximum.accumulate(np.where(fresh, np.arange(len(equal)), 0))
+        open_[equal[rank % 2 == 1]] = False  # these overlap the place before
         left, right, key = _frequent(seq, open_[:-1], symbols)
         if not len(left):
             break
