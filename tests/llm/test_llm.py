@@ -1,6 +1,7 @@
 """The corpus operators against the libraries, brute force and planted cases; and their defined cases."""
 
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -160,6 +161,20 @@ def test_local_search_empties_bins():
     assert sum(packing.plan(counts, 2048).values()) < sum(packing.best_fit(counts, 2048).values())
 
 
+def test_local_search_leaves_no_exchange():
+    counts = dict.fromkeys(range(300, 720, 3), 3)
+    bins = packing.plan(counts, 2048)
+    assert sum(bins.values()) < sum(packing.best_fit(counts, 2048).values())
+    under = sorted((sum(p), p) for p in bins if sum(p) < 2048)
+    some = lambda p, k: {sum(x): x for x in itertools.combinations(p, k)}
+    if sum(bins.values()) > -(-sum(k * v for k, v in counts.items()) // 2048):
+        for i, (_, low) in enumerate(under):
+            for fill, high in under[i:]:
+                if low != high or bins[low] > 1:
+                    for get, give in ((1, 0), (1, 1), (2, 0), (2, 1), (1, 2)):
+                        assert not any(0 < x - y <= 2048 - fill for x in some(low, get) for y in some(high, give))
+
+
 def test_packing(spark, library):
     got = packing.pack(frame(spark)).toPandas()
     for (i, t), n in {(c[0], c[1]): sum(d[:2] == c[:2] for d in CASES) for c in CASES}.items():

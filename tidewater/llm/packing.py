@@ -4,8 +4,8 @@ Only the number of pieces of each length (at most ``capacity`` of them) goes to
 of equal content are one pattern with a multiplicity, so the plan's size follows the capacity
 and not the corpus. Best fit in falling order of length gives the first plan. The search then
 moves documents and exchanges one for one, two for one or one for two between underfull bins
-where that raises the sum of squared fills, until bins empty, the bound ceil(ids / capacity) is
-reached, or ``EVALUATIONS`` pairs of patterns have been tried (that bounds time, never rows).
+where that raises the sum of squared fills, until the bound ceil(ids / capacity) is reached or no
+pair of underfull bins has such an exchange left.
 Pieces find their places in parallel: each knows its rank among the pieces of its length.
 
 Defined cases: a null text is empty, and an empty text is one piece holding just the end id;
@@ -20,6 +20,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,7 @@ from . import bytebpe
 from .common import two_columns, written
 from .library_ids import library_ids
 
-#: Pairs of patterns that the local search tries at most.
-EVALUATIONS = 40_000
-#: Partners that are tried for one underfull pattern before the next one's turn.
+#: Partners that are compared at once for one underfull pattern; further ones follow where none of these gains.
 PARTNERS = 64
 
 Pattern = tuple[int, ...]
@@ -80,29 +79,30 @@ def best_fit(counts: dict[int, int], capacity: int) -> Counter[Pattern]:
     return done
 
 
+@lru_cache(1 << 14)
+def _sums(pattern: Pattern) -> tuple[dict[int, Pattern], dict[int, Pattern], int, int]:
+    """Sums of one document and of two with the documents behind them; and as bits, those of none or one and those of two."""
+    own = sorted(set(pattern))
+    one = {x: (x,) for x in own}
+    two = {x + z: (x, z) for i, x in enumerate(own) for z in own[i:] if x != z or pattern.count(x) > 1}
+    return one, two, sum(1 << x for x in one) | 1, sum(1 << x for x in two)
+
+
 def _exchange(low: Pattern, high: Pattern, room: int) -> tuple[int, Pattern, Pattern]:
     """The best gain of ``high`` within ``room``: (gain, documents it gets, documents it gives)."""
     best: tuple[int, Pattern, Pattern] = (0, (), ())
-    ours, theirs = sorted(set(low)), sorted(set(high))
-
-    def offer(gain: int, get: Pattern, give: Pattern) -> None:
-        nonlocal best
-        if best[0] < gain <= room:
-            best = (gain, get, give)
-
-    gives = [(0, ()), *((y, (y,)) for y in theirs)]
-    for x in ours:
-        for y, give in gives:  # move, one for one
-            offer(x - y, (x,), give)
-    if best[0] < room:
-        pairs = [(x + z, (x, z)) for i, x in enumerate(ours[:24]) for z in ours[i:24] if x != z or low.count(x) > 1]
-        for s, get in pairs:  # two for none, two for one
-            for y, give in gives:
-                offer(s - y, get, give)
-        pairs = [(x + z, (x, z)) for i, x in enumerate(theirs[:24]) for z in theirs[i:24] if x != z or high.count(x) > 1]
-        for x in ours:  # one for two
-            for s, give in pairs:
-                offer(x - s, (x,), give)
+    one, two, _, _ = _sums(low)
+    theirs, their_twos, few, pairs = _sums(high)
+    # Move and one for one; two for none and two for one; one for two: for each sum the least to give that leaves room.
+    for gets, gives, behind in ((one, few, theirs), (two, few, theirs), (one, pairs, their_twos)):
+        for s, get in gets.items():
+            over = max(0, s - room)
+            fits = gives >> over
+            give = over + (fits & -fits).bit_length() - 1
+            if fits and s - give > best[0]:
+                best = (s - give, get, behind[give] if give else ())
+        if best[0] == room:
+            break
     return best
 
 
@@ -113,14 +113,15 @@ def _changed(pattern: Pattern, minus: Pattern, plus: Pattern) -> Pattern:
     return tuple(sorted(out + list(plus), reverse=True))
 
 
-def improve(bins: Counter[Pattern], capacity: int, evaluations: int = EVALUATIONS) -> Counter[Pattern]:
+def improve(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
     """The local search; the multiset of lengths stays as it is."""
     bins = Counter(bins)
     total = sum(sum(p) * n for p, n in bins.items())
     least = -(-total // capacity)
     number = sum(bins.values())
     under = sorted((sum(p), p) for p in bins if sum(p) < capacity)  # the emptiest first
-    stuck: set[Pattern] = set()
+    made: list[Pattern] = []  # underfull patterns in the order in which bins came to them
+    stuck: dict[Pattern, int] = {}  # patterns without a gaining partner, and how many had been made by then
 
     def change(pattern: Pattern, by: int) -> None:
         nonlocal number
@@ -132,31 +133,36 @@ def improve(bins: Counter[Pattern], capacity: int, evaluations: int = EVALUATION
         if not bins[pattern]:
             del bins[pattern]
         if sum(pattern) < capacity:
+            if by > 0:
+                made.append(pattern)
             if not before:
                 insort(under, (sum(pattern), pattern))
             elif pattern not in bins:
                 under.pop(bisect_left(under, (sum(pattern), pattern)))
 
-    while number > least and evaluations > 0:
-        low = next((p for _, p in under if p not in stuck), None)
+    while number > least:
+        low = next((p for _, p in under if stuck.get(p, -1) < len(made)), None)
         if low is None:
             break
-        fill = sum(low)
+        own = (sum(low), low)
+        if low in stuck:  # only those made since then
+            partners = sorted(x for p in set(made[stuck[low] :]) if p in bins and (x := (sum(p), p)) >= own)
+        else:
+            partners = under[bisect_left(under, own) :]
         choice = None
-        start = bisect_left(under, (fill, low))
-        for k in range(start, min(len(under), start + PARTNERS)):
-            high = under[k][1]
+        for k, (fill, high) in enumerate(partners):
+            if choice is not None and k % PARTNERS == 0:
+                break
             if high == low and bins[low] < 2:
                 continue
-            evaluations -= 1
-            room = capacity - under[k][0]
+            room = capacity - fill
             gain, get, give = _exchange(low, high, room)
             if gain and (choice is None or room - gain < choice[0]):
                 choice = (room - gain, high, get, give)
-                if gain == room or evaluations <= 0:
+                if gain == room:
                     break
         if choice is None:
-            stuck.add(low)
+            stuck[low] = len(made)
             continue
         _, high, get, give = choice
         n = bins[low] // 2 if low == high else min(bins[low], bins[high])
