@@ -1,7 +1,7 @@
 """Exact BPE encoding by per-prefix dynamic programming, and decoding.
 
-For every prefix of a pre-token the last token of its encoding is unique. An automaton over the
-vocabulary with suffix links lists the tokens that end at each byte; the one that is compatible
+For every prefix of a pre-token the last token of its encoding is unique. An Aho-Corasick automaton
+over the vocabulary (in place of a suffix automaton) lists the tokens that end at each byte; the one that is compatible
 with the last token of the prefix before it is stored, and the back-pointers give the ids.
 Two tokens are compatible when no merge may join the right edge of the first to the left edge
 of the second before either edge is itself merged further.
