@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bytebpe
 from .common import partitions, shared_path, for_workers, two_columns
-from .library_ids import library_ids
+from .library_ids import LibraryIds, library_ids
 from .repair import Grammar, compress, packed
 
 #: A shard closes once it holds so many ids.
@@ -30,36 +30,49 @@ NULL_ID = -(1 << 63)
 FORMAT = "part int, shard int, start long, n_ids long, first_id long, last_id long, doc_ids binary, ends binary, lengths binary, alphabet binary, rules binary, expansion binary, sequence binary, width int"
 
 
-def _shard(part: int, shard: int, start: int, doc_ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-    lengths = np.array([len(x) // 4 for x in texts], "<i8")
-    ids = np.frombuffer(b"".join(texts), "<u4")
+def _shard(part: int, shard: int, start: int, doc_ids: list[int], lengths: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     g = compress(ids, np.cumsum(lengths))
     sequence, width = packed(g["sequence"])
-    values = [part, shard, start, len(ids), doc_ids[0], doc_ids[-1], np.array(doc_ids, "<i8").tobytes(), g["ends"].astype("<i8").tobytes(), lengths.tobytes(), g["alphabet"].astype("<u4").tobytes(), g["rules"].astype("<u4").tobytes(), g["expansion"].astype("<u4").tobytes(), sequence, width]
+    values = [part, shard, start, len(ids), doc_ids[0], doc_ids[-1], np.array(doc_ids, "<i8").tobytes(), g["ends"].astype("<i8").tobytes(), lengths.astype("<i8").tobytes(), g["alphabet"].astype("<u4").tobytes(), g["rules"].astype("<u4").tobytes(), g["expansion"].astype("<u4").tobytes(), sequence, width]
     kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 7, pa.int32()]
     names = [x.split()[0] for x in FORMAT.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], encode: LibraryIds, end_id: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(doc_ids, lengths, ids with end ids) of documents, cut so that none but the last of a run's documents makes ``SHARD_IDS`` ids."""
+    held = 0
+    for batch in batches:
+        doc_ids = [NULL_ID if i is None else i for i in batch.column("doc_id").to_pylist()]
+        for first, last, ids, ends in encode.batches(batch.column("text")):
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ends = ends + np.arange(1, last - first + 1)
+            done, before = 0, 0
+            while done < last - first:
+                k = int(np.searchsorted(ends[done:], before + SHARD_IDS - held)) + 1 + done  # one past the document that fills the shard
+                own = ends[done:k]
+                yield doc_ids[first + done : first + min(k, last - first)], np.diff(own, prepend=before), ids[before : own[-1]]
+                held = 0 if k <= last - first else held + int(own[-1]) - before
+                done, before = k, int(own[-1])
+
+
 def write_ids(docs: DataFrame, to: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes every text with the tokenizers library, appends ``end_id``, writes the shards as Parquet under ``to``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = library_ids(path or bytebpe.tokenizer_path("byte_bpe_50k.json"), True), np.array([end_id], "<u4").tobytes()
-        part, shard, start, held, doc_ids, texts = TaskContext.get().partitionId(), 0, 0, 0, [], []
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
-                doc_ids.append(NULL_ID if doc_id is None else doc_id)
-                texts.append(ids)
-                held += len(ids) // 4
-                if held >= SHARD_IDS:
-                    yield _shard(part, shard, start, doc_ids, texts)
-                    shard, start, held, doc_ids, texts = shard + 1, start + held, 0, [], []
-        if texts:
-            yield _shard(part, shard, start, doc_ids, texts)
+        encode = library_ids(path or bytebpe.tokenizer_path("byte_bpe_50k.json"), True)
+        part, shard, start, doc_ids, lengths, ids = TaskContext.get().partitionId(), 0, 0, [], [], []
+        for own_ids, own_lengths, own in _runs(batches, encode, end_id):
+            doc_ids += own_ids
+            lengths.append(own_lengths)
+            ids.append(own)
+            if (held := sum(map(len, ids))) >= SHARD_IDS:
+                yield _shard(part, shard, start, doc_ids, np.concatenate(lengths), np.concatenate(ids))
+                shard, start, doc_ids, lengths, ids = shard + 1, start + held, [], [], []
+        if doc_ids:
+            yield _shard(part, shard, start, doc_ids, np.concatenate(lengths), np.concatenate(ids))
 
     rows = two_columns(docs, id_col, text_col)
     rows = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id", "text")

@@ -28,20 +28,18 @@ PAIRS_A_ROUND, LEAST = 4096, 16
 _HASH_BITS = 18
 
 
-def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Non-overlapping frequent pairs (left, right), and the key of the pair at each place of seq[:-1]."""
-    key = (seq[:-1] * symbols + seq[1:]).astype(np.uint64)
-    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    rough = np.bincount(slot[open_], minlength=1 << _HASH_BITS)
+def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Non-overlapping frequent pairs (left, right), the places in ``seq`` where they stand, and which pair stands there."""
+    slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _HASH_BITS)
+    rough = np.bincount(slot, open_, minlength=1 << _HASH_BITS)
     few = min(4 * PAIRS_A_ROUND, rough.size - 1)
     least = max(LEAST, int(np.partition(rough, rough.size - few)[rough.size - few]))
-    pairs, counts = np.unique(key[open_ & (rough[slot] >= least)], return_counts=True)
+    at, pairs, counts = _counted(seq, open_ & (rough >= least)[slot], symbols)
     if least > LEAST and counts.max(initial=0) < LEAST:  # the fullest slots held rare pairs alone
-        pairs, counts = np.unique(key[open_ & (rough[slot] >= LEAST)], return_counts=True)
-    order = np.lexsort((pairs, -counts))
-    pairs, counts = pairs[order], counts[order]
-    pairs = pairs[counts >= LEAST][: 2 * PAIRS_A_ROUND]
-    left, right = (pairs // np.uint64(symbols)).astype(np.int64), (pairs % np.uint64(symbols)).astype(np.int64)
+        at, pairs, counts = _counted(seq, open_ & (rough >= LEAST)[slot], symbols)
+    pairs, counts = pairs[counts >= LEAST], counts[counts >= LEAST]
+    pairs = pairs[np.lexsort((pairs, -counts))][: 2 * PAIRS_A_ROUND]
+    left, right = (pairs // np.uint64(symbols)).astype(np.uint32), (pairs % np.uint64(symbols)).astype(np.uint32)
     side = bytearray(symbols)  # 1: only as left symbol, 2: only as right, 3: only in a pair of its own
     chosen = []
     for i, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
@@ -50,19 +48,37 @@ def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndar
             chosen.append(i)
             if len(chosen) == PAIRS_A_ROUND:
                 break
-    return left[chosen], right[chosen], key
+    left, right = left[chosen], right[chosen]
+    # By slot; of pairs in one slot the most frequent is replaced now, and the others in a later round.
+    own = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _HASH_BITS)
+    _, alone = np.unique(own, return_index=True)
+    alone.sort()
+    left, right = left[alone], right[alone]
+    table = np.full(1 << _HASH_BITS, -1, np.int32)
+    table[own[alone]] = np.arange(len(alone), dtype=np.int32)
+    which = table[slot[at]]
+    some = which >= 0
+    at, which = at[some], which[some]
+    hit = (seq[at] == left[which]) & (seq[at + 1] == right[which])
+    return left, right, at[hit], which[hit]
+
+
+def _counted(seq: np.ndarray, where: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places marked in ``where``, and the distinct pairs there with their counts."""
+    at = np.flatnonzero(where)
+    return at, *np.unique(seq[at] * np.uint64(symbols) + seq[at + 1], return_counts=True)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
     """alphabet, rules, expansion, sequence and ends (in symbols) of ids whose documents end at ``ends``."""
     if len(ids) and int(ids.max()) < 1 << 20:
         alphabet = np.flatnonzero(np.bincount(ids))
-        place = np.zeros(int(ids.max()) + 1, np.int64)
+        place = np.zeros(int(ids.max()) + 1, np.uint32)
         place[alphabet] = np.arange(len(alphabet))
         seq = place[ids]
     else:
         alphabet, seq = np.unique(ids, return_inverse=True)
-        seq = seq.astype(np.int64)
+        seq = seq.astype(np.uint32)
     expansion = np.ones(len(alphabet), np.int64)
     rules = np.empty((0, 2), np.int64)
     ends = ends.astype(np.int64)
@@ -74,23 +90,15 @@ def compress(ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
         fresh = np.append(True, np.diff(equal) != 1)[: len(equal)]
         rank = np.arange(len(equal)) - np.maximum.accumulate(np.where(fresh, np.arange(len(equal)), 0))
         open_[equal[rank % 2 == 1]] = False  # these overlap the place before
-        left, right, key = _frequent(seq, open_[:-1], symbols)
+        left, right, at, which = _frequent(seq, open_[:-1], symbols)
         if not len(left):
             break
-        wanted = left.astype(np.uint64) * np.uint64(symbols) + right.astype(np.uint64)
-        by_key = np.argsort(wanted)
-        marked = np.zeros(symbols, bool)
-        marked[left] = True
-        at = np.flatnonzero(open_[:-1] & marked[seq[:-1]])
-        found = np.minimum(np.searchsorted(wanted[by_key], key[at]), len(wanted) - 1)
-        hit = wanted[by_key][found] == key[at]
-        at, which = at[hit], by_key[found[hit]]
-        seq[at] = symbols + which
+        seq[at] = (symbols + which).astype(np.uint32)
+        ends = ends - np.searchsorted(at + 1, ends)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        gone = np.concatenate(([0], np.cumsum(~keep)))
-        seq, ends = seq[keep], ends - gone[ends]
-        rules = np.concatenate((rules, np.stack((left, right), 1)))
+        seq = seq[keep]
+        rules = np.concatenate((rules, np.stack((left, right), 1).astype(np.int64)))
         expansion = np.concatenate((expansion, expansion[left] + expansion[right]))
     return {"alphabet": alphabet, "rules": rules, "expansion": expansion, "sequence": seq, "ends": ends}
 
