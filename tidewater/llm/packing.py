@@ -201,20 +201,21 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, end = library_ids(path or bytebpe.tokenizer_path("word_bpe_49k.json"), False), np.array([end_id], "<u4").tobytes()
-        part, seen, width = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64).tolist(), 4 * capacity
+        encode = library_ids(path or bytebpe.tokenizer_path("word_bpe_49k.json"), False)
+        part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    own = ids[at : at + width]
-                    n = len(own) // 4
-                    rows.append((doc_id, piece, at // 4, n, zlib.crc32(own), seen[n]))
-                    seen[n] += 1
-            columns = list(zip(*rows)) or [()] * 6
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pa.array([part] * len(rows), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"])
+            doc_ids = batch.column("doc_id").to_pylist()
+            for first, last, ids, ends in encode.batches(batch.column("text")):
+                raw = memoryview(np.insert(ids, ends, np.uint32(end_id)).astype("<u4").tobytes())
+                rows, begin = [], 0
+                for doc_id, end in zip(doc_ids[first:last], (ends + np.arange(1, last - first + 1)).tolist()):
+                    for piece, at in enumerate(range(begin, end, capacity)):
+                        n = min(capacity, end - at)
+                        rows.append((doc_id, piece, at - begin, n, zlib.crc32(raw[4 * at : 4 * (at + n)]), seen[n]))
+                        seen[n] += 1
+                    begin = end
+                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array([part] * len(rows), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
 
