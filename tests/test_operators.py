@@ -53,8 +53,20 @@ def test_a_clean_manifest_passes(spark):
 
 def test_exempt_prefix_and_warnings(spark):
     rows = [change(r, voice="SPK_PILOT1", speaker="SPK_PILOT1", text=f"t{i}") for i, r in enumerate(clean()[:300])]
-    rows += [change(r, voice="SPK_PILOT1", speaker="SPK_PILOT1") for r in clean()[300:319]]
-    assert checks(spark, rows) == {"few_test_positives": "warn", "very_few_test_positives": "warn"}
+    few = lambda n: rows + [change(r, voice="SPK_PILOT1", speaker="SPK_PILOT1") for r in clean()[300 : 300 + n]]
+    assert checks(spark, few(19)) == {"very_few_test_positives": "warn", "one_short_test_session": "warn"}
+    assert checks(spark, few(20)) == checks(spark, few(99)) == {"few_test_positives": "warn"}
+    assert checks(spark, few(100)) == {}
+    none = [change(r, positive=False) for r in few(30)]
+    assert checks(spark, none) == {"test_without_positives": "fail", "very_few_test_positives": "warn", "one_short_test_session": "warn"}
+    assert checks(spark, rows) == {"test_empty": "fail"}
+
+
+def test_duplicates_are_held_against_all_rows(spark):
+    """Four duplicates among 200 rows are no more than 2 % of them, though 8 % of their split; five are."""
+    rows = [change(r, content=f"c{i}", voice=f"v{i}", speaker=f"s{i}", text=f"t{i}") for i, r in enumerate((clean()[:1] * 50) + (clean()[-1:] * 150))]
+    for n, found in ((4, {}), (5, {"duplicates_within_split": "fail"})):
+        assert checks(spark, [change(r, content="same") if i <= n else r for i, r in enumerate(rows)]) == found
 
 
 def test_gate_raises(spark):
@@ -149,13 +161,18 @@ def test_blocks_resynchronise():
     assert [(g[0], g[5]) for g in got] == [(0, [1, 2]), (1, [3]), (3, [4])] and got[0][6] == 2
 
 
-def test_block_source(spark, tmp_path):
-    from tidewater.functions.shipping import ship
-
-    ship(spark)
-    (tmp_path / "x.bin").write_bytes(blocks.encode(5, [7, 8], blocks.LAST))
-    spark.dataSource.register(blocks.BlockSource)
-    assert spark.read.format("blocks").load(str(tmp_path / "x.bin")).first()["samples"] == [7, 8]
+def test_block_files_in_batch_and_stream(spark, tmp_path):
+    one = blocks.encode(0, [1, 2], blocks.FIRST) + b"??" + blocks.encode(3, [3], blocks.OVERRUN) + blocks.encode(4, [4], blocks.LAST) + blocks.encode(5, [9])
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.bin").write_bytes(one)
+    (tmp_path / "in" / "y.bin").write_bytes(blocks.encode(7, list(range(700))) + blocks.encode(8, [1]))
+    batch = blocks.scan(spark, str(tmp_path / "in"))
+    got = {r["path"][-5:]: r for r in blocks.accounts(batch).collect()}
+    x = got["x.bin"]
+    assert (x["blocks"], x["samples"], x["gaps"], x["lost"], x["overruns"], x["skipped"], x["resyncs"], x["ended"]) == (3, 4, 1, 2, 1, 2, 1, True)
+    assert (got["y.bin"]["blocks"], got["y.bin"]["lost"], got["y.bin"]["ended"]) == (2, 0, False)
+    rows = stateful.replay(blocks.stream(spark, str(tmp_path / "in")), spark, str(tmp_path / "c"), "blocks_out")
+    assert sorted(map(tuple, rows.drop("samples").collect())) == sorted(map(tuple, batch.drop("samples").collect()))
 
 
 def test_manifest_keeps_null_and_nan_apart(spark, tmp_path):
@@ -186,6 +203,163 @@ def test_mix_reaches_its_ratio():
     added = signal.mixed(s, n, 6.0) - s
     assert math.isclose(10 * np.log10(np.mean(s**2) / np.mean(added**2)), 6.0, abs_tol=1e-6)
     assert signal.placed(np.ones(3), -1, 4).tolist() == [1, 1, 0, 0]
+    assert signal.mixed(s, np.zeros(9), 6.0) is s and signal.mixed(s, s[:0], 6.0) is s
+
+
+def by_sample(x, sos):
+    for b0, b1, b2, a1, a2 in sos:
+        out, x1, x2, y1, y2 = np.zeros(len(x)), 0.0, 0.0, 0.0, 0.0
+        for i, v in enumerate(x):
+            out[i] = b0 * v + b1 * x1 + b2 * x2 - a1 * y1 - a2 * y2
+            x2, x1, y2, y1 = x1, v, y1, out[i]
+        x = out
+    return x
+
+
+def gain_at(sos, hertz):
+    z = np.exp(-2j * np.pi * hertz / signal.RATE)
+    return abs(np.prod([(b0 + z * (b1 + z * b2)) / (1 + z * (a1 + z * a2)) for b0, b1, b2, a1, a2 in sos]))
+
+
+@pytest.mark.parametrize("kind, order, corners", [("high", 4, (125.0,)), ("band", 4, (300.0, 3400.0)), ("high", 2, (70.0,)), ("low", 2, (7600.0,))])
+def test_filters_are_causal_and_fall_at_their_corners(kind, order, corners):
+    sos, x = signal.sections(kind, order, *corners), np.random.default_rng(8).normal(size=1500)
+    assert np.abs(signal.filtered(x, sos) - by_sample(x, sos)).max() < 1e-9
+    assert all(math.isclose(gain_at(sos, c), math.sqrt(0.5), rel_tol=1e-9) for c in corners)
+    assert signal.filtered(x[:0], sos).size == 0 and (signal.high_pass(x[:31]) == x[:31]).all()
+
+
+def tone(hertz, n=16000, level=0.3):
+    return level * np.sin(2 * np.pi * hertz * np.arange(n) / signal.RATE)
+
+
+def test_band_shares_follow_tones():
+    for hertz, place in ((50, 0), (1000, 1), (6000, 2)):
+        got = signal.band_shares(tone(hertz) + 0.2)
+        assert got[place] > 0.99 and abs(got[3] - hertz) < 20 and sum(got[:3]) < 1.01
+    assert signal.band_shares(np.zeros(4000)) == signal.band_shares(tone(50, 511)) == (0.0, 0.0, 0.0, 0.0)
+    a, b = signal.band_shares(tone(200)), signal.band_shares(tone(3600))
+    assert max(a[:3]) < 0.01 and max(b[:3]) < 0.01  # between the bands
+
+
+def test_snr_is_of_mean_energies():
+    x = np.repeat([1.0, 10.0], 16000)
+    x[::2] *= -1
+    assert math.isclose(signal.decile_snr(x), 20.0) and math.isnan(signal.decile_snr(x[:3199])) and math.isnan(signal.decile_snr(np.zeros(4000)))
+
+
+def spoken(begin=8000, end=14000, n=48000, level=0.3):
+    """Room noise with a tone of the speech band between two places."""
+    x = np.random.default_rng(9).normal(size=n) * 0.001
+    x[begin:end] += tone(900, end - begin, level)
+    return x
+
+
+def test_speech_is_found_and_extracted():
+    x = spoken()
+    a, b = signal.speech_bounds(x)
+    assert abs(a - 8000) <= 320 and abs(b - 14000) <= 480 and abs(signal.speech_span(x) - (b - a) / 16) < 1e-9
+    assert len(signal.extracted(x)) == b - a + 2 * 640
+    gap = spoken()
+    gap[10000:11500] = gap[20000:21500]  # 94 ms do not end the run
+    assert abs(signal.speech_span(gap) - signal.speech_span(x)) <= 10
+    gap[10000:12500] = gap[20000:22500]  # 156 ms do
+    assert signal.speech_span(gap) < 160
+    assert signal.speech_bounds(x[:1000]) is None and signal.speech_span(x[:1000]) == 0.0 and signal.extracted(x[:1000]) is None
+    assert signal.longest_run(np.array([1, 2, 30, 31, 32, 60])) == (30, 32) and signal.longest_run(np.array([5, 6, 40, 41])) == (5, 6)
+
+
+def test_modulation_tells_syllables_from_hum():
+    t = np.arange(600) / 100
+    assert signal.modulation(np.sin(2 * np.pi * 4 * t)) > 20 > -20 > signal.modulation(np.sin(2 * np.pi * 30 * t))
+    assert math.isnan(signal.modulation(t[:31]))
+    x, n = np.random.default_rng(3).normal(size=300), 128
+    w, f = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n), np.arange(65) * 100 / n
+    power = np.zeros(65)
+    for a in range(0, 300 - n + 1, 64):
+        own = (x[a : a + n] - x[a : a + n].mean()) * w
+        power += [2 * abs(sum(own * np.exp(-2j * np.pi * k * np.arange(n) / n))) ** 2 / (100 * (w**2).sum()) for k in range(65)]
+    power /= 3
+    want = 10 * np.log10((power[(f >= 2) & (f <= 8)].mean() + 1e-12) / (power[(f >= 20) & (f <= 45)].mean() + 1e-12))
+    assert math.isclose(signal.modulation(x), want, rel_tol=1e-9)
+
+
+def test_speed_trim_and_levels():
+    x = tone(500, 1600)
+    assert np.abs(signal.resampled(x, 800)[40:-40] - x[::2][40:-40]).max() < 0.01 and len(signal.sped(x, 1.25)) == 1280 and signal.sped(x, 1.0005) is x
+    y = np.concatenate((np.zeros(3200), tone(500, 3200), np.zeros(3200)))
+    assert len(signal.trimmed(y)) == 3200 + 2 * 400 and (signal.trimmed(y[:399]) == y[:399]).all()
+    assert math.isclose(np.abs(signal.peak_normalised(x)).max(), 10 ** (-3 / 20)) and signal.peak_normalised(x * 0).max() == 0
+    assert math.isclose(signal.rms_db(signal.gained(x, 6.0)) - signal.rms_db(x), 6.0)
+
+
+def test_windows_hold_words_tone_and_parts():
+    word, room = np.ones(4000), np.arange(1, 20001.0)
+    for u in (0.0, 0.5, 0.999):
+        at = signal.place_for(4000, u, 960)
+        out = signal.placed(word, at)
+        assert 960 <= at <= 16000 - 4000 - 960 and out.sum() == 4000 and len(out) == 16000
+        assert set(signal.room_tone(room, (5000, 15000), u)) <= {*room[:5000], *room[15000:]}
+        assert signal.room_tone(room[:300], None, u).sum() == 0 and len(signal.room_tone(room, (5000, 15000), u)) == 16000
+        for entering in (True, False):
+            part = signal.partial(np.arange(1, 4001.0), 0.5, entering, u)
+            kept = part[part > 0]
+            assert len(kept) == 2000 and kept[0] == (2001 if entering else 1) and len(part) == 16000
+        assert len(signal.cropped(room, u)) == 16000 and (np.diff(signal.cropped(room, u)) == 1).all()
+        assert signal.cropped(word, u).sum() == 4000
+    assert signal.place_for(15900, 0.7, 960) == 50 and signal.place_for(20000, 0.5, 960) == -2000
+    assert signal.placed(np.ones(3), 1, 5, np.full(4, 2.0)).tolist() == [2, 3, 3, 3, 0]
+
+
+def test_augmentation_steps_and_guards():
+    x, rng = spoken(), np.random.default_rng(2)
+    band, steps = signal.augmented(x, "test", speed=1.05, gain_db=40.0, noise=rng.normal(size=100))
+    assert steps == "mic_band" and (band == signal.microphone_band(x)).all()
+    loud, steps = signal.augmented(x, "train", speed=1.05, gain_db=40.0, noise=rng.normal(size=100), snr_db=10.0)
+    assert steps == "mic_band+speed1.050+gain+noise" and math.isclose(np.abs(loud).max(), 0.99) and len(loud) == round(48000 / 1.05)
+    faint, steps = signal.augmented(x * 1e-3, "train")
+    assert steps == "mic_band" and math.isclose(signal.rms_db(faint), min(signal.rms_db(band) - 60 + 24, -45.0), abs_tol=0.01)
+
+
+def test_fingerprints_of_copies_agree():
+    x = spoken()
+    a, b, c = signal.fingerprint(x), signal.fingerprint(x * 0.5), signal.fingerprint(spoken(20000, 30000))
+    cosine = lambda u, v: u @ v / np.linalg.norm(u) / np.linalg.norm(v)
+    assert len(a) == 128 and abs(a.mean()) < 1e-9 and cosine(a, b) > 0.9999 > 0.99 > cosine(a, c)
+    assert not signal.fingerprint(x[:1023]).any()
+
+
+GOLDEN = {
+    "silence": np.zeros(16000), "offset": np.full(16000, 3000 / 32768), "burst": np.where(abs(np.arange(16000) - 8000) < 4, 0.9, 0.0), "square": np.sign(tone(440)) * 32767 / 32768,
+    "noise": np.random.default_rng(1).normal(size=16000) * 0.1, "chirp": np.sin(2 * np.pi * (100 * np.arange(16000) / 16000 + 3450 * (np.arange(16000) / 16000) ** 2)) * 0.5, **{f"tone{h}": tone(h, level=0.25) for h in (125, 1000, 4000, 7500)},
+}
+
+
+def test_golden_features_in_chunks_equal_batch(spark, tmp_path):
+    """Every case cut into chunks of any size and framed by a stream gives the features of the whole clip; no case is silence."""
+    rng, rows = np.random.default_rng(4), []
+    for i, x in enumerate(GOLDEN.values()):
+        cuts = np.concatenate(([0], np.sort(rng.integers(0, 16001, 9)), [16000]))
+        rows += [(i, k, x[a:b].tolist()) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    spark.createDataFrame(rows, "s long, o long, x array<double>").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("s long, o long, x array<double>").parquet(str(tmp_path / "in"))
+    got = {}
+    for r in stateful.replay(stateful.framer(stream, "s", "o", "x"), spark, str(tmp_path / "c"), "golden_out").collect():
+        got.setdefault(r["stream"], {})[r["frame"]] = r["samples"]
+    quiet = signal.features(GOLDEN["silence"])
+    for i, (name, x) in enumerate(GOLDEN.items()):
+        want = signal.features(x)
+        streamed = np.array([signal.log_mel(np.array(got[i][k]))[0] @ signal.tables()[2].T for k in range(49)])
+        assert len(got[i]) == 49 and np.abs(streamed - want).max() < 1e-3
+        assert name == "silence" or np.abs(want - quiet).max() > 1
+
+
+def test_ring_of_frames(spark, tmp_path):
+    spark.createDataFrame([(1, k, [float(4 * k + j) for j in range(4)]) for k in range(10)], "s long, o long, x array<double>").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("s long, o long, x array<double>").parquet(str(tmp_path / "in"))
+    got = stateful.replay(stateful.framer(stream, "s", "o", "x", 4, 2, ring=3), spark, str(tmp_path / "c"), "ring_out").orderBy("frame").collect()
+    assert [r["frame"] for r in got] == list(range(2, 19))
+    assert got[0]["samples"] == [0, 1, 2, 3, 2, 3, 4, 5, 4, 5, 6, 7]
 
 
 def test_framer_in_chunks_equals_batch(spark, tmp_path):
@@ -206,7 +380,8 @@ def test_corrupted_clips_fail_and_silence_does_not(spark):
     gap = good.copy()
     gap[9000:10600] = 0
     even = np.round(good * 16384) / 16384
-    cases = {"good": good, "clipping": np.clip(good * 40, -1, 32767 / 32768), "raw_offset": good + 0.03, "zero_run": gap, "all_even": even, "silence": np.zeros(16000), "empty": good[:0]}
+    late = np.append(good[-640:], np.full(20, 0.95))  # a step that the filter has no time to take away
+    cases = {"good": good, "clipping": np.clip(good * 40, -1, 32767 / 32768), "raw_offset": good + 0.03, "zero_run": gap, "all_even": even, "silence": np.zeros(16000), "empty": good[:0], "offset": late}
     rows = [(k, v.tolist(), 16000) for k, v in cases.items()] + [("rate", good.tolist(), 8000), ("undecoded", None, None)]
     df = clip_qc.measured(spark.createDataFrame(rows, "k string, samples array<double>, rate int"))
     got = {r["k"]: (r["status"], r["fails"]) for r in clip_qc.clip_rules(df).collect()}
@@ -222,3 +397,85 @@ def test_take_verdicts(spark):
     df = spark.createDataFrame(rows, "c string, s double, n double, p double, t boolean, f boolean, d double, q double, m double, want string")
     got = df.select("want", clip_qc.take_verdict(*(F.col(x) for x in "csnptfdqm"), level=-30.0).alias("got")).collect()
     assert all(r["want"] == r["got"] for r in got)
+
+
+def test_measured_takes(spark):
+    from tidewater.operators import clip_qc
+
+    rng = np.random.default_rng(3)
+    cases = {"usable": ("keyword", spoken()), "usable_but_quiet": ("keyword", spoken(level=0.02)), "no_speech": ("keyword", rng.normal(size=48000) * 0.001), "too_short": ("keyword", spoken(8000, 10000)), "too_long": ("keyword", spoken(8000, 30000)), "cut_off": ("keyword", spoken(46000, 48000)), "usable speech": ("speech", spoken(8000, 30000)), "barely_any": ("speech", spoken(8000, 9500)), "usable room": ("ambient", rng.normal(size=48000) * 0.001), "speech_detected": ("ambient", spoken()), "too_short_to_assess": ("keyword", spoken()[:3000])}
+    df = spark.createDataFrame([(k, c, x.tolist(), 16000) for k, (c, x) in cases.items()], "k string, c string, samples array<double>, rate int")
+    got = {r["k"]: r["verdict"] for r in clip_qc.take_verdicts(clip_qc.measured_takes(df), "c").collect()}
+    assert got == {k: k.split()[0] for k in cases}
+
+
+def test_file_sinks(spark, tmp_path):
+    x = np.sin(np.arange(800) / 9) * 0.4
+    df = spark.createDataFrame([("a/x.wav", x.tolist()), ("b/y.wav", None)], "path string, samples array<double>")
+    assert [tuple(r) for r in clips.write_files(df, f"file://{tmp_path}/wavs").collect()] == [("a/x.wav", 1644)]
+    back = {r["stem"]: r for r in clips.decoded(clips.scan(spark, f"{tmp_path}/wavs"), channels="raw").collect()}
+    assert back.keys() == {"x"} and np.abs(np.array(back["x"]["samples"]) - np.trunc(x * 32767)).max() == 0
+    assert bytes(df.where("samples is not null").select(clips.encoded(F.col("samples"))).first()[0]) == clips.write_wav(x)
+    stereo = clips.write_wav(np.zeros(4))[:22] + b"\x02\x00" + clips.write_wav(np.zeros(4))[24:44] + np.array([1, 4, -3, -4], "<i2").tobytes()
+    assert clips.read_wav(stereo, "whole")[1].tolist() == [2, -3] and clips.read_wav(stereo, "raw")[1].tolist() == [1, 4, -3, -4] and clips.read_wav(stereo, "first")[1].tolist() == [1 / 32768, -3 / 32768]
+
+
+def test_record_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("t1", True, 2.5, None), ("t2", False, None, "a, \"b\"")], "clip string, accepted boolean, snr_db double, notes string")
+    manifest.write_json(df, f"{tmp_path}/json")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(f"{tmp_path}/json").collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    for part in (df.limit(1), df.subtract(df.limit(1))):
+        manifest.append_ledger(part, f"file://{tmp_path}/ledger")
+    text = [r["value"] for r in spark.read.text(f"{tmp_path}/ledger/header").collect()]
+    assert len(text) == 1 and text[0].startswith("clip,utc,content") and len(text[0].split(",")) == 20
+    got = manifest.read_ledger(spark, f"{tmp_path}/ledger")
+    assert sorted(map(tuple, got.select(df.columns).collect())) == sorted(map(tuple, df.collect()))
+    rows = spark.createDataFrame([(1, "train", "x"), (2, "test", "y")], "k int, split string, class string")
+    manifest.write_parquet(rows, f"{tmp_path}/parts")
+    assert spark.read.parquet(f"{tmp_path}/parts").where("split = 'test'").first()["k"] == 2
+    manifest.publish_csv(rows, f"{tmp_path}/csv")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
+    assert manifest.cached(rows, f"{tmp_path}/cache").count() == manifest.cached(rows.limit(0), f"{tmp_path}/cache").count() == 2
+
+
+def test_settings_and_reports(spark):
+    assert clips.settings("A=1\n# x\nB = 'two'\nC", {"A": "9", "Z": "0"}, {"C": "3"}) == {"C": "3", "A": "9", "B": "two"}
+    df = spark.createDataFrame([("rate_hz=16001.5 overruns=0 ok",)], "t string")
+    assert df.select(clips.report_pairs(F.col("t"))).first()[0] == {"rate_hz": "16001.5", "overruns": "0"}
+
+
+def test_blocks_of_a_protocol(spark):
+    df = spark.createDataFrame([("a", "positive"), ("b", "negative"), ("c", "ambient")], "name string, kind string")
+    names = lambda **k: sorted(r["name"] for r in splits.chosen_blocks(df, "name", "kind", **k).collect())
+    assert names() == ["a", "b", "c"] and names(positives_only=True) == ["a"] and names(negatives_only=True) == ["b", "c"] and names(only=["b", " c "]) == ["b", "c"]
+    for bad in ({"positives_only": True, "negatives_only": True}, {"only": ["x"]}):
+        with pytest.raises(ValueError):
+            names(**bad)
+
+
+def test_numbers_and_pools_of_groups(spark):
+    df = spark.createDataFrame([(g, i) for g, n in (("a", 23), (None, 4), ("b", 1), ("c", 7)) for i in range(n)], "g string, i int")
+    assert all(r["number"] == r["i"] + 1 for r in splits.group_numbers(df, ["g"], ["i"]).collect())
+    got = {}
+    for r in splits.pools(df, "g", ["i"]).collect():
+        got.setdefault(r["g"], []).append((r["split"], r["i"]))
+    assert sorted(got["b"]) == [("test", 0), ("train", 0), ("validation", 0)]
+    assert sorted(got[None]) == [("test", 2), ("train", 0), ("train", 1), ("train", 2), ("validation", 3)]
+    assert len(got["a"]) == 23 and len(got["c"]) == 7
+
+
+def test_difference_and_shares(spark):
+    a, b = (spark.createDataFrame([(x,) for x in v], "k string") for v in (["x", "y", "y", None], ["x"]))
+    assert {r["k"] for r in splits.difference(a, b, ["k"]).collect()} == {"y", None}
+    assert splits.shares(10, {"a": 3.0, "b": 1.0, "c": 0.01}) == {"a": 7, "b": 2, "c": 1}
+    assert spark.range(1).select(scalars.now_utc()).first()[0][10:11] == "T"
+
+
+def test_written_tables_can_be_forgotten(spark):
+    from tidewater.functions.tables import collecting, forget, written
+
+    with collecting() as made:
+        one, two = written(spark.range(3), "one"), written(spark.range(4), "two")
+    forget(spark, made, but=[two.where("id > 0")])
+    assert two.count() == 4 and not spark._jvm.java.io.File(made[0].removeprefix("file:").removeprefix("//")).exists()
+    del one

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, poisson, rounded, wilson
+from .report import quantile_linear
 
 #: The thresholds of a sweep, 0.050 to 0.995 by 0.005, and the false-accept bar.
 FIRST, STEP, POINTS, FALSE_ACCEPTS = 0.05, 0.005, 190, 0.01
@@ -59,8 +60,9 @@ def operating_point(curve: DataFrame) -> DataFrame:
 
 def quantile_threshold(df: DataFrame, score: str, truth: str, p: float = 0.99) -> DataFrame:
     """The quantile of the negatives' scores within [0.05, 0.99]; 0.5 without negatives."""
-    q = df.where(~F.col(truth)).agg(F.percentile(score, p).alias("q"))
-    return q.select(F.round(F.coalesce(clamp(F.col("q"), 0.05, 0.99), F.lit(0.5)), 6).alias("threshold"))
+    name = f"p{round(p * 100)}"
+    q = quantile_linear(df.where(~F.col(truth)).select(F.lit(0).alias("_g"), score), "_g", score, [p])
+    return q.agg(F.max(name).alias("q")).select(F.round(F.coalesce(clamp(F.col("q"), 0.05, 0.99), F.lit(0.5)), 6).alias("threshold"))
 
 
 def binary_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -133,7 +135,52 @@ def det_curve(curve: DataFrame) -> DataFrame:
 
 def session_latency(matched: DataFrame, session: str) -> DataFrame:
     """By session: spans, detected ones, and the median latency of these."""
-    return matched.groupBy(session).agg(F.count("*").alias("n"), F.count_if("detected").alias("n_detected"), F.round(F.median("latency"), 6).alias("median_latency"))
+    counts = matched.groupBy(session).agg(F.count("*").alias("n"), F.count_if("detected").alias("n_detected"))
+    median = quantile_linear(matched, session, "latency", [0.5]).select(F.col(session).alias("_s"), F.col("p50").alias("median_latency"))
+    return counts.join(median, F.col(session).eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def tiers(df: DataFrame, subsets: dict[str, Column], positives: list[str], score: str, threshold: float, utterance: list[str]) -> DataFrame:
+    """By subset (each a condition; a row may be in several, subsets without rows are left out): n, fired, metric, k (detections of
+    positives, correct rejections of the others), its rate and Wilson bounds, and for positives the distinct utterances."""
+    of = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in subsets.items())))
+    same = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in utterance))
+    rows = df.select(F.explode(of).alias("subset"), (F.col(score) >= threshold).alias("_fired"), same.alias("_u"))
+    counts = rows.groupBy("subset").agg(F.count("*").alias("n"), F.count_if("_fired").alias("fired"), F.count_distinct("_u").alias("_us"))
+    positive = F.col("subset").isin(*positives)
+    counts = counts.withColumns({"metric": F.when(positive, "recall").otherwise("correct_reject"), "k": F.when(positive, F.col("fired")).otherwise(F.col("n") - F.col("fired"))})
+    low, high = wilson(F.col("k"), F.col("n"))
+    return counts.select("subset", "n", "fired", "metric", "k", rounded(F.col("k") / F.col("n")).alias("rate"), rounded(low).alias("low"), rounded(high).alias("high"), F.when(positive, F.col("_us")).alias("n_utterances"))
+
+
+def model_curves(df: DataFrame, model: str, score: str, truth: str) -> DataFrame:
+    """By model and threshold (0.05 to 0.95 by 0.05): recall, its Wilson bounds, and the share of false accepts among the others.
+
+    Scores are counted by the last threshold they reach, and the counts, some rows a model, summed from above.
+    """
+    step = lambda i: F.round(0.05 * i, 2)
+    near = F.floor(F.col(score) * 20 + 0.5)
+    cell = F.greatest(F.least(F.when(F.col(score) >= step(near), near).otherwise(near - 1), F.lit(19)), F.lit(0)).cast("int")
+    cells = df.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(model, cell.alias("i")).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
+    grid = cells.select(model).distinct().withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    full = grid.join(cells, [model, "i"], "left").na.fill(0, ["pos", "neg"])
+    above = Window.partitionBy(model).orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(model)
+    full = full.select(model, "i", F.sum("pos").over(above).alias("k"), F.sum("neg").over(above).alias("fa"), F.sum("pos").over(whole).alias("n"), F.sum("neg").over(whole).alias("m")).where("i between 1 and 19")
+    low, high = wilson(F.col("k"), F.col("n"))
+    return full.select(model, step(F.col("i")).alias("threshold"), rounded(_ratio(F.col("k"), F.col("n"), float("nan"))).alias("recall"), rounded(low).alias("low"), rounded(high).alias("high"), rounded(_ratio(F.col("fa"), F.col("m"), float("nan"))).alias("far"))
+
+
+def shift_report(shift: DataFrame, dim: str, d: str, z_a: str, z_b: str, low: int, high: int) -> DataFrame:
+    """One row of a table of dimensions with d and the two groups' mean z: mean |d|, the dimension of the largest |d| (the first of equals),
+    the tilt (mean d from dimension ``high`` on less that below ``low``), and the root mean square displacement in z."""
+    size = F.abs(d)
+    return shift.agg(
+        rounded(F.avg(size)).alias("mean_abs_d"),
+        F.max(F.struct(size.alias("s"), (-F.col(dim)).alias("i"))).alias("w"),
+        rounded(F.avg(F.when(F.col(dim) >= high, F.col(d))) - F.avg(F.when(F.col(dim) < low, F.col(d)))).alias("tilt"),
+        rounded(F.sqrt(F.avg((F.col(z_b) - F.col(z_a)) ** 2))).alias("displacement"),
+    ).select("mean_abs_d", (-F.col("w.i")).alias("worst_dim"), "tilt", "displacement")
 
 
 def best_class(scores: Column) -> Column:

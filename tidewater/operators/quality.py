@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.shipping import ship
 
 
+#: Rows of a block of vectors, on average.
+BLOCK = 2000
+
+
 def rule_flags(df: DataFrame, fails: dict[str, Column], warns: dict[str, Column]) -> DataFrame:
     """Adds fails, warns (arrays of rule names, in order) and status (fail > warn > ok). A rule on nulls doesn't fire."""
     of = lambda rules: F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())))
@@ -36,14 +40,16 @@ def bits(df: DataFrame, group: str, *columns: str) -> DataFrame:
     return df.groupBy(group).agg(*out)
 
 
-def near_vectors(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+def near_vectors(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
     """a, b, cosine: pairs of vectors whose cosine, after the corpus mean is removed, reaches the threshold.
 
     Exact over all pairs: rows are dealt into blocks by a hash of the key, every two blocks meet in
     one task as a matrix product, and only pairs that reach the threshold leave it. Work grows with the
-    square of the rows, memory with that of a block, so ``blocks`` has to grow with the rows.
+    square of the rows. Without ``blocks`` there are so many that one holds ``BLOCK`` rows on average, so a
+    task's memory doesn't grow.
     """
     ship(df.sparkSession)
+    blocks = blocks or max(1, -(-df.count() // BLOCK))
     dims = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = np.array([r["m"] for r in dims.orderBy("i").collect()])  # one number a dimension
     block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")

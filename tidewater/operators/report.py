@@ -66,7 +66,13 @@ def quantile_nearest_rank(df: DataFrame, group: str, value: str, probabilities:
 
 
 def quantile_linear(df: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
-    return df.groupBy(group).agg(*(F.round(F.percentile(value, p), 6).alias(f"p{round(p * 100)}") for p in probabilities))
+    """By group the quantiles that lie between the values at places floor and ceiling of p * (n - 1)."""
+    ranked = _ranked(df, group, value)
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    ends = [x.alias(f"_{side}{k}") for k, p in enumerate(probabilities) for side, x in (("a", _at(F.floor(place(p)))), ("b", _at(F.ceil(place(p)))))]
+    got = ranked.groupBy(group).agg(F.max("n").alias("n"), *ends)
+    out = [F.round(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (place(p) - F.floor(place(p))), 6).alias(f"p{round(p * 100)}") for k, p in enumerate(probabilities)]
+    return got.select(group, *out)
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -83,11 +89,12 @@ def fixed_histogram(df: DataFrame, value: str, low: float, width: float, bins: i
     return grid.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def class_weights(df: DataFrame, key: str, boosted: str, boost: float) -> DataFrame:
-    """Inverse-frequency weights total / (classes * n), times ``boost`` for one class."""
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count("*").alias("k"))
-    weight = F.col("total") / (F.col("k") * F.col("n")) * F.when(F.col(key) == boosted, boost).otherwise(1.0)
+def class_weights(df: DataFrame, key: str, boosted: str, boost: float, classes: Sequence[str]) -> DataFrame:
+    """Inverse-frequency weights total / (classes * n) of the listed classes, times ``boost`` for one; a class without rows counts as one row."""
+    listed = df.sparkSession.createDataFrame([(c,) for c in classes], f"`{key}` string")
+    counts = listed.join(df.groupBy(key).agg(F.count("*").alias("n")), key, "left").select(key, F.greatest(F.coalesce("n", F.lit(0)), F.lit(1)).cast("long").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    weight = F.col("total") / (F.lit(len(classes)) * F.col("n")) * F.when(F.col(key) == boosted, boost).otherwise(1.0)
     return counts.join(F.broadcast(total)).select(key, "n", F.round(weight, 6).alias("weight"))
 
 
@@ -96,9 +103,9 @@ def top_values(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(key)).limit(k)
 
 
-def summary(df: DataFrame, group: str, value: str) -> DataFrame:
+def summary(df: DataFrame, group: str, value: str, bound: float) -> DataFrame:
     """min, mean, max, root mean square and whether any value reaches a bound, by group."""
-    return df.groupBy(group).agg(F.min(value).alias("low"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("high"), F.round(F.sqrt(F.avg(F.col(value) * F.col(value))), 6).alias("rms"), F.bool_or(F.abs(value) >= 400).alias("clipped"))
+    return df.groupBy(group).agg(F.min(value).alias("low"), F.round(F.avg(value), 6).alias("mean"), F.max(value).alias("high"), F.round(F.sqrt(F.avg(F.col(value) * F.col(value))), 6).alias("rms"), F.bool_or(F.abs(value) >= bound).alias("clipped"))
 
 
 def gaps_to_target(df: DataFrame, key: str, targets: dict[str, int]) -> DataFrame:
@@ -126,3 +133,13 @@ def single_value(df: DataFrame, column: str) -> DataFrame:
 def sliding_counts(df: DataFrame, key: str, ts: str, length: str, slide: str) -> DataFrame:
     """key, window start, n: overlapping windows of event time; the same expression serves a stream."""
     return df.groupBy(key, F.window(ts, length, slide)).agg(F.count("*").alias("n")).select(key, F.col("window.start").alias("start"), "n")
+
+
+def blocks(parts: dict[str, DataFrame]) -> DataFrame:
+    """One report of many blocks: block, key (the text of all a row's columns but the last), value (the last, as text)."""
+    out = None
+    for name, df in parts.items():
+        *keys, last = df.columns
+        one = df.select(F.lit(name).alias("block"), F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys)).alias("key"), F.col(last).cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -32,10 +32,11 @@ def refractory(df: DataFrame, stream: str, time: str, tie: str, hold: float, con
 def spans_matched(spans: DataFrame, fires: DataFrame, stream: str, onset: str, offset: str, fire: str, tail: float) -> DataFrame:
     """Every span with the first firing between its onset and its offset + ``tail``: detected, first_fire, latency.
 
-    Time is cut into cells as long as the longest span, so the interval join is an equi-join on stream and cell.
+    Time is cut into cells as long as the mean span, so the interval join is an equi-join on stream and cell, and
+    spans fall into three cells each at most on average, however long one of them is.
     """
-    longest = spans.agg(F.max(F.col(offset) + tail - F.col(onset)).alias("w")).first()["w"]
-    width = max(float(longest or 0), 1e-9)
+    mean = spans.agg(F.avg(F.col(offset) + tail - F.col(onset)).alias("w")).first()["w"]
+    width = max(float(mean or 0), 1e-9)
     cell = lambda c: F.floor(c / width)
     s = spans.withColumn("_cell", F.explode(F.sequence(cell(F.col(onset)), cell(F.col(offset) + tail))))
     f = fires.select(F.col(stream).alias("_s"), F.col(fire).alias("_f")).withColumn("_c", cell(F.col("_f")))
@@ -71,8 +72,8 @@ def sequence_gaps(df: DataFrame, stream: str, sequence: str, first: int = 0) ->
 
 def decile_levels(df: DataFrame, stream: str, value: str) -> DataFrame:
     """By stream the mean of the lowest and the highest max(1, n // 10) values, and their ratio in dB."""
-    up, down = Window.partitionBy(stream).orderBy(F.asc("v")), Window.partitionBy(stream).orderBy(F.desc("v"))
-    ranked = df.select(stream, F.col(value).alias("v")).withColumns({"_a": F.row_number().over(up), "_d": F.row_number().over(down), "_k": F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(stream)) / 10))})
+    place, size = F.row_number().over(Window.partitionBy(stream).orderBy("v")), F.count("*").over(Window.partitionBy(stream))
+    ranked = df.select(stream, F.col(value).alias("v")).withColumns({"_a": place, "_n": size}).select(stream, "v", "_a", (F.col("_n") - F.col("_a") + 1).alias("_d"), F.greatest(F.lit(1), F.floor(F.col("_n") / 10)).alias("_k"))
     out = ranked.groupBy(stream).agg(F.avg(F.when(F.col("_a") <= F.col("_k"), F.col("v"))).alias("low"), F.avg(F.when(F.col("_d") <= F.col("_k"), F.col("v"))).alias("high"))
     return out.select(stream, F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), F.round(10 * F.log10(F.greatest("high", F.lit(1e-12)) / F.greatest("low", F.lit(1e-12))), 6).alias("snr_db"))
 
@@ -85,3 +86,15 @@ def truncated(df: DataFrame, stream: str, index: str, active: str, margin: int)
 def cadence(df: DataFrame, stream: str, order: Sequence[str], context: int = 49, every: int = 10) -> DataFrame:
     """The rows at which a detector of so long a context is asked: number n >= context and divisible by ``every``."""
     return df.withColumn("n", F.row_number().over(Window.partitionBy(stream).orderBy(*order))).where((F.col("n") >= context) & (F.col("n") % every == 0))
+
+
+def spurious(spans: DataFrame, fires: DataFrame, stream: str, onset: str, offset: str, fire: str, tail: float) -> DataFrame:
+    """By stream: firings, and those within no span (its onset to its offset + ``tail``)."""
+    mean = spans.agg(F.avg(F.col(offset) + tail - F.col(onset)).alias("w")).first()["w"]
+    width = max(float(mean or 0), 1e-9)
+    s = spans.select(F.col(stream).alias("_s"), F.col(onset).alias("_on"), (F.col(offset) + tail).alias("_off"))
+    s = s.withColumn("_c", F.explode(F.sequence(F.floor(F.col("_on") / width), F.floor(F.col("_off") / width))))
+    f = fires.withColumn("_cell", F.floor(F.col(fire) / width))
+    inside = (f[stream] == s["_s"]) & (f["_cell"] == s["_c"]) & f[fire].between(s["_on"], s["_off"])
+    outside = f.join(s, inside, "left_anti").groupBy(stream).agg(F.count("*").alias("n"))
+    return fires.groupBy(stream).agg(F.count("*").alias("n_fires")).join(outside, stream, "left").select(stream, "n_fires", F.coalesce("n", F.lit(0)).alias("n_spurious"))

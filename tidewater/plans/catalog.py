@@ -12,9 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..functions.scalars import decibels, epoch_micros, mel
 from ..functions.shipping import ship
-from ..operators import evaluation, gate, quality, report, sequence, splits
+from ..functions.tables import shared_path
+from ..operators import clip_qc, evaluation, gate, quality, report, sequence, splits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -122,9 +124,9 @@ def fixed_bin_histogram(spark, sf_dir):
     return report.fixed_histogram(table(spark, sf_dir, "part"), "p_size", 1.0, 5.0, 12)
 
 
-@query("WITH c AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) SELECT event_type, n, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n) * CASE WHEN event_type = 'purchase' THEN 2.0 ELSE 1.0 END, 6) AS weight FROM c")
+@query("WITH k AS (SELECT * FROM (VALUES ('click'), ('error'), ('purchase'), ('refund'), ('signup'), ('view')) t(event_type)), c AS (SELECT k.event_type, greatest(count(e.event_type), 1) AS n FROM k LEFT JOIN events e ON e.event_type = k.event_type GROUP BY k.event_type) SELECT event_type, n, round((SELECT sum(n) FROM c) / (6 * n) * CASE WHEN event_type = 'purchase' THEN 2.0 ELSE 1.0 END, 6) AS weight FROM c")
 def class_weights(spark, sf_dir):
-    return report.class_weights(table(spark, sf_dir, "events"), "event_type", "purchase", 2.0)
+    return report.class_weights(table(spark, sf_dir, "events"), "event_type", "purchase", 2.0, ["click", "error", "purchase", "refund", "signup", "view"])
 
 
 @query("SELECT props, count(*) AS n FROM events GROUP BY props ORDER BY n DESC, props LIMIT 10")
@@ -134,7 +136,7 @@ def top_reasons(spark, sf_dir):
 
 @query("SELECT user_id, min(value) AS low, round(avg(value), 6) AS mean, max(value) AS high, round(sqrt(avg(value * value)), 6) AS rms, bool_or(abs(value) >= 400) AS clipped FROM events GROUP BY user_id")
 def value_summary(spark, sf_dir):
-    return report.summary(table(spark, sf_dir, "events"), "user_id", "value")
+    return report.summary(table(spark, sf_dir, "events"), "user_id", "value", 400.0)
 
 
 @query("WITH w AS (SELECT * FROM (VALUES ('en', 700), ('de', 100), ('it', 50)) t(lang, want)), h AS (SELECT lang, count(*) AS have FROM documents GROUP BY lang) SELECT w.lang, coalesce(have, 0) AS have, CAST(want AS BIGINT) AS want, greatest(0, want - coalesce(have, 0)) AS missing FROM w LEFT JOIN h ON w.lang = h.lang")
@@ -195,7 +197,7 @@ def leak_hash_cross_split(spark, sf_dir):
     return gate.spanning(clips(spark, sf_dir), ["content"])
 
 
-@query(f"WITH {_CLIPS}, p AS (SELECT split, content, count(*) AS n FROM clips GROUP BY split, content) SELECT split, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_dups, sum(n - 1) > 0.02 * sum(n) AS too_many FROM p GROUP BY split")
+@query(f"WITH {_CLIPS}, p AS (SELECT split, content, count(*) AS n FROM clips GROUP BY split, content) SELECT split, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n - 1) AS BIGINT) AS n_dups FROM p GROUP BY split")
 def leak_dups_within_split(spark, sf_dir):
     return gate.duplicates_within(clips(spark, sf_dir), "content")
 
@@ -210,7 +212,7 @@ def leak_composite_span(spark, sf_dir):
     return gate.spanning(clips(spark, sf_dir), ["source", "lang"])
 
 
-@query(f"WITH {_CLIPS}, p AS (SELECT session, max(CAST(split = 'test' AS INTEGER)) AS t, max(CAST(split <> 'test' AS INTEGER)) AS o FROM clips GROUP BY session) SELECT CAST(coalesce(sum(t * o), 0) AS BIGINT) AS n_mixed, CASE WHEN count(*) > 0 AND coalesce(max(t), 0) = 0 THEN 1 ELSE 0 END AS none_in_test FROM p")
+@query(f"WITH {_CLIPS}, p AS (SELECT session, max(CAST(split = 'test' AS INTEGER)) AS t, max(CAST(split <> 'test' AS INTEGER)) AS o FROM clips GROUP BY session) SELECT CAST(coalesce(sum(t * o), 0) AS BIGINT) AS n_mixed, CASE WHEN count(*) > 0 AND coalesce(max(t), 0) = 0 THEN 1 ELSE 0 END AS none_in_test, CAST(coalesce(sum(t), 0) AS BIGINT) AS n_in_test FROM p")
 def leak_session_quarantine(spark, sf_dir):
     return gate.quarantine(clips(spark, sf_dir), "session")
 
@@ -228,7 +230,7 @@ _GATE_ROWS = f"""WITH {_CLIPS}, t AS (SELECT * FROM clips WHERE split = 'test'),
 n AS (SELECT count(*) AS n_test, count(*) FILTER (WHERE positive) AS n_pos FROM t),
 checks AS (
 SELECT 'hash_in_two_splits' AS "check", {_span_sql('content')} AS n_bad, 'fail' AS kind
-UNION ALL SELECT 'duplicates_within_split', (SELECT count(*) FROM (SELECT split FROM (SELECT split, content, count(*) AS n FROM clips GROUP BY split, content) GROUP BY split HAVING sum(n - 1) > 0.02 * sum(n))), 'fail'
+UNION ALL SELECT 'duplicates_within_split', (SELECT CAST((SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM clips GROUP BY split, content)) > 0.02 * (SELECT count(*) FROM clips) AS BIGINT)), 'fail'
 UNION ALL SELECT 'voice_in_two_splits', {_span_sql('source')}, 'fail'
 UNION ALL SELECT 'session_in_test_and_elsewhere', (SELECT CAST(coalesce(sum(t * o), 0) AS BIGINT) FROM p), 'fail'
 UNION ALL SELECT 'no_session_in_test', (SELECT CASE WHEN count(*) > 0 AND coalesce(max(t), 0) = 0 THEN 1 ELSE 0 END FROM p), 'fail'
@@ -237,9 +239,10 @@ UNION ALL SELECT 'voice_text_in_two_splits', {_span_sql('source, content')}, 'fa
 UNION ALL SELECT 'synthetic_positive_in_test', (SELECT count(*) FROM t WHERE synthetic AND positive), 'fail'
 UNION ALL SELECT 'augmented_in_test', (SELECT count(*) FROM t WHERE augmentation NOT IN ('none', 'mic_band', '')), 'fail'
 UNION ALL SELECT 'test_empty', (SELECT CAST(n_test = 0 AS BIGINT) FROM n), 'fail'
-UNION ALL SELECT 'test_without_positives', (SELECT CAST(n_pos = 0 AS BIGINT) FROM n), 'fail'
-UNION ALL SELECT 'few_test_positives', (SELECT CAST(n_pos > 0 AND n_pos < 100 AS BIGINT) FROM n), 'warn'
-UNION ALL SELECT 'very_few_test_positives', (SELECT CAST(n_pos > 0 AND n_pos < 20 AS BIGINT) FROM n), 'warn')
+UNION ALL SELECT 'test_without_positives', (SELECT CAST(n_test > 0 AND n_pos = 0 AS BIGINT) FROM n), 'fail'
+UNION ALL SELECT 'very_few_test_positives', (SELECT CAST(n_test > 0 AND n_pos < 20 AS BIGINT) FROM n), 'warn'
+UNION ALL SELECT 'few_test_positives', (SELECT CAST(n_test > 0 AND n_pos BETWEEN 20 AND 99 AS BIGINT) FROM n), 'warn'
+UNION ALL SELECT 'one_short_test_session', (SELECT CAST((SELECT coalesce(sum(t), 0) FROM p) = 1 AND n_pos < 20 AS BIGINT) FROM n), 'warn')
 """
 
 
@@ -411,11 +414,31 @@ def qc_rule_flags(spark, sf_dir):
     return flagged.select("event_id", F.concat_ws("+", "fails").alias("fails"), F.concat_ws("+", "warns").alias("warns"), "status")
 
 
-@query("SELECT event_id, CASE WHEN value < 1 THEN 'too_quiet' WHEN value NOT BETWEEN 10 AND 250 THEN 'span_out_of_range' WHEN event_type = 'error' THEN 'lost_blocks' ELSE 'accepted' END AS verdict FROM events")
+_TAKES = """t AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'speech' ELSE 'ambient' END AS content, value * 9 AS span_ms, value / 5 AS snr_db,
+CASE WHEN event_id % 41 <> 0 THEN value / 2 - 45 END AS peak_db, event_id % 7 = 0 AS truncated, event_id % 5 <> 0 AS fits, value / 30 AS deviation, value / 20 AS p95, CASE WHEN event_id % 11 = 0 THEN 'nan'::DOUBLE ELSE value / 9 END AS modulation, 's' || (user_id % 9) AS session FROM events),
+v AS (SELECT *, CASE WHEN peak_db IS NULL THEN 'too_short_to_assess'
+ WHEN content = 'ambient' THEN CASE WHEN deviation > 1.5 OR p95 > 2.7 OR (NOT isnan(modulation) AND modulation > 5) THEN 'speech_detected' ELSE 'usable' END
+ WHEN content = 'speech' THEN CASE WHEN snr_db < 6 THEN 'no_speech' WHEN span_ms < 150 THEN 'barely_any' WHEN peak_db < -30 THEN 'too_quiet' ELSE 'usable' END
+ WHEN span_ms BETWEEN 250 AND 880 AND fits THEN CASE WHEN peak_db < -30 THEN 'usable_but_quiet' ELSE 'usable' END
+ WHEN snr_db < 6 THEN 'no_speech' WHEN truncated THEN 'cut_off' WHEN peak_db < -30 THEN 'too_quiet' WHEN span_ms < 250 THEN 'too_short' WHEN span_ms > 880 THEN 'too_long' ELSE 'does_not_fit' END AS verdict FROM t)"""
+
+
+def takes(spark, sf_dir):
+    """Events as measured takes."""
+    v, i = F.col("value"), F.col("event_id")
+    t = F.struct((v * 9).alias("span_ms"), (v / 5).alias("snr_db"), F.when(i % 41 != 0, v / 2 - 45).alias("peak_db"), (i % 7 == 0).alias("truncated"), (i % 5 != 0).alias("fits"), (v / 30).alias("deviation"), (v / 20).alias("p95"), F.when(i % 11 == 0, F.lit(float("nan"))).otherwise(v / 9).alias("modulation"))
+    content = F.when(i % 3 == 0, "keyword").when(i % 3 == 1, "speech").otherwise("ambient")
+    return table(spark, sf_dir, "events").select("event_id", content.alias("content"), t.alias("t"), "value", F.concat(F.lit("s"), (F.col("user_id") % 9).cast("string")).alias("session"))
+
+
+@query(f"WITH {_TAKES} SELECT event_id, verdict FROM v")
 def take_verdict(spark, sf_dir):
-    v = F.col("value")
-    rules = [(v < 1, "too_quiet"), (~v.between(10, 250), "span_out_of_range"), (F.col("event_type") == "error", "lost_blocks")]
-    return table(spark, sf_dir, "events").select("event_id", quality.first_match(rules, "accepted").alias("verdict"))
+    return clip_qc.take_verdicts(takes(spark, sf_dir), "content").select("event_id", "verdict")
+
+
+@query(f"WITH {_TAKES}, p AS (SELECT session, content, verdict, count(*) AS n, sum(span_ms / 9) AS s FROM v GROUP BY ALL), w AS (SELECT session, content, verdict, n, row_number() OVER (PARTITION BY session, content ORDER BY n DESC, verdict DESC) AS k FROM p WHERE NOT starts_with(verdict, 'usable')), a AS (SELECT session, content, CAST(sum(n) AS BIGINT) AS n_takes, CAST(coalesce(sum(n) FILTER (WHERE starts_with(verdict, 'usable')), 0) AS BIGINT) AS n_usable, round(coalesce(sum(s) FILTER (WHERE starts_with(verdict, 'usable')), 0.0), 6) AS usable_seconds FROM p GROUP BY session, content) SELECT a.session, a.content, n_takes, n_usable, usable_seconds, w.verdict AS top_reason, coalesce(w.n, 0) AS n_top FROM a LEFT JOIN w ON w.session = a.session AND w.content = a.content AND k = 1")
+def recording_audit(spark, sf_dir):
+    return clip_qc.session_tallies(clip_qc.take_verdicts(takes(spark, sf_dir), "content"), "session", "content", "verdict", "value")
 
 
 @query("SELECT d.doc_id, CASE WHEN e.event_id IS NOT NULL THEN CAST(json_extract_string(e.props, '$.k') AS INTEGER) END AS k, CASE WHEN e.event_id IS NULL THEN 'missing' ELSE 'ok' END AS side_state, CASE WHEN e.event_id IS NOT NULL THEN 'k' || json_extract_string(e.props, '$.k') WHEN regexp_matches(source, '1$') THEN 'ambient' WHEN regexp_matches(source, '[2-4]$') THEN 'speech' ELSE 'keyword' END AS content FROM documents d LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) e ON e.event_id = d.doc_id")
@@ -456,9 +479,47 @@ def level_gain(spark, sf_dir):
     return e.select("vec_id", F.round("peak", 6).alias("peak_db"), F.round(F.when(F.col("peak") <= -45, 1.0).otherwise(F.pow(F.lit(10.0), (-6 - F.col("peak")) / 20)), 6).alias("gain"))
 
 
-@query()
+#: A clip of a second that repeats each vector; 64 samples divide the hop, so all its frames hold the same samples.
+_MEL = """WITH w AS (SELECT range AS j, 0.5 - 0.5 * cos(2 * pi() * range / 400) AS w FROM range(400)),
+x AS (SELECT vec_id, j, embedding[j % 64 + 1]::DOUBLE * w AS x FROM embeddings, w),
+f AS (SELECT vec_id, k, pow(sum(x * cos(2 * pi() * k * j / 512)), 2) + pow(sum(x * sin(2 * pi() * k * j / 512)), 2) AS p FROM x, (SELECT range AS k FROM range(257)) GROUP BY vec_id, k),
+e AS (SELECT range AS b, 700 * (pow(10, (2595 * log10(1 + 125 / 700) + range * (2595 * log10(1 + 7500 / 700) - 2595 * log10(1 + 125 / 700)) / 41) / 2595) - 1) AS hz FROM range(42)),
+t AS (SELECT m.b - 1 AS b, k, greatest(0, least((k * 31.25 - l.hz) / (m.hz - l.hz), (h.hz - k * 31.25) / (h.hz - m.hz))) AS g FROM e l, e m, e h, (SELECT range AS k FROM range(257)) WHERE m.b = l.b + 1 AND h.b = l.b + 2),
+m AS (SELECT vec_id, b, ln(greatest(sum(p * g), 1e-10)) AS m FROM f JOIN t ON t.k = f.k WHERE g > 0 GROUP BY vec_id, b)
+"""
+
+
+def _clip(kernel, n: int):
+    import numpy as np
+
+    return lambda x: kernel(np.resize(x, n))
+
+
+@query(_MEL + "SELECT vec_id, frame, CAST(c AS INTEGER) AS coefficient, round(v, 2) + 0.0 AS value FROM (SELECT vec_id, c, sum(m * sqrt(2 / 40) * CASE WHEN c = 0 THEN sqrt(0.5) ELSE 1 END * cos(pi() * c * (b + 0.5) / 40)) AS v FROM m, (SELECT range AS c FROM range(13)) GROUP BY vec_id, c), (SELECT CAST(range AS INTEGER) AS frame FROM range(49))")
 def mel_dct_features(spark, sf_dir):
-    """Features of each vector repeated to a short clip: frames x coefficients, rounded."""
+    """49 x 13 features of each vector repeated to a clip of one second."""
+    from ..functions import signal
+
+    ship(spark)
+    run = signal.on_clips(_clip(signal.features, signal.CLIP), "array<array<double>>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(run(F.col("embedding").cast("array<double>"))).alias("frame", "f"))
+    return rows.select("vec_id", "frame", F.posexplode("f").alias("coefficient", "v")).select("vec_id", "frame", "coefficient", F.round("v", 2).alias("value"))
+
+
+@query(_MEL + "SELECT vec_id, CAST(b AS INTEGER) AS band, round(m, 4) + 0.0 AS level FROM m")
+def log_mel_bands(spark, sf_dir):
+    """The bands before the cosine transform, of one frame."""
+    from ..functions import signal
+
+    ship(spark)
+    run = signal.on_clips(_clip(lambda x: signal.log_mel(x)[0], signal.FRAME), "array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(run(F.col("embedding").cast("array<double>"))).alias("band", "v"))
+    return rows.select("vec_id", "band", F.round("v", 4).alias("level"))
+
+
+@query("WITH s AS (SELECT vec_id, k // 128 AS slice, k % 128 AS j, embedding[k % 64 + 1]::DOUBLE * (1 + k // 100) * (0.5 - 0.5 * cos(2 * pi() * (k % 128) / 127)) AS x FROM embeddings, (SELECT range AS k FROM range(1024))), f AS (SELECT vec_id, slice, h, sqrt(pow(sum(x * cos(2 * pi() * h * j / 128)), 2) + pow(sum(x * sin(2 * pi() * h * j / 128)), 2)) AS a FROM s, (SELECT range AS h FROM range(65)) GROUP BY vec_id, slice, h), g AS (SELECT vec_id, slice, b, ln(avg(a) + 1e-12) AS v FROM f, (SELECT range AS b FROM range(16)) WHERE h >= floor(b * 65 / 16) AND h < floor((b + 1) * 65 / 16) GROUP BY vec_id, slice, b) SELECT vec_id, CAST(slice * 16 + b AS INTEGER) AS place, round(v - avg(v) OVER (PARTITION BY vec_id), 4) + 0.0 AS value FROM g")
+def clip_fingerprint(spark, sf_dir):
+    """Fingerprints of clips of 1024 samples that repeat each vector ever louder."""
     import numpy as np
 
     from ..functions import signal
@@ -466,10 +527,99 @@ def mel_dct_features(spark, sf_dir):
     ship(spark)
 
     def kernel(x):
-        return signal.features(np.resize(x, 1600), 1600).round(4)
+        return signal.fingerprint(np.resize(x, 1024) * (1 + np.arange(1024) // 100))
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(signal.on_clips(kernel, "array<double>")(F.col("embedding").cast("array<double>"))).alias("place", "v"))
+    return rows.select("vec_id", "place", F.round("v", 4).alias("value"))
+
+
+def _section_sql(sos, source: str, name: str) -> str:
+    """CTEs that pass the series ``source`` (vec_id, j, x) through second-order sections, sample by sample."""
+    out, previous = [], source
+    for k, (b0, b1, b2, a1, a2) in enumerate(sos):
+        own = f"{name}{k}"
+        step = f"{b0!r}::DOUBLE * s.x + {b1!r}::DOUBLE * r.x1 + {b2!r}::DOUBLE * r.x2 - ({a1!r}::DOUBLE) * r.x - ({a2!r}::DOUBLE) * r.y1"
+        out.append(f"{own}_r AS (SELECT vec_id, 0 AS j, {b0!r}::DOUBLE * x AS x, x AS x1, 0::DOUBLE AS x2, 0::DOUBLE AS y1 FROM {previous} WHERE j = 0 UNION ALL SELECT s.vec_id, s.j, {step}, s.x, r.x1, r.x FROM {own}_r r JOIN {previous} s ON s.vec_id = r.vec_id AND s.j = r.j + 1), {own} AS (SELECT vec_id, j, x FROM {own}_r)")
+        previous = own
+    return ", ".join(out)
+
 
-    run = signal.on_clips(kernel, "array<array<float>>")
-    return table(spark, sf_dir, "embeddings").select("vec_id", run(F.col("embedding").cast("array<double>")).alias("features"))
+def _sections(kind, order, *corners):
+    from ..functions import signal
+
+    return [tuple(map(float, s)) for s in signal.sections(kind, order, *corners)]
+
+
+#: Clips of 640 samples of 16 bits: each vector ten times, the fourth time near silence, the seventh as exact zeros, a constant beneath by label.
+_CLIP640 = "raw AS (SELECT vec_id, j, label, CASE WHEN j // 64 = 6 THEN 0 ELSE CAST(round_even(least(greatest(embedding[j % 64 + 1]::DOUBLE * CASE WHEN j // 64 = 3 THEN 0.001 ELSE 0.5 + label END + label * 0.01, -1.0), 32767 / 32768) * 32768, 0) AS BIGINT) END AS q FROM embeddings, (SELECT CAST(range AS INTEGER) AS j FROM range(640))), s0 AS (SELECT vec_id, j, q / 32768.0::DOUBLE AS x FROM raw)"
+_DB = "20 * log10(greatest({}, 1e-12))"
+_QC = f"""WITH RECURSIVE {_CLIP640}, {_section_sql(_sections('high', 4, 125.0), 's0', 'hp')},
+passed AS (SELECT vec_id, avg(x) AS offs, sqrt(avg(x * x)) AS rms FROM hp1 GROUP BY vec_id),
+z AS (SELECT vec_id, max(n) AS run FROM (SELECT vec_id, g, count(*) AS n FROM (SELECT vec_id, q, j - row_number() OVER (PARTITION BY vec_id, q = 0 ORDER BY j) AS g FROM raw) WHERE q = 0 GROUP BY vec_id, g) GROUP BY vec_id),
+l AS (SELECT vec_id, 100.0 * avg(CAST(e < 1e-5 AS INTEGER)) AS silence FROM (SELECT vec_id, j // 320 AS f, avg(x * x) AS e FROM s0 GROUP BY vec_id, j // 320) GROUP BY vec_id),
+m AS (SELECT vec_id, max(label) AS label, sqrt(avg((q / 32768.0) * (q / 32768.0))) AS rms, max(abs(q)) / 32768.0 AS peak, avg(q / 32768.0) AS offs, 100.0 * avg(CAST(abs(q) >= 32767 AS INTEGER)) AS clipped, bool_and(q % 2 = 0) AS even FROM raw GROUP BY vec_id),
+k AS (SELECT m.*, coalesce(1000.0 * z.run / 16000, 0) AS zero_run, silence, passed.offs AS passed_offs FROM m LEFT JOIN z ON z.vec_id = m.vec_id JOIN l ON l.vec_id = m.vec_id JOIN passed ON passed.vec_id = m.vec_id)
+SELECT vec_id, round({_DB.format('rms')}, 4) AS rms_db, round({_DB.format('peak')}, 4) AS peak_db, round(offs, 6) + 0.0 AS offset_raw, round(passed_offs, 6) + 0.0 AS offset_passed, round(clipped, 4) AS clipped_pct, round(zero_run, 4) AS zero_run_ms, round(silence, 4) AS silence_pct,
+concat_ws('+', CASE WHEN clipped > 0.1 THEN 'clipping' END, CASE WHEN zero_run > 3.9 AND silence < 95 THEN 'zero_run' END, CASE WHEN abs(passed_offs) > 0.002 THEN 'offset' END, CASE WHEN even AND {_DB.format('peak')} > -60 THEN 'all_even' END, CASE WHEN abs(offs) > 0.02 THEN 'raw_offset' END, CASE WHEN abs(100.0 * (640 - (636 + label)) / (636 + label)) > 0.4 THEN 'length' END) AS fails,
+concat_ws('+', CASE WHEN {_DB.format('rms')} < -40 THEN 'quiet' END, CASE WHEN {_DB.format('rms')} > -6 THEN 'hot' END) AS warns FROM k"""
+
+
+@query(_QC)
+def clip_qc_rules(spark, sf_dir):
+    """Measures and rules of clips made of vectors; the bounds of zero runs and lengths are brought down to clips of 40 ms."""
+    import numpy as np
+
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def clip(v, label):
+        def one(x, k):
+            x = np.resize(np.asarray(x, float), 640) * np.repeat(np.where(np.arange(10) == 3, 0.001, 0.5 + k), 64) + k * 0.01
+            x[384:448] = 0
+            return np.clip(x, -1.0, 32767 / 32768).tolist()
+
+        return v.combine(label, one)
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", clip(F.col("embedding").cast("array<double>"), F.col("label")).alias("samples"), F.lit(16_000).alias("rate"))
+    out = clip_qc.clip_rules(clip_qc.measured(e), expected=636 + F.col("label"), zero_run_ms=3.9, tolerance=0.4)
+    m = lambda c, d: F.round(f"m.{c}", d)
+    return out.select("vec_id", m("rms_db", 4).alias("rms_db"), m("peak_db", 4).alias("peak_db"), m("offset_raw", 6).alias("offset_raw"), m("offset", 6).alias("offset_passed"), m("clipped_pct", 4).alias("clipped_pct"), m("zero_run_ms", 4).alias("zero_run_ms"), m("silence_pct", 4).alias("silence_pct"), F.concat_ws("+", "fails").alias("fails"), F.concat_ws("+", "warns").alias("warns"))
+
+
+_CHAIN = f"""WITH RECURSIVE s0 AS (SELECT vec_id, CAST(j AS INTEGER) AS j, embedding[j + 1]::DOUBLE * CASE WHEN vec_id % 4 = 3 THEN 0.0005 ELSE 1 END AS x FROM embeddings, (SELECT range AS j FROM range(64))), {_section_sql(_sections('high', 2, 70.0) + _sections('low', 2, 7600.0), 's0', 'mb')},
+g AS (SELECT vec_id, j, vec_id % 5 = 0 AS test, x * CASE WHEN vec_id % 5 <> 0 AND vec_id % 3 = 0 THEN pow(10, (vec_id % 13 - 6) / 20) ELSE 1 END AS x FROM mb1),
+p AS (SELECT vec_id, max(abs(x)) AS peak FROM g GROUP BY vec_id), h AS (SELECT g.vec_id, j, test, peak, CASE WHEN NOT test AND peak > 0.99 THEN x * 0.99 / peak ELSE x END AS x FROM g JOIN p ON p.vec_id = g.vec_id),
+r AS (SELECT vec_id, {_DB.format('sqrt(avg(x * x))')} AS db FROM h GROUP BY vec_id)
+SELECT h.vec_id, h.j AS place, round(CASE WHEN NOT test AND db < -55 AND peak > 1e-6 THEN x * pow(10, least(24, -45 - db) / 20) ELSE x END, 6) + 0.0 AS value, CASE WHEN NOT test AND h.vec_id % 3 = 0 THEN 'mic_band+gain' ELSE 'mic_band' END AS steps FROM h JOIN r ON r.vec_id = h.vec_id"""
+
+
+@query(_CHAIN)
+def augmentation_chain(spark, sf_dir):
+    """Each vector as a clip through the chain: every fifth of the test split, every third with a gain, every fourth faint."""
+    import numpy as np
+    import pandas as pd
+
+    from ..functions import signal
+
+    ship(spark)
+
+    @F.pandas_udf("samples array<double>, steps string")
+    def run(v, key):
+        out = [signal.augmented(np.asarray(x, float) * (0.0005 if k % 4 == 3 else 1), "test" if k % 5 == 0 else "train", gain_db=float(k % 13 - 6) if k % 3 == 0 else None) for x, k in zip(v, key)]
+        return pd.DataFrame({"samples": [x.tolist() for x, _ in out], "steps": [s for _, s in out]})
+
+    e = table(spark, sf_dir, "embeddings").select("vec_id", run(F.col("embedding").cast("array<double>"), F.col("vec_id")).alias("a"))
+    return e.select("vec_id", "a.steps", F.posexplode("a.samples").alias("place", "v")).select("vec_id", "place", F.round("v", 6).alias("value"), "steps")
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE * 20 AS v FROM embeddings), b AS (SELECT vec_id, quantile_cont(v, 0.2) AS floor, max(v) AS high FROM x GROUP BY vec_id) SELECT x.vec_id, count(*) FILTER (WHERE v > floor + greatest(6.0, (high - floor) * 0.35)) AS n_speech, count(*) AS n FROM x JOIN b ON b.vec_id = x.vec_id GROUP BY x.vec_id")
+def speech_frames(spark, sf_dir):
+    """Frames of the utterance, with vectors as frame levels."""
+    from ..functions import signal
+
+    ship(spark)
+    run = signal.on_clips(lambda x: int(signal.speech_frames(20 * x).sum()), "long")
+    return table(spark, sf_dir, "embeddings").select("vec_id", run(F.col("embedding").cast("array<double>")).alias("n_speech"), F.size("embedding").cast("long").alias("n"))
 
 
 # --- streams -------------------------------------------------------------------------------------
@@ -477,11 +627,7 @@ def mel_dct_features(spark, sf_dir):
 
 def _replayed(spark, sf_dir, make, mode: str = "append") -> DataFrame:
     """A streaming query over the events file, run over all that is there, its rows written by each batch and read back."""
-    import tempfile
-    import uuid
-
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidewater-stream-")
-    top = f"{top.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    top = shared_path(spark, "streams")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     out = make(stream)
@@ -502,14 +648,40 @@ def stream_refractory(spark, sf_dir):
     return out.select(F.col("stream").alias("user_id"), F.round("fire", 6).alias("fire"), "fired_tie")
 
 
-@query()
+@query("WITH g AS (SELECT user_id, greatest(event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) + 1, 0), 0) AS g FROM events) SELECT user_id AS stream, count(*) AS seen, count(*) FILTER (WHERE g > 0) AS gaps, CAST(sum(g) AS BIGINT) AS lost FROM g GROUP BY user_id")
 def stream_sequence_loss(spark, sf_dir):
     from ..streaming import stateful
 
-    out = _replayed(spark, sf_dir, lambda events: stateful.loss(events.select("user_id", "event_id"), "user_id", "event_id"), "update")
+    out = _replayed(spark, sf_dir, lambda events: stateful.loss(events.select("user_id", "event_id"), "user_id", "event_id", "event_id"), "update")
     return out.groupBy("stream").agg(F.max("seen").alias("seen"), F.max("gaps").alias("gaps"), F.max("lost").alias("lost"))
 
 
+@query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, sum(CAST(event_id % 17 = 0 AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS part FROM events), g AS (SELECT user_id, coalesce(part, 0) AS part, event_id, greatest(event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id, coalesce(part, 0) ORDER BY event_id) + 1, 0), 0) AS g FROM e) SELECT user_id AS stream, count(*) AS seen, count(*) FILTER (WHERE g > 0) AS gaps, CAST(sum(g) AS BIGINT) AS lost FROM g GROUP BY user_id, part HAVING max(event_id) % 17 = 0")
+def stream_last_block(spark, sf_dir):
+    """Streams that a flagged row ends: the accounts of those that ended."""
+    from ..streaming import stateful
+
+    def make(events):
+        return stateful.loss(events.select("user_id", "event_id", (F.col("event_id") % 17 == 0).alias("last")), "user_id", "event_id", "event_id", "last")
+
+    return _replayed(spark, sf_dir, make, "update").where("ended").select("stream", "seen", "gaps", "lost")
+
+
+@query(f"WITH RECURSIVE {_FIRES}, s AS (SELECT event_id, user_id, t AS onset, t + 21600.0 AS offs FROM scored WHERE event_type = 'signup') SELECT s.event_id, s.user_id, round(fire, 6) AS fire, round(fire - offs, 6) AS latency FROM s JOIN fires f ON f.user_id = s.user_id AND f.fire BETWEEN s.onset AND s.offs + 1500.0")
+def stream_latency(spark, sf_dir):
+    """A stream of firings against a table of spans."""
+    from ..streaming import stateful
+
+    spans = scored(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", F.col("t").alias("onset"), (F.col("t") + 21_600.0).alias("offs"))
+
+    def make(events):
+        rows = events.select("event_id", "user_id", (epoch_micros("ts") / 1e6).alias("t"), (F.col("value") / (F.col("value") + 35) >= 0.6).alias("hit"))
+        fired = stateful.trigger(rows, "user_id", "t", "event_id", "hit", DAY).select(F.col("stream").alias("user_id"), "fire")
+        return stateful.latencies(fired, spans, "user_id", "fire", "onset", "offs", 1500.0)
+
+    return _replayed(spark, sf_dir, make).select("event_id", "user_id", F.round("fire", 6).alias("fire"), F.round("latency", 6).alias("latency"))
+
+
 # --- comparisons, plans, windows -----------------------------------------------------------------
 
 
@@ -567,8 +739,120 @@ def sliding_window_counts(spark, sf_dir):
     return w.select("event_type", F.floor(epoch_micros("start") / 1_000_000).cast("long").alias("start"), "n")
 
 
-@query("SELECT doc_id, len(string_split(a, '+')) AS n_steps, list_contains(string_split(a, '+'), 'noise') AS noisy FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'mic_band+gain' ELSE 'mic_band+gain+noise' END AS a FROM documents)")
-def augmentation_steps(spark, sf_dir):
-    a = F.when(F.col("doc_id") % 3 == 0, "none").when(F.col("doc_id") % 3 == 1, "mic_band+gain").otherwise("mic_band+gain+noise")
-    steps = F.split(a, r"\+")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(steps).cast("long").alias("n_steps"), F.array_contains(steps, "noise").alias("noisy"))
+# --- reports of evaluation --------------------------------------------------------------------------
+
+_TIERS = {"positives - real": "truth AND NOT synthetic", "positives - synthetic": "truth AND synthetic", "views": "event_type = 'view'", "clicks": "event_type = 'click'", "errors": "event_type = 'error'", "signups": "event_type = 'signup'", "refunds": "event_type = 'refund'"}
+_WILSON = "round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS low, round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) AS high"
+
+
+@query(f"WITH {_SCORED}, s AS (SELECT *, user_id % 3 = 0 AS synthetic FROM scored), r AS (" + " UNION ALL ".join(f"SELECT '{k}' AS subset, score, user_id, props FROM s WHERE {v}" for k, v in _TIERS.items()) + f"), c AS (SELECT subset, starts_with(subset, 'positives') AS pos, count(*) AS n, count(*) FILTER (WHERE score >= 0.5) AS fired, count(DISTINCT user_id || '|' || props) AS u FROM r GROUP BY subset), w AS (SELECT *, CASE WHEN pos THEN fired ELSE n - fired END AS k, k / n AS p, 1.96 AS z FROM c) SELECT subset, n, fired, CASE WHEN pos THEN 'recall' ELSE 'correct_reject' END AS metric, k, round(p, 6) AS rate, {_WILSON}, CASE WHEN pos THEN u END AS n_utterances FROM w")
+def evaluation_tiers(spark, sf_dir):
+    s = scored(spark, sf_dir).withColumn("synthetic", F.col("user_id") % 3 == 0)
+    return evaluation.tiers(s, {k: F.expr(v) for k, v in _TIERS.items()}, ["positives - real", "positives - synthetic"], "score", 0.5, ["user_id", "props"])
+
+
+@query(f"WITH {_SCORED}, b AS (SELECT 'first' AS model, truth, score FROM scored UNION ALL SELECT 'second', truth, value / (value + 60) FROM scored), g AS (SELECT round(0.05::DOUBLE * range, 2) AS threshold FROM range(1, 20)), c AS (SELECT model, threshold, count(*) FILTER (WHERE truth AND score >= threshold) AS k, count(*) FILTER (WHERE truth) AS n, count(*) FILTER (WHERE NOT truth AND score >= threshold) AS fa, count(*) FILTER (WHERE NOT truth) AS m FROM b, g GROUP BY ALL), w AS (SELECT *, k / n AS p, 1.96 AS z FROM c) SELECT model, threshold, round(p, 6) AS recall, {_WILSON}, round(fa / m, 6) AS far FROM w")
+def model_curves(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    both = splits.union([s.select(F.lit("first").alias("model"), "truth", "score"), s.select(F.lit("second").alias("model"), "truth", (F.col("value") / (F.col("value") + 60)).alias("score"))])
+    return evaluation.model_curves(both, "model", "score", "truth")
+
+
+@query("WITH x AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) - 1 AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT dim, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x WHERE vec_id % 5 < 3 GROUP BY dim), c AS (SELECT x.dim, avg(v) FILTER (WHERE label = 0) AS ma, avg(v) FILTER (WHERE label = 1) AS mb, var_samp(v) FILTER (WHERE label = 0) AS va, var_samp(v) FILTER (WHERE label = 1) AS vb, count(v) FILTER (WHERE label = 0) AS na, count(v) FILTER (WHERE label = 1) AS nb, avg(round((v - m) / s, 4)) FILTER (WHERE label = 0) AS za, avg(round((v - m) / s, 4)) FILTER (WHERE label = 1) AS zb FROM x JOIN n ON n.dim = x.dim GROUP BY x.dim), d AS (SELECT dim, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d, za, zb FROM c) SELECT round(avg(abs(d)), 6) AS mean_abs_d, (SELECT CAST(dim AS INTEGER) FROM d ORDER BY abs(d) DESC, dim LIMIT 1) AS worst_dim, round(avg(d) FILTER (WHERE dim >= 40) - avg(d) FILTER (WHERE dim < 16), 6) AS tilt, round(sqrt(avg((zb - za) * (zb - za))), 6) AS displacement FROM d")
+def domain_shift(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    z = evaluation.znorm(e, "dim", "x", "vec_id % 5 < 3").groupBy("dim").agg(F.avg(F.when(F.col("label") == 0, F.col("z"))).alias("za"), F.avg(F.when(F.col("label") == 1, F.col("z"))).alias("zb"))
+    return evaluation.shift_report(evaluation.cohens_d(e, "dim", "x", "label", 0, 1).join(z, "dim"), "dim", "d", "za", "zb", 16, 40)
+
+
+@query(f"WITH RECURSIVE {_FIRES}, s AS (SELECT user_id, t AS onset, t + 21600.0 AS offs FROM scored WHERE event_type = 'signup') SELECT f.user_id, count(*) AS n_fires, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = f.user_id AND f.fire BETWEEN s.onset AND s.offs + 1500.0)) AS n_spurious FROM fires f GROUP BY f.user_id")
+def spurious_firings(spark, sf_dir):
+    s = scored(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("t").alias("onset"), (F.col("t") + 21_600.0).alias("offs"))
+    return sequence.spurious(s, fires(spark, sf_dir).select("user_id", "fire"), "user_id", "onset", "offs", "fire", 1500.0)
+
+
+@query(f"WITH d AS (SELECT lang, source, {_SPLIT} AS split FROM documents) SELECT 'languages' AS block, coalesce(lang, '') AS key, CAST(count(*) AS VARCHAR) AS value FROM d GROUP BY lang UNION ALL SELECT 'splits', split || '|' || coalesce(lang, ''), CAST(count(*) AS VARCHAR) FROM d GROUP BY split, lang UNION ALL SELECT 'sources', coalesce(source, ''), CAST(count(*) AS VARCHAR) FROM d GROUP BY source UNION ALL SELECT 'entities', '', CAST(count(DISTINCT source) AS VARCHAR) FROM d")
+def quality_report(spark, sf_dir):
+    d = splits.hash_split(table(spark, sf_dir, "documents").select("lang", "source"), "source")
+    counted = lambda *keys: d.groupBy(*keys).agg(F.count("*").alias("n"))
+    return report.blocks({"languages": counted("lang"), "splits": counted("split", "lang"), "sources": counted("source"), "entities": d.agg(F.count_distinct("source").alias("n"))})
+
+
+# --- plans, sets and scalars ------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS size FROM supplier) SELECT s_suppkey, s_nationkey, CASE WHEN (n - 1) % 5 < 3 THEN 'train' WHEN (n - 1) % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM r UNION ALL SELECT s_suppkey, s_nationkey, 'validation' FROM r WHERE size < 4 AND n = 1 UNION ALL SELECT s_suppkey, s_nationkey, 'test' FROM r WHERE size < 5 AND n = least(size, 3)")
+def pool_fallback(spark, sf_dir):
+    return splits.pools(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", ["s_suppkey"])
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY sha256('shuffle' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS position FROM documents")
+def seeded_shuffle(spark, sf_dir):
+    return splits.shuffled(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "shuffle").select("doc_id", "position")
+
+
+@query("SELECT p_partkey, model, CAST(take AS INTEGER) AS take FROM part, (VALUES ('one', 4), ('two', 2), ('three', 1)) m(model, k), (SELECT range AS take FROM range(4)) WHERE take < k")
+def plan_product(spark, sf_dir):
+    return splits.product(table(spark, sf_dir, "part").select("p_partkey"), splits.shares(6, {"one": 7.0, "two": 3.0, "three": 0.2}))
+
+
+@query("SELECT DISTINCT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang IN ('de', 'es')")
+def undeclared_ids(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return splits.difference(d.where("lang = 'en'"), d.where("lang in ('de', 'es')"), ["source"])
+
+
+@query("SELECT doc_id, 'clips/' || lang || '/' || doc_id || '.wav' AS path FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE 'clips/en/' || l.doc_id || '.wav' = 'clips/' || d.lang || '/' || d.doc_id || '.wav')")
+def existing_files(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("clips/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"))
+    listing = table(spark, sf_dir, "labels").select(F.concat(F.lit("clips/en/"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("path"))
+    return splits.existing(d, F.col("path"), listing)
+
+
+@query("SELECT p_partkey, p_type FROM part WHERE p_size <= 25 AND p_type IN (SELECT p_type FROM part WHERE p_partkey < 4)")
+def protocol_blocks(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type", F.when(F.col("p_size") <= 25, "positive").otherwise("negative").alias("kind"))
+    names = [r["p_type"] for r in p.where("p_partkey < 4").select("p_type").distinct().collect()]  # three rows
+    return splits.chosen_blocks(p, "p_type", "kind", only=names, positives_only=True).select("p_partkey", "p_type")
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'), '\\s{2,}', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS plain, array_to_string(regexp_extract_all(text, '(?m)^([A-Z][a-z]+)', 1), '+') AS heads FROM documents")
+def text_scalars(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", scalars.ascii_only(F.col("text")).alias("plain"), F.concat_ws("+", scalars.found_all(F.col("text"), "^([A-Z][a-z]+)")).alias("heads"))
+
+
+def _seed_sql(key: str, size: int) -> str:
+    turned = " || ".join(f"substr(h, {2 * k + 1}, 2)" for k in reversed(range(size)))
+    return f"CAST(CAST('0x' || {turned} AS UBIGINT) AS VARCHAR)"
+
+
+@query(f"SELECT doc_id, {_seed_sql('h', 8)} AS seed8, {_seed_sql('h', 4)} AS seed4 FROM (SELECT doc_id, sha256('20260910|' || CAST(doc_id AS VARCHAR)) AS h FROM documents)")
+def hash_seeds(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", scalars.seed(F.col("doc_id"), "20260910|").cast("string").alias("seed8"), scalars.seed(F.col("doc_id"), "20260910|", 4).cast("string").alias("seed4"))
+
+
+@query("SELECT p_partkey, 16000 // gcd(16000, p_size * 100 + 50) AS up, (p_size * 100 + 50) // gcd(16000, p_size * 100 + 50) AS down FROM part")
+def resample_ratio(spark, sf_dir):
+    rate = (F.col("p_size") * 100 + 50).cast("long")
+    p = table(spark, sf_dir, "part").select("p_partkey", rate.alias("r"), scalars.gcd(F.lit(16_000), rate).alias("g"))
+    return p.select("p_partkey", F.expr("16000 div g").alias("up"), F.expr("r div g").alias("down"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y%m%d_%H%M%S') AS stamp, CASE WHEN event_id % 7 > 0 THEN round(value, 1) END AS level, round(CASE WHEN event_id % 9 > 0 THEN 100.0 * (value * 1000 / (event_id % 9) - 16000) / 16000 ELSE -100.0 END, 4) AS deviation FROM events")
+def record_scalars(spark, sf_dir):
+    v, k = F.col("value"), F.col("event_id")
+    return table(spark, sf_dir, "events").select("event_id", scalars.iso_utc(F.col("ts")).alias("iso"), scalars.stamp(F.col("ts")).alias("stamp"), scalars.blank_rounded(F.when(k % 14 == 0, F.lit(float("nan"))).when(k % 7 > 0, v)).alias("level"), F.round(scalars.deviation_percent(v * 1000, (k % 9) * 1_000_000), 4).alias("deviation"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey & 255 AS low, l_partkey >> 8 AS high, l_partkey & 1 <> 0 AS overrun, l_partkey & 2 <> 0 AS first, l_partkey & 4 <> 0 AS last FROM lineitem")
+def bit_scalars(spark, sf_dir):
+    k = F.col("l_partkey")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", k.bitwiseAND(F.lit(255)).alias("low"), F.shiftright(k, 8).alias("high"), *scalars.flags(k, overrun=1, first=2, last=4))
+
+
+@query("SELECT event_id, round(700 * (pow(10, value / 2595) - 1), 6) AS hertz, round(10 * log10(value * value + 1e-12), 6) AS energy_db, round(exp(value / 500) + ln(1 + value) + sqrt(value) + abs(value - 50) + sign(value - 50) + sin(value) + cos(value), 6) AS mix FROM events")
+def math_scalars(spark, sf_dir):
+    v = F.col("value")
+    mix = F.exp(v / 500) + F.log(1 + v) + F.sqrt(v) + F.abs(v - 50) + F.sign(v - 50) + F.sin(v) + F.cos(v)
+    return table(spark, sf_dir, "events").select("event_id", F.round(scalars.hertz(v), 6).alias("hertz"), F.round(scalars.energy_decibels(v * v), 6).alias("energy_db"), F.round(mix, 6).alias("mix"))

@@ -1,4 +1,4 @@
-"""Framed sample blocks: a decoder that finds its way back after damage, and a data source over files of them.
+"""Framed sample blocks: a decoder that finds its way back after damage, a batch and a stream reader over files of them, and their accounts.
 
 A block is a 4-byte magic, a 32-bit sequence number, a 16-bit sample count, 16-bit flags, and the
 samples as 16-bit integers, all little-endian.
@@ -6,15 +6,24 @@ samples as 16-bit integers, all little-endian.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.shipping import ship
 
 #: Fixed values of the wire format.
 MAGIC, OVERRUN, FIRST, LAST = b"SIH1", 1, 2, 4
 _HEAD = struct.Struct("<4sIHH")
+#: Blocks that leave a task together.
+BLOCKS = 256
 SCHEMA = "seq long, flags int, overrun boolean, first boolean, last boolean, samples array<short>, skipped long"
+_NAMES = ["path", "place", *(f.split()[0] for f in SCHEMA.split(", "))]
+_KINDS = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.bool_(), pa.list_(pa.int16()), pa.int64()]
 
 
 def decode(raw: bytes, most: int = 4096) -> Iterator[tuple]:
@@ -40,27 +49,37 @@ def encode(seq: int, samples: list[int], flags: int = 0) -> bytes:
     return _HEAD.pack(MAGIC, seq, len(samples), flags) + struct.pack(f"<{len(samples)}h", *samples)
 
 
-class BlockSource(DataSource):
-    """``spark.read.format("blocks").load(path)``: one row a block; a path is a local or shared file, or several with commas."""
+def decoded(files: DataFrame) -> DataFrame:
+    """path, place (of the block in its file) and the columns of SCHEMA, of files as Spark's binary source reads them, wherever they lie."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                rows = decode(content.as_buffer().to_pybytes())
+                at = 0
+                while some := list(itertools.islice(rows, BLOCKS)):
+                    place = [(path, at + k, *row) for k, row in enumerate(some)]
+                    at += len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*place), _KINDS)], _NAMES)
 
-    @classmethod
-    def name(cls) -> str:
-        return "blocks"
+    return files.select("path", "content").mapInArrow(run, f"path string, place long, {SCHEMA}")
 
-    def schema(self) -> str:
-        return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"].split(","))
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    return decoded(spark.read.format("binaryFile").load(path))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+def stream(spark: SparkSession, path: str, files_a_batch: int = 64) -> DataFrame:
+    """The blocks of files as they arrive."""
+    return decoded(spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", files_a_batch).load(path))
 
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value.removeprefix("file://"), "rb") as f:
-            yield from decode(f.read())
+def accounts(blocks: DataFrame, key: str = "path") -> DataFrame:
+    """By stream: blocks, samples, sequence gaps, blocks lost in them, overruns, bytes skipped, times of finding back, and whether it ended."""
+    expected = F.lag("seq").over(Window.partitionBy(key).orderBy("place")) + 1
+    lost = F.greatest(F.col("seq") - expected, F.lit(0))
+    return blocks.withColumn("_lost", F.coalesce(lost, F.lit(0))).groupBy(key).agg(
+        F.count("*").alias("blocks"), F.sum(F.size("samples")).alias("samples"), F.count_if(F.col("_lost") > 0).alias("gaps"), F.sum("_lost").alias("lost"),
+        F.count_if("overrun").alias("overruns"), F.sum("skipped").alias("skipped"), F.count_if(F.col("skipped") > 0).alias("resyncs"), F.bool_or("last").alias("ended"),
+    )

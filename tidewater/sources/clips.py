@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +23,8 @@ def scan(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
 
 
 def read_wav(raw: bytes, channels: str = "mean") -> tuple[int, np.ndarray] | None:
-    """Rate and samples in [-1, 1) of 16-bit PCM; ``channels`` is mean or first. None if it isn't such a file."""
+    """Rate and samples of 16-bit PCM, None if it isn't such a file. ``channels``: mean or first give [-1, 1); whole gives
+    the channels' mean cut to whole 16-bit numbers; raw gives all 16-bit numbers as they lie, channels by turns."""
     if raw is None or len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WAVE":
         return None
     at, form, data = 12, None, None
@@ -34,7 +38,10 @@ def read_wav(raw: bytes, channels: str = "mean") -> tuple[int, np.ndarray] | Non
     if form is None or data is None or form[0] != 1 or form[5] != 16 or not form[1]:
         return None
     n = form[1]
-    x = np.frombuffer(data[: len(data) // (2 * n) * 2 * n], "<i2").reshape(-1, n) / 32768
+    whole = np.frombuffer(data[: len(data) // (2 * n) * 2 * n], "<i2").reshape(-1, n)
+    if channels in ("raw", "whole"):
+        return form[2], (whole.ravel() if channels == "raw" else np.trunc(whole.mean(axis=1))).astype(float)
+    x = whole / 32768
     return form[2], x[:, 0] if channels == "first" else x.mean(axis=1)
 
 
@@ -57,6 +64,8 @@ def decoded(df: DataFrame, content: str = "content", channels: str = "mean") ->
 
 
 def encoded(samples: Column) -> Column:
+    """WAV bytes of arrays of samples; null stays null."""
+
     @F.pandas_udf("binary")
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else write_wav(np.asarray(v, float)))
@@ -64,6 +73,26 @@ def encoded(samples: Column) -> Column:
     return run(samples)
 
 
+def write_files(df: DataFrame, to: str, name: str = "path", samples: str = "samples") -> DataFrame:
+    """Writes each clip as a WAV file below ``to`` (a folder that all executors share, by any URI Arrow's file systems know): name and size of each, once the result is asked for. A repeated task writes the same files again."""
+    ship(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, top = fs.FileSystem.from_uri(to)
+        for batch in batches:
+            sizes = []
+            for own, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = write_wav(np.asarray(x.as_py(), float))
+                where.create_dir(f"{top}/{own}".rsplit("/", 1)[0], recursive=True)
+                with where.open_output_stream(f"{top}/{own}") as out:
+                    out.write(raw)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["name", "size"])
+
+    rows = df.where(F.col(samples).isNotNull()).select(F.col(name).alias("name"), F.col(samples).cast("array<double>").alias("x"))
+    return rows.mapInArrow(run, "name string, size long")
+
+
 def header_rate(content: Column) -> Column:
     """The sample rate straight from a canonical header's bytes."""
     return F.conv(F.hex(F.reverse(F.substring(content, 25, 4))), 16, 10).cast("int")

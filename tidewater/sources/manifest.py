@@ -59,6 +59,31 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """Records as JSON, one a line; null fields are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def _is_there(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def append_ledger(df: DataFrame, path: str, schema: str = LEDGER) -> None:
+    """Adds takes to a ledger of CSV files. Its header is written once, by the first call, as a file of its own under ``header``; rows go under ``rows``, in the ledger's columns, null as empty."""
+    spark, fields = df.sparkSession, _fields(schema)
+    if not _is_there(spark, f"{path}/header"):
+        spark.createDataFrame([(",".join(n for n, _ in fields),)], "line string").coalesce(1).write.text(f"{path}/header")
+    rows = df.select(*((F.col(n) if n in df.columns else F.lit(None)).cast(k).alias(n) for n, k in fields))
+    rows.write.mode("append").option("emptyValue", "").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").csv(f"{path}/rows")
+
+
+def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFrame:
+    """The typed rows of a ledger."""
+    names = [n for n, _ in _fields(schema)]
+    return typed(spark.read.csv(f"{path}/rows", schema=", ".join(f"{n} string" for n in names)), schema)
+
+
 def content_key(df: DataFrame, columns: list[str], pipeline: str) -> str:
     """A name for what is derived from these rows by a pipeline: the same rows in any order have the same name."""
     row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
@@ -71,10 +96,6 @@ def content_key(df: DataFrame, columns: list[str], pipeline: str) -> str:
 def cached(df: DataFrame, path: str) -> DataFrame:
     """What lies at ``path``, written first if nothing does."""
     spark = df.sparkSession
-    try:
-        return spark.read.schema(df.schema).parquet(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    df.write.parquet(path)
+    if not _is_there(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

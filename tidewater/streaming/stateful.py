@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.shipping import ship
@@ -36,43 +37,67 @@ def trigger(df: DataFrame, stream: str, time: str, tie: str, hit: str, hold: flo
     return rows.groupBy("stream").applyInPandasWithState(run, "stream long, fire double, fired_tie long", "trail array<int>, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def loss(df: DataFrame, stream: str, sequence: str) -> DataFrame:
-    """stream, seen, gaps, lost so far, after each batch: only a number above the expected one counts; late ones aren't re-sorted."""
+def loss(df: DataFrame, stream: str, sequence: str, order: str, last: str | None = None) -> DataFrame:
+    """stream, seen, gaps, lost, ended, after each batch: only a number above the expected one counts; one below it isn't re-sorted.
+
+    Rows are taken by ``order``, their arrival, within a batch. A row under ``last`` (a boolean column) ends its
+    stream: it is put out with ``ended``, and the state goes, so that what follows begins anew.
+    """
     ship(df.sparkSession)
-    rows = df.selectExpr(f"cast(`{stream}` as long) as stream", f"cast(`{sequence}` as long) as seq")
+    end = f"coalesce(cast(`{last}` as boolean), false)" if last else "false"
+    rows = df.selectExpr(f"cast(`{stream}` as long) as stream", f"cast(`{sequence}` as long) as seq", f"cast(`{order}` as long) as o", f"{end} as last")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         expected, seen, gaps, lost = state.get if state.exists else (0, 0, 0, 0)
-        for pdf in batches:
-            for seq in pdf.seq:
-                if seq > expected:
-                    gaps, lost = gaps + 1, lost + int(seq) - expected
-                expected, seen = int(seq) + 1, seen + 1
-        state.update((expected, seen, gaps, lost))
-        yield pd.DataFrame([(key[0], seen, gaps, lost)], columns=["stream", "seen", "gaps", "lost"])
-
-    return rows.groupBy("stream").applyInPandasWithState(run, "stream long, seen long, gaps long, lost long", "expected long, seen long, gaps long, lost long", "update", GroupStateTimeout.NoTimeout)
-
-
-def framer(df: DataFrame, stream: str, order: str, samples: str, length: int = 400, hop: int = 320) -> DataFrame:
-    """stream, frame (number), samples: frames cut from chunks of any size; what doesn't fill a frame waits in the state."""
+        out = []
+        for seq, end in pd.concat(list(batches)).sort_values("o")[["seq", "last"]].itertuples(index=False):
+            if seq > expected:
+                gaps, lost = gaps + 1, lost + int(seq) - expected
+            expected, seen = int(seq) + 1, seen + 1
+            if end:
+                out.append((key[0], seen, gaps, lost, True))
+                expected = seen = gaps = lost = 0
+        if seen:
+            state.update((expected, seen, gaps, lost))
+            out.append((key[0], seen, gaps, lost, False))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["stream", "seen", "gaps", "lost", "ended"])
+
+    return rows.groupBy("stream").applyInPandasWithState(run, "stream long, seen long, gaps long, lost long, ended boolean", "expected long, seen long, gaps long, lost long", "update", GroupStateTimeout.NoTimeout)
+
+
+def latencies(fires: DataFrame, spans: DataFrame, stream: str, fire: str, onset: str, offset: str, tail: float) -> DataFrame:
+    """A stream of firings against a table of spans: each firing with every span of its stream that it falls in (onset to offset + ``tail``), and its latency after the span's end."""
+    s = spans.withColumnRenamed(stream, "_s")
+    hit = (fires[stream] == s["_s"]) & fires[fire].between(s[onset], s[offset] + tail)
+    return fires.join(s, hit).drop("_s").withColumn("latency", F.col(fire) - F.col(offset))
+
+
+def framer(df: DataFrame, stream: str, order: str, samples: str, length: int = 400, hop: int = 320, ring: int = 1) -> DataFrame:
+    """stream, frame (number), samples: frames cut from chunks of any size; what doesn't fill a frame waits in the state.
+
+    With a ``ring`` the last so many frames are put out together, one after another, once there are so many.
+    """
     ship(df.sparkSession)
     rows = df.selectExpr(f"cast(`{stream}` as long) as stream", f"cast(`{order}` as long) as o", f"cast(`{samples}` as array<double>) as x")
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rest, number = state.get if state.exists else ([], 0)
-        rest, out = list(rest), []
+        rest, held, number = state.get if state.exists else ([], [], 0)
+        rest, held, out = list(rest), list(held), []
         for x in pd.concat(list(batches)).sort_values("o").x:
             rest += map(float, x)
             at = 0
             while at + length <= len(rest):
-                out.append((key[0], number, rest[at : at + length]))
+                held = (held + rest[at : at + length])[-ring * length :]
+                if number + 1 >= ring:
+                    out.append((key[0], number, held))
                 at, number = at + hop, number + 1
             rest = rest[at:]
-        state.update((rest, number))
+        state.update((rest, held if ring > 1 else [], number))
         yield pd.DataFrame(out, columns=["stream", "frame", "samples"])
 
-    return rows.groupBy("stream").applyInPandasWithState(run, "stream long, frame long, samples array<double>", "rest array<double>, number long", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("stream").applyInPandasWithState(run, "stream long, frame long, samples array<double>", "rest array<double>, held array<double>, number long", "append", GroupStateTimeout.NoTimeout)
 
 
 def replay(df: DataFrame, spark: SparkSession, path: str, name: str, mode: str = "append") -> DataFrame:
