@@ -42,13 +42,14 @@ def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) ->
     """
     lost = marked.groupBy("doc_id", "row").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("n > 1 or not kept")
     lost = written(lost.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "kept"), "lost")
-    out = docs.join(lost, docs[id_col].cast("long").eqNullSafe(lost["_id"]) & (_row_key(docs[text_col]) == lost["_row"]), "left_anti")
+    # Sorted and merged at any size: what is lost grows with the rows.
+    out = docs.join(lost.hint("merge"), docs[id_col].cast("long").eqNullSafe(lost["_id"]) & (_row_key(docs[text_col]) == lost["_row"]), "left_anti")
     again = written(lost.where("kept").select("_id", "_row"), "again")
     if again.isEmpty():
         return out
     order = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     rows = docs.select(docs[id_col].cast("long").alias("_doc"), _row_key(docs[text_col]).alias("_key"), F.struct("*").alias("_all"), F.struct(*order).alias("_order"))
-    rows = rows.join(again, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left_semi")
+    rows = rows.join(again.hint("merge"), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left_semi")
     return out.unionByName(rows.groupBy("_doc", "_key").agg(F.min_by("_all", "_order").alias("_all")).select("_all.*"))
 
 

@@ -24,23 +24,27 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import kept_rows, partitions, two_columns, written
+from .common import for_workers, partitions, two_columns, written
 
 #: Characters of the normalised text that lead the sort key.
 HEAD = 64
 SCHEMA = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 _SORTED = "doc_id long, head string, sha binary, norm string"
 _GROUPED = "doc_id long, first boolean, part int, edge int, keep_id long, group_size long, n_bytes long, text_sha256 string"
-_KEY = ", row binary"
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         norm = pc.ascii_lower(batch.column("text"))
-        sha = pa.array([hashlib.sha256(x.as_buffer()).digest() for x in norm.cast(pa.binary())], pa.binary())
-        keys = batch.schema.names[2:]  # the row's key, where it is asked for
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pc.utf8_slice_codeunits(norm, 0, HEAD), sha, norm, *map(batch.column, keys)], ["doc_id", "head", "sha", "norm", *keys])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_keys(norm), norm], ["doc_id", "head", "sha", "norm"])
+
+
+def _keys(norm: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """The first characters and the SHA-256 of normalised texts."""
+    sha = [hashlib.sha256(x.as_buffer()).digest() for x in norm.cast(pa.binary())]
+    return pc.utf8_slice_codeunits(norm, 0, HEAD), pa.array(sha, pa.binary())
 
 
 def _best(ids: list[int | None], largest: bool) -> int | None:
@@ -48,13 +52,13 @@ def _best(ids: list[int | None], largest: bool) -> int | None:
     return (max if largest else min)(there) if there else None
 
 
-def _grouping(largest: bool, keyed: bool):
-    names = [x.split()[0] for x in (_GROUPED + _KEY * keyed).split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.binary()] * keyed]
+def _grouping(largest: bool):
+    names = [x.split()[0] for x in _GROUPED.split(", ")]
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
 
-    def rows(ids: list, keys: list, part: int, edge: int, n_bytes: int, sha: bytes) -> list[tuple]:
+    def rows(ids: list, part: int, edge: int, n_bytes: int, sha: bytes) -> list[tuple]:
         keep, n, text = _best(ids, largest), len(ids), sha.hex()
-        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text, *keys[k : k + 1]) for k, i in enumerate(ids)]
+        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text) for k, i in enumerate(ids)]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -62,30 +66,33 @@ def _grouping(largest: bool, keyed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ids, keys, last, sha, n_bytes, groups = TaskContext.get().partitionId(), [], [], None, b"", 0, 0
+        part, ids, last, sha, n_bytes, groups = TaskContext.get().partitionId(), [], None, b"", 0, 0
         for batch in batches:
             norm, n = batch.column("norm"), len(batch)
             if not n:
                 continue
-            same = [last is not None and norm[0].as_py() == last, *pc.equal(norm.slice(1), norm.slice(0, n - 1)).to_pylist()]
+            same = _repeated(norm, last)
             shas, sizes, out = batch.column("sha"), pc.binary_length(norm), []
-            row = batch.column("row").to_pylist() if keyed else []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 if not same[k]:
                     if ids:
-                        out += rows(ids, keys, part, int(groups == 1), n_bytes, sha)
-                    ids, keys, sha, n_bytes, groups = [], [], shas[k].as_py(), sizes[k].as_py(), groups + 1
+                        out += rows(ids, part, int(groups == 1), n_bytes, sha)
+                    ids, sha, n_bytes, groups = [], shas[k].as_py(), sizes[k].as_py(), groups + 1
                 ids.append(doc_id)
-                keys += row[k : k + 1]
             last = norm[n - 1].as_py()
             if out:
                 yield batch_of(out)
         if ids:
-            yield batch_of(rows(ids, keys, part, 2 + (groups == 1), n_bytes, sha))
+            yield batch_of(rows(ids, part, 2 + (groups == 1), n_bytes, sha))
 
     return run
 
 
+def _repeated(norm: pa.Array, last: str | None) -> list[bool]:
+    """Whether each text equals the one before it, of which ``last`` comes before the first."""
+    return [last is not None and norm[0].as_py() == last, *pc.equal(norm.slice(1), norm.slice(0, len(norm) - 1)).to_pylist()]
+
+
 def _across(edges: list, largest: bool) -> list[tuple]:
     """(part, edge, keep_id, group_size) of the groups that touch an edge, joined along the order of the partitions. Edge 1 is a partition's first group, 2 its last, 3 its only one."""
     chains: list[list] = []
@@ -103,25 +110,92 @@ def _across(edges: list, largest: bool) -> list[tuple]:
 
 def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    return _groups(docs, keep, id_col, text_col, keyed=False)
-
-
-def _groups(docs: DataFrame, keep: str, id_col: str, text_col: str, keyed: bool) -> DataFrame:
-    """The rows of ``exact_groups``; ``keyed`` adds each row's key (``row``)."""
     largest = {"smallest": False, "largest": True}[keep]
-    key = ["row"] * keyed
-    rows = two_columns(docs, id_col, text_col, keyed).mapInArrow(_normalised, _SORTED + _KEY * keyed)
-    rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id", *key)
-    groups = written(rows.mapInArrow(_grouping(largest, keyed), _GROUPED + _KEY * keyed), "groups")
+    rows = two_columns(docs, id_col, text_col).mapInArrow(_normalised, _SORTED)
+    rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
+    groups = written(rows.mapInArrow(_grouping(largest), _GROUPED), "groups")
     edges = groups.where("edge > 0").groupBy("part", "edge").agg(*(F.first(c).alias(c) for c in ("keep_id", "group_size", "n_bytes", "text_sha256"))).collect()  # two rows a partition at most
     spark = docs.sparkSession
     joined = spark.createDataFrame(_across(edges, largest), "part int, edge int, k long, n long, owner boolean")
     out = groups.join(F.broadcast(joined), ["part", "edge"], "left")
     keep_id = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(F.col("keep_id"))
     kept = F.col("first") & F.when(keep_id.isNull(), F.coalesce(F.col("owner"), F.lit(True))).otherwise(F.coalesce(F.col("doc_id") == keep_id, F.lit(False)))
-    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", "group_size").alias("group_size"), kept.alias("kept"), "text_sha256", *key)
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", "group_size").alias("group_size"), kept.alias("kept"), "text_sha256")
 
 
 def dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` doesn't keep: all columns, one row of each group."""
-    return kept_rows(docs, _groups(docs, keep, id_col, text_col, keyed=True).where("group_size > 1"), id_col, text_col)
+    """``docs`` with one row of each group, the one that ``exact_groups`` keeps: all columns.
+
+    Whole rows are sorted, so texts are shuffled once and the first row of a group is the one to keep: that of the
+    smallest (largest) identifier, the least by its other columns among rows that repeat it (maps don't count for that).
+    """
+    spark = docs.sparkSession
+    for_workers(spark)
+    by_id = {"smallest": F.asc_nulls_last, "largest": F.desc_nulls_last}[keep]("doc_id")
+    at = docs.columns.index(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    whole = rows.schema["row"]
+    keyed = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("head", T.StringType()), T.StructField("sha", T.BinaryType()), whole])
+    rows = rows.mapInArrow(_with_keys(at), keyed)
+    others = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    rows = rows.repartitionByRange(partitions(rows), "head", "sha", by_id).sortWithinPartitions("head", "sha", by_id, *others)
+    first = T.StructType([whole, *(T.StructField(c, k) for c, k in (("part", T.IntegerType()), ("edge", T.IntegerType()), ("sha", T.BinaryType()), ("n_bytes", T.LongType())))])
+    firsts = written(rows.mapInArrow(_first_rows(at), first), "firsts")
+    edges = firsts.where("edge > 0").select("part", "edge", "sha", "n_bytes").collect()  # two rows a partition at most
+    again = spark.createDataFrame([(p,) for p in _continued(edges)], "_part int")
+    kept = firsts.join(F.broadcast(again), (F.col("part") == F.col("_part")) & F.col("edge").isin(1, 3), "left_anti")
+    return kept.select("row.*")
+
+
+def _with_keys(at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("row")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_keys(pc.ascii_lower(pc.fill_null(row.field(at), ""))), row], ["doc_id", "head", "sha", "row"])
+
+    return run
+
+
+def _first_rows(at: int):
+    """The first row of each group of sorted rows. Edge 1 marks a partition's first group, 2 its last, 3 its only one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, last, held, groups = TaskContext.get().partitionId(), None, None, 0
+
+        def out(rows: pa.RecordBatch, edges: list[int]) -> pa.RecordBatch:
+            there = pa.array([e > 0 for e in edges])
+            sizes = pc.binary_length(pc.fill_null(rows.column("row").field(at), "")).cast(pa.int64())
+            marks = [pa.array([part] * len(edges), pa.int32()), pa.array(edges, pa.int32()), pc.if_else(there, rows.column("sha"), None), pc.if_else(there, sizes, None)]
+            return pa.RecordBatch.from_arrays([rows.column("row"), *marks], ["row", "part", "edge", "sha", "n_bytes"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            norm = pc.ascii_lower(pc.fill_null(batch.column("row").field(at), ""))
+            begins = [k for k, same in enumerate(_repeated(norm, last)) if not same]
+            last = norm[len(norm) - 1].as_py()
+            if not begins:
+                continue
+            if held is not None:
+                yield out(held, [int(groups == 1)])
+            if begins[1:]:
+                yield out(batch.take(pa.array(begins[:-1])), [int(groups + k == 0) for k in range(len(begins) - 1)])
+            held, groups = batch.take(pa.array(begins[-1:])), groups + len(begins)
+        if held is not None:
+            yield out(held, [2 + (groups == 1)])
+
+    return run
+
+
+def _continued(edges: list) -> list[int]:
+    """The partitions whose first group goes on from the one before, by SHA-256 and length."""
+    out, before = [], None
+    for e in sorted(edges, key=lambda e: (e["part"], e["edge"])):
+        mine = (bytes(e["sha"]), e["n_bytes"])
+        if e["edge"] != 2 and mine == before:
+            out.append(e["part"])
+        if e["edge"] != 1:
+            before = mine
+    return out
