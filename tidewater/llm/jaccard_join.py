@@ -1,7 +1,7 @@
 """N-gram Jaccard self-join by universe partition and the pigeonhole principle.
 
-Sets are distinct word shingles. Equal sets are one node, named by 64 bits of their digest. Sizes
-fall into bands; a band's larger size bounds the symmetric difference of any linking pair by H. The
+Sets are distinct word shingles. Equal sets are one node, named by 64 bits of their digest; where
+different sets have one name by a second 64 bits, these are renamed by all 128. Sizes fall into bands; a band's larger size bounds the symmetric difference of any linking pair by H. The
 universe of shingles is hashed into segments, and two linking sets agree on enough of them:
 
 * wide bands: m = H + 1 + x segments. A set whose own partners differ from it by at most h <= H
@@ -17,7 +17,7 @@ bucket are verified, and yet no link between components is lost: first each set
 against the one leader it shares most buckets with; then, ``ROUNDS`` times, against leaders drawn
 anew by each bucket that still holds several components; at last, in such buckets, the sets outside
 the bucket's commonest component against those of other components. Pairs within one component
-need no test. Every test is exact on whole sets.
+need no test. Every test counts the common shingles of the whole sets, told apart by 128 bits.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with
 nothing; a text of fewer words than a shingle has its whole sequence as one; repeated rows link,
@@ -36,8 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.functions.tables import collecting, forget
+
 from .common import kept_rows, two_columns, written
-from .words import mix, shingle_sets
+from .words import checked_shingle_sets, mix, shingle_sets
 
 #: Largest H for which one-deletion neighbourhoods are indexed.
 DELETIONS = 3
@@ -126,7 +128,7 @@ def parities(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def _shingled(words: int, percent: int):
-    """Per row: id, size, node (64 bits of the set's digest), parities and signatures."""
+    """Per row: id, size, node and check (two halves of the set's digest), parities and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,36 +144,56 @@ def _shingled(words: int, percent: int):
                 n = len(begin) - 1
                 odd = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * WORDS), pa.array(parities(sets, begin).ravel()))
                 listed = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(sig))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), pa.array(_nodes(sets, begin)), odd, listed, *(batch.column(c).slice(first, n) for c in keys)], ["doc_id", "n_shingles", "node", "odd", "signatures", *keys])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n), pa.array(np.diff(begin)), *_names(sets, begin), odd, listed, *(batch.column(c).slice(first, n) for c in keys)], ["doc_id", "n_shingles", "node", "check", "odd", "signatures", *keys])
 
     return run
 
 
-def _nodes(sets: np.ndarray, begin: np.ndarray) -> list[int]:
-    return [int.from_bytes(hashlib.blake2b(sets[a:b].tobytes(), digest_size=8).digest(), "little", signed=True) for a, b in zip(begin.tolist(), begin[1:].tolist())]
+def _names(sets: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    """node and check of each set."""
+    raw = b"".join(hashlib.blake2b(sets[a:b].tobytes(), digest_size=16).digest() for a, b in zip(begin.tolist(), begin[1:].tolist()))
+    return [pa.array(x) for x in np.frombuffer(raw, "<i8").reshape(-1, 2).T.copy()]
 
 
 def _sets(words: int):
-    """Per row: node and its shingles."""
+    """Per row: node, check and its shingles: all first hashes, then all second ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, sets, begin in shingle_sets(batch.column("text"), words):
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(sets, begin)), pa.array([sets[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())], pa.binary())], ["node", "shingles"])
+            for _, sets, checks, begin in checked_shingle_sets(batch.column("text"), words):
+                both = [sets[a:b].tobytes() + checks[a:b].tobytes() for a, b in zip(begin.tolist(), begin[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([*_names(sets, begin), pa.array(both, pa.binary())], ["node", "check", "shingles"])
 
     return run
 
 
+def _halves(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """First and second hashes of the sets of a column, read where they lie."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1].tolist()
+    data = column.buffers()[2] or b""
+    return [tuple(np.frombuffer(data, "<u8", (b - a) // 8, a).reshape(2, -1)) for a, b in zip(offsets, offsets[1:])]
+
+
+def common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> int:
+    """How many shingles two sets share."""
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    if not len(x[0]):
+        return 0
+    at = np.minimum(np.searchsorted(y[0], x[0]), len(y[0]) - 1)
+    return int(((y[0][at] == x[0]) & (y[1][at] == x[1])).sum())
+
+
 def _linking(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            for x, y in zip(_halves(batch.column("x")), _halves(batch.column("y"))):
+                both = common(x, y)
+                keep.append(100 * both >= percent * (len(x[0]) + len(y[0]) - both))
             if any(keep):
-                yield batch.filter(pa.array(keep)).select(["a", "b"])
+                yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -248,25 +270,50 @@ def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
 
 def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keyed: bool) -> tuple[DataFrame, DataFrame]:
     """doc_id, n_shingles, node (and ``row``, its key, if ``keyed``) of each row; node, first (its smallest doc_id) and component of each node."""
+    with collecting() as made:
+        marked, labels = _searched(docs, words, percent, id_col, text_col, keyed)
+    forget(docs.sparkSession, made, but=[marked, labels])
+    least = marked.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
+    return marked, least.join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+
+
+def _renamed(df: DataFrame, clashing: DataFrame | None) -> DataFrame:
+    """Sets that share a node by chance get one by both halves of their digest."""
+    if clashing is None:
+        return df
+    out = df.join(clashing.hint("merge"), "node", "left")
+    return out.withColumn("node", F.when(F.col("clash"), F.xxhash64("node", "check")).otherwise(F.col("node"))).select(df.columns)
+
+
+def _searched(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, keyed: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with their nodes, and node and component of the nodes that share a bucket with others."""
     rows = two_columns(docs, id_col, text_col)
-    marked = two_columns(docs, id_col, text_col, keyed).mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, node long, odd array<long>, signatures array<long>" + ", row binary" * keyed)
-    marked = written(marked, "signatures")
-    filled = marked.where("n_shingles > 0 and doc_id is not null")
+    shingled = two_columns(docs, id_col, text_col, keyed).mapInArrow(_shingled(words, percent), "doc_id long, n_shingles long, node long, check long, odd array<long>, signatures array<long>" + ", row binary" * keyed)
+    with collecting() as large:
+        shingled = written(shingled, "signatures")
+    clashing = shingled.groupBy("node").agg(F.min("check").alias("one"), F.max("check").alias("other")).where("one <> other").select("node", F.lit(True).alias("clash"))
+    clashing = written(clashing, "clashing")
+    clashing = None if clashing.isEmpty() else clashing
+    shingled = _renamed(shingled, clashing)
+    marked = written(shingled.drop("check", "odd", "signatures"), "marked")
+    usable = F.expr("n_shingles > 0 and doc_id is not null")
+    filled = shingled.where(usable)
 
     members = filled.select("node", F.explode("signatures").alias("sig"))
     shared = members.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("most <> leader").select("sig", "leader")
     buckets = written(members.join(shared, "sig").select("sig", "node", "leader").distinct(), "buckets")
 
     # Everything after this concerns only the sets that share a bucket with another.
-    involved = buckets.select("node").distinct()
+    involved = written(buckets.select("node").distinct(), "involved")
     sketches = written(filled.select("node", "n_shingles", "odd").join(involved, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("odd").alias("odd")), "sketches")
+    forget(docs.sparkSession, large)
     stars = buckets.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("shared"))
     stars = written(_plausible(stars, sketches, percent), "stars")
     labels = written(sketches.select("node", F.col("node").alias("component")), "labels")
 
-    holders = filled.join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = rows.join(holders.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary")
-    sets = written(sets.join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    holders = marked.where(usable).join(involved, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    sets = rows.join(holders.select("doc_id"), "doc_id", "left_semi").mapInArrow(_sets(words), "node long, check long, shingles binary")
+    sets = written(_renamed(sets, clashing).drop("check").join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     best = stars.groupBy("a").agg(F.max(F.struct("shared", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
     labels = components(_verified(best, sets, percent), labels)
@@ -281,9 +328,7 @@ def _linked(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
 
     placed = written(_open(buckets.select("sig", "node"), labels), "open")
     labels = components(_verified(written(_crossing(placed, sketches, percent), "crossing"), sets, percent), labels)
-
-    least = filled.groupBy("node").agg(F.min("doc_id").alias("first")).join(labels, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    return marked, least
+    return marked, labels
 
 
 def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,11 +1,15 @@
 """Words of texts as 64-bit hashes, straight from the UTF-8 bytes of an Arrow column.
 
 A word is a run of bytes other than space, tab, line feed, vertical tab, form feed and carriage
-return; A-Z count as a-z. Texts are read in slices of bounded size, cut between words.
+return; A-Z count as a-z. A word's bytes are mixed eight at a time, and words of over 32 bytes are
+digested by BLAKE2b, so that no structure of a word makes its hash meet another's. A second,
+independent hash of each word makes 128 bits where sets are verified. Texts are read in slices of
+bounded size, cut between words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,17 +17,17 @@ import pyarrow as pa
 
 #: Bytes hashed at once, unless one word is longer.
 SLICE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 #: For words of letters only: every ASCII byte but the letters separates.
 NO_LETTER = np.arange(256) < 128
 NO_LETTER[65:91] = NO_LETTER[97:123] = False
-#: A fixed random value for each byte; upper case has that of lower case.
-_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_VALUE[65:91] = _VALUE[97:123]
-_tables: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Lanes of eight bytes that are mixed; fixed odd multipliers of the two hashes; and masks of the first bytes of a lane.
+LANES = 4
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -33,18 +37,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    while len(_tables[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            step = np.uint64(int(_tables[k][-1]) * base & (1 << 64) - 1)
-            _tables[k] = np.concatenate((_tables[k], _tables[k] * step))
-    return _tables
-
-
-def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and begin of each word of ``data``; a word also begins at each place in ``breaks``."""
+def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """One or two hashes, and the begin, of each word of ``data``; a word also begins at each place in ``breaks``."""
     n = len(data)
-    up, down = _powers(n + 1)
     inside = ~separator[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -54,13 +49,33 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray) -> tupl
     inner = breaks[breaks > 0] - 1
     ends[inner] = inside[inner]
     b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:n], out=prefix[1:])
-    return mix((prefix[e] - prefix[b]) * down[b]), b
+    size = e - b
+    lower = np.zeros(n + 8, np.uint8)
+    lower[:n] = _LOWER[data]
+    lane = np.ndarray((n + 1,), "<u8", lower, strides=(1,))
+    first = lane[b] & _MASK[np.minimum(size, 8)]
+    out = [mix(mix(first + odd) ^ size.astype(np.uint64) * odd) for odd in _ODD[:hashes]]
+    for k in range(1, LANES):
+        more = np.flatnonzero(size > 8 * k)
+        if not len(more):
+            break
+        value = lane[b[more] + 8 * k] & _MASK[np.minimum(size[more] - 8 * k, 8)]
+        for h, odd in zip(out, _ODD):
+            h[more] = mix(h[more] + (value ^ odd) * odd)
+    for k in np.flatnonzero(size > 8 * LANES).tolist():
+        digest = np.frombuffer(hashlib.blake2b(lower[b[k] : e[k]].tobytes(), digest_size=16).digest(), "<u8")
+        for h, d in zip(out, digest):
+            h[k] = d
+    return out, b
 
 
 def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR, at_once: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, word hashes, where each text's words begin, and the last's end) for runs of texts of a string column without nulls."""
+    for first, last, (words,), begin in _column_words(column, separator, at_once, 1):
+        yield first, last, words, begin
+
+
+def _column_words(column: pa.Array, separator: np.ndarray, at_once: int, hashes: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray]]:
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], "<i8")[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
@@ -70,7 +85,7 @@ def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR, at_once:
         begin, end = int(offsets[i]), int(offsets[j])
         if end - begin <= 2 * at_once:
             own = offsets[i : j + 1] - begin
-            h, at = _hashed(data[begin:end], own[:-1][own[:-1] < end - begin], separator)
+            h, at = _hashed(data[begin:end], own[:-1][own[:-1] < end - begin], separator, hashes)
             yield i, j, h, np.searchsorted(at, own)
         else:
             parts = []
@@ -79,30 +94,54 @@ def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR, at_once:
                 while stop < end and not separator[data[stop]]:
                     more = np.flatnonzero(separator[data[stop : stop + at_once]])
                     stop = stop + int(more[0]) if len(more) else min(stop + at_once, end)
-                parts.append(_hashed(data[begin:stop], np.zeros(1, np.int64), separator)[0])
+                parts.append(_hashed(data[begin:stop], np.zeros(1, np.int64), separator, hashes)[0])
                 begin = stop
-            h = np.concatenate(parts)
-            yield i, j, h, np.array([0, len(h)])
+            h = [np.concatenate(p) for p in zip(*parts)]
+            yield i, j, h, np.array([0, len(h[0])])
         i = j
 
 
+def _shingles(words: np.ndarray, begin: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of the k words from each place on; and for each text one of its whole sequence, if that has fewer words."""
+    odd = np.random.default_rng(seed).integers(1 << 62, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # no places in proportion
+    mixed = np.zeros(max(0, len(words) - k + 1), np.uint64)
+    for p in range(k):
+        mixed += words[p : p + len(mixed)] * odd[p]
+    short = np.zeros(len(begin) - 1, np.uint64)
+    size = np.diff(begin)
+    for p in range(k - 1):
+        some = np.flatnonzero((size > p) & (size < k))
+        short[some] += words[begin[some] + p] * odd[p]
+    return mix(mixed), mix(short + size.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text, sorted distinct k-word shingles of a run of texts, where each set begins and the last ends). Texts of fewer words have their whole sequence as one; without words, none."""
-    odd = np.random.default_rng(70).integers(1 << 62, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)  # no places in proportion
-    for first, last, words, begin in column_words(column):
-        n = np.diff(begin)
-        mixed = np.zeros(max(0, len(words) - k + 1), np.uint64)
-        for p in range(k):
-            mixed += words[p : p + len(mixed)] * odd[p]
-        mixed = mix(mixed)
-        sets = []
-        for b, size in zip(begin.tolist(), n.tolist()):
+    for first, sets, _, begin in _shingle_sets(column, k, 1):
+        yield first, sets, begin
+
+
+def checked_shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``shingle_sets`` with a second, independent hash of each shingle beside the first."""
+    yield from _shingle_sets(column, k, 2)
+
+
+def _shingle_sets(column: pa.Array, k: int, hashes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    for first, _, words, begin in _column_words(column, _SEPARATOR, SLICE, hashes):
+        made = [_shingles(w, begin, k, 70 + s) for s, w in enumerate(words)]
+        (mixed, short), (check, short_check) = made[0], made[-1]
+        sets, checks = [mixed[:0]], [mixed[:0]]
+        for t, (b, size) in enumerate(zip(begin.tolist(), np.diff(begin).tolist())):
             if size >= k:
-                sets.append(np.unique(mixed[b : b + size - k + 1]))
-            elif size:
-                whole = sum((words[b + p : b + p + 1] * odd[p] for p in range(size)), np.array([size * 0x2545F4914F6CDD1D & (1 << 64) - 1], np.uint64))
-                sets.append(mix(whole))
+                own = mixed[b : b + size - k + 1]
+                if hashes == 1:
+                    sets.append(np.unique(own))
+                else:
+                    own, at = np.unique(own, return_index=True)
+                    sets.append(own)
+                    checks.append(check[b : b + size - k + 1][at])
             else:
-                sets.append(words[:0])
-        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-        yield first, np.concatenate(sets) if sets else words[:0], np.concatenate(([0], np.cumsum(sizes)))
+                sets.append(short[t : t + (size > 0)])
+                checks.append(short_check[t : t + (size > 0)])
+        sizes = np.fromiter(map(len, sets[1:]), np.int64, len(sets) - 1)
+        yield first, np.concatenate(sets), np.concatenate(checks), np.concatenate(([0], np.cumsum(sizes)))
