@@ -186,6 +186,22 @@ def test_content_key_ignores_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
     b = spark.createDataFrame([(2, None), (1, "x")], "a int, b string")
     assert manifest.content_key(a, ["a", "b"], "v1") == manifest.content_key(b, ["a", "b"], "v1") != manifest.content_key(b, ["a"], "v1")
+    assert manifest.content_key(a, ["b"], "v1", ["a"]) == manifest.content_key(b, ["b"], "v1", ["a"]) != manifest.content_key(a.withColumn("a", -F.col("a")), ["b"], "v1", ["a"])
+
+
+def test_probe_tells_groups_apart(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, (rng.normal(size=4) + (i % 2) * 3 * (i % 3 == 0)).tolist(), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, g int")
+    far = [r["accuracy"] for r in evaluation.separability(df.where("k % 3 = 0"), "k", "v", "g", 0, 1).collect()]
+    near = [r["accuracy"] for r in evaluation.separability(df.where("k % 3 > 0"), "k", "v", "g", 0, 1).collect()]
+    assert len(far) == 5 and np.mean(far) > 0.95 and np.mean(near) < 0.65
+
+
+def test_masks_of_features():
+    x = np.arange(12.0).reshape(4, 3)
+    out = signal.masked(x, (1, 2), (2, 1))
+    assert (out[1:3] == x.mean()).all() and (out[:, 2] == x.mean()).all() and (out[[0, 3], :2] == x[[0, 3], :2]).all() and x[1, 0] == 3
 
 
 def test_features_of_silence_and_gain():

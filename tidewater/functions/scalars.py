@@ -97,6 +97,11 @@ def deviation_percent(samples: Column, micros: Column, nominal: float = 16_000.0
     return 100.0 * (rate - nominal) / nominal
 
 
+def drift_percent(n: Column, expected: Column) -> Column:
+    """How far a count lies from the expected one, in percent; null where 0 or nothing is expected."""
+    return F.when(expected != 0, 100.0 * (n - expected) / F.when(expected != 0, expected))
+
+
 def iso_utc(ts: Column) -> Column:
     """A timestamp without zone, taken as UTC, as ISO 8601 to the second."""
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")

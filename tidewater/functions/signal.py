@@ -300,6 +300,13 @@ def cropped(x: np.ndarray, u: float, length: int = CLIP) -> np.ndarray:
     return x[start : start + length] if len(x) >= length else placed(x, start, length)
 
 
+def masked(coefficients: np.ndarray, frames: tuple[int, int] = (0, 0), bands: tuple[int, int] = (0, 0)) -> np.ndarray:
+    """Features with a run of frames and a run of bands (first, how many) set to the mean of all."""
+    out = np.array(coefficients, float)
+    out[frames[0] : frames[0] + frames[1]] = out[:, bands[0] : bands[0] + bands[1]] = np.mean(coefficients) if len(coefficients) else 0.0
+    return out
+
+
 def resampled(x: np.ndarray, n: int) -> np.ndarray:
     """``n`` samples over the same time, by the spectrum."""
     if n == len(x) or not len(x):

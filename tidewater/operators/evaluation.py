@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, poisson, rounded, wilson
-from .report import quantile_linear
+from .report import quantile_linear, ranked
 
 #: The thresholds of a sweep, 0.050 to 0.995 by 0.005, and the false-accept bar.
 FIRST, STEP, POINTS, FALSE_ACCEPTS = 0.05, 0.005, 190, 0.01
@@ -171,6 +171,32 @@ def model_curves(df: DataFrame, model: str, score: str, truth: str) -> DataFrame
     return full.select(model, step(F.col("i")).alias("threshold"), rounded(_ratio(F.col("k"), F.col("n"), float("nan"))).alias("recall"), rounded(low).alias("low"), rounded(high).alias("high"), rounded(_ratio(F.col("fa"), F.col("m"), float("nan"))).alias("far"))
 
 
+def auc(df: DataFrame, tier: str, score: str, truth: str) -> DataFrame:
+    """By tier: positives, others, and the area under the ROC curve by mean ranks; NaN without rows of both kinds."""
+    some = df.where(F.col(score).isNotNull() & ~F.isnan(score))
+    positives = some.where(F.col(truth)).groupBy(F.col(tier).alias("_t"), F.col(score).alias("_v")).agg(F.count("*").alias("p"))
+    places = ranked(some, tier, score)
+    both = places.join(positives, places[tier].eqNullSafe(F.col("_t")) & (places["v"] == F.col("_v")), "left")
+    p = F.coalesce("p", F.lit(0))
+    sums = both.groupBy(tier).agg(F.sum(p).alias("n_positive"), F.max("n").alias("n"), F.sum(p * (F.col("below") + F.col("upto") + 1) / 2).alias("r"))
+    n, k = F.col("n") - F.col("n_positive"), F.col("n_positive")
+    return sums.select(tier, "n_positive", n.alias("n_other"), rounded(F.when((n > 0) & (k > 0), (F.col("r") - k * (k + 1) / 2) / (k * F.when(n > 0, n))).otherwise(F.lit(float("nan")))).alias("auc"))
+
+
+def separability(df: DataFrame, key: str, vector: str, group: str, a: int, b: int, folds: int = 5) -> DataFrame:
+    """How well a linear probe tells two groups of vectors apart: fold, n and accuracy on the rows held out, folds by a hash of the key."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(group).isin(a, b)).select(F.pmod(F.xxhash64(key), F.lit(folds)).cast("int").alias("fold"), (F.col(group) == b).cast("double").alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    out = None
+    for k in range(folds):
+        model = LogisticRegression(maxIter=50, regParam=1e-3).fit(rows.where(F.col("fold") != k))
+        one = model.transform(rows.where(F.col("fold") == k)).groupBy("fold").agg(F.count("*").alias("n"), rounded(F.avg((F.col("prediction") == F.col("label")).cast("double"))).alias("accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def shift_report(shift: DataFrame, dim: str, d: str, z_a: str, z_b: str, low: int, high: int) -> DataFrame:
     """One row of a table of dimensions with d and the two groups' mean z: mean |d|, the dimension of the largest |d| (the first of equals),
     the tilt (mean d from dimension ``high`` on less that below ``low``), and the root mean square displacement in z."""

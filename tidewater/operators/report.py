@@ -35,7 +35,7 @@ def distinct_entities(df: DataFrame, entity: str, condition: str, tuple_of: Sequ
     return df.agg(F.count_distinct(entity).alias("n_all"), F.count_distinct(F.when(F.expr(condition), F.col(entity))).alias("n_where"), F.count_distinct(together).alias("n_tuples"))
 
 
-def _ranked(df: DataFrame, group: str, value: str) -> DataFrame:
+def ranked(df: DataFrame, group: str, value: str) -> DataFrame:
     """Distinct non-null values by group: v, the ranks below and up to it (below, upto, from 0), and the group's size n.
 
     Equal values are counted first. The distinct ones are numbered over ranges of (group, value), and running
@@ -60,25 +60,25 @@ def _at(place: Column) -> Column:
 
 def quantile_nearest_rank(df: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
     """By group: n, min, max and the value at place min(n - 1, int(p * n)) of each probability."""
-    ranked = _ranked(df, group, value)
+    places = ranked(df, group, value)
     picks = [_at(F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))).alias(f"p{round(p * 100)}") for p in probabilities]
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *picks)
+    return places.groupBy(group).agg(F.max("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"), *picks)
 
 
 def quantile_linear(df: DataFrame, group: str, value: str, probabilities: Sequence[float]) -> DataFrame:
     """By group the quantiles that lie between the values at places floor and ceiling of p * (n - 1)."""
-    ranked = _ranked(df, group, value)
+    places = ranked(df, group, value)
     place = lambda p: F.lit(p) * (F.col("n") - 1)
     ends = [x.alias(f"_{side}{k}") for k, p in enumerate(probabilities) for side, x in (("a", _at(F.floor(place(p)))), ("b", _at(F.ceil(place(p)))))]
-    got = ranked.groupBy(group).agg(F.max("n").alias("n"), *ends)
+    got = places.groupBy(group).agg(F.max("n").alias("n"), *ends)
     out = [F.round(F.col(f"_a{k}") + (F.col(f"_b{k}") - F.col(f"_a{k}")) * (place(p) - F.floor(place(p))), 6).alias(f"p{round(p * 100)}") for k, p in enumerate(probabilities)]
     return got.select(group, *out)
 
 
 def upper_median(df: DataFrame, group: str, value: str) -> DataFrame:
     """The value at place n // 2: the upper of the two middle ones."""
-    ranked = _ranked(df, group, value)
-    return ranked.groupBy(group).agg(_at(F.floor(F.col("n") / 2)).alias("upper_median"))
+    places = ranked(df, group, value)
+    return places.groupBy(group).agg(_at(F.floor(F.col("n") / 2)).alias("upper_median"))
 
 
 def fixed_histogram(df: DataFrame, value: str, low: float, width: float, bins: int) -> DataFrame:

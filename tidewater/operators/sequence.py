@@ -98,3 +98,14 @@ def spurious(spans: DataFrame, fires: DataFrame, stream: str, onset: str, offset
     inside = (f[stream] == s["_s"]) & (f["_cell"] == s["_c"]) & f[fire].between(s["_on"], s["_off"])
     outside = f.join(s, inside, "left_anti").groupBy(stream).agg(F.count("*").alias("n"))
     return fires.groupBy(stream).agg(F.count("*").alias("n_fires")).join(outside, stream, "left").select(stream, "n_fires", F.coalesce("n", F.lit(0)).alias("n_spurious"))
+
+
+def utterances(df: DataFrame, stream: str, time: str, silence: float = 0.8, cap: float = 8.0, before: float = 0.5) -> DataFrame:
+    """stream, start, stop, n of active rows: an utterance ends after ``silence`` seconds without one, or ``cap`` seconds after its
+    first row, when the next begins; ``start`` lies ``before`` seconds ahead of its first row (not before 0)."""
+    order = Window.partitionBy(stream).orderBy(time)
+    new = (F.col(time) - F.lag(time).over(order) > silence).cast("int")
+    runs = df.select(stream, time).withColumn("_new", F.coalesce(new, F.lit(0))).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.withColumn("_piece", F.floor((F.col(time) - F.min(time).over(Window.partitionBy(stream, "_run"))) / cap))
+    out = runs.groupBy(stream, "_run", "_piece").agg(F.min(time).alias("_a"), F.max(time).alias("stop"), F.count("*").alias("n"))
+    return out.select(stream, F.greatest(F.col("_a") - before, F.lit(0.0)).alias("start"), "stop", "n")

@@ -399,6 +399,12 @@ def truncation_test(spark, sf_dir):
     return sequence.truncated(table(spark, sf_dir, "events"), "user_id", "event_id", "value > 100", 500)
 
 
+@query(f"WITH {_SCORED}, n AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > 28800 THEN 1 ELSE 0 END AS new FROM scored WHERE hit), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS run FROM n), p AS (SELECT *, floor((t - min(t) OVER (PARTITION BY user_id, run)) / 86400) AS piece FROM r) SELECT user_id, round(greatest(min(t) - 600, 0), 6) AS start, round(max(t), 6) AS stop, count(*) AS n FROM p GROUP BY user_id, run, piece")
+def utterance_ends(spark, sf_dir):
+    u = sequence.utterances(scored(spark, sf_dir).where("hit"), "user_id", "t", 28_800.0, DAY, 600.0)
+    return u.select("user_id", F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"), "n")
+
+
 @query("WITH r AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) SELECT user_id, event_id, CAST(n AS INTEGER) AS n FROM r WHERE n >= 49 AND n % 10 = 0")
 def cadence_sampling(spark, sf_dir):
     return sequence.cadence(table(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", ["event_id"])
@@ -455,10 +461,10 @@ def bit_summary(spark, sf_dir):
     return quality.bits(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linenumber", "l_partkey")
 
 
-@query("SELECT event_id, round(20 * log10(greatest(value, 1e-12)), 6) AS db, round(2595 * log10(1 + value / 700), 6) AS mel, round(100.0 * (value - 50) / 50, 6) AS drift FROM events")
+@query("SELECT event_id, round(20 * log10(greatest(value, 1e-12)), 6) AS db, round(2595 * log10(1 + value / 700), 6) AS mel, CASE WHEN event_id % 5 > 0 THEN round(100.0 * (value - event_id % 5 * 25) / (event_id % 5 * 25), 6) END AS drift FROM events")
 def level_scalars(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").select("event_id", F.round(decibels(v), 6).alias("db"), F.round(mel(v), 6).alias("mel"), F.round(100.0 * (v - 50) / 50, 6).alias("drift"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(decibels(v), 6).alias("db"), F.round(mel(v), 6).alias("mel"), F.round(scalars.drift_percent(v, F.col("event_id") % 5 * 25), 6).alias("drift"))
 
 
 # --- arrays --------------------------------------------------------------------------------------
@@ -758,6 +764,11 @@ def model_curves(spark, sf_dir):
     return evaluation.model_curves(both, "model", "score", "truth")
 
 
+@query(f"WITH {_SCORED}, r AS (SELECT user_id, truth, rank() OVER (PARTITION BY user_id ORDER BY score) + (count(*) OVER (PARTITION BY user_id, score) - 1) / 2.0 AS r FROM scored), s AS (SELECT user_id, count(*) FILTER (WHERE truth) AS n_positive, count(*) FILTER (WHERE NOT truth) AS n_other, sum(r) FILTER (WHERE truth) AS r FROM r GROUP BY user_id) SELECT user_id, n_positive, n_other, CASE WHEN n_positive > 0 AND n_other > 0 THEN round((r - n_positive * (n_positive + 1) / 2) / (n_positive * n_other), 6) ELSE 'nan'::DOUBLE END AS auc FROM s")
+def auc_by_tier(spark, sf_dir):
+    return evaluation.auc(scored(spark, sf_dir), "user_id", "score", "truth")
+
+
 @query("WITH x AS (SELECT vec_id, label, unnest(generate_series(1, len(embedding))) - 1 AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), n AS (SELECT dim, avg(v) AS m, greatest(stddev_pop(v), 1e-6) AS s FROM x WHERE vec_id % 5 < 3 GROUP BY dim), c AS (SELECT x.dim, avg(v) FILTER (WHERE label = 0) AS ma, avg(v) FILTER (WHERE label = 1) AS mb, var_samp(v) FILTER (WHERE label = 0) AS va, var_samp(v) FILTER (WHERE label = 1) AS vb, count(v) FILTER (WHERE label = 0) AS na, count(v) FILTER (WHERE label = 1) AS nb, avg(round((v - m) / s, 4)) FILTER (WHERE label = 0) AS za, avg(round((v - m) / s, 4)) FILTER (WHERE label = 1) AS zb FROM x JOIN n ON n.dim = x.dim GROUP BY x.dim), d AS (SELECT dim, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d, za, zb FROM c) SELECT round(avg(abs(d)), 6) AS mean_abs_d, (SELECT CAST(dim AS INTEGER) FROM d ORDER BY abs(d) DESC, dim LIMIT 1) AS worst_dim, round(avg(d) FILTER (WHERE dim >= 40) - avg(d) FILTER (WHERE dim < 16), 6) AS tilt, round(sqrt(avg((zb - za) * (zb - za))), 6) AS displacement FROM d")
 def domain_shift(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("dim", "x")).withColumn("x", F.col("x").cast("double"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.splits import numbered
+
 #: The manifest's 29 columns in their order, with the type each is cast to.
 MANIFEST = (
     "clip_id string, filepath string, class string, sub_label string, model_target string, source_type string, speaker_id string, voice_id string, "
@@ -84,12 +86,14 @@ def read_ledger(spark: SparkSession, path: str, schema: str = LEDGER) -> DataFra
     return typed(spark.read.csv(f"{path}/rows", schema=", ".join(f"{n} string" for n in names)), schema)
 
 
-def content_key(df: DataFrame, columns: list[str], pipeline: str) -> str:
-    """A name for what is derived from these rows by a pipeline: the same rows in any order have the same name."""
-    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
-    got = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x")).first()
+def content_key(df: DataFrame, columns: list[str], pipeline: str, order: list[str] | None = None) -> str:
+    """A name for what is derived from these rows by a pipeline: the same rows have the same name, in any order, or with ``order`` only in that one (each row then counts with its number)."""
     import hashlib
 
+    if order:
+        df, columns = numbered(df, order, "_number"), [*columns, "_number"]
+    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
+    got = df.agg(F.count("*").alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x")).first()
     return hashlib.sha256(f"{pipeline}|{columns}|{got['n']}|{got['s']}|{got['x']}".encode()).hexdigest()
 
 
