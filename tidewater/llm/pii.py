@@ -7,7 +7,7 @@ long network addresses. Each gets format features of its own letters and context
 letters around it; boosted trees, written out as CASE expressions, score it. Trees and the
 threshold of each kind are learned on the driver from a fixed, generated set of examples, whose
 features the same expressions compute; the threshold is the least that reaches ``PRECISION`` on
-examples that the trees haven't seen. A candidate that meets a base span or a better candidate
+examples, for and against, in a way of writing that the trees haven't seen. A candidate that meets a base span or a better candidate
 gives way.
 
 Defined cases: a null text is empty and has no spans; repeated rows are searched row by row; an
@@ -31,6 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "disguised_email", "national_phone", "p
 BASE = 4
 #: Precision that a kind's threshold reaches on unseen examples, and letters of context on either side.
 PRECISION, CONTEXT = 0.99, 24
+#: Examples for and against each kind: in each way of writing that is learned from, and in that which sets the thresholds.
+LEARNED, CALIBRATED = 80, 240
 
 # A match may begin where its run of letters begins, or where the match before it ended.
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -84,35 +86,57 @@ def _features(m: str, before: str, after: str) -> list[str]:
     return [re.sub(r"(?<![\w'(|^\[])\b(m|before|after)\b(?=[ ,)])|(?<=\()\b(m|before|after)\b(?=[ ,)])", lambda x: names[x[1] or x[2]], f) for f in FEATURES]
 
 
-def _examples(seed: int = 11, each: int = 160) -> list[tuple[int, str, str, str, int]]:
-    """(kind, span, before, after, label): generated examples, as many for as against each kind."""
-    r = random.Random(seed)
+#: Ways of writing that examples differ by: letters of words, what stands between a context word and a span, what follows a span,
+#: forms of phone numbers (# a digit), joints of disguised addresses, ends of host names, countries. Trees learn from all but the last.
+_STYLES = (
+    ("etaoinshrdlu", (": ", " ", " is "), (" ", ".", ", "), ("(###) ###-####", "###-###-####"), (("(at)", "(dot)"), ("[at]", "[dot]")), ("com", "org"), ("DE", "FR")),
+    ("abcdefghijklmnopqrstuvwxyz", (" - ", " = ", ": "), ("\n", ";", ")"), ("###.###.####", "### ### ####"), (("(at)", "."), ("[at]", ".")), ("de", "net"), ("GB", "ES")),
+    ("aeioulnrst", (" (", " no ", " "), (" or ", "!", " "), ("###-###-####", "### ###-####", "(##) ####-####"), (("(AT)", "(DOT)"), ("[at]", " [dot]")), ("io", "info"), ("IT", "NL")),
+    ("bcdfghaeiou", (": ", " is ", ", "), (".", " but ", "?"), ("(###) ###-####", "###.###.####", "####-####-###"), (("(at)", "[dot]"), ("[AT]", ".")), ("edu", "fr"), ("CH", "AT")),
+)
+
+
+def _examples(style: int, each: int, seed: int = 11) -> list[tuple[int, str, str, str, int]]:
+    """(kind, span, before, after, label): generated examples in one way of writing, as many for as against each kind."""
+    r = random.Random(seed * 31 + style)
+    letters, glue, ends, phones, joints, tops, countries = _STYLES[style]
     d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    w = lambda: "".join(r.choice(letters) for _ in range(r.randint(2, 9)))
     pick = r.choice
+    number = lambda form: "".join(d(1) if c == "#" else c for c in form)
     names = {k: v.split("|") for k, v in _FOR.items()}
     against = _AGAINST.split("|")
+
+    def good(kind: int) -> str:
+        if kind == 4:
+            at, dot = pick(joints)
+            return f"{w()}{pick(['.', '_', ''])}{w()}{pick([' ', ''])}{at} {w()} {dot} {pick(tops)}".replace(" . ", ".")
+        if kind == 5:
+            return number(pick(phones))
+        if kind == 6:
+            return f"{r.randint(100, 665)}{(c := pick('- '))}{d(2)}{c}{d(4)}"
+        if kind == 7:
+            return f"{pick(countries)}{d(2)}" + "".join(f" {d(4)}" for _ in range(r.randint(4, 5))) + pick(["", " " + d(2)])
+        return ":".join(f"{r.randrange(65536):x}" for _ in range(8))
+
+    def bad(kind: int) -> str:
+        if kind == 4:
+            return f"{w()} {pick(joints)[0]} {w()}.{w()}"
+        if kind == 5:
+            return pick([number(pick(phones)), f"{d(2)}.{d(4)}.{d(3)}", f"{d(4)} {d(4)} {d(4)}", f"{d(3)}/{d(3)}/{d(4)}", f"{r.randint(1900, 2030)}-{d(3)}-{d(3)}"])
+        if kind == 6:
+            return pick([f"{pick(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {pick(['19', '20'])}{d(2)}", f"{d(3)}-{d(2)}-{d(4)}"])
+        if kind == 7:
+            return "".join(pick("ABCDEFGHJK") for _ in range(2)) + d(2) + "".join(" " * pick([0, 1]) + "".join(pick("ABCDEF0123456789") for _ in range(4)) for _ in range(pick([2, 3])))
+        return ":".join(d(2) for _ in range(pick([6, 7])))
+
     out = []
     for _ in range(each):
         for kind in _FOR:
-            sep = pick([" ", ".", "-"])
-            good = {
-                4: lambda: f"{w()}{pick(['.', '_', ''])}{w()}{pick([' ', ''])}{(b := pick(['(at)', '[at]']))} {w()}{pick([' (dot) ', '.', ' [dot] '])}{pick(['com', 'org', 'de'])}",
-                5: lambda: pick([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}"]),
-                6: lambda: f"{r.randint(100, 665)}-{d(2)}-{d(4)}",
-                7: lambda: f"{pick(['DE', 'FR', 'GB', 'ES'])}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)}{pick(['', ' ' + d(2)])}",
-                8: lambda: ":".join(f"{r.randrange(65536):x}" for _ in range(8)),
-            }[kind]()
-            bad = {
-                4: lambda: f"{w()} (at) {w()}.{w()}",
-                5: lambda: pick([f"{d(2)}.{d(4)}.{d(3)}", f"{d(4)} {d(4)} {d(4)}", f"{d(3)}/{d(3)}/{d(4)}", f"{r.randint(1900, 2030)}-{d(3)}-{d(3)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}"]),
-                6: lambda: pick([f"{pick(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", f"{d(3)} {d(2)} {pick(['19', '20'])}{d(2)}", f"{d(3)}-{d(2)}-{d(4)}"]),
-                7: lambda: "".join(r.choice("ABCDEFGHJK") for _ in range(2)) + d(2) + "".join(" " * pick([0, 1]) + "".join(r.choice("ABCDEF0123456789") for _ in range(4)) for _ in range(pick([2, 3]))),
-                8: lambda: ":".join(d(2) for _ in range(pick([6, 7]))),
-            }[kind]()
-            lead = f"{w()} {pick(names[kind])}{pick([': ', ' ', ' is '])}"
-            out.append((kind, good, lead if r.random() < 0.85 else f"{w()} {w()} ", pick([" ", ".", ", ", "\n"]) + w(), 1))
-            out.append((kind, bad, f"{w()} {pick(against)}{pick([': ', ' ', ' no '])}" if r.random() < 0.7 else f"{w()} {w()} ", pick([" ", ".", " kg ", " % ", "/" + d(2)]) + w(), 0))
+            lead = f"{w()} {pick(names[kind])}{pick(glue)}" if r.random() < 0.85 else f"{w()} {w()} "
+            out.append((kind, good(kind), lead, pick(ends) + w(), 1))
+            lead = f"{w()} {pick(against)}{pick(glue)}" if r.random() < 0.7 else f"{w()} {w()} "
+            out.append((kind, bad(kind), lead, pick([*ends, " kg ", " % ", "/" + d(2)]) + w(), 0))
     return out
 
 
@@ -120,23 +144,27 @@ def _literal(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-@functools.lru_cache(maxsize=1)
-def _learned(session: SparkSession) -> tuple[trees.Trees, dict[int, float]]:
-    """Trees and the threshold of each kind. A kind that can't reach the precision selects nothing."""
-    rows = _examples()
+def _measured(session: SparkSession, rows: list[tuple[int, str, str, str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The trees' inputs, by the expressions that serve the data, and labels."""
     values = ", ".join(f"({k}, {_literal(m)}, {_literal(b)}, {_literal(a)}, {y})" for k, m, b, a, y in rows)
     columns = ", ".join(f"cast({f} as double) f{i}" for i, f in enumerate(_features("m", "before", "after")))
     got = session.sql(f"select cast(k as double) k, cast(y as double) y, {columns} from values {values} as t(k, m, before, after, y)").collect()
     data = np.array([tuple(r) for r in got])
-    x, y = data[:, [0, *range(2, data.shape[1])]], data[:, 1]
-    unseen = np.arange(len(y)) % 4 == 0
-    model = trees.train(x[~unseen], y[~unseen], trees=16, depth=3, rate=0.4, bins=24)
-    p = model.probability(x[unseen])
+    return data[:, [0, *range(2, data.shape[1])]], data[:, 1]
+
+
+@functools.lru_cache(maxsize=1)
+def _learned(session: SparkSession) -> tuple[trees.Trees, dict[int, float]]:
+    """Trees and the threshold of each kind, the least that reaches the precision on a way of writing that the trees haven't seen. A kind that can't reach it selects nothing."""
+    parts = [_measured(session, _examples(style, LEARNED)) for style in range(len(_STYLES) - 1)]
+    model = trees.train(np.concatenate([x for x, _ in parts]), np.concatenate([y for _, y in parts]), trees=16, depth=3, rate=0.4, bins=24)
+    x, y = _measured(session, _examples(len(_STYLES) - 1, CALIBRATED))
+    p = model.probability(x)
     thresholds = {}
     for kind in _FOR:
-        own = x[unseen][:, 0] == kind
+        own = x[:, 0] == kind
         order = np.argsort(-p[own], kind="stable")
-        score, right = p[own][order], np.cumsum(y[unseen][own][order])
+        score, right = p[own][order], np.cumsum(y[own][order])
         good = [i for i in range(len(score)) if right[i] / (i + 1) >= PRECISION and (i + 1 == len(score) or score[i + 1] < score[i])]
         thresholds[kind] = max(0.5, float(score[good[-1]])) if good else 2.0
     return model, thresholds
