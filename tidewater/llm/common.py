@@ -11,7 +11,7 @@ from tidewater.functions.tables import shared_path, written
 __all__ = ["documents", "for_workers", "kept_rows", "labels", "partitions", "shared_path", "two_columns", "written"]
 
 #: Bytes an Arrow batch holds at most, so that very long texts don't fill a worker.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -243,7 +243,7 @@ def _open(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     placed = buckets.join(labels, "node")
     sizes = placed.groupBy("sig", "component").agg(F.count("*").alias("n"))
     leading = sizes.groupBy("sig").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("several")).where("several > 1").select("sig", F.col("top.component").alias("leading"))
-    return placed.join(leading, "sig")
+    return placed.join(written(leading, "leading"), "sig")
 
 
 def _ordered(a: str, b: str) -> list:
@@ -262,7 +262,7 @@ def _crossing(placed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
 def link_components(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row: the smallest doc_id reachable over pairs of sets with a Jaccard similarity of at least ``percent`` hundredths."""
     marked, least = _linked(docs, words, percent, id_col, text_col, keyed=False)
-    smallest = least.groupBy("component").agg(F.min("first").alias("component_id"))
+    smallest = written(least.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
     named = least.join(smallest, "component").select("node", "component_id")
     out = marked.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))).alias("component_id"))
@@ -300,7 +300,8 @@ def _searched(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     filled = shingled.where(usable)
 
     members = filled.select("node", F.explode("signatures").alias("sig"))
-    shared = members.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("most <> leader").select("sig", "leader")
+    # Written, here and below, so that a join on a very common signature or component has a plain exchange on either side, which Spark splits.
+    shared = written(members.groupBy("sig").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("most <> leader").select("sig", "leader"), "shared")
     buckets = written(members.join(shared, "sig").select("sig", "node", "leader").distinct(), "buckets")
 
     # Everything after this concerns only the sets that share a bucket with another.
@@ -323,7 +324,7 @@ def _searched(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     for turn in range(ROUNDS):
         placed = written(_open(buckets.select("sig", "node"), labels), "open")
         drawn = placed.groupBy("sig").agg(F.min(F.struct(F.xxhash64("node", "sig", F.lit(turn)), "node", "component")).alias("d")).select("sig", F.col("d.node").alias("leader"), F.col("d.component").alias("of"))
-        pairs = placed.join(drawn, "sig").where("component <> of").select(*_ordered("node", "leader")).groupBy("a", "b").agg(F.count("*").alias("shared"))
+        pairs = placed.join(written(drawn, "leaders"), "sig").where("component <> of").select(*_ordered("node", "leader")).groupBy("a", "b").agg(F.count("*").alias("shared"))
         labels = components(_verified(written(_plausible(pairs, sketches, percent).select("a", "b"), "drawn"), sets, percent), labels)
 
     placed = written(_open(buckets.select("sig", "node"), labels), "open")
@@ -335,5 +336,5 @@ def dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc
     """``docs`` with one row of each component, that of the smallest identifier (ties by the text's hash): all columns. Rows of a null identifier or an empty set stay."""
     marked, least = _linked(docs, words, percent, id_col, text_col, keyed=True)
     placed = marked.where("n_shingles > 0 and doc_id is not null").select("doc_id", "row", "node").join(least.select("node", "component"), "node")
-    best = placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best")
+    best = written(placed.groupBy("component").agg(F.min(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("n")).where("n > 1").select("component", "best"), "best")
     return kept_rows(docs, placed.join(best, "component").select("doc_id", "row", (F.struct("doc_id", "row") == F.col("best")).alias("kept")), id_col, text_col)
