@@ -61,9 +61,26 @@ def test_remembered_pieces_equal_whole_texts(library, odd_texts, path, spaced):
     from tidewater.llm.library_ids import LibraryIds
 
     made = LibraryIds(path, spaced)
-    made.later.size = 50  # generations turn over
-    for t in odd_texts:
+    made.words.size = made.pieces.size = 50  # generations turn over
+    r = random.Random(7)
+    plain = [b for b in BITS if all(c in "\n\t" or 32 <= ord(c) < 127 or 161 <= ord(c) < 256 for c in b)] + ["'", "'re", "'S", "'d", "ve", "×", "ª", "µ", "¼", "¡"]
+    texts = odd_texts + ["".join(r.choice(plain) for _ in range(r.randint(0, 20))) for _ in range(4000)]
+    for t in texts[::10]:
         assert made(t) == packed(ids_of(library, path, t))
+    ids, ends = made.run(pa.array(texts, pa.large_string()))
+    for t, a, b in zip(texts, [0, *ends[:-1]], ends):
+        assert ids[a:b].tolist() == ids_of(library, path, t)
+
+
+def test_long_texts_in_slices(library, monkeypatch):
+    from tidewater.llm import library_ids
+
+    monkeypatch.setattr(library_ids, "RUN", 300)
+    texts = ["It's a  test, don't\n " * 90, "x" * 2000, "", "ab " * 400, "é" * 900 + " 漢字" * 100]
+    made = library_ids.LibraryIds(BYTE, True)
+    for first, last, ids, ends in made.batches(pa.array(texts)):
+        for t, a, b in zip(texts[first:last], [0, *ends[:-1]], ends):
+            assert ids[a:b].tolist() == ids_of(library, BYTE, t)
 
 
 def test_whole_tokens_are_proven(library):
@@ -251,6 +268,19 @@ def test_near_dedup_of_repeated_rows(spark):
     assert jaccard_join.dedup(frame(spark, [])).count() == 0
 
 
+def test_rows_of_one_group_over_partitions(spark):
+    """A group that fills many partitions, between others, and rows that differ by other columns alone."""
+    rows = [(i % 900, "Many of these", i) for i in range(3000)] + [(i, f"own {i}", 0) for i in range(50)] + [(None, "Many of these", -1)]
+    df = frame(spark, rows).repartition(9)
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for keep, best in (("smallest", (0, "Many of these", 0)), ("largest", (899, "Many of these", 899))):
+            got = [tuple(x) for x in exact_dedup.dedup(df, keep).collect()]
+            assert sorted(got) == sorted([best] + rows[3000:3050])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_dedup_passes_on_all_columns(spark):
     docs = frame(spark, [(1, "a b", 1), (1, "a b", 2), (2, "c d", 3)]).selectExpr("doc_id", "text", "map('k', n) as row", "n as _id")
     for dedup in (exact_dedup.dedup, jaccard_join.dedup):
@@ -367,6 +397,39 @@ def test_shingles_in_any_order_differ():
         assert np.diff(begin).tolist() == [5, 1, 0, 1]
 
 
+def test_word_hashes_are_of_the_words():
+    r = random.Random(3)
+    some = ["".join(r.choice("abAB\x00é") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 31, 32, 33, 40, 90]))) for _ in range(3000)]
+    some += [w + x for w in some[:200] for x in ("\x00", "a", "A")]
+    (_, _, (one, two), begin), = words._column_words(pa.array([" ".join(some)]), words._SEPARATOR, 1 << 20, 2)
+    assert begin.tolist() == [0, len(some)]
+    by_word = {}
+    for w, h in zip(some, zip(one.tolist(), two.tolist())):
+        assert by_word.setdefault(w.translate(ASCII_LOWER), h) == h
+    assert len({h for h, _ in by_word.values()}) == len({h for _, h in by_word.values()}) == len(by_word)
+
+
+def test_long_words_of_one_structure_differ(spark):
+    """A Thue-Morse word and its complement, which meet under any polynomial hash modulo 2^64."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    rows = [(1, "".join("ab"[b] for b in bits), 0), (2, "".join("ba"[b] for b in bits), 0)]
+    assert sorted(x["component_id"] for x in jaccard_join.link_components(frame(spark, rows)).collect()) == [1, 2]
+
+
+def test_sets_of_one_name_are_told_apart(spark):
+    df = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 8, 3)], "doc_id long, node long, check long")
+    clashing = spark.createDataFrame([(7, True)], "node long, clash boolean")
+    got = {r["doc_id"]: r["node"] for r in jaccard_join._renamed(df, clashing).collect()}
+    assert len(set(got.values())) == 3 and got[3] == 8
+    assert jaccard_join._renamed(df, None) is df
+
+
+def test_common_shingles_need_both_hashes():
+    u = lambda *x: np.array(x, np.uint64)
+    assert jaccard_join.common((u(1, 5, 9), u(1, 1, 1)), (u(1, 9), u(1, 2))) == 1
+    assert jaccard_join.common((u(), u()), (u(1), u(1))) == 0
+
+
 def rule_spans(text):
     out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -397,6 +460,34 @@ def test_pii_candidates(spark):
     assert "national_phone" in got[1] and "disguised_email" in got[2] and "personal_number" in got[3] and got[4] == got[5] == ""
 
 
+def test_pii_thresholds_hold_on_unseen_examples(spark):
+    """Thresholds come from examples for and against; on newly drawn ones of each way of writing, and of all of them, they keep their precision."""
+    model, thresholds = pii._learned(spark)
+    right, chosen, there = {}, {}, {}
+    for style in range(len(pii._STYLES)):
+        rows = pii._examples(style, 60, seed=900 + style)
+        assert {(k, y) for k, *_, y in rows} == {(k, y) for k in pii._FOR for y in (0, 1)}
+        x, y = pii._measured(spark, rows)
+        p = model.probability(x)
+        for k in pii._FOR:
+            own = x[:, 0] == k
+            hit = own & (p >= thresholds[k])
+            right[k] = right.get(k, 0) + int(y[hit].sum())
+            chosen[k] = chosen.get(k, 0) + int(hit.sum())
+            there[k] = there.get(k, 0) + int(y[own].sum())
+    for k in pii._FOR:
+        assert right[k] >= 0.98 * chosen[k] and right[k] >= 0.75 * there[k]
+
+
+def test_pii_in_sentences(spark):
+    """Texts that the examples' generator didn't write."""
+    good = ["Please call our office: 212-555-0199 before noon.", "Her mobile 646.555.0123 rings.", "Reach me at jane_doe (at) mail (dot) example.", "Tax number, social security: 321-54-9876 on file.", "Pay to IBAN: DE44 5001 0517 5407 3249 31, thanks.", "Host address: 2001:db8:85a3:0:0:8a2e:370:7334 answered."]
+    bad = ["Version 3.10.255 of page 12 from 2024-05-06.", "Order 4711-0815-99 costs 1,299.00 EUR.", "It was 12:30:45 on 01.02.2003, 100 kg.", "We met (at) noon.", "Part AB12 C3D4 E5F6 in stock.", "Score 10:09:08:07:06:05:04 at the end."]
+    rows = [(i, t, 0) for i, t in enumerate(good + bad)]
+    got = {r["doc_id"]: r["n_extra"] for r in pii.find_pii(frame(spark, rows)).collect()}
+    assert sum(got[i] == 1 for i in range(len(good))) >= 5 and not any(got[i] for i in range(len(good), len(rows)))
+
+
 def test_redaction_keeps_columns(spark):
     rows = [(1, "a@b.org and +1 (555) 555-1234!", 7), (2, None, 8), (None, "é 10.0.0.1", 9)]
     df = frame(spark, rows).withColumnRenamed("n", "base").withColumnRenamed("doc_id", "row")
@@ -447,6 +538,39 @@ def test_scores_of_odd_rows(spark, score, label):
     assert score(frame(spark, []), some).count() == 0
 
 
+def test_contexts_of_the_whole_corpus(spark):
+    """Distinct words before each word, by brute force: of the vocabulary, any other, or none at the beginning."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["ab", "Cd", "ef", "gh", "x1y", "zz"]) for _ in range(r.randint(0, 30))), 0) for i in range(300)] + CASES
+    names = ["ab", "cd", "ef", "the"]
+    hashes = {n: int(h[0]) for n, h in zip(names, toxicity.words_of(names))}
+    order = sorted(names, key=hashes.get)
+    want = {n: set() for n in names}
+    for _, t, _ in rows:
+        before = None
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", (t or "").translate(ASCII_LOWER)):
+            if w in want:
+                want[w].add(before)
+            before = w if w in want else "other"
+    got = toxicity.continuations(frame(spark, rows), np.array([hashes[n] for n in order], np.uint64))
+    assert got.tolist() == [len(want[n]) for n in order]
+    assert not toxicity.continuations(frame(spark, []), np.array([1], np.uint64)).any()
+
+
+def test_classes_back_off_to_the_corpus():
+    """An expression that doesn't tell the classes apart counts for neither; one that does counts by its classes' own probabilities."""
+    r = random.Random(1)
+    common = [f"w{c}" for c in "abcdefghijklmnop"]
+    text = lambda: [r.choice(common) for _ in range(30)]
+    texts = [" ".join(text() + (["vile"] if k % 2 else ["kind"])) for k in range(120)]
+    words, y = toxicity.words_of(texts), np.arange(120) % 2
+    vocabulary = toxicity._vocabulary(words)
+    m = toxicity.Model(*toxicity._language_models(words, y, vocabulary, np.ones(len(vocabulary))), np.zeros(5), np.zeros(4), np.ones(4))
+    of = {w: float(m.word[np.searchsorted(vocabulary, toxicity.words_of([w])[0][0])]) for w in ("vile", "kind", *common)}
+    assert of["vile"] > 3 and of["kind"] < -3 and not any(of[w] for w in common)
+    assert np.count_nonzero(m.context) <= 2
+
+
 def test_toxic_rows_go(spark):
     some = spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, toxic int")
     r = random.Random(12)
@@ -473,3 +597,18 @@ def test_pipeline(spark):
     sets = [shingles(t, 5) for _, t, _ in rows]
     assert not any(a and 100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables here")
+def test_pipeline_of_repeated_rows_and_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    once = {r["doc_id"] for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()}
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    for name, d in (("twice", docs.unionByName(docs)), ("none", docs.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = corpus_pipeline.run(spark, f"{tmp_path}/twice").where("piece = 0").groupBy("doc_id").count().collect()
+    assert {r["doc_id"] for r in got} == once and {r["count"] for r in got} == {1}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
