@@ -4,9 +4,9 @@ Texts are normalised (A-Z lower-cased), and sampled splitters range-partition th
 ``HEAD`` characters, the SHA-256 of the whole and the identifier: every key is of bounded size,
 equal texts lie next to each other, and a group of any size is spread over as many partitions as
 it fills. Each partition is sorted externally; a pass over it compares every text in full with
-its neighbour and keeps only the identifiers of the current group. A group that touches the edge
-of a partition is joined with the next partition's by its SHA-256 and length; the driver holds
-two small records a partition for that.
+its neighbour and keeps only the identifiers of the current group. Groups that touch the edges of
+two partitions are neighbours too: where SHA-256 and length agree, their texts are compared in
+full. The driver holds two small records a partition for that.
 
 Defined cases: a null text is empty, and empty texts are equal; of a group the row of the
 smallest (or largest) identifier stays, of rows that repeat it just one; a null identifier stays
@@ -18,11 +18,12 @@ whatever their names.
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,7 @@ from .common import for_workers, partitions, two_columns, written
 HEAD = 64
 SCHEMA = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
 _SORTED = "doc_id long, head string, sha binary, norm string"
-_GROUPED = "doc_id long, first boolean, part int, edge int, keep_id long, group_size long, n_bytes long, text_sha256 string"
+_GROUPED = "doc_id long, first boolean, part int, edge int, keep_id long, group_size long, n_bytes long, text_sha256 string, norm string"
 
 
 def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,11 +55,11 @@ def _best(ids: list[int | None], largest: bool) -> int | None:
 
 def _grouping(largest: bool):
     names = [x.split()[0] for x in _GROUPED.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    kinds = [pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
-    def rows(ids: list, part: int, edge: int, n_bytes: int, sha: bytes) -> list[tuple]:
-        keep, n, text = _best(ids, largest), len(ids), sha.hex()
-        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text) for k, i in enumerate(ids)]
+    def rows(ids: list, part: int, edge: int, norm: pa.StringScalar, sha: bytes) -> list[tuple]:
+        keep, n, text, n_bytes = _best(ids, largest), len(ids), sha.hex(), len(norm.as_buffer())
+        return [(i, not k or ids[k - 1] != i, part, edge, keep, n, n_bytes, text, norm.as_py() if edge and not k else None) for k, i in enumerate(ids)]
 
     def batch_of(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -66,24 +67,24 @@ def _grouping(largest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, ids, last, sha, n_bytes, groups = TaskContext.get().partitionId(), [], None, b"", 0, 0
+        part, ids, last, sha, text, groups = TaskContext.get().partitionId(), [], None, b"", None, 0
         for batch in batches:
             norm, n = batch.column("norm"), len(batch)
             if not n:
                 continue
             same = _repeated(norm, last)
-            shas, sizes, out = batch.column("sha"), pc.binary_length(norm), []
+            shas, out = batch.column("sha"), []
             for k, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 if not same[k]:
                     if ids:
-                        out += rows(ids, part, int(groups == 1), n_bytes, sha)
-                    ids, sha, n_bytes, groups = [], shas[k].as_py(), sizes[k].as_py(), groups + 1
+                        out += rows(ids, part, int(groups == 1), text, sha)
+                    ids, sha, text, groups = [], shas[k].as_py(), norm[k], groups + 1
                 ids.append(doc_id)
             last = norm[n - 1].as_py()
             if out:
                 yield batch_of(out)
         if ids:
-            yield batch_of(rows(ids, part, 2 + (groups == 1), n_bytes, sha))
+            yield batch_of(rows(ids, part, 2 + (groups == 1), text, sha))
 
     return run
 
@@ -93,18 +94,32 @@ def _repeated(norm: pa.Array, last: str | None) -> list[bool]:
     return [last is not None and norm[0].as_py() == last, *pc.equal(norm.slice(1), norm.slice(0, len(norm) - 1)).to_pylist()]
 
 
-def _across(edges: list, largest: bool) -> list[tuple]:
-    """(part, edge, keep_id, group_size) of the groups that touch an edge, joined along the order of the partitions. Edge 1 is a partition's first group, 2 its last, 3 its only one."""
+def _joined(edges: DataFrame, text: Column) -> tuple[list, set[int]]:
+    """The records of the groups at edges (part, edge, sha, n_bytes and more), in order, and the parts whose first group goes on from the one before. ``edges`` has one row with a text for each; edge 1 is a partition's first group, 2 its last, 3 its only one."""
+    records = sorted(edges.drop("norm").collect(), key=lambda e: (e["part"], e["edge"]))  # two a partition at most
+    alike, before = [], None
+    for e in records:
+        if before is not None and e["edge"] != 2 and (e["sha"], e["n_bytes"]) == (before["sha"], before["n_bytes"]):
+            alike.append((before["part"], before["edge"], e["part"], e["edge"]))
+        if e["edge"] != 1:
+            before = e
+    if not alike:
+        return records, set()
+    pairs = edges.sparkSession.createDataFrame(alike, "_a int, _ea int, _b int, _eb int")
+    texts = edges.select("part", "edge", text.alias("norm"))
+    one, two = (texts.select(F.col("part").alias(p), F.col("edge").alias(e), F.col("norm").alias(t)) for p, e, t in (("_a", "_ea", "_x"), ("_b", "_eb", "_y")))
+    same = pairs.join(one, ["_a", "_ea"]).join(two, ["_b", "_eb"]).where("_x = _y").select("_b")
+    return records, {r["_b"] for r in same.collect()}
+
+
+def _across(edges: list, joined: set[int], largest: bool) -> list[tuple]:
+    """(part, edge, keep_id, group_size, owner) of the groups that go on over edges, along the order of the partitions."""
     chains: list[list] = []
-    previous = None  # the part whose last group may go on
-    for e in sorted(edges, key=lambda e: (e["part"], e["edge"])):
-        mine = (e["text_sha256"], e["n_bytes"])
-        goes_on = previous is not None and e["edge"] != 2 and e["part"] != previous and mine == (chains[-1][-1]["text_sha256"], chains[-1][-1]["n_bytes"])
-        if goes_on:
+    for e in edges:
+        if e["part"] in joined and e["edge"] != 2:
             chains[-1].append(e)
         else:
             chains.append([e])
-        previous = e["part"] if e["edge"] != 1 else None
     return [(e["part"], e["edge"], _best([x["keep_id"] for x in chain], largest), sum(x["group_size"] for x in chain), k == (len(chain) - 1 if largest else 0)) for chain in chains if len(chain) > 1 for k, e in enumerate(chain)]
 
 
@@ -114,9 +129,9 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id"
     rows = two_columns(docs, id_col, text_col).mapInArrow(_normalised, _SORTED)
     rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
     groups = written(rows.mapInArrow(_grouping(largest), _GROUPED), "groups")
-    edges = groups.where("edge > 0").groupBy("part", "edge").agg(*(F.first(c).alias(c) for c in ("keep_id", "group_size", "n_bytes", "text_sha256"))).collect()  # two rows a partition at most
+    edges = groups.where("norm is not null").select("part", "edge", "keep_id", "group_size", "n_bytes", F.col("text_sha256").alias("sha"), "norm")
     spark = docs.sparkSession
-    joined = spark.createDataFrame(_across(edges, largest), "part int, edge int, k long, n long, owner boolean")
+    joined = spark.createDataFrame(_across(*_joined(edges, F.col("norm")), largest), "part int, edge int, k long, n long, owner boolean")
     out = groups.join(F.broadcast(joined), ["part", "edge"], "left")
     keep_id = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(F.col("keep_id"))
     kept = F.col("first") & F.when(keep_id.isNull(), F.coalesce(F.col("owner"), F.lit(True))).otherwise(F.coalesce(F.col("doc_id") == keep_id, F.lit(False)))
@@ -141,8 +156,10 @@ def dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_
     rows = rows.repartitionByRange(partitions(rows), "head", "sha", by_id).sortWithinPartitions("head", "sha", by_id, *others)
     first = T.StructType([whole, *(T.StructField(c, k) for c, k in (("part", T.IntegerType()), ("edge", T.IntegerType()), ("sha", T.BinaryType()), ("n_bytes", T.LongType())))])
     firsts = written(rows.mapInArrow(_first_rows(at), first), "firsts")
-    edges = firsts.where("edge > 0").select("part", "edge", "sha", "n_bytes").collect()  # two rows a partition at most
-    again = spark.createDataFrame([(p,) for p in _continued(edges)], "_part int")
+    norm = F.translate(F.coalesce(F.col("row").getField(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    edges = firsts.where("edge > 0").select("part", "edge", F.hex("sha").alias("sha"), "n_bytes", norm.alias("norm"))
+    _, joined = _joined(edges, F.col("norm"))
+    again = spark.createDataFrame([(p,) for p in sorted(joined)], "_part int")
     kept = firsts.join(F.broadcast(again), (F.col("part") == F.col("_part")) & F.col("edge").isin(1, 3), "left_anti")
     return kept.select("row.*")
 
@@ -187,15 +204,3 @@ def _first_rows(at: int):
             yield out(held, [2 + (groups == 1)])
 
     return run
-
-
-def _continued(edges: list) -> list[int]:
-    """The partitions whose first group goes on from the one before, by SHA-256 and length."""
-    out, before = [], None
-    for e in sorted(edges, key=lambda e: (e["part"], e["edge"])):
-        mine = (bytes(e["sha"]), e["n_bytes"])
-        if e["edge"] != 2 and mine == before:
-            out.append(e["part"])
-        if e["edge"] != 1:
-            before = mine
-    return out
