@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.tables import collecting, forget
 
+from . import library_ids
 from .common import kept_rows, two_columns, written
 from .words import checked_shingle_sets, mix, shingle_sets
 
@@ -131,6 +132,7 @@ def _shingled(words: int, percent: int):
     """Per row: id, size, node and check (two halves of the set's digest), parities and signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library_ids.release()  # of an operator that this worker served before
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.schema.names[2:]  # the row's key, where it is asked for
             for first, sets, begin in shingle_sets(batch.column("text"), words):

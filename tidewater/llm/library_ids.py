@@ -25,7 +25,7 @@ from .bytebpe import byte_letters
 from .pieces import LONGEST_KEPT, cut
 
 #: Bytes of text that are split together, and entries in a generation of a memory (under 250 bytes each).
-RUN, REMEMBERED = 2 << 20, 250_000
+RUN, REMEMBERED = 4 << 20, 500_000
 LETTER, NUMBER, SIGN, WHITE = range(4)
 #: What may follow an apostrophe as a word of its own, the earlier first.
 _SHORT = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
@@ -131,7 +131,13 @@ class LibraryIds:
         of_code = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
 
         def word(latin: bytes) -> bytes:
-            return array("I", [t.id for t in tokenize(latin.decode("latin-1").translate(of_code))]).tobytes()
+            if latin.isalpha():  # its letters stand for themselves
+                own = latin.decode()
+            elif latin[1:].isalpha() and latin[0] == 32:
+                own = "Ġ" + latin[1:].decode()
+            else:
+                own = latin.decode("latin-1").translate(of_code)
+            return array("I", [t.id for t in tokenize(own)]).tobytes()
 
         self.words = Recent(word if spaced else lambda latin: b"" if latin[:1].isspace() else word(latin))
         self.pieces = Recent((lambda piece: self.whole(" " + piece)) if spaced else self.whole)
@@ -202,12 +208,19 @@ class LibraryIds:
         begin = word_begins(latin, (ends - sizes)[sizes > 0], self.spaced)
         edges = np.append(begin, len(latin)).astype(np.int32)
         coded = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(edges), pa.py_buffer(latin)]).dictionary_encode()
-        found = pa.array(self.words.all(coded.dictionary.to_pylist()), pa.binary()).take(coded.indices)
+        found = pa.array(self.words.all(_listed(coded.dictionary)), pa.binary()).take(coded.indices)
         upto = np.frombuffer(found.buffers()[1], "<i4")[: len(found) + 1]
         ids = np.frombuffer(found.buffers()[2] or b"", "<u4", upto[-1] // 4)
         return ids, (upto[np.searchsorted(begin, ends)] // 4).astype(np.int64)
 
 
+def _listed(values: pa.Array) -> list[bytes]:
+    """A binary array as a list, cut out of its buffer (several times as fast as by its scalars)."""
+    ends = np.frombuffer(values.buffers()[1], "<i4")[values.offset : values.offset + len(values) + 1].tolist()
+    raw = values.buffers()[2].to_pybytes() if ends[-1] else b""
+    return [raw[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _slices(text: str) -> Iterator[str]:
     """A very long text in slices that begin where a word does."""
     at = 0
@@ -221,6 +234,11 @@ def _slices(text: str) -> Iterator[str]:
 _made: dict[tuple[str, bool], LibraryIds] = {}
 
 
+def release() -> None:
+    """Gives back what this worker remembers, for operators that need the memory themselves."""
+    _made.clear()
+
+
 def library_ids(path: str, spaced: bool) -> LibraryIds:
     if (path, spaced) not in _made:
         _made.clear()

@@ -30,13 +30,15 @@ _HASH_BITS = 18
 
 def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Non-overlapping frequent pairs (left, right), the places in ``seq`` where they stand, and which pair stands there."""
-    slot = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _HASH_BITS)
-    rough = np.bincount(slot, open_, minlength=1 << _HASH_BITS)
+    slot = ((seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _HASH_BITS)).astype(np.intp)
+    slot[np.flatnonzero(~open_)] = 1 << _HASH_BITS  # apart, and never frequent
+    rough = np.bincount(slot, minlength=(1 << _HASH_BITS) + 1)
+    rough[-1] = 0
     few = min(4 * PAIRS_A_ROUND, rough.size - 1)
     least = max(LEAST, int(np.partition(rough, rough.size - few)[rough.size - few]))
-    at, pairs, counts = _counted(seq, open_ & (rough >= least)[slot], symbols)
+    at, pairs, counts = _counted(seq, (rough >= least)[slot], symbols)
     if least > LEAST and counts.max(initial=0) < LEAST:  # the fullest slots held rare pairs alone
-        at, pairs, counts = _counted(seq, open_ & (rough >= LEAST)[slot], symbols)
+        at, pairs, counts = _counted(seq, (rough >= LEAST)[slot], symbols)
     pairs, counts = pairs[counts >= LEAST], counts[counts >= LEAST]
     pairs = pairs[np.lexsort((pairs, -counts))][: 2 * PAIRS_A_ROUND]
     left, right = (pairs // np.uint64(symbols)).astype(np.uint32), (pairs % np.uint64(symbols)).astype(np.uint32)
@@ -66,7 +68,9 @@ def _frequent(seq: np.ndarray, open_: np.ndarray, symbols: int) -> tuple[np.ndar
 def _counted(seq: np.ndarray, where: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The places marked in ``where``, and the distinct pairs there with their counts."""
     at = np.flatnonzero(where)
-    return at, *np.unique(seq[at] * np.uint64(symbols) + seq[at + 1], return_counts=True)
+    kind = np.uint32 if symbols < 1 << 16 else np.uint64
+    pairs, counts = np.unique(seq[at].astype(kind, copy=False) * kind(symbols) + seq[at + 1], return_counts=True)
+    return at, pairs.astype(np.uint64), counts
 
 
 def compress(ids: np.ndarray, ends: np.ndarray) -> dict[str, np.ndarray]:
