@@ -571,6 +571,64 @@ def test_classes_back_off_to_the_corpus():
     assert np.count_nonzero(m.context) <= 2
 
 
+def _letters(k):
+    return "".join(chr(97 + int(d)) for d in str(k))
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """Each of 300 toxic words is in 20 labelled rows; only in all of them together are they evidence."""
+    r = random.Random(6)
+    rows = [(i, " ".join("q" + _letters(r.randrange(5000)) for _ in range(13 - i % 2)) + (f" vile{_letters(i // 2 % 300)}" if i % 2 else ""), 0) for i in range(12000)]
+    some = spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    got = toxicity.toxicity(frame(spark, rows), some).where("held_out").collect()
+    assert len(got) > 2000
+    assert np.mean([x["predicted"] for x in got if x["doc_id"] % 2]) > 0.95 and np.mean([x["predicted"] for x in got if x["doc_id"] % 2 == 0]) < 0.05
+
+
+def test_learned_from_and_its_counts(spark):
+    """All labelled rows but held-out ones and near copies, each row once; counts by brute force, however often tasks give up what they hold."""
+    r = random.Random(8)
+    rows = [(i, " ".join("q" + _letters(r.randrange(200)) if r.random() < 0.2 else "q" + _letters(r.randrange(10**6)) for _ in range(r.randint(9, 40))) + (" foul play" if i % 3 == 1 else " fair play") * (i % 5 > 0), 0) for i in range(400)]
+    copied = " ".join("z" + _letters(k) for k in range(200))
+    rows += [(i, copied, 0) for i in range(400, 440)] + [(i, copied + " more", 0) for i in range(440, 460)] + rows[:50] + [(i, "", 0) for i in range(460, 480)]
+    known = {i: i % 3 % 2 for i in range(480) if i % 7}
+    some = spark.createDataFrame([*known.items(), (1, None), (None, 1), (999, 1), (3, 2), *list(known.items())[:30]], "doc_id long, toxic int")
+    texts = toxicity.learned_from(frame(spark, rows), some)
+    got = [(x["text"], x["y"]) for x in texts.collect()]
+    own = {(t, known[i]) for i, t, _ in rows if i in known and zlib.crc32(str(i).encode()) % 5 and t}
+    assert sum(copied in t for t, _ in got) == 1 and sum(not t for t, _ in got) == 1
+    assert {x for x in got if x[0] and copied not in x[0]} == {x for x in own if copied not in x[0]}
+    words = toxicity.words_of([t for t, _ in got])
+    vocabulary, count = toxicity._word_counts(texts)
+    assert vocabulary.tolist() == toxicity._vocabulary(words).tolist()
+    y = np.array([y for _, y in got])
+    contexts = np.arange(len(vocabulary)) + 1.0
+    want = toxicity._language_models(words, y, vocabulary, contexts)
+    code = {(x["text"], x["y"]): x["code"] for x in texts.collect()}
+    part = np.array([code[x] // 2 for x in got])
+    for k, c in enumerate(toxicity._all_counts(texts, vocabulary, count, contexts)):
+        use = part != k  # the last has no part left out
+        want = toxicity._language_models([w for w, u in zip(words, use) if u], y[use], vocabulary, contexts)
+        assert all(np.allclose(a, b) for a, b in zip(want, toxicity._estimated(c, vocabulary, contexts)))
+        assert np.count_nonzero(want[1]) and len(want[3])
+
+
+def test_pairs_meet_in_bytes():
+    r = np.random.default_rng(2)
+    v = 5000
+    sent, merged = {}, []
+    parts = []
+    for _ in range(3):
+        keys, n = np.unique(np.concatenate((r.integers(0, v * v, 4000), r.integers(0, 900, 5000))), return_counts=True)
+        parts += toxicity._split(keys, n, v, v).to_pylist()
+        for k, c in zip(keys.tolist(), n.tolist()):
+            sent[k] = sent.get(k, 0) + c
+    parts.sort(key=lambda x: x["bucket"])
+    for keys, n in toxicity._merged(iter([pa.RecordBatch.from_pylist(parts[:2000]), pa.RecordBatch.from_pylist(parts[2000:])])):
+        merged += zip(keys.tolist(), n.tolist())
+    assert len(merged) == len(sent) and dict(merged) == sent
+
+
 def test_toxic_rows_go(spark):
     some = spark.createDataFrame([(i, int(i % 2)) for i in range(80)], "doc_id long, toxic int")
     r = random.Random(12)
