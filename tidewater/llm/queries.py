@@ -78,8 +78,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_digests
+
+    return run_digests(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op9_pii, op10_quality)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op9_pii, op10_quality, op11_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

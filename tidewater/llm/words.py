@@ -17,13 +17,13 @@ import pyarrow as pa
 
 #: Bytes hashed at once, unless one word is longer.
 SLICE = 1 << 20
-_SEPARATOR = np.zeros(256, bool)
-_SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
+SEPARATOR = np.zeros(256, bool)
+SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 #: For words of letters only: every ASCII byte but the letters separates.
 NO_LETTER = np.arange(256) < 128
 NO_LETTER[65:91] = NO_LETTER[97:123] = False
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Lanes of eight bytes that are mixed; fixed odd multipliers of the two hashes; and masks of the first bytes of a lane.
 LANES = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -51,7 +51,7 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes:
     b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     size = e - b
     lower = np.zeros(n + 8, np.uint8)
-    lower[:n] = _LOWER[data]
+    lower[:n] = LOWER[data]
     lane = np.ndarray((n + 1,), "<u8", lower, strides=(1,))
     first = lane[b] & _MASK[np.minimum(size, 8)]
     out = [mix(mix(first + odd) ^ size.astype(np.uint64) * odd) for odd in _ODD[:hashes]]
@@ -69,7 +69,7 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes:
     return out, b
 
 
-def column_words(column: pa.Array, separator: np.ndarray = _SEPARATOR, at_once: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def column_words(column: pa.Array, separator: np.ndarray = SEPARATOR, at_once: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, word hashes, where each text's words begin, and the last's end) for runs of texts of a string column without nulls."""
     for first, last, (words,), begin in _column_words(column, separator, at_once, 1):
         yield first, last, words, begin
@@ -127,7 +127,7 @@ def checked_shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.nda
 
 
 def _shingle_sets(column: pa.Array, k: int, hashes: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    for first, _, words, begin in _column_words(column, _SEPARATOR, SLICE, hashes):
+    for first, _, words, begin in _column_words(column, SEPARATOR, SLICE, hashes):
         made = [_shingles(w, begin, k, 70 + s) for s, w in enumerate(words)]
         (mixed, short), (check, short_check) = made[0], made[-1]
         sets, checks = [mixed[:0]], [mixed[:0]]
