@@ -69,6 +69,17 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes:
     return out, b
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """The hash of each of a list of words (A-Z count as a-z)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    begin = (np.cumsum(size) - size)[size > 0]
+    out = np.zeros(len(words), np.uint64)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    if len(data):
+        out[size > 0] = _hashed(data, begin, np.zeros(256, bool), 1)[0][0]
+    return out
+
+
 def column_words(column: pa.Array, separator: np.ndarray = SEPARATOR, at_once: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, one past the last, word hashes, where each text's words begin, and the last's end) for runs of texts of a string column without nulls."""
     for first, last, (words,), begin in _column_words(column, separator, at_once, 1):
