@@ -115,8 +115,14 @@ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op9_pii, op10_quality, op11_periodic_runs, op12_source_divergence)}
+    return {f.__name__: f for f in (op1_token_counts, op2_best_fit_packing, op3_id_files, op4_exact_dedup, op5_toxicity, op6_prefix_fingerprints, op7_jaccard_join, op8_bpe_codec, op9_pii, op10_quality, op11_periodic_runs, op12_source_divergence, op13_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:

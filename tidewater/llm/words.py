@@ -49,10 +49,15 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes:
     inner = breaks[breaks > 0] - 1
     ends[inner] = inside[inner]
     b, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    size = e - b
     lower = np.zeros(n + 8, np.uint8)
     lower[:n] = LOWER[data]
-    lane = np.ndarray((n + 1,), "<u8", lower, strides=(1,))
+    return span_hashes(lower, b, e, hashes), b
+
+
+def span_hashes(lower: np.ndarray, b: np.ndarray, e: np.ndarray, hashes: int = 1) -> list[np.ndarray]:
+    """One or two hashes of each word [b, e) of bytes that eight zeros follow."""
+    size = e - b
+    lane = np.ndarray((len(lower) - 7,), "<u8", lower, strides=(1,))
     first = lane[b] & _MASK[np.minimum(size, 8)]
     out = [mix(mix(first + odd) ^ size.astype(np.uint64) * odd) for odd in _ODD[:hashes]]
     for k in range(1, LANES):
@@ -66,7 +71,7 @@ def _hashed(data: np.ndarray, breaks: np.ndarray, separator: np.ndarray, hashes:
         digest = np.frombuffer(hashlib.blake2b(lower[b[k] : e[k]].tobytes(), digest_size=16).digest(), "<u8")
         for h, d in zip(out, digest):
             h[k] = d
-    return out, b
+    return out
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
