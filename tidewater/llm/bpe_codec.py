@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from . import bytebpe
 from .common import two_columns
-from .pieces import Memory, over_pieces
+from .library_ids import RunIds
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _NEVER = 1 << 60
@@ -43,9 +44,8 @@ class Codec:
                 self.automaton.add_word(raw.decode("latin-1"), (len(raw), i))
         self.automaton.make_automaton()
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.rest = Memory(lambda s: struct.pack(f"<{len(ids)}I", *ids) if (ids := self.prefixes(s.encode("utf-8"))) else b"")
-        self.later = Memory(lambda piece: self.piece(" " + piece), spaced=True)
-        self.token_bytes = [v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)]
+        self.runs = RunIds(True, list(v.special), lambda latin: self.word(latin.decode("latin-1")), self.whole)
+        self.token_bytes = pa.array([v.bytes_of.get(i, b"") for i in range(max(v.bytes_of) + 1)], pa.large_binary())
 
     def edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """(token, rank at which it is merged further) down one edge of a token: side 1 is the right edge, 0 the left."""
@@ -90,26 +90,32 @@ class Codec:
             last[end], size[end] = token, length
         out = []
         while n:
+            if not size[n]:
+                raise ValueError(f"the vocabulary has no tokens for {raw!r}")
             out.append(last[n])
             n -= size[n]
         out.reverse()
         return out
 
-    def piece(self, piece: str) -> bytes:
-        rest, out = self.rest, []
-        for text, special in self.vocabulary.between_specials(piece):
-            out += map(rest.__getitem__, bytebpe.split(text))
-            if special is not None:
-                out.append(struct.pack("<I", special))
-        return b"".join(out)
+    def word(self, word: str) -> bytes:
+        return array("I", self.prefixes(word.encode("utf-8"))).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return b"".join(b"".join(map(self.word, bytebpe.split(part))) + (b"" if special is None else struct.pack("<I", special)) for part, special in self.vocabulary.between_specials(text))
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(over_pieces(text, self.piece, self.later)) if text else b""
+        return self.runs(text)
 
     def decode(self, ids: bytes) -> str:
-        table = self.token_bytes
-        return b"".join(map(table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", errors="replace")
+        return self.decoded(np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))[0].decode("utf-8", errors="replace")
+
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of runs of ids that end at ``ends``."""
+        found = self.token_bytes.take(pa.array(ids))
+        upto = np.frombuffer(found.buffers()[1], "<i8")[: len(ids) + 1][np.append(0, ends)].tolist()
+        raw = found.buffers()[2].to_pybytes() if upto[-1] else b""
+        return [raw[a:b] for a, b in zip(upto, upto[1:])]
 
 
 _codecs: dict[str, Codec] = {}
@@ -128,7 +134,8 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path or bytebpe.tokenizer_path("byte_bpe_50k.json"))
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([c.encode(t) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "ids"])
+            encoded = [ids[a:b].tobytes() for _, _, ids, ends in c.runs.batches(batch.column("text")) for a, b in zip(np.append(0, ends), ends)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(encoded, pa.binary())], ["doc_id", "ids"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
 
@@ -151,11 +158,11 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         c, sha = codec(path or bytebpe.tokenizer_path("byte_bpe_50k.json")), hashlib.sha256
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = c.encode(text)
-                n.append(len(ids) // 4)
-                ids_sha.append(sha(ids).hexdigest())
-                text_sha.append(sha(c.decode(ids).encode("utf-8")).hexdigest())
+            for _, _, ids, ends in c.runs.batches(batch.column("text")):
+                raw, upto = ids.tobytes(), np.append(0, ends).tolist()
+                n += np.diff(upto).tolist()
+                ids_sha += [sha(raw[4 * a : 4 * b]).hexdigest() for a, b in zip(upto, upto[1:])]
+                text_sha += [sha(x.decode("utf-8", errors="replace").encode("utf-8")).hexdigest() for x in c.decoded(ids, ends)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return two_columns(docs, id_col, text_col).mapInArrow(run, SCHEMA)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+from heapq import heapify, heappop, heappush
 
 import regex
 
@@ -44,20 +45,25 @@ class Vocabulary:
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: the pair of least rank is merged, the leftmost first, until none is left."""
         seq = [self.byte_id[b] for b in raw]
-        get, none = self.merges.get, (1 << 60, -1)
-        pairs = [get(p, none) for p in zip(seq, seq[1:])]
-        while pairs:
-            best = min(pairs)
-            if best is none:
-                break
-            i = pairs.index(best)
-            seq[i : i + 2] = [best[1]]
-            del pairs[i]
-            if i < len(pairs):
-                pairs[i] = get((seq[i], seq[i + 1]), none)
-            if i:
-                pairs[i - 1] = get((seq[i - 1], seq[i]), none)
-        return seq
+        n, get = len(seq), self.merges.get
+        # What may be merged lies in a heap by rank and place; what a merge has made untrue is passed over when it comes up.
+        heap = [(m[0], i) for i, p in enumerate(zip(seq, seq[1:])) if (m := get(p))]
+        heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if seq[i] < 0 or j >= n or not (m := get((seq[i], seq[j]))) or m[0] != rank:
+                continue
+            seq[i], seq[j] = m[1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if m := get((seq[i], seq[k])):
+                    heappush(heap, (m[0], i))
+            if (h := before[i]) >= 0 and (m := get((seq[h], seq[i]))):
+                heappush(heap, (m[0], h))
+        return [t for t in seq if t >= 0]
 
     @functools.cached_property
     def alone(self) -> set[str]:

@@ -110,40 +110,17 @@ class Recent:
         return found
 
 
-class LibraryIds:
-    """Whole texts to ids.
+class RunIds:
+    """Whole texts to ids, given those of one word (its Latin-1 bytes) and those of any text, as little-endian unsigned 32-bit integers.
 
     ``spaced``: a word keeps its leading space (byte-level vocabularies). Otherwise the
     vocabulary lower-cases and drops white space, and a text may be cut at every space.
     """
 
-    def __init__(self, path: str, spaced: bool):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.spaced = spaced
-        with open(path, encoding="utf-8") as f:
-            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
-        letters, tokenize = byte_letters(), self.library.model.tokenize
-        of_code = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
-
-        def word(latin: bytes) -> bytes:
-            if latin.isalpha():  # its letters stand for themselves
-                own = latin.decode()
-            elif latin[1:].isalpha() and latin[0] == 32:
-                own = "Ġ" + latin[1:].decode()
-            else:
-                own = latin.decode("latin-1").translate(of_code)
-            return array("I", [t.id for t in tokenize(own)]).tobytes()
-
+    def __init__(self, spaced: bool, special: list[str], word: Callable[[bytes], bytes], whole: Callable[[str], bytes]):
+        self.spaced, self.special, self.whole = spaced, special, whole
         self.words = Recent(word if spaced else lambda latin: b"" if latin[:1].isspace() else word(latin))
-        self.pieces = Recent((lambda piece: self.whole(" " + piece)) if spaced else self.whole)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        self.pieces = Recent((lambda piece: whole(" " + piece)) if spaced else whole)
 
     def odd(self, text: str) -> bytes:
         """A text of any letters, by its pieces."""
@@ -214,6 +191,33 @@ class LibraryIds:
         return ids, (upto[np.searchsorted(begin, ends)] // 4).astype(np.int64)
 
 
+class LibraryIds(RunIds):
+    """Ids by the tokenizers library."""
+
+    def __init__(self, path: str, spaced: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
+        letters, tokenize = byte_letters(), library.model.tokenize
+        of_code = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+
+        def word(latin: bytes) -> bytes:
+            if latin.isalpha():  # its letters stand for themselves
+                own = latin.decode()
+            elif latin[1:].isalpha() and latin[0] == 32:
+                own = "Ġ" + latin[1:].decode()
+            else:
+                own = latin.decode("latin-1").translate(of_code)
+            return array("I", [t.id for t in tokenize(own)]).tobytes()
+
+        super().__init__(spaced, special, word, lambda text: array("I", library.encode(text, add_special_tokens=False).ids).tobytes())
+
+
 def _listed(values: pa.Array) -> list[bytes]:
     """A binary array as a list, cut out of its buffer (several times as fast as by its scalars)."""
     ends = np.frombuffer(values.buffers()[1], "<i4")[values.offset : values.offset + len(values) + 1].tolist()

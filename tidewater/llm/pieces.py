@@ -1,4 +1,4 @@
-"""Texts as space-led pieces, and bounded memories of what was worked out for a piece.
+"""Texts as space-led pieces.
 
 Byte-level BPE splits a text into pre-tokens by a fixed pattern. A space that a non-space follows
 always begins a pre-token, so a text may be cut there and every piece be encoded by itself.
@@ -7,57 +7,13 @@ always begins a pre-token, so a text may be cut there and every piece be encoded
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 #: Pieces longer than this are worked out anew each time.
 LONGEST_KEPT = 64
-#: Pieces in either of the two generations of a memory.
-GENERATION = 350_000
 
 _CUT = re.compile(r" (?=\S)")
 
 
-class Irregular(Exception):
-    """A space isn't followed by a non-space: cutting at every space would be wrong."""
-
-
-class Memory(dict):
-    """piece -> ``work(piece)``. Two generations bound its size: what the older one still serves moves up."""
-
-    def __init__(self, work: Callable, spaced: bool = False, size: int = GENERATION):
-        super().__init__()
-        self.work, self.spaced, self.size, self.old = work, spaced, size, {}
-
-    def __missing__(self, piece: str):
-        found = self.old.get(piece)
-        if found is None:
-            if self.spaced and (not piece or piece[0].isspace()):
-                raise Irregular
-            found = self.work(piece)
-            if len(piece) > LONGEST_KEPT:
-                return found
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = found
-        return found
-
-
 def cut(text: str) -> list[str]:
     """The pieces of any text; all but the first have lost their leading space."""
     return _CUT.split(text)
-
-
-def over_pieces(text: str, first: Callable, later: Memory) -> list:
-    """What ``first`` gives for the first piece and ``later`` for the others (keys without their space)."""
-    parts = text.split(" ")
-    head = parts[0]
-    if head:
-        try:
-            out = list(map(later.__getitem__, parts[1:]))
-            out.insert(0, first(head))
-            return out
-        except Irregular:
-            pass
-    parts = cut(text)
-    return [first(parts[0]), *map(later.__getitem__, parts[1:])]
