@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,13 +50,40 @@ _GENERATORS = (
 )
 
 
-def _spans(kind: int, condition: str, pattern: str) -> str:
-    """An array of (k, s, e, m): the matches of a pattern in ``text`` with their places in code points."""
-    zipped = f"arrays_zip(regexp_extract_all(text, r'{pattern}', 0), split(text, r'{pattern}', -1))"
-    zipped = f"filter(transform({zipped}, x -> named_struct('m', x.`0`, 'g', x.`1`)), x -> x.m is not null)"
-    empty = "cast(array() as array<struct<k: int, s: int, e: int, m: string>>)"
-    step = f"named_struct('at', a.at + length(x.g) + length(x.m), 'found', concat(a.found, array(named_struct('k', {kind}, 's', a.at + length(x.g), 'e', a.at + length(x.g) + length(x.m), 'm', x.m))))"
-    return f"case when {condition} then aggregate({zipped}, named_struct('at', 0, 'found', {empty}), (a, x) -> {step}, a -> a.found) else {empty} end"
+#: Code points of a block of text, by which spans are cut out, and of a cell, by which candidates find their neighbours: no candidate is longer than a cell.
+BLOCK, CELL = 1024, 512
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound: the value is worked out once, however often (in lambdas too) the body uses it."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _scan(values: str, step: str, none: str) -> str:
+    """Running ``step`` (of x, the earlier, and y) over an array of n whole numbers, in blocks of sqrt(n), as an array that grows is copied at each step."""
+    joined = lambda x, y: re.sub(r"\b[xy]\b", lambda name: {"x": x, "y": y}[name[0]], step)
+    within = f"aggregate(slice(v, i * w + 1, w), cast(array() as array<int>), (a, y) -> concat(a, array(if(size(a) = 0, y, {joined('element_at(a, -1)', 'y')}))))"
+    blocks = f"transform(sequence(0, cast((size(v) - 1) div w as int)), i -> {within})"
+    before = f"aggregate(t, array({none}), (a, u) -> concat(a, array({joined('element_at(a, -1)', 'element_at(u, -1)')})))"
+    whole = f"flatten(zip_with(t, slice({before}, 1, size(t)), (u, x) -> transform(u, y -> {joined('x', 'y')})))"
+    return _let("v", values, f"if(size(v) > 1, {_let('w', 'cast(ceil(sqrt(size(v))) as int)', _let('t', blocks, whole))}, v)")
+
+
+def _found_spans(kinds: list[tuple[int, str, str]]) -> str:
+    """An array of (k, s, e, m): the matches of all patterns in ``text`` with their places in code points."""
+    pieces = ", ".join(f"named_struct('k', {kind}, 'm', case when {condition} then regexp_extract_all(text, r'{pattern}', 0) else cast(array() as array<string>) end, 'g', case when {condition} then split(text, r'{pattern}', -1) else cast(array() as array<string>) end)" for kind, condition, pattern in kinds)
+    ends = _scan("zip_with(slice(p.g, 1, size(p.m)), p.m, (g, m) -> cast(length(g) + length(m) as int))", "x + y", "0")
+    return f"flatten(transform(filter(array({pieces}), p -> size(p.m) > 0), p -> zip_with(p.m, {ends}, (m, e) -> named_struct('k', p.k, 's', e - length(m), 'e', e, 'm', m))))"
+
+
+def _cut(blocks: str, begin: str, end: str) -> str:
+    """The code points [begin, end) of a text in blocks: reads only the blocks that hold them."""
+    some = f"array_join(slice({blocks}, cast(({begin}) div {BLOCK} as int) + 1, cast((greatest({end}, {begin} + 1) - 1) div {BLOCK} - ({begin}) div {BLOCK} as int) + 1), '')"
+    return f"substring({some}, cast(({begin}) % {BLOCK} as int) + 1, ({end}) - ({begin}))"
+
+
+#: The text in blocks.
+_BLOCKS = f"regexp_extract_all(text, '(?s).{{1,{BLOCK}}}', 0)"
 
 
 def _digits(m: str) -> str:
@@ -80,8 +108,6 @@ FEATURES = ("length(m)", f"length({_digits('m')})", f"length({_digits('m')}) / l
 
 
 def _features(m: str, before: str, after: str) -> list[str]:
-    import re
-
     names = {"m": m, "before": before, "after": after}
     return [re.sub(r"(?<![\w'(|^\[])\b(m|before|after)\b(?=[ ,)])|(?<=\()\b(m|before|after)\b(?=[ ,)])", lambda x: names[x[1] or x[2]], f) for f in FEATURES]
 
@@ -184,23 +210,49 @@ def _margin(model: trees.Trees, names: list[str]) -> str:
     return " + ".join([f"{model.base:.9e}D", *(node(t, 0, 0) for t in range(len(model.leaf)))])
 
 
+def _apart_from(base: str, candidates: str) -> str:
+    """The candidates that meet no base span: all are put in order, and each looks at the furthest end before it and the nearest begin after it."""
+    order = "named_struct('s', x.s, 'o', {o}, 'e', x.e, 'k', x.k, 'm', {m})"
+    both = f"array_sort(concat(transform(b, x -> {order.format(o=0, m=repr(''))}), transform(c, x -> {order.format(o=1, m='x.m')})))"
+    ends = _scan("transform(a, x -> if(x.o = 0, x.e, 0))", "greatest(x, y)", "0")
+    begins = f"reverse({_scan('reverse(transform(a, x -> if(x.o = 0, x.s, 2147483647)))', 'least(x, y)', '2147483647')})"
+    free = "filter(zip_with(a, zip_with(p, n, (p, n) -> named_struct('p', p, 'n', n)), (x, y) -> named_struct('x', x, 'p', y.p, 'n', y.n)), x -> x.x.o = 1 and x.p <= x.x.s and x.n >= x.x.e)"
+    apart = _let("a", both, _let("p", ends, _let("n", begins, f"transform({free}, x -> named_struct('k', x.x.k, 's', x.x.s, 'e', x.x.e, 'm', x.x.m))")))
+    return _let("b", base, _let("c", candidates, f"if(size(b) = 0 or size(c) = 0, c, {apart})"))
+
+
+def _best(candidates: str) -> str:
+    """The candidates that no better one meets. Candidates are in order of their begins, and each looks at its own cell and those beside it."""
+    better = "b.s < x.e and x.s < b.e and (b.z > x.z or (b.z = x.z and (b.s < x.s or (b.s = x.s and (b.e > x.e or (b.e = x.e and b.k < x.k))))))"
+    cell = f"element_at(c, {{}}).s div {CELL}"
+    first = _scan(f"transform(c, (x, i) -> if(i = 0 or x.s div {CELL} <> {cell.format('i')}, i, 0))", "greatest(x, y)", "0")
+    last = f"reverse({_scan(f'reverse(transform(c, (x, i) -> if(i + 1 = size(c) or x.s div {CELL} <> ' + cell.format('i + 2') + ', i, 2147483647)))', 'least(x, y)', '2147483647')})"
+    # Places count from 0; the cell before ends right before this one's first, the cell after begins right after its last.
+    low = f"if(element_at(f, i + 1) > 0 and {cell.format('element_at(f, i + 1)')} = x.s div {CELL} - 1, element_at(f, element_at(f, i + 1)), element_at(f, i + 1))"
+    high = f"if(element_at(l, i + 1) + 1 < size(c) and {cell.format('element_at(l, i + 1) + 2')} = x.s div {CELL} + 1, element_at(l, element_at(l, i + 1) + 2), element_at(l, i + 1))"
+    near = f"slice(c, {low} + 1, {high} - {low} + 1)"
+    kept = _let("f", first, _let("l", last, f"filter(c, (x, i) -> not exists({near}, b -> {better}))"))
+    return _let("c", f"array_sort({candidates})", f"if(size(c) < 2, c, {kept})")
+
+
 def _found(rows: DataFrame) -> DataFrame:
     """``rows`` (with a column text) and arrays of spans (k, s, e): base, extra."""
     model, thresholds = _learned(rows.sparkSession)
+    columns = rows.columns
     rows = rows.selectExpr("*", "text rlike '[0-9]' as digit")
-    base = {"email": _spans(0, "text like '%@%'", _EMAIL), "ip": _spans(1, "digit", _IP), "card": _spans(2, "digit", _CARD), "phone": _spans(3, "digit and text like '%+%'", _PHONE)}
-    rows = rows.selectExpr("*", *(f"{v} as {k}" for k, v in base.items()), f"flatten(array({', '.join(_spans(*g) for g in _GENERATORS)})) as candidates")
-    rows = rows.selectExpr(*(c for c in rows.columns if c not in (*base, "candidates")), "concat(" + ", ".join(f"transform({f'filter({k}, x -> {_KEPT[k]})' if k in _KEPT else k}, x -> named_struct('k', x.k, 's', x.s, 'e', x.e))" for k in base) + ") as base", "candidates")
-    rows = rows.selectExpr(*(c for c in rows.columns if c != "candidates"), "filter(candidates, c -> not exists(base, b -> b.s < c.e and c.s < b.e)) as candidates")
-    before, after = f"substring(text, greatest(1, c.s + 1 - {CONTEXT}), least(c.s, {CONTEXT}))", f"substring(text, c.e + 1, {CONTEXT})"
-    named = ", ".join(f"'f{i}', cast({f} as double)" for i, f in enumerate(_features("c.m", before, after)))
-    rows = rows.selectExpr(*(c for c in rows.columns if c != "candidates"), f"transform(candidates, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'k0', cast(c.k as double), {named})) as candidates")
+    base = [(0, "text like '%@%'", _EMAIL), (1, "digit", _IP), (2, "digit", _CARD), (3, "digit and text like '%+%'", _PHONE)]
+    rows = rows.selectExpr(*columns, f"{_found_spans([*base, *_GENERATORS])} as found")
+    right = " ".join(f"when {KINDS.index(k)} then {condition}" for k, condition in _KEPT.items())
+    rows = rows.selectExpr(*columns, f"transform(filter(found, x -> x.k < {BASE} and case x.k {right} else true end), x -> named_struct('k', x.k, 's', x.s, 'e', x.e)) as base", f"filter(found, x -> x.k >= {BASE}) as candidates")
+    before, after = _cut("blocks", f"greatest(0, c.s - {CONTEXT})", "c.s"), _cut("blocks", "c.e", f"(c.e + {CONTEXT})")
+    around = f"transform(candidates, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'm', c.m, 'before', {before}, 'after', {after}))"
+    rows = rows.selectExpr(*columns, "base", f"{_let('candidates', _apart_from('base', 'candidates'), f'if(size(candidates) = 0, cast(array() as array<struct<k: int, s: int, e: int, m: string, before: string, after: string>>), ' + _let('blocks', _BLOCKS, around) + ')')} as candidates")
+    named = ", ".join(f"'f{i}', cast({f} as double)" for i, f in enumerate(_features("c.m", "c.before", "c.after")))
+    measured = f"transform(candidates, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'k0', cast(c.k as double), {named}))"
     names = ["c.k0", *(f"c.f{i}" for i in range(len(FEATURES)))]
     cut = "case c.k " + " ".join(f"when {k} then {np.log(t / (1 - t)) if t < 1 else 1e9:.9e}D" for k, t in thresholds.items()) + " end"
-    rows = rows.selectExpr(*(c for c in rows.columns if c != "candidates"), f"filter(transform(candidates, c -> named_struct('k', c.k, 's', c.s, 'e', c.e, 'z', {_margin(model, names)} - ({cut}))), c -> c.z >= 0) as candidates")
-    better = "b.s < c.e and c.s < b.e and (b.z > c.z or (b.z = c.z and (b.s < c.s or (b.s = c.s and (b.e > c.e or (b.e = c.e and b.k < c.k))))))"
-    extra = f"array_sort(transform(filter(candidates, c -> not exists(candidates, b -> {better})), c -> named_struct('k', c.k, 's', c.s, 'e', c.e)))"
-    return rows.selectExpr(*(c for c in rows.columns if c not in ("candidates", "digit")), f"{extra} as extra")
+    scored = f"filter(transform({measured}, c -> named_struct('s', c.s, 'e', c.e, 'k', c.k, 'z', {_margin(model, names)} - ({cut}))), c -> c.z >= 0)"
+    return rows.selectExpr(*columns, "base", f"array_sort(transform({_best(scored)}, c -> named_struct('k', c.k, 's', c.s, 'e', c.e))) as extra")
 
 
 def _written(spans: str) -> str:
@@ -223,8 +275,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     columns = docs.columns
     rows = _found(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")))
     kinds = ", ".join(f"'{k}'" for k in KINDS)
-    ordered = "array_sort(transform(concat(base, extra), x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))"
-    step = f"named_struct('at', greatest(a.at, x.e), 'out', case when x.s >= a.at then concat(a.out, substring(text, a.at + 1, x.s - a.at), '[', element_at(array({kinds}), x.k + 1), ']') else a.out end)"
-    clean = f"aggregate({ordered}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substring(text, a.at + 1)))"
+    # Each span knows how far those before it reach; one that begins before that is replaced with them.
+    reach = _scan("transform(o, x -> x.e)", "greatest(x, y)", "0")
+    stay = "filter(zip_with(o, concat(array(0), slice(r, 1, size(r) - 1)), (x, p) -> named_struct('s', x.s, 'k', x.k, 'p', p)), x -> x.s >= x.p)"
+    pieces = f"transform({stay}, x -> concat({_cut('blocks', 'x.p', 'x.s')}, '[', element_at(array({kinds}), x.k + 1), ']'))"
+    end = "element_at(r, size(r))"
+    clean = _let("o", "array_sort(transform(concat(base, extra), x -> named_struct('s', x.s, 'e', x.e, 'k', x.k)))", _let("r", reach, _let("blocks", _BLOCKS, f"concat(array_join({pieces}, ''), {_cut('blocks', end, 'length(text)')})")))
     rows = rows.selectExpr("row", f"case when size(base) + size(extra) = 0 then text else {clean} end as clean")
     return rows.select(*(F.when(F.col("row").getField(c).isNotNull(), F.col("clean")).alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns))
