@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -90,6 +91,27 @@ def test_whole_tokens_are_proven(library):
         assert len(ids_of(library, BYTE, s)) == 1
 
 
+def test_one_word_of_a_million_letters(spark, library):
+    r = random.Random(2)
+    words = ["".join(r.choice("ACGT") for _ in range(1_000_000)), "é" * 100_000 + "x" * 900_000]
+    rows = [(k, w, 0) for k, w in enumerate(words)]
+    want = [ids_of(library, BYTE, w) for w in words]
+    began = time.time()
+    assert [r["n_tokens"] for r in token_counts.token_counts(frame(spark, rows)).orderBy("doc_id").collect()] == list(map(len, want))
+    got = [(r["n_tokens"], r["ids_sha256"]) for r in bpe_codec.round_trip(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [(len(x), hashlib.sha256(packed(x)).hexdigest()) for x in want]
+    assert time.time() - began < 60
+
+
+def test_a_vocabulary_without_all_letters_is_refused():
+    codec = bpe_codec.Codec(BYTE)
+    codec.automaton = bpe_codec.ahocorasick.Automaton()
+    codec.automaton.add_word("a", (1, codec.vocabulary.byte_id[97]))
+    codec.automaton.make_automaton()
+    with pytest.raises(ValueError, match="no tokens"):
+        codec.prefixes(b"ab")
+
+
 def test_token_counts(spark, library):
     got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in token_counts.token_counts(frame(spark)).collect())
     want = sorted((str(i), len((t or "").encode()), n := len(ids_of(library, BYTE, t)), n > 1024) for i, t, _ in CASES)
@@ -401,7 +423,7 @@ def test_word_hashes_are_of_the_words():
     r = random.Random(3)
     some = ["".join(r.choice("abAB\x00é") for _ in range(r.choice([1, 2, 7, 8, 9, 15, 16, 17, 31, 32, 33, 40, 90]))) for _ in range(3000)]
     some += [w + x for w in some[:200] for x in ("\x00", "a", "A")]
-    (_, _, (one, two), begin), = words._column_words(pa.array([" ".join(some)]), words._SEPARATOR, 1 << 20, 2)
+    (_, _, (one, two), begin), = words._column_words(pa.array([" ".join(some)]), words.SEPARATOR, 1 << 20, 2)
     assert begin.tolist() == [0, len(some)]
     by_word = {}
     for w, h in zip(some, zip(one.tolist(), two.tolist())):
@@ -586,7 +608,7 @@ def test_all_labelled_rows_are_learned_from(spark):
 
 
 def test_learned_from_and_its_counts(spark):
-    """All labelled rows but held-out ones and near copies, each row once; counts by brute force, however often tasks give up what they hold."""
+    """All labelled rows but held-out ones, near copies too, equal texts of a class once; counts by brute force, however often tasks give up what they hold."""
     r = random.Random(8)
     rows = [(i, " ".join("q" + _letters(r.randrange(200)) if r.random() < 0.2 else "q" + _letters(r.randrange(10**6)) for _ in range(r.randint(9, 40))) + (" foul play" if i % 3 == 1 else " fair play") * (i % 5 > 0), 0) for i in range(400)]
     copied = " ".join("z" + _letters(k) for k in range(200))
@@ -595,9 +617,8 @@ def test_learned_from_and_its_counts(spark):
     some = spark.createDataFrame([*known.items(), (1, None), (None, 1), (999, 1), (3, 2), *list(known.items())[:30]], "doc_id long, toxic int")
     texts = toxicity.learned_from(frame(spark, rows), some)
     got = [(x["text"], x["y"]) for x in texts.collect()]
-    own = {(t, known[i]) for i, t, _ in rows if i in known and zlib.crc32(str(i).encode()) % 5 and t}
-    assert sum(copied in t for t, _ in got) == 1 and sum(not t for t, _ in got) == 1
-    assert {x for x in got if x[0] and copied not in x[0]} == {x for x in own if copied not in x[0]}
+    want = {(t.translate(ASCII_LOWER), known[i]) for i, t, _ in rows if i in known and zlib.crc32(str(i).encode()) % 5}
+    assert sorted(got) == sorted(want) and {t for t, _ in got} >= {copied, copied + " more", ""}
     words = toxicity.words_of([t for t, _ in got])
     vocabulary, count = toxicity._word_counts(texts)
     assert vocabulary.tolist() == toxicity._vocabulary(words).tolist()
@@ -670,3 +691,52 @@ def test_pipeline_of_repeated_rows_and_of_nothing(spark, tmp_path):
     got = corpus_pipeline.run(spark, f"{tmp_path}/twice").where("piece = 0").groupBy("doc_id").count().collect()
     assert {r["doc_id"] for r in got} == once and {r["count"] for r in got} == {1}
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    """A hundred thousand base spans, and as many candidates, in one text each."""
+    emails = "".join(f"a{k}@b.org é " for k in range(100_000))
+    numbers = "".join(f"call {100 + k % 800}-10-{1000 + k % 9000}, " for k in range(100_000))
+    mixed = "".join(f"mail x{k}@y.net or call 555-{100 + k % 800}-{1000 + k % 9000}. " for k in range(20_000))
+    rows = [(1, emails, 0), (2, numbers, 0), (3, mixed, 0)]
+    for doc_id, text, n in rows:
+        one = frame(spark, [(doc_id, text, n)])
+        began = time.time()
+        found = pii.find_pii(one).first()
+        want = rule_spans(text)
+        assert found["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert len(found["base"]) + found["n_extra"] >= (0 if doc_id == 2 else 20_000)
+        clean = pii.redact(one).first()["text"]
+        spans = sorted([(s.s, s.e, pii.KINDS[s.k]) for s in [*found["base"], *found["extra"]]])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        at, out = 0, []
+        for s, e, kind in spans:
+            out += [text[at:s], f"[{kind}]"]
+            at = e
+        assert clean == "".join(out) + text[at:]
+        assert time.time() - began < 60
+
+
+def test_overlaps_equal_brute_force(spark):
+    r = random.Random(31)
+    rows = []
+    for n in range(150):
+        spans = [(s := r.randint(0, 40 if n % 2 else 4000), s + r.randint(1, 12 if n % 2 else 400), r.randint(4, 8), r.choice([0.0, 0.5, r.random()])) for _ in range(r.randint(0, 60))]
+        base = [(r.randint(0, 3), s := r.randint(0, 4000), s + r.randint(1, 30)) for _ in range(r.randint(0, 8))]
+        rows.append((n, spans, base))
+    df = spark.createDataFrame(rows, "n int, spans array<struct<s: int, e: int, k: int, z: double>>, base array<struct<k: int, s: int, e: int>>")
+    free = pii._apart_from("base", "transform(spans, x -> named_struct('k', x.k, 's', x.s, 'e', x.e, 'm', cast(x.z as string)))")
+    got = {x["n"]: x for x in df.selectExpr("n", f"{pii._best('spans')} as best", f"{free} as free").collect()}
+    for n, spans, base in rows:
+        meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+        rank = lambda x: (-x[3], x[0], -x[1], x[2])
+        assert [tuple(x) for x in got[n]["best"]] == sorted(c for c in spans if not any(meets(b, c) and rank(b) < rank(c) for b in spans))
+        assert sorted((x.s, x.e, x.k) for x in got[n]["free"]) == sorted(c[:3] for c in spans if not any(meets(c, b[1:]) for b in base))
+
+
+def test_running_values(spark):
+    r = random.Random(8)
+    rows = [([r.randint(-9, 9) for _ in range(n)],) for n in (0, 1, 2, 3, 4, 5, 15, 16, 17, 1000)]
+    got = spark.createDataFrame(rows, "v array<int>").selectExpr("v", f"{pii._scan('v', 'x + y', '0')} as total", f"{pii._scan('v', 'greatest(x, y)', '-99')} as most").collect()
+    for x in got:
+        assert x["total"] == list(itertools.accumulate(x["v"])) and x["most"] == list(itertools.accumulate(x["v"], max))

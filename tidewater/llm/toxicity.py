@@ -8,7 +8,7 @@ and speaks for neither. A text's score is its difference of log-likelihoods per
 length by a logistic curve that is fitted on labelled rows the models haven't seen, with the
 classes at their true shares.
 
-Class counts and the curve come from all labelled rows outside the held-out fold but near copies,
+Class counts and the curve come from all labelled rows outside the held-out fold (equal texts of one class count once),
 continuation counts from all documents; every text is scored whole. The labelled rows are in ``PARTS``
 parts; for the curve each text is scored by models of the other parts. What reaches the driver and every worker is the vocabulary with its
 counts, which grows more slowly than the corpus, and the pairs that tell the classes apart. Only
@@ -21,6 +21,7 @@ scored alike; an empty table gives an empty one; columns other than those named
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -44,8 +45,6 @@ EVIDENCE = 11.0
 GATHERED, BUCKETS = 1 << 22, 2048
 #: Parts of the labelled rows: the curve's inputs come from models that leave out a text's own part.
 PARTS = 4
-#: Least shingles that name a text, and how many of them an earlier text must share for a near copy.
-LEASTS, SHARED = 6, 2
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -320,44 +319,21 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
-def _leasts(t: np.ndarray) -> np.ndarray:
-    """The least shingles of a text by so many orders; texts without words have the same."""
-    shingles = mix(t[:-2] * _PAIR + t[1:-1]) + t[2:] if len(t) > 2 else t if len(t) else np.zeros(1, np.uint64)
-    return np.array([mix(shingles ^ mix(np.array([k], np.uint64))).min() + np.uint64(k) for k in range(1, LEASTS + 1)], np.uint64)
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows outside the held-out fold; ``row`` names an identifier and its text."""
-    return two_columns(docs, id_col, text_col).where(~held_out(F.col("doc_id"))).withColumn("row", F.xxhash64("doc_id", "text"))
-
-
 def learned_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, y, code (2 * part + y) and text of all labelled rows outside the held-out fold but near copies of earlier ones (a group of copies would make its every word evidence). Texts are shuffled once, and only those learned from."""
+    """row, y, code (2 * part + y) and text of all labelled rows outside the held-out fold; equal texts (A-Z lower-cased) of one class are one row, as a group of copies would make its every word evidence. Texts are shuffled once, and only labelled ones."""
     known = labelled_ids(labels, "toxic")
     ids = sieve(known.select(F.xxhash64("doc_id").alias("key")))
 
-    def leasts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(ids.value.holds(batch.column("key"))))
-            keys = [_leasts(words[a:b]).view(np.int64) for _, _, words, begin in column_words(batch.column("text"), NO_LETTER) for a, b in zip(begin[:-1], begin[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "row", "leasts"])
-
-    rows = _keyed(docs, id_col, text_col).withColumn("key", F.xxhash64("doc_id")).mapInArrow(leasts, "doc_id long, row long, leasts array<long>")
-    rows = written(rows.join(known.hint("merge"), "doc_id").select("row", "y", "leasts"), "labelled")
-    least = rows.select("row", F.explode("leasts").alias("least"))
-    first = least.groupBy("least").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("least", "first")
-    copies = least.distinct().join(first.hint("merge"), "least").where("first < row").groupBy("row").count().where(F.col("count") >= SHARED).select("row")
-    alone = written(rows.select("row", "y").distinct().join(copies.hint("merge"), "row", "left_anti"), "alone")
-    chosen = sieve(alone.select(F.col("row").alias("key")))
-
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(chosen.value.holds(batch.column("row"))))
+            batch = batch.filter(pa.array(ids.value.holds(batch.column("key"))))
+            yield batch.select(["doc_id", "text"])
 
-    texts = _keyed(docs, id_col, text_col).select("row", "text").mapInArrow(some, "row long, text string")
-    # Rows that repeat identifier and text count once.
-    once = texts.join(alone.hint("merge"), "row").groupBy("row", "y").agg(F.first("text").alias("text"))
-    return written(once.withColumn("code", (F.pmod("row", F.lit(PARTS)) * 2 + F.col("y")).cast("int")), "learned")
+    rows = two_columns(docs, id_col, text_col).where(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id"))
+    rows = rows.mapInArrow(some, "doc_id long, text string").join(known.hint("merge"), "doc_id")
+    text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    once = rows.groupBy(F.sha2(text, 256).alias("row"), "y").agg(F.min(text).alias("text"))
+    return written(once.withColumn("code", (F.pmod(F.xxhash64("row"), F.lit(PARTS)) * 2 + F.col("y")).cast("int")), "learned")
 
 
 def _word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
