@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -34,3 +35,9 @@ def packed_keys(keys: np.ndarray) -> bytes:
 
 def unpacked_keys(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(numbers(data, n), dtype=np.uint64)
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, as they come, and for each key its place among them."""
+    coded = pa.array(keys).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()

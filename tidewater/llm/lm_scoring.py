@@ -30,7 +30,7 @@ from tidewater.functions.tables import collecting, forget
 
 from . import ppm
 from .common import partitions, two_columns, written
-from .key_sets import numbers, packed_keys, planes, summed, unpacked_keys
+from .key_sets import distinct, numbers, packed_keys, planes, summed, unpacked_keys
 from .word_spans import Words, word_spans
 from .words import LOWER, SEPARATOR, mix, span_hashes
 
@@ -73,12 +73,6 @@ def _word_keys(words: Words) -> np.ndarray:
     return span_hashes(padded, words.start, words.end)[0]
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and for each key its place among them."""
-    coded = pa.array(keys).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
-
-
 def _by_bucket(kind: int, keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
     """Sorted keys, and what belongs to them, bucket by bucket."""
     bucket = _bucket(kind, keys)
@@ -114,7 +108,7 @@ def _counted(texts: DataFrame) -> DataFrame:
         for batch in batches:
             for words in word_spans(batch.column("text"), SEPARATOR, LOWER):
                 for kind, keys in ((GRAM, ppm.grams(*_stream(words))), (WORD, _word_keys(words))):
-                    own, at = _distinct(keys)
+                    own, at = distinct(keys)
                     held[kind].append((own, np.bincount(at, minlength=len(own))))
                     if sum(len(k) for k, _ in held[kind]) >= 2 * GATHERED:
                         merged(kind)
@@ -259,7 +253,7 @@ def _read(texts: DataFrame, frequent: Frequent) -> DataFrame:
                 data, begin = _stream(words)
                 parts = []
                 for kind, keys, ends in ((GRAM, ppm.grams(data, begin), begin), (WORD, _word_keys(words), words.begin)):
-                    own, at = _distinct(keys)
+                    own, at = distinct(keys)
                     found, value = shared.value.look_up(kind, own)
                     if kind == WORD:
                         value = np.where(found, np.log10(value + 0.5), 0.0)

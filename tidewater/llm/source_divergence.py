@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import for_workers, partitions, written
+from .key_sets import distinct
 from .word_spans import Words, word_spans
 from .words import LOWER, NO_LETTER, mix, word_hashes
 
@@ -62,8 +63,8 @@ def _hashed_names(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _document_terms(words: Words, codes: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, code and count of the distinct terms of each text."""
     text = np.repeat(np.arange(len(words.begin) - 1), np.diff(words.begin))
-    key, n = np.unique(text * terms + codes, return_counts=True)
-    return key // max(terms, 1), key % max(terms, 1), n
+    key, at = distinct(text * terms + codes)
+    return key // max(terms, 1), key % max(terms, 1), np.bincount(at, minlength=len(key))
 
 
 def _by_code(codes: np.ndarray, strings: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -89,9 +90,15 @@ def sketch(rows: DataFrame, width: int) -> np.ndarray:
             for words in word_spans(batch.column("text"), NO_LETTER, LOWER):
                 codes, terms = _by_code(*words.coded())
                 text, code, _ = _document_terms(words, codes, len(terms))
-                for row, cells in zip(table, _cells(names[lang[words.first + text]], word_hashes(terms)[code], width)):
-                    cell, n = np.unique(cells, return_counts=True)
-                    row[cell] = np.minimum(row[cell] + np.minimum(n, LEAST_DOCS), LEAST_DOCS)
+                # A term of a language is hashed once a run.
+                key, at = distinct(lang[words.first + text].astype(np.int64) * len(terms) + code)
+                times = np.minimum(np.bincount(at, minlength=len(key)), LEAST_DOCS)
+                for row, cells in zip(table, _cells(names[key // max(len(terms), 1)], word_hashes(terms)[key % max(len(terms), 1)], width)):
+                    order = np.argsort(cells)
+                    first = np.flatnonzero(np.diff(cells[order], prepend=-1))
+                    cell = cells[order][first]
+                    if len(cell):
+                        row[cell] = np.minimum(row[cell] + np.add.reduceat(times[order], first), LEAST_DOCS)
         parts = table.reshape(-1, min(CHUNK, width))
         used = np.flatnonzero(parts.any(axis=1))
         for k in used.tolist():
@@ -140,10 +147,10 @@ def _survivors(rows: DataFrame, merged: Broadcast, width: int) -> DataFrame:
                 row = words.first + text
                 hashes = word_hashes(terms)
                 # A term of a language is looked up once a run.
-                key, again = np.unique(lang[row] * len(terms) + code, return_inverse=True)
+                key, again = distinct(lang[row].astype(np.int64) * len(terms) + code)
                 often = np.min([t[c] for t, c in zip(merged.value, _cells(names[key // len(terms)], hashes[key % len(terms)], width))], axis=0) >= LEAST_DOCS
                 stay = often[again]
-                key, again = np.unique((lang[row[stay]].astype(np.int64) * len(sources.dictionary) + of_source[row[stay]]) * len(terms) + code[stay], return_inverse=True)
+                key, again = distinct((lang[row[stay]].astype(np.int64) * len(sources.dictionary) + of_source[row[stay]]) * len(terms) + code[stay])
                 group = key // len(terms)
                 strings = pa.array(terms, pa.binary()).take(pa.array(key % len(terms)))
                 held.append(pa.table([
@@ -196,34 +203,35 @@ def divergence(docs: DataFrame, top: int = TOP, lang_col: str = "lang", source_c
     n_docs = groups.agg(F.sum("docs")).first()[0] or 0
     width = min(max(WIDTHS[0], 1 << math.ceil(math.log2(max(n_docs * CELLS, 1)))), WIDTHS[1])
     merged = spark.sparkContext.broadcast(sketch(rows, width))
-    survivors = written(_survivors(rows, merged, width).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "terms")
-    of_lang = survivors.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    counts = written(survivors.drop("docs").join(of_lang, ["lang", "term"]), "counts")
+    # One shuffle, by language and term; a term's row holds its count in each source.
+    counted = _survivors(rows, merged, width).repartition(partitions(docs), "lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counted.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("found"))
+    terms = written(terms.where(F.col("docs") >= LEAST_DOCS).drop("docs"), "terms")
 
     # One row a language or a group from here to the pairs: N of each, V of the language, the share of a term that doesn't occur.
-    langs = of_lang.groupBy("lang").agg(F.count("*").alias("V"), F.sum("in_lang").alias("N_lang"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("N"), F.count("*").alias("own"))
+    langs = terms.groupBy("lang").agg(F.count("*").alias("V"), F.sum("in_lang").alias("N_lang"))
+    sums = terms.select("lang", F.explode("found").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("N"), F.count("*").alias("own"))
     facts = groups.select("lang", "source").join(langs, "lang", "left").join(sums, ["lang", "source"], "left").fillna(0, ["V", "N_lang", "N", "own"])
     facts = written(facts.withColumn("total", F.greatest(F.col("N") + F.col("V"), F.lit(1))).withColumn("none", _share(F.lit(0).cast("long"), F.col("total"))), "facts")
+    return _pairs(facts, terms).unionByName(_terms(facts, terms, top))
 
-    shares = counts.join(facts.select("lang", "source", "V", "N_lang", "total", "none"), ["lang", "source"]).withColumn("p", _share("n", "total"))
-    shares = written(shares.withColumn("q", _share(F.col("in_lang"), F.col("N_lang") + F.col("V"))).select("lang", "source", "term", "n", "p", "q", "none"), "shares")
-    return _pairs(facts, shares).unionByName(_terms(shares, top))
 
-
-def _pairs(facts: DataFrame, shares: DataFrame) -> DataFrame:
-    """The ``pair`` rows: both terms' own, one's alone by count, and neither's."""
+def _pairs(facts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The ``pair`` rows: both terms' own, one's alone by share, and neither's."""
     one, other = (facts.select("lang", *(F.col(c).alias(f"{c}_{side}") for c in ("source", "own", "none")), *(["V"] if side == "a" else [])) for side in "ab")
-    pairs = one.join(other, "lang").where("source_a <> source_b")
-    # Terms of one share within a group are one row.
-    by_share = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("terms"))
+    pairs = written(one.join(other, "lang").where("source_a <> source_b"), "pairs")
+    # Terms of one count within a group have one share.
+    by_count = terms.select("lang", F.explode("found").alias("x")).groupBy("lang", F.col("x.source").alias("source"), F.col("x.n").alias("n")).agg(F.count("*").alias("terms"))
+    by_share = written(by_count.join(facts.select("lang", "source", "total"), ["lang", "source"]).select("lang", "source", "terms", _share("n", "total").alias("p")), "shares")
     mine = by_share.withColumnRenamed("source", "source_a").join(pairs.select("lang", "source_a", "source_b", "none_b"), ["lang", "source_a"])
     mine = mine.groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms") * _far("p", "none_b")).alias("mine"))
     theirs = by_share.withColumnRenamed("source", "source_b").join(pairs.select("lang", "source_a", "source_b", "none_a"), ["lang", "source_b"])
     theirs = theirs.groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms") * _far("none_a", "p")).alias("theirs"))
-    a, b = (shares.select("lang", "term", *(F.col(c).alias(f"{c}_{side}") for c in ("source", "p", "none"))) for side in "ab")
-    # Each two sources meet once, for both directions.
-    met = a.join(b, ["lang", "term"]).where("source_a < source_b")
+    # The sources that share a term stand in its row: they meet there, each two once, for both directions.
+    of_lang = facts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "none")))).alias("of"))
+    own = terms.join(of_lang, "lang").select("lang", F.transform("found", lambda x: F.struct(x["source"].alias("source"), _share(x["n"], F.col("of")[x["source"]]["total"]).alias("p"), F.col("of")[x["source"]]["none"].alias("none"))).alias("found"))
+    met = own.select("lang", "found", F.explode("found").alias("a")).select("lang", "a", F.explode("found").alias("b")).where("a.source < b.source")
+    met = met.select("lang", *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("source", "p", "none")))
     met = met.groupBy("lang", "source_a", "source_b").agg(F.count("*").alias("shared"), *(F.sum(_far(f"p_{x}", f"p_{y}") - _far(f"p_{x}", f"none_{y}") - _far(f"none_{x}", f"p_{y}")).alias(f"{x}{y}") for x, y in ("ab", "ba")))
     met = met.withColumn("way", F.explode(F.array(F.lit(True), F.lit(False))))
     both = met.select("lang", *(F.when(F.col("way"), F.col(f"source_{x}")).otherwise(F.col(f"source_{y}")).alias(f"source_{x}") for x, y in ("ab", "ba")), "shared", F.when(F.col("way"), F.col("ab")).otherwise(F.col("ba")).alias("both"))
@@ -234,7 +242,11 @@ def _pairs(facts: DataFrame, shares: DataFrame) -> DataFrame:
     return _ranked(out)
 
 
-def _terms(shares: DataFrame, top: int) -> DataFrame:
+def _terms(facts: DataFrame, terms: DataFrame, top: int) -> DataFrame:
+    """The ``term`` rows: what a source has more of than its language."""
+    own = terms.select("lang", "term", "in_lang", F.explode("found").alias("x")).select("lang", "term", "in_lang", "x.source", "x.n")
+    shares = own.join(facts.select("lang", "source", "V", "N_lang", "total"), ["lang", "source"])
+    shares = shares.select("lang", "source", "term", _share("n", "total").alias("p"), _share(F.col("in_lang"), F.col("N_lang") + F.col("V")).alias("q"))
     out = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _far("p", "q").alias("value"))
     return _ranked(out).where(F.col("rank") <= top)
 
