@@ -704,6 +704,32 @@ def det_curve(spark, sf_dir):
     return evaluation.det_curve(evaluation.sweep(scored(spark, sf_dir), "score", "truth"))
 
 
+@query("WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, value, event_id FROM events), w AS (SELECT user_id, frame, count(*) OVER f AS n, sum(value) OVER f AS total, first_value(value) OVER f AS earliest, last_value(value) OVER f AS latest FROM r WINDOW f AS (PARTITION BY user_id ORDER BY frame ROWS BETWEEN 48 PRECEDING AND CURRENT ROW)) SELECT user_id, frame, round(total, 6) AS total, earliest, latest FROM w WHERE n = 49 AND (frame + 1) % 10 = 0")
+def stream_frames(spark, sf_dir):
+    """A detector's windows on a stream: the last 49 frames (of one value each), after each tenth."""
+    from ..streaming import stateful
+
+    def make(events):
+        return stateful.framer(events.select("user_id", "event_id", F.array("value").alias("x")), "user_id", "event_id", "x", 1, 1, ring=49, every=10)
+
+    x = F.col("samples")
+    return _replayed(spark, sf_dir, make).select(F.col("stream").alias("user_id"), "frame", F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6).alias("total"), x[0].alias("earliest"), x[48].alias("latest"))
+
+
+@query(_SQL["utterance_ends"])
+def stream_utterances(spark, sf_dir):
+    """Utterances that silence in event time ends. Rows of no stream, a century later, let the watermark pass the last ones' silence."""
+    from ..streaming import stateful
+
+    def make(events):
+        rows = events.select("user_id", (epoch_micros("ts") / 1e6).alias("t"), (F.col("value") / (F.col("value") + 35) >= 0.6).alias("hit"))
+        ends = events.select(F.lit(None).cast("long").alias("user_id"), (epoch_micros("ts") / 1e6 + 3.2e9).alias("t"))
+        return stateful.utterances(rows.where("hit").select("user_id", "t").unionByName(ends), "user_id", "t", 28_800.0, DAY, 600.0)
+
+    out = _replayed(spark, sf_dir, make)
+    return out.select(F.col("stream").alias("user_id"), F.round("start", 6).alias("start"), F.round("stop", 6).alias("stop"), "n")
+
+
 @query(f"WITH RECURSIVE {_FIRES}, s AS (SELECT event_id, user_id, t AS onset, t + 21600.0 AS offs FROM scored WHERE event_type = 'signup'), m AS (SELECT s.event_id, s.user_id, min(f.fire) AS first_fire, min(offs) AS offs FROM s LEFT JOIN fires f ON f.user_id = s.user_id AND f.fire BETWEEN s.onset AND s.offs + 1500.0 GROUP BY s.event_id, s.user_id) SELECT user_id, count(*) AS n, count(first_fire) AS n_detected, round(median(round(first_fire - offs, 6)), 6) AS median_latency FROM m GROUP BY user_id")
 def session_latency(spark, sf_dir):
     s = scored(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id", F.col("t").alias("onset"), (F.col("t") + 21_600.0).alias("offs"))
