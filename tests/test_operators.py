@@ -495,3 +495,42 @@ def test_written_tables_can_be_forgotten(spark):
     forget(spark, made, but=[two.where("id > 0")])
     assert two.count() == 4 and not spark._jvm.java.io.File(made[0].removeprefix("file:").removeprefix("//")).exists()
     del one
+
+
+def test_a_hold_over_ranges_of_time(spark, monkeypatch):
+    """One stream that holds most rows, cut into many ranges; ties, gaps and streams without a name; against the fold row by row."""
+    import random
+
+    from tidewater.operators import sequence
+
+    monkeypatch.setattr(sequence, "HOLDS", 3)
+    r = random.Random(4)
+    rows = [(s, r.choice([float(r.randint(0, 300)), r.random() * 300]), k) for k, s in enumerate([1] * 4000 + [2] * 30 + [None] * 100 + [3])]
+    rows += [(4, 1e9 + k * 0.1, 9000 + k) for k in range(500)]
+    for hold in (7.0, 0.3, 1000.0, 0.0):
+        got = sequence.refractory(spark.createDataFrame(rows, "s long, t double, k long"), "s", "t", "k", hold, "k % 3 > 0").collect()
+        want, last = [], {}
+        for s, t, k in sorted((x for x in rows if x[2] % 3), key=lambda x: x[1:]):
+            if s not in last or t - last[s] >= hold:
+                last[s] = t
+                want.append((s, t, k))
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_a_hold_on_one_hot_stream(spark):
+    """Ten million candidates of one stream are many ranges' work, and what a range passes on is small."""
+    import numpy as np
+
+    from tidewater.operators import sequence
+
+    t = np.sort(np.random.default_rng(1).random(1_000_000) * 1e6)
+    upper, end = sequence._hold_function(t[t < 64 * 8.0], 8.0)
+    assert len(upper) == len(end) < 0.25 * (t < 64 * 8.0).sum()
+    rows = spark.range(10_000_000).selectExpr("1 as s", "(id * 7919 % 10000019) / 10.0 as t", "id as k")
+    out = sequence.refractory(rows, "s", "t", "k", 8.0, "true")
+    t = np.sort(np.arange(10_000_000) * 7919 % 10000019 / 10.0)
+    at, want = 0, 0
+    while at < len(t):
+        at, want = sequence._first_after(t, t[at], 8.0, at + 1), want + 1
+    assert out.count() == want > 100_000
+    assert out.select(F.spark_partition_id()).distinct().count() > 1

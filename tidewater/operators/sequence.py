@@ -1,16 +1,24 @@
 """Operators over ordered series: votes, refractory holds, islands, gaps, spans, deciles.
 
 Series are keyed by ``stream`` and ordered by time and a tie key. A stream's rows meet in one task
-where the result of a row depends on the rows before it; a hold sees only the candidate rows.
+where the result of a row depends on the rows before it; a hold's rows meet by ranges of time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..functions.tables import written
+
+#: Holds that a range of time spans, within which a stream's firings are one task's work.
+HOLDS = 64
+
 
 def vote(df: DataFrame, stream: str, order: Sequence[str], hit: str, m: int = 2, n: int = 3, to: str = "voted") -> DataFrame:
     """Whether at least ``m`` of the trailing ``n`` rows are hits; the frame is shorter at the start."""
@@ -21,12 +29,94 @@ def vote(df: DataFrame, stream: str, order: Sequence[str], hit: str, m: int = 2,
 def refractory(df: DataFrame, stream: str, time: str, tie: str, hold: float, condition: str = "voted") -> DataFrame:
     """stream, fire, fired_tie: candidate rows at least ``hold`` after the last one that fired.
 
-    The state depends on the operator's own output, so each stream's candidates are folded in order.
-    Only rows under the condition are gathered.
+    The state depends on the operator's own output, yet one stream is many tasks' work: time is cut into ranges of ``HOLDS``
+    holds, and each range is a function from the last firing before it to the last one in it. Chains of firings that begin
+    at different rows soon run together, so a function has few steps. The functions of a stream are composed in order; then each range fires by itself.
     """
-    candidates = df.where(condition).groupBy(stream).agg(F.array_sort(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.col(tie).alias("k")))).alias("c"))
-    fold = f"aggregate(c, cast(array() as array<struct<t: double, k: bigint>>), (a, x) -> case when size(a) = 0 or x.t - element_at(a, -1).t >= {hold} then concat(a, array(named_struct('t', x.t, 'k', cast(x.k as bigint)))) else a end)"
-    return candidates.select(stream, F.explode(F.expr(fold)).alias("f")).select(stream, F.col("f.t").alias("fire"), F.col("f.k").alias("fired_tie"))
+    ship(df.sparkSession)
+    kind = df.schema[stream].dataType.simpleString()
+    rows = df.where(condition).select(F.col(stream).alias("s"), F.col(time).cast("double").alias("t"), F.col(tie).cast("long").alias("k")).where("t is not null")
+    named = (F.col("s").alias(stream), F.col("t").alias("fire"), F.col("k").alias("fired_tie"))
+    if hold <= 0:
+        return rows.select(*named)
+    rows = written(rows.withColumn("range", F.floor(F.col("t") / (HOLDS * hold)).cast("long")), "candidates")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            upper, end = _hold_function(group.column("t").to_numpy(), hold)
+            yield pa.RecordBatch.from_arrays([group.column("s")[:1], group.column("range")[:1], pa.array([upper], pa.list_(pa.float64())), pa.array([end], pa.list_(pa.float64()))], ["s", "range", "upper", "end"])
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            before = []
+            for s, upper, end in zip(batch.column("s").to_pylist(), batch.column("upper"), batch.column("end")):
+                if (s,) != now:
+                    now, last = (s,), None
+                before.append(last)
+                upper, end = upper.values.to_numpy(), end.values.to_numpy()
+                at = 0 if last is None else _first_after(upper, last, hold, 0)
+                last = float(end[at]) if at < len(end) else last
+            yield pa.RecordBatch.from_arrays([batch.column("s"), batch.column("range"), pa.array(before, pa.float64())], ["s", "range", "t"])
+
+    def fired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            last, t = group.column("t")[0].as_py(), group.column("t").to_numpy(zero_copy_only=False)  # the first row is the last firing before
+            at, out = 1 if last is None else _first_after(t, last, hold, 1), []
+            while at < len(t):
+                out.append(at)
+                at = _first_after(t, t[at], hold, at + 1)
+            yield group.take(pa.array(out, pa.int64())).select(["s", "t", "k"])
+
+    made = rows.repartition(n, "s", "range").sortWithinPartitions("s", "range", "t", "k").mapInArrow(functions, f"s {kind}, range long, upper array<double>, end array<double>")
+    before = made.repartition(n, "s").sortWithinPartitions("s", "range").mapInArrow(composed, f"s {kind}, range long, t double")
+    both = rows.withColumn("own", F.lit(True)).unionByName(before.select("s", "range", "t", F.lit(None).cast("long").alias("k"), F.lit(False).alias("own")))
+    both = both.repartition(n, "s", "range").sortWithinPartitions("s", "range", "own", "t", "k")
+    return both.mapInArrow(fired, f"s {kind}, t double, k long").select(*named)
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each stream and range, from sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = [batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy() for c in ("s", "range")]
+        at = [0, *(np.flatnonzero((np.diff(codes[0]) != 0) | (np.diff(codes[1]) != 0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(at, at[1:]):
+            part = batch.slice(a, b - a)
+            if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("s", "range")):
+                yield pa.concat_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _first_after(t: np.ndarray, last: float, hold: float, begin: int) -> int:
+    """The first place from ``begin`` on whose time is at least ``hold`` after the last firing, by the difference of the two."""
+    at = begin + int(np.searchsorted(t[begin:], last + hold))
+    while at > begin and t[at - 1] - last >= hold:
+        at -= 1
+    while at < len(t) and t[at] - last < hold:
+        at += 1
+    return at
+
+
+def _hold_function(t: np.ndarray, hold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of a range's function: of rows in order that lead to one last firing, the last one's time; and that firing."""
+    n = len(t)
+    after = np.searchsorted(t, t + hold)
+    while len(some := np.flatnonzero((after > np.arange(n) + 1) & (t[np.maximum(after - 1, 0)] - t >= hold))):
+        after[some] -= 1
+    while len(some := np.flatnonzero((after < n) & (t[np.minimum(after, n - 1)] - t < hold))):
+        after[some] += 1
+    end = np.where(after < n, after, np.arange(n))
+    while ((further := end[end]) != end).any():
+        end = further
+    change = np.append(np.flatnonzero(np.diff(end)), n - 1)
+    return t[change], t[end[change]]
 
 
 def spans_matched(spans: DataFrame, fires: DataFrame, stream: str, onset: str, offset: str, fire: str, tail: float) -> DataFrame:
