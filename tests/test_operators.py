@@ -126,14 +126,28 @@ def test_hold_depends_on_what_fired(spark):
 
 
 def test_near_vectors_equal_all_pairs(spark):
-    rng = np.random.default_rng(4)
-    v = rng.normal(size=(60, 8))
-    v[1] = v[0] + 0.01
-    c = v - v.mean(0)
-    c /= np.linalg.norm(c, axis=1, keepdims=True)
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if (c @ c.T)[i, j] >= 0.7}
-    got = quality.near_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>"), "k", "v", 0.7, blocks=3)
-    assert {(r["a"], r["b"]) for r in got.collect()} == want
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, 8))
+    v = np.concatenate((r.normal(size=(150, 8)), centres[r.integers(0, 6, 150)] + r.normal(size=(150, 8)) * 0.05, np.repeat(r.normal(size=(1, 8)), 100, axis=0)))
+    rows = spark.createDataFrame([(i, x.tolist(), "clash") for i, x in enumerate(v)] + [(999, None, "none")], "k long, v array<double>, id string")
+    unit = v - v.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    for threshold, block in ((0.7, 50), (0.98, 30), (0.0, 100), (0.98, 2000)):
+        got = {(x["a"], x["b"]): x["cosine"] for x in quality.near_vectors(rows, "k", "v", threshold, block).collect()}
+        want = {(i, j) for i in range(len(v)) for j in range(i) if cosine[i, j] >= threshold}
+        assert {(b, a) for a, b in got} == want and len(want) > 4000
+        assert all(abs(x - cosine[k]) < 1e-9 for k, x in got.items())
+    assert quality.near_vectors(rows.limit(0), "k", "v", 0.9).count() == 0
+
+
+def test_near_vectors_visit_few_pivots(spark):
+    """At a high threshold a row goes to few places: here under a tenth of rows times blocks."""
+    r = np.random.default_rng(6)
+    v = r.normal(size=(40, 16))[r.integers(0, 40, 4000)] + r.normal(size=(4000, 16)) * 0.02
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    dealt, _ = quality._dealt(rows, "k", "v", 0.99, 100)
+    assert 4000 <= dealt.count() < 0.1 * 4000 * 40
 
 
 def test_rules_and_quantiles(spark):

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 
-
-#: Rows of a block of vectors, on average.
-BLOCK = 2000
+#: Rows of a block of vectors, on average; pivots at most.
+BLOCK, PIVOTS = 2000, 1024
 
 
 def rule_flags(df: DataFrame, fails: dict[str, Column], warns: dict[str, Column]) -> DataFrame:
@@ -40,34 +39,87 @@ def bits(df: DataFrame, group: str, *columns: str) -> DataFrame:
     return df.groupBy(group).agg(*out)
 
 
-def near_vectors(df: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None) -> DataFrame:
-    """a, b, cosine: pairs of vectors whose cosine, after the corpus mean is removed, reaches the threshold.
+def near_vectors(df: DataFrame, key: str, vector: str, threshold: float, block: int = BLOCK) -> DataFrame:
+    """a, b, cosine: pairs of vectors whose cosine, after the corpus mean is removed, reaches the threshold. Exact; rows without a vector take no part.
 
-    Exact over all pairs: rows are dealt into blocks by a hash of the key, every two blocks meet in
-    one task as a matrix product, and only pairs that reach the threshold leave it. Work grows with the
-    square of the rows. Without ``blocks`` there are so many that one holds ``BLOCK`` rows on average, so a
-    task's memory doesn't grow.
+    Each row belongs to the nearest of some pivots. A row within the angle of the threshold of another lies no further
+    from the other's pivot than from its own by twice that angle, and within the angle of that pivot's furthest row: it
+    visits only such pivots. A pivot with more than ``block`` rows is split, and all of its parts meet, so that a
+    task's memory doesn't grow. The higher the threshold, the fewer visits; at a low one every two parts meet.
     """
+    return _met(*_dealt(df, key, vector, threshold, block), threshold)
+
+
+def _angles(unit: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(unit @ pivots.T, -1, 1))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy().astype(float).reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _dealt(df: DataFrame, key: str, vector: str, threshold: float, block: int) -> tuple[DataFrame, int]:
+    """Rows id, v (unit), pivot, x, y, part: what meets where; and the number of dimensions. ``part`` is a row's own part of the pivot, or -1 for a visitor."""
     ship(df.sparkSession)
-    blocks = blocks or max(1, -(-df.count() // BLOCK))
     dims = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     mean = np.array([r["m"] for r in dims.orderBy("i").collect()])  # one number a dimension
-    block = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-    rows = df.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), block.alias("own")).where("v is not null")
-    meet = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least(o, F.col("own")).alias("x"), F.greatest(o, F.col("own")).alias("y")))
-    rows = rows.withColumn("meet", F.explode(meet)).select("id", "v", "own", "meet.x", "meet.y")
-
-    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = (pdf[pdf.own == k] for k in key)
-        u, w = (np.stack(p.v.to_list()) - mean if len(p) else np.zeros((0, len(mean))) for p in (a, b))
-        u, w = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (u, w))
-        cosine = u @ w.T
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, -(-4 * n // block)))).toArrow()  # PIVOTS rows at most
+    pivots = _units(_vectors(some["v"]) - mean) if len(some) else np.zeros((0, len(mean)))
+    angle = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                d = _angles(_units(_vectors(batch.column("v")) - mean), pivots)
+                yield pa.RecordBatch.from_arrays([pa.array(d.argmin(axis=1)), pa.array(d.min(axis=1))], ["pivot", "d"])
+
+    own = {r["pivot"]: (r["n"], r["far"]) for r in rows.mapInArrow(near, "pivot long, d double").groupBy("pivot").agg(F.count("*").alias("n"), F.max("d").alias("far")).collect()}  # a row a pivot
+    parts = np.array([max(1, -(-own.get(k, (0, 0.0))[0] // block)) for k in range(len(pivots))], np.int64)
+    far = np.array([own.get(k, (0, -10.0))[1] for k in range(len(pivots))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            unit = _units(_vectors(batch.column("v")) - mean)
+            d = _angles(unit, pivots)
+            home = d.argmin(axis=1)
+            part = batch.column("hash").to_numpy() % parts[home]
+            # A row meets every part of its own pivot, and visits earlier ones that may hold a partner.
+            place, pivot = np.nonzero((d <= np.minimum(d.min(axis=1)[:, None] + 2 * angle, far + angle)) & (np.arange(len(pivots)) < home[:, None]))
+            place, pivot, mine = np.concatenate((np.arange(len(batch)), place)), np.concatenate((home, pivot)), np.concatenate((part, np.full(len(place), -1)))
+            times = parts[pivot]
+            place, pivot, mine = (np.repeat(c, times) for c in (place, pivot, mine))
+            other = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+            x, y = (np.where(mine < 0, other, pick(mine, other)) for pick in (np.minimum, np.maximum))
+            for a in range(0, len(place), 4096):
+                s = slice(a, a + 4096)
+                v = pa.FixedSizeListArray.from_arrays(pa.array(unit[place[s]].ravel()), unit.shape[1]).cast(pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(place[s])), v, pa.array(pivot[s]), pa.array(x[s]), pa.array(y[s]), pa.array(mine[s])], ["id", "v", "pivot", "x", "y", "part"])
+
+    hashed = rows.withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
+    return hashed.mapInArrow(deal, "id long, v array<double>, pivot long, x long, y long, part long"), len(mean)
+
+
+def _met(rows: DataFrame, dims: int, threshold: float) -> DataFrame:
+    def pairs(table: pa.Table) -> pa.Table:
+        x, y = table["x"][0].as_py(), table["y"][0].as_py()
+        part, ids, unit = table["part"].to_numpy(), table["id"].to_numpy(), _vectors(table["v"]).reshape(-1, dims)
+        a, b = np.flatnonzero(part == x), np.flatnonzero(part == y) if x != y else np.flatnonzero((part == x) | (part < 0))
+        cosine = unit[a] @ unit[b].T
         i, j = np.nonzero(cosine >= threshold)
-        x, y = a.id.to_numpy()[i], b.id.to_numpy()[j]
-        keep = (x < y) if key[0] == key[1] else (x != y)
-        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "cosine": cosine[i, j][keep]})
+        keep = (part[b[j]] < 0) | (x != y) | (ids[a[i]] < ids[b[j]])
+        value, i, j = cosine[i, j][keep], ids[a[i[keep]]], ids[b[j[keep]]]
+        return pa.table({"a": np.minimum(i, j), "b": np.maximum(i, j), "cosine": value})
 
-    return rows.groupBy("x", "y").applyInPandas(pairs, "a long, b long, cosine double")
+    return rows.groupBy("pivot", "x", "y").applyInArrow(pairs, "a long, b long, cosine double").where("a <> b")
 
 
 def sidecar(df: DataFrame, side: DataFrame, key: str, json: str, schema: str) -> DataFrame:
