@@ -548,3 +548,81 @@ def test_a_hold_on_one_hot_stream(spark):
         at, want = sequence._first_after(t, t[at], 8.0, at + 1), want + 1
     assert out.count() == want > 100_000
     assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_rate_change_equals_its_definition():
+    r = np.random.default_rng(7)
+    for rate_in, rate_out in ((24_000, 16_000), (16_000, 24_000), (22_050, 16_000), (44_100, 16_000), (8_000, 16_000), (16_000, 16_000)):
+        g = np.gcd(rate_in, rate_out)
+        up, down = rate_out // g, rate_in // g
+        for n in (0, 1, 7, 500):
+            x = r.normal(size=n)
+            got = signal.rate_changed(x, rate_in, rate_out, at_once=113)
+            if up == down or not n:
+                assert got.tolist() == x.tolist()
+                continue
+            half = 10 * max(up, down)
+            k = np.arange(-half, half + 1)
+            h = np.sinc(k / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+            h *= up / h.sum()
+            stuffed = np.zeros(n * up)
+            stuffed[::up] = x
+            want = np.convolve(stuffed, h)[half : half + n * up : down]
+            assert len(got) == len(want) == -(-n * up // down) and np.abs(got - want).max() < 1e-9
+
+
+def test_rate_change_keeps_tones():
+    for rate in (44_100, 22_050, 48_000):
+        t = np.arange(rate) / rate
+        y = signal.rate_changed(np.sin(2 * np.pi * 1000 * t), rate)
+        assert len(y) == 16_000
+        spectrum = np.abs(np.fft.rfft(y[2000:-2000] * np.hanning(12_000)))
+        assert np.argmax(spectrum) == round(1000 * 12_000 / 16_000) and abs(np.abs(y[2000:-2000]).max() - 1) < 0.01
+        if rate > 32_000:  # what the new rate can't hold goes
+            assert np.abs(signal.rate_changed(np.sin(2 * np.pi * 11_000 * t), rate)[2000:-2000]).max() < 0.02
+
+
+def test_kernels_over_batches_of_clips(spark):
+    r = np.random.default_rng(3)
+    clips = {k: r.normal(size=n).tolist() for k, n in enumerate((16_000, 400, 16_000, 0, 900))}
+    rows = spark.createDataFrame([*clips.items(), (9, None)], "id long, x array<double>")
+    got = {}
+    for x in signal.over_clips(rows, "id", "x", signal.features, ("frame", "coefficient"), "v").collect():
+        got.setdefault(x["id"], np.zeros((49, 13)))[x["frame"], x["coefficient"]] = x["v"]
+    assert got.keys() == clips.keys()
+    for k, x in clips.items():
+        assert np.abs(got[k] - signal.features(np.array(x))).max() < 1e-5
+
+
+def test_drops_are_counted_in_the_pass_that_keeps(spark):
+    rows = spark.createDataFrame([(k, None if k % 7 == 0 else k) for k in range(100)], "k int, v int")
+    kept, counts = quality.drop_counts(rows, {"none": F.col("v").isNull(), "odd": F.col("v") % 2 == 1})
+    assert {x["reason"]: x["n"] for x in counts.collect()} == {"read": 100, "kept": kept.count(), "none": 15, "odd": 43}
+    assert kept.columns == ["k", "v"]
+
+
+def test_batches_of_scores(spark):
+    rows = spark.createDataFrame([(k, None if k == 5 else [float(k), 1.0]) for k in range(700)], "k int, x array<double>")
+
+    def load():
+        return lambda x: x @ np.array([2.0, 1.0]) + 1000 * (len(x) > 64)
+
+    got = {r["k"]: r["score"] for r in evaluation.batch_scores(rows, "x", load, 2, batch=64).collect()}
+    assert got == {k: None if k == 5 else 2.0 * k + 1 for k in range(700)}
+
+
+def test_a_report_reads_its_records_once(spark, tmp_path):
+    from tidewater.operators import report
+
+    spark.range(300).selectExpr("cast(id % 3 as string) c", "'train' s", "id % 2 = 0 p", "id % 5 = 0 y", "id % 11 as l", "cast(id as string) h", "cast(null as string) n").write.parquet(f"{tmp_path}/m")
+    seen = []
+    listener = report.written
+    try:
+        report.written = lambda df, what: seen.append(df._jdf.queryExecution().executedPlan().toString()) or listener(df, what)
+        out = report.qa_report(spark.read.parquet(f"{tmp_path}/m"), report.Roles("c", "c", "s", "p", "y", "c", "n", "n", "c", "c", "c", "l", "h", ("l",)))
+        got = {(r["block"], r["key"]): r["value"] for r in out.collect()}
+    finally:
+        report.written = listener
+    assert sum(p.count(f"{tmp_path}/m") > 0 for p in seen) == 1 and seen[0].count("FileScan") == 1
+    assert got["splits", "test"] == "0" and got["diversity", "voices"] == "0" and got["summary", "clips"] == "300"
+    assert len({b for b, _ in got}) == 11

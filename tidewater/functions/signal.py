@@ -7,10 +7,13 @@ The constants are fixed values of the feature contract: 16 kHz, frames of 400 sa
 from __future__ import annotations
 
 import functools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,20 +46,24 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return window, bands, basis
 
 
-def log_mel(x: np.ndarray) -> np.ndarray:
-    """Frames x bands of one signal."""
+def _log_mel(cut: np.ndarray) -> np.ndarray:
     window, bands, _ = tables()
-    n = max(0, 1 + (len(x) - FRAME) // HOP)
-    if not n or len(x) < FRAME:
-        return np.zeros((0, BANDS))
-    cut = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP][:n]
     power = np.abs(np.fft.rfft(cut * window, POINTS)) ** 2
     return np.log(np.maximum(power @ bands.T, LOG_FLOOR))
 
 
+def log_mel(x: np.ndarray) -> np.ndarray:
+    """Frames x bands of one signal; clips x frames x bands of a matrix of clips of one length."""
+    n = max(0, 1 + (x.shape[-1] - FRAME) // HOP)
+    if not n or x.shape[-1] < FRAME:
+        return np.zeros((*x.shape[:-1], 0, BANDS))
+    return _log_mel(np.lib.stride_tricks.sliding_window_view(x, FRAME, axis=-1)[..., ::HOP, :][..., :n, :])
+
+
 def features(x: np.ndarray, clip: int = CLIP) -> np.ndarray:
-    """Frames x coefficients of a signal padded or cut to ``clip`` samples."""
-    x = np.pad(x[:clip], (0, max(0, clip - len(x))))
+    """Frames x coefficients of a signal padded or cut to ``clip`` samples, or of each clip of a matrix."""
+    x = x[..., :clip]
+    x = np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, clip - x.shape[-1])])
     return (log_mel(x) @ tables()[2].T).astype(np.float32)
 
 
@@ -319,6 +326,41 @@ def resampled(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(spectrum, n) * (n / len(x))
 
 
+#: Fixed values of the rate change: zero crossings of the filter on either side, and the shape of its Kaiser window.
+CROSSINGS, SHAPE = 10, 5.0
+
+
+@functools.lru_cache(maxsize=16)
+def _phases(up: int, down: int) -> tuple[np.ndarray, int]:
+    """The windowed-sinc low pass by phases: row r has the taps of outputs that lie r of ``up`` steps after an input; and the taps before that input."""
+    wide = max(up, down)
+    half = CROSSINGS * wide
+    k = np.arange(-half, half + 1)
+    h = np.sinc(k / wide) * np.kaiser(2 * half + 1, SHAPE)
+    h *= up / h.sum()
+    before = half // up
+    offset = np.arange(up)[:, None] + np.arange(-before - 1, before + 2)[None] * up  # of the output after the input that a tap weighs
+    return np.where(np.abs(offset) <= half, h[np.clip(offset + half, 0, 2 * half)], 0.0), before + 1
+
+
+def rate_changed(x: np.ndarray, rate_in: int, rate_out: int = RATE, at_once: int = 1 << 16) -> np.ndarray:
+    """The signal at another rate: inserted zeros, one low pass and every so manieth sample, worked out only for the samples that stay. ceil(n * up / down) samples; beyond the ends is silence."""
+    common = math.gcd(rate_in, rate_out)
+    up, down = rate_out // common, rate_in // common
+    if up == down or not len(x):
+        return np.asarray(x, float)
+    taps, before = _phases(up, down)
+    n = -(-len(x) * up // down)
+    padded = np.pad(np.asarray(x, float), (taps.shape[1], taps.shape[1]))
+    out = np.empty(n)
+    for a in range(0, n, at_once):
+        place = np.arange(a, min(a + at_once, n)) * down
+        # Tap j weighs the input j - before steps earlier than the one the output follows.
+        rows = place // up + taps.shape[1] + before
+        out[a : a + len(place)] = np.einsum("ij,ij->i", padded[rows[:, None] - np.arange(taps.shape[1])], taps[place % up])
+    return out
+
+
 def sped(x: np.ndarray, factor: float) -> np.ndarray:
     """Speed and pitch together: ``factor`` above 1 is shorter; within a thousandth of 1 nothing happens."""
     return x if abs(factor - 1) < 1e-3 else resampled(x, max(1, round(len(x) / factor)))
@@ -394,3 +436,29 @@ def on_clips(kernel, returns: T.DataType | str):
         return samples.map(one)
 
     return run
+
+
+#: Values of a matrix of clips that are worked on at once.
+MATRIX = 1 << 22
+
+
+def over_clips(df: DataFrame, key: str, samples: str, kernel: Callable[[np.ndarray], np.ndarray], names: tuple[str, ...], value: str) -> DataFrame:
+    """key, ``names`` (the places in a clip's result, one a dimension), value: a kernel that takes a matrix of clips of one length and gives an array of each. Batches of clips go through it whole, by their lengths; null clips have no rows."""
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(samples).cast("array<double>").alias("x")).where("x is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            listed = batch.column("x")
+            flat, ends = listed.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.diff(listed.offsets.to_numpy()))))
+            sizes = np.diff(ends)
+            for size in np.unique(sizes).tolist():
+                own = np.flatnonzero(sizes == size)
+                step = max(1, MATRIX // max(size, CLIP))
+                for a in range(0, len(own), step):
+                    some = own[a : a + step]
+                    out = kernel(flat[ends[some][:, None] + np.arange(size)])
+                    places = np.indices(out.shape).reshape(out.ndim, -1)
+                    yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(some[places[0]])), *(pa.array(p.astype(np.int32)) for p in places[1:]), pa.array(out.ravel().astype(float))], ["key", *names, value])
+
+    return rows.mapInArrow(run, f"key {kind}, {', '.join(f'`{n}` int' for n in names)}, `{value}` double").withColumnRenamed("key", key)

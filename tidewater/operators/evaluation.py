@@ -6,10 +6,15 @@ without cases are NaN; F1 is 0 where precision and recall are, and NaN where rec
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clamp, poisson, rounded, wilson
+from ..functions.shipping import ship
 from .report import quantile_linear, ranked
 
 #: The thresholds of a sweep, 0.050 to 0.995 by 0.005, and the false-accept bar.
@@ -212,3 +217,14 @@ def shift_report(shift: DataFrame, dim: str, d: str, z_a: str, z_b: str, low: in
 def best_class(scores: Column) -> Column:
     """The place of the largest score, the first of equals, from 0."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def batch_scores(df: DataFrame, inputs: str, load: Callable[[], Callable[[np.ndarray], np.ndarray]], size: int, batch: int = 256, to: str = "score") -> DataFrame:
+    """``df`` with the score of a model over a column of arrays of ``size`` numbers. ``load`` is called once a worker and gives a function from a matrix of at most ``batch`` rows to their scores; a null row has none."""
+    from pyspark.ml.functions import predict_batch_udf
+
+    ship(df.sparkSession)
+    run = predict_batch_udf(load, return_type=T.DoubleType(), batch_size=batch, input_tensor_shapes=[[size]])
+    x = F.col(inputs).cast("array<double>")
+    # A null row goes in as zeros, and its score is taken back.
+    return df.withColumn(to, F.when(x.isNotNull(), run(F.coalesce(x, F.array_repeat(F.lit(0.0), size)))))

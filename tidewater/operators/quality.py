@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
+from ..functions.tables import written
 
 #: Rows of a block of vectors, on average; pivots at most.
 BLOCK, PIVOTS = 2000, 1024
@@ -138,3 +140,19 @@ def content_class(declared: Column, name: Column, patterns: dict[str, str], defa
     return F.coalesce(declared, out)
 
 
+
+
+def kept_and_dropped(df: DataFrame, reasons: dict[str, Column], name: str = "drops") -> tuple[DataFrame, Observation]:
+    """The rows that no reason drops, and how many were read, kept, and dropped by which reason (the first that holds): known once the rows have been written or collected, from the same pass."""
+    why = first_match([(F.coalesce(c, F.lit(False)), k) for k, c in reasons.items()], "")
+    seen = Observation(name)
+    marked = df.withColumn("_why", why)
+    counts = [F.count("*").alias("read"), F.count_if(F.col("_why") == "").alias("kept"), *(F.count_if(F.col("_why") == k).alias(k) for k in reasons)]
+    return marked.observe(seen, *counts).where("_why = ''").drop("_why"), seen
+
+
+def drop_counts(df: DataFrame, reasons: dict[str, Column], what: str = "kept") -> tuple[DataFrame, DataFrame]:
+    """The kept rows, written, and their account: reason (read, kept, or why a row was dropped) and n."""
+    kept, seen = kept_and_dropped(df, reasons, f"{what}-{uuid.uuid4().hex}")
+    kept = written(kept, what)
+    return kept, df.sparkSession.createDataFrame([(k, int(n)) for k, n in seen.get.items()], "reason string, n long")

@@ -495,10 +495,10 @@ m AS (SELECT vec_id, b, ln(greatest(sum(p * g), 1e-10)) AS m FROM f JOIN t ON t.
 """
 
 
-def _clip(kernel, n: int):
+def _clips(kernel, n: int):
     import numpy as np
 
-    return lambda x: kernel(np.resize(x, n))
+    return lambda x: kernel(x[:, np.arange(n) % x.shape[1]])
 
 
 @query(_MEL + "SELECT vec_id, frame, CAST(c AS INTEGER) AS coefficient, round(v, 2) + 0.0 AS value FROM (SELECT vec_id, c, sum(m * sqrt(2 / 40) * CASE WHEN c = 0 THEN sqrt(0.5) ELSE 1 END * cos(pi() * c * (b + 0.5) / 40)) AS v FROM m, (SELECT range AS c FROM range(13)) GROUP BY vec_id, c), (SELECT CAST(range AS INTEGER) AS frame FROM range(49))")
@@ -507,9 +507,8 @@ def mel_dct_features(spark, sf_dir):
     from ..functions import signal
 
     ship(spark)
-    run = signal.on_clips(_clip(signal.features, signal.CLIP), "array<array<double>>")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(run(F.col("embedding").cast("array<double>"))).alias("frame", "f"))
-    return rows.select("vec_id", "frame", F.posexplode("f").alias("coefficient", "v")).select("vec_id", "frame", "coefficient", F.round("v", 2).alias("value"))
+    rows = signal.over_clips(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _clips(signal.features, signal.CLIP), ("frame", "coefficient"), "v")
+    return rows.select("vec_id", "frame", "coefficient", F.round("v", 2).alias("value"))
 
 
 @query(_MEL + "SELECT vec_id, CAST(b AS INTEGER) AS band, round(m, 4) + 0.0 AS level FROM m")
@@ -518,8 +517,7 @@ def log_mel_bands(spark, sf_dir):
     from ..functions import signal
 
     ship(spark)
-    run = signal.on_clips(_clip(lambda x: signal.log_mel(x)[0], signal.FRAME), "array<double>")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(run(F.col("embedding").cast("array<double>"))).alias("band", "v"))
+    rows = signal.over_clips(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _clips(lambda x: signal.log_mel(x)[:, 0], signal.FRAME), ("band",), "v")
     return rows.select("vec_id", "band", F.round("v", 4).alias("level"))
 
 
@@ -539,6 +537,36 @@ def clip_fingerprint(spark, sf_dir):
     return rows.select("vec_id", "place", F.round("v", 4).alias("value"))
 
 
+_I0 = "list_sum(list_transform(range(40), lambda k: pow({0} * {0} / 4, k) / pow(list_product(list_transform(range(1, k + 1), lambda i: i::DOUBLE)), 2)))"
+
+
+@query(f"""WITH w AS (SELECT range AS k, CASE WHEN range = 0 THEN 1.0 ELSE sin(pi() * range / 3) / (pi() * range / 3) END * {_I0.format("(5 * sqrt(1 - pow(range / 30, 2)))")} / {_I0.format("5.0")} AS h FROM range(-30, 31)), t AS (SELECT k, 2 * h / sum(h) OVER () AS h FROM w),
+o AS (SELECT CAST(range AS INTEGER) AS m FROM range(43)), x AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)
+SELECT vec_id, m AS place, round(sum(x * h), 6) + 0.0 AS value FROM x JOIN o ON abs(3 * m - 2 * j) <= 30 JOIN t ON t.k = 3 * m - 2 * j GROUP BY vec_id, m""".replace("list_product(list_transform(range(1, k + 1), lambda i: i::DOUBLE))", "gamma(k + 1)"))
+def resampled_clips(spark, sf_dir):
+    """Vectors as clips at 24 kHz, brought to 16 kHz; the SQL convolves with the filter as it is defined."""
+    import numpy as np
+
+    from ..functions import signal
+
+    ship(spark)
+    rows = signal.over_clips(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda x: np.stack([signal.rate_changed(c, 24_000) for c in x]), ("place",), "v")
+    return rows.select("vec_id", "place", F.round("v", 6).alias("value"))
+
+
+@query("SELECT vec_id, round(1 / (1 + exp(-(0.25 + list_sum(list_transform(embedding, lambda x, i: x::DOUBLE * ((i - 1) % 7 - 3) / 10))))), 6) AS score FROM embeddings")
+def batch_scores(spark, sf_dir):
+    """A given linear model over vectors, batch by batch."""
+    import numpy as np
+
+    def load():
+        weights = (np.arange(64) % 7 - 3) / 10
+        return lambda x: 1 / (1 + np.exp(-(0.25 + x @ weights)))
+
+    out = evaluation.batch_scores(table(spark, sf_dir, "embeddings"), "embedding", load, 64)
+    return out.select("vec_id", F.round("score", 6).alias("score"))
+
+
 def _section_sql(sos, source: str, name: str) -> str:
     """CTEs that pass the series ``source`` (vec_id, j, x) through second-order sections, sample by sample."""
     out, previous = [], source
@@ -808,16 +836,69 @@ def spurious_firings(spark, sf_dir):
     return sequence.spurious(s, fires(spark, sf_dir).select("user_id", "fire"), "user_id", "onset", "offs", "fire", 1500.0)
 
 
-@query(f"WITH d AS (SELECT lang, source, {_SPLIT} AS split FROM documents) SELECT 'languages' AS block, coalesce(lang, '') AS key, CAST(count(*) AS VARCHAR) AS value FROM d GROUP BY lang UNION ALL SELECT 'splits', split || '|' || coalesce(lang, ''), CAST(count(*) AS VARCHAR) FROM d GROUP BY split, lang UNION ALL SELECT 'sources', coalesce(source, ''), CAST(count(*) AS VARCHAR) FROM d GROUP BY source UNION ALL SELECT 'entities', '', CAST(count(DISTINCT source) AS VARCHAR) FROM d")
+_QA = f"""WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, sha256(text) AS content, lang = 'en' AS positive, doc_id % 7 = 0 AS synthetic, CASE lang WHEN 'en' THEN 'keyword' WHEN 'de' THEN 'unknown' ELSE 'background' END AS target,
+ 'type' || CAST(doc_id % 3 AS VARCHAR) AS source_type, CASE WHEN doc_id % 7 <> 0 THEN 's' || CAST(doc_id % 40 AS VARCHAR) ELSE '' END AS speaker, 'licence' || CAST(doc_id % 4 AS VARCHAR) AS licence, CASE WHEN doc_id % 11 = 0 THEN 'gain' || CAST(doc_id % 13 AS VARCHAR) ELSE 'none' END AS augmentation,
+ n_chars / 10.0 AS level, CASE WHEN doc_id % 5 > 0 THEN n_chars % 97 END AS snr, n_chars % 500 AS onset, {_SPLIT_DOC} AS split FROM documents),
+t AS (SELECT count(*) AS n, count(*) FILTER (WHERE target = 'keyword') AS kw, count(*) FILTER (WHERE positive AND NOT synthetic) AS real_positives, count(*) FILTER (WHERE split = 'test') AS test, count(*) FILTER (WHERE split = 'test' AND positive) AS test_positives, count(*) FILTER (WHERE split = 'test' AND synthetic) AS synthetic_test, count(*) FILTER (WHERE split = 'test' AND synthetic AND positive) AS synthetic_positives_test, count(*) FILTER (WHERE split = 'test' AND augmentation <> 'none') AS augmented_test FROM d),
+v AS (SELECT 'level' AS f, level::DOUBLE AS x FROM d UNION ALL SELECT 'snr', snr FROM d WHERE snr IS NOT NULL UNION ALL SELECT 'onset', onset FROM d WHERE positive),
+l AS (SELECT f, list(x ORDER BY x) AS x, count(*) AS n FROM v GROUP BY f),
+p AS (SELECT f, unnest(['min', 'p25', 'med', 'p75', 'max']) AS q, unnest([x[1], x[least(n, CAST(floor(0.25 * n) AS BIGINT) + 1)], x[least(n, CAST(floor(0.5 * n) AS BIGINT) + 1)], x[least(n, CAST(floor(0.75 * n) AS BIGINT) + 1)], x[n]]) AS x FROM l)
+SELECT 'summary' AS block, unnest(['clips', 'seconds']) AS key, unnest([n, n])::VARCHAR AS value FROM t
+UNION ALL SELECT 'model target', 'negatives for ten positives', (10 * (n - kw) // greatest(kw, 1))::VARCHAR FROM t
+UNION ALL SELECT 'real and synthetic', 'real positives', real_positives::VARCHAR FROM t
+UNION ALL SELECT 'diversity', 'voices', count(DISTINCT source)::VARCHAR FROM d WHERE source <> '' UNION ALL SELECT 'diversity', 'voices of positives', count(DISTINCT source)::VARCHAR FROM d WHERE source <> '' AND positive UNION ALL SELECT 'diversity', 'speakers', count(DISTINCT speaker)::VARCHAR FROM d WHERE speaker <> ''
+UNION ALL SELECT 'leakage', 'hashes crossing splits', count(*)::VARCHAR FROM (SELECT content FROM d GROUP BY content HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'leakage', 'duplicate clips', (count(*) - count(DISTINCT content))::VARCHAR FROM d
+UNION ALL SELECT 'leakage', 'voices crossing splits', count(*)::VARCHAR FROM (SELECT source FROM d WHERE source <> '' GROUP BY source HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'leakage', 'speakers crossing splits', count(*)::VARCHAR FROM (SELECT speaker FROM d WHERE speaker <> '' GROUP BY speaker HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'leakage', unnest(['synthetic in test', 'synthetic positives in test', 'augmented in test', 'test size', 'test positives']), unnest([synthetic_test, synthetic_positives_test, augmented_test, test, test_positives])::VARCHAR FROM t
+UNION ALL SELECT 'class balance', lang, count(*)::VARCHAR FROM d GROUP BY lang UNION ALL SELECT 'class balance', lang || ' per mille', (1000 * count(*) // (SELECT n FROM t))::VARCHAR FROM d GROUP BY lang
+UNION ALL SELECT 'model target', target, count(*)::VARCHAR FROM d GROUP BY target UNION ALL SELECT 'model target', target || ' per mille', (1000 * count(*) // (SELECT n FROM t))::VARCHAR FROM d GROUP BY target
+UNION ALL SELECT 'splits', s, (SELECT count(*) FROM d WHERE split = s)::VARCHAR FROM (SELECT unnest(['train', 'validation', 'test']) AS s) UNION ALL SELECT 'splits', split || '|' || lang, count(*)::VARCHAR FROM d GROUP BY split, lang
+UNION ALL SELECT 'real and synthetic', CASE WHEN synthetic THEN 'synthetic' ELSE 'real' END, count(*)::VARCHAR FROM d GROUP BY synthetic UNION ALL SELECT 'real and synthetic', 'type ' || source_type, count(*)::VARCHAR FROM d GROUP BY source_type
+UNION ALL SELECT 'licences', source || '|' || licence, count(*)::VARCHAR FROM d GROUP BY source, licence
+UNION ALL SELECT * FROM (SELECT 'augmentation', augmentation, count(*)::VARCHAR FROM d GROUP BY augmentation ORDER BY count(*) DESC, augmentation LIMIT 10)
+UNION ALL SELECT 'levels', f || '|' || q, round(x, 3)::VARCHAR FROM p WHERE f <> 'onset' UNION ALL SELECT 'onset', q, round(x, 3)::VARCHAR FROM p WHERE f = 'onset' AND q IN ('min', 'med', 'max')"""
+
+
+@query(_QA)
 def quality_report(spark, sf_dir):
-    d = splits.hash_split(table(spark, sf_dir, "documents").select("lang", "source"), "source")
-    counted = lambda *keys: d.groupBy(*keys).agg(F.count("*").alias("n"))
-    return report.blocks({"languages": counted("lang"), "splits": counted("split", "lang"), "sources": counted("source"), "entities": d.agg(F.count_distinct("source").alias("n"))})
+    """The report in eleven blocks: each document a clip, its length as levels and as the keyword's place."""
+    d = splits.hash_split(table(spark, sf_dir, "documents"), "doc_id", "clip")
+    named = lambda prefix, n: F.concat(F.lit(prefix), (F.col("doc_id") % n).cast("string"))
+    d = d.select(
+        "split", "lang", "source", F.sha2("text", 256).alias("content"), (F.col("lang") == "en").alias("positive"), (F.col("doc_id") % 7 == 0).alias("synthetic"), splits.member({"en": "keyword", "de": "unknown"}, F.col("lang"), "background").alias("target"),
+        named("type", 3).alias("source_type"), F.when(F.col("doc_id") % 7 != 0, named("s", 40)).alias("speaker"), named("licence", 4).alias("licence"), F.when(F.col("doc_id") % 11 == 0, named("gain", 13)).otherwise("none").alias("augmentation"),
+        (F.col("n_chars") / 10).alias("level"), F.when(F.col("doc_id") % 5 > 0, F.col("n_chars") % 97).alias("snr"), (F.col("n_chars") % 500).alias("onset"),
+    )
+    roles = report.Roles(cls="lang", target="target", split="split", positive="positive", synthetic="synthetic", source_type="source_type", voice="source", speaker="speaker", corpus="source", license="licence", augmentation="augmentation", onset="onset", content="content", levels=("level", "snr"))
+    return report.qa_report(d, roles)
 
 
 # --- plans, sets and scalars ------------------------------------------------------------------------
 
 
+@query("""WITH w AS (SELECT CASE WHEN NOT starts_with(coalesce(props, ''), '{') THEN 'no props' WHEN try_cast(json_extract_string(props, '$.k') AS INTEGER) IS NULL THEN 'no number' WHEN try_cast(json_extract_string(props, '$.k') AS INTEGER) % 10 = 3 THEN 'marked' WHEN coalesce(value, 0) < 1 THEN 'too low' ELSE '' END AS why FROM events),
+n AS (SELECT count(*) AS "read", count(*) FILTER (WHERE why = '') AS kept, count(*) FILTER (WHERE why = 'no props') AS a, count(*) FILTER (WHERE why = 'no number') AS b, count(*) FILTER (WHERE why = 'marked') AS c, count(*) FILTER (WHERE why = 'too low') AS d FROM w)
+SELECT unnest(['read', 'kept', 'no props', 'no number', 'marked', 'too low']) AS reason, unnest(["read", kept, a, b, c, d]) AS n FROM n""")
+def decode_drops(spark, sf_dir):
+    """How many events were read, kept, and dropped by which reason, counted in the pass that writes the kept ones."""
+    k = F.try_to_number(F.get_json_object("props", "$.k"), F.lit("9999999"))
+    reasons = {"no props": ~F.coalesce("props", F.lit("")).startswith("{"), "no number": k.isNull(), "marked": k % 10 == 3, "too low": F.coalesce("value", F.lit(0)) < 1}
+    return quality.drop_counts(table(spark, sf_dir, "events"), reasons, "events")[1]
+
+
+_SPLIT_CHECK = f"""WITH d AS (SELECT doc_id, source, 's' || CAST(doc_id % 40 AS VARCHAR) AS session, doc_id % 7 <> 0 AS real, sha256(text) AS content, {_SPLIT_DOC} AS split FROM documents),
+s AS (SELECT session AS item, string_agg(DISTINCT split, '+' ORDER BY split) AS splits FROM d GROUP BY session), r AS (SELECT source AS item, string_agg(DISTINCT split, '+' ORDER BY split) AS splits FROM d WHERE real AND source <> '' GROUP BY source)
+SELECT 'sessions by split' AS "check", item, splits FROM s UNION ALL SELECT 'sessions in several splits', item, splits FROM s WHERE contains(splits, '+') UNION ALL SELECT 'held-out sessions', item, splits FROM s WHERE contains(splits, 'test')
+UNION ALL SELECT 'held-out sessions that leak', item, splits FROM s WHERE contains(splits, 'test') AND contains(splits, '+') UNION ALL SELECT 'real speakers by split', item, splits FROM r
+UNION ALL SELECT 'contents crossing splits', '', CAST(count(*) AS VARCHAR) FROM (SELECT content FROM d GROUP BY content HAVING count(DISTINCT split) > 1)"""
+
+
+@query(_SPLIT_CHECK)
+def split_check(spark, sf_dir):
+    d = clips(spark, sf_dir).withColumn("real", ~F.col("synthetic"))
+    return report.split_check(d, "session", "source", "real", "content", "split")
+
+
 @query("WITH r AS (SELECT s_suppkey, s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n, count(*) OVER (PARTITION BY s_nationkey) AS size FROM supplier) SELECT s_suppkey, s_nationkey, CASE WHEN (n - 1) % 5 < 3 THEN 'train' WHEN (n - 1) % 5 = 3 THEN 'validation' ELSE 'test' END AS split FROM r UNION ALL SELECT s_suppkey, s_nationkey, 'validation' FROM r WHERE size < 4 AND n = 1 UNION ALL SELECT s_suppkey, s_nationkey, 'test' FROM r WHERE size < 5 AND n = least(size, 3)")
 def pool_fallback(spark, sf_dir):
     return splits.pools(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", ["s_suppkey"])
@@ -833,10 +914,11 @@ def plan_product(spark, sf_dir):
     return splits.product(table(spark, sf_dir, "part").select("p_partkey"), splits.shares(6, {"one": 7.0, "two": 3.0, "three": 0.2}))
 
 
-@query("SELECT DISTINCT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang IN ('de', 'es')")
+@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'view' EXCEPT SELECT user_id FROM events WHERE event_type = 'signup' AND value > 20")
 def undeclared_ids(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return splits.difference(d.where("lang = 'en'"), d.where("lang in ('de', 'es')"), ["source"])
+    """Users that are seen but not among those that signed up with a value over 20."""
+    e = table(spark, sf_dir, "events")
+    return splits.difference(e.where("event_type = 'view'"), e.where("event_type = 'signup' and value > 20"), ["user_id"])
 
 
 @query("SELECT doc_id, 'clips/' || lang || '/' || doc_id || '.wav' AS path FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE 'clips/en/' || l.doc_id || '.wav' = 'clips/' || d.lang || '/' || d.doc_id || '.wav')")
