@@ -656,6 +656,20 @@ def speech_frames(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", run(F.col("embedding").cast("array<double>")).alias("n_speech"), F.size("embedding").cast("long").alias("n"))
 
 
+@query("SELECT CAST(label AS VARCHAR) AS path, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS place, vec_id AS seq, CAST(len(embedding) AS INTEGER) AS n, list_sum(list_transform(embedding, lambda x: CAST(round_even(x::DOUBLE * 1000, 0) AS BIGINT)))::BIGINT AS total FROM embeddings")
+def block_captures(spark, sf_dir):
+    """Vectors written as captures of framed blocks, one a label, and read back by ranges of whole blocks."""
+    from ..sources import blocks
+
+    ship(spark)
+    path = shared_path(spark, "captures")
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: F.bround(x.cast("double") * 1000).cast("short")).alias("x"))
+    blocks.write_captures(e, path, "label", "vec_id", "x")
+    blocks.register(spark)
+    got = spark.read.format("framed_blocks").option("path", path).option("bytes_a_partition", 1 << 16).load()
+    return got.select("path", "place", "seq", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 
