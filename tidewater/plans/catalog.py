@@ -16,7 +16,7 @@ from ..functions import scalars
 from ..functions.scalars import decibels, epoch_micros, mel
 from ..functions.shipping import ship
 from ..functions.tables import shared_path
-from ..operators import clip_qc, evaluation, gate, quality, report, sequence, splits
+from ..operators import catalogue, clip_qc, evaluation, gate, quality, report, sequence, splits
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -887,6 +887,24 @@ def quality_report(spark, sf_dir):
     return report.qa_report(d, roles)
 
 
+@query(f"""WITH RECURSIVE l AS (SELECT doc_id AS k, CASE WHEN doc_id % 6 > 0 AND doc_id % 35 > 0 THEN doc_id - 1 ELSE doc_id END AS up FROM documents), r AS (SELECT k, up FROM l UNION SELECT r.k, l.up FROM r JOIN l ON l.k = r.up),
+o AS (SELECT k AS doc_id, min(up) AS origin FROM r GROUP BY k) SELECT doc_id, origin, {_SPLIT_DOC.replace("doc_id", "origin")} AS split FROM o""")
+def inherited_splits(spark, sf_dir):
+    """Splits along chains of copies: a document was made from the one before it, unless it is one of each sixth or each thirty-fifth."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when((F.col("doc_id") % 6 > 0) & (F.col("doc_id") % 35 > 0), F.col("doc_id") - 1).alias("source"))
+    of = catalogue.origins(d, "doc_id", "source")
+    return splits.hash_split(of, "origin", "clip").select("doc_id", "origin", "split")
+
+
+@query("""WITH b AS (SELECT doc_id, lang, list_filter([CASE WHEN NOT n_chars BETWEEN 30 AND 8000 THEN 'QC-1' END, CASE WHEN NOT coalesce(lang IN ('en', 'de', 'fr'), true) THEN 'QC-2' END, CASE WHEN NOT n_chars % 9 > 0 THEN 'QC-3' END, CASE WHEN NOT contains(text, 'e') THEN 'QC-4' END], lambda x: x IS NOT NULL) AS b FROM documents)
+SELECT doc_id, array_to_string(b, '+') AS broken, CASE WHEN list_contains(b, 'QC-1') OR list_contains(b, 'QC-4') THEN 'reject' WHEN list_contains(b, 'QC-3') THEN 'reclassified' WHEN list_contains(b, 'QC-2') THEN 'flag' ELSE 'ok' END AS verdict, CASE WHEN list_contains(b, 'QC-3') THEN 'partial' ELSE lang END AS lang FROM b""")
+def rule_catalogue(spark, sf_dir):
+    """Documents by a catalogue of four rules."""
+    rules = [("QC-1", "n_chars between 30 and 8000", "reject"), ("QC-2", "lang in ('en', 'de', 'fr')", "flag"), ("QC-3", "n_chars % 9 > 0", "as:partial"), ("QC-4", "contains(text, 'e')", "reject")]
+    out = catalogue.checked(table(spark, sf_dir, "documents"), spark.createDataFrame(rules, "rule string, holds string, action string"), "lang")
+    return out.select("doc_id", F.array_join("broken", "+").alias("broken"), "verdict", "lang")
+
+
 # --- plans, sets and scalars ------------------------------------------------------------------------
 
 
