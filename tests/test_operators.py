@@ -626,3 +626,34 @@ def test_a_report_reads_its_records_once(spark, tmp_path):
     assert sum(p.count(f"{tmp_path}/m") > 0 for p in seen) == 1 and seen[0].count("FileScan") == 1
     assert got["splits", "test"] == "0" and got["diversity", "voices"] == "0" and got["summary", "clips"] == "300"
     assert len({b for b, _ in got}) == 11
+
+
+def _pitch(x, rate=16_000):
+    x = x[2000:-2000]
+    return np.argmax(np.abs(np.fft.rfft(x * np.hanning(len(x))))) * rate / len(x)
+
+
+def test_stretch_keeps_pitch_and_shift_keeps_length():
+    t = np.arange(32_000) / 16_000
+    tone = np.sin(2 * np.pi * 440 * t)
+    for factor in (0.9, 1.1, 1.25, 0.8):
+        y = signal.stretched(tone, factor)
+        assert len(y) == round(32_000 / factor) and abs(_pitch(y) - 440) < 2
+        assert 0.85 < np.sqrt(2) * np.sqrt((y[3000:-3000] ** 2).mean()) < 1.1
+    assert signal.stretched(tone, 1.0) is tone and len(signal.stretched(tone[:100], 1.1)) == 100
+    for semitones in (-1.0, 1.0):
+        y = signal.pitch_shifted(tone, semitones)
+        assert len(y) == len(tone) and abs(_pitch(y) - 440 * 2 ** (semitones / 12)) < 2
+    click = np.zeros(32_000)
+    click[16_000] = 1.0
+    assert abs(np.argmax(np.abs(signal.stretched(click, 0.8))) - 20_000) < 300
+
+
+def test_rooms():
+    r = np.random.default_rng(2)
+    x, response = r.normal(size=900), np.exp(-np.arange(300) / 40.0) * r.normal(size=300)
+    response[25] = 9.0
+    y = signal.reverberated(x, response)
+    want = np.convolve(x, response)[25 : 25 + 900]
+    assert np.abs(y / np.sqrt((y * y).mean()) - want / np.sqrt((want * want).mean())).max() < 1e-9
+    assert abs((y * y).mean() - (x * x).mean()) < 1e-9 and signal.reverberated(x, np.array([1.0])).tolist() == pytest.approx(x.tolist())

@@ -366,6 +366,47 @@ def sped(x: np.ndarray, factor: float) -> np.ndarray:
     return x if abs(factor - 1) < 1e-3 else resampled(x, max(1, round(len(x) / factor)))
 
 
+def stretched(x: np.ndarray, factor: float, length: int = 1024, hop: int = 256) -> np.ndarray:
+    """Speed without pitch, by a phase vocoder: spectra are read at steps of ``factor`` frames, their phases run on at the pace between neighbouring frames, and frames are added up. round(n / factor) samples; within a thousandth of 1, and under a frame, nothing happens."""
+    if abs(factor - 1) < 1e-3 or len(x) < length:
+        return x
+    n = max(1, round(len(x) / factor))
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(length) / length)
+    padded = np.pad(x, (length // 2, length + hop))
+    spectra = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(padded, length)[::hop] * window)
+    step = np.arange(0, len(spectra) - 1, factor)
+    at = step.astype(int)
+    part = (step - at)[:, None]
+    size = (1 - part) * np.abs(spectra[at]) + part * np.abs(spectra[at + 1])
+    pace = 2 * np.pi * hop * np.arange(length // 2 + 1) / length
+    drift = np.angle(spectra[at + 1]) - np.angle(spectra[at]) - pace
+    turn = pace + drift - 2 * np.pi * np.round(drift / (2 * np.pi))
+    phase = np.angle(spectra[0]) + np.concatenate((np.zeros((1, turn.shape[1])), np.cumsum(turn[:-1], axis=0)))
+    frames_out = np.fft.irfft(size * np.exp(1j * phase), length) * window
+    place = (np.arange(len(at)) * hop)[:, None] + np.arange(length)
+    out, weight = np.zeros(place[-1, -1] + 1), np.zeros(place[-1, -1] + 1)
+    np.add.at(out, place, frames_out)
+    np.add.at(weight, place, np.broadcast_to(window**2, place.shape))
+    out = (out / np.maximum(weight, 1e-3))[length // 2 : length // 2 + n]
+    return np.pad(out, (0, n - len(out)))
+
+
+def pitch_shifted(x: np.ndarray, semitones: float) -> np.ndarray:
+    """Pitch without speed: stretched, then read at another pace."""
+    return resampled(stretched(x, 2 ** (-semitones / 12)), len(x))
+
+
+def reverberated(x: np.ndarray, response: np.ndarray) -> np.ndarray:
+    """The signal in a room, from the response's loudest sample on, at the loudness it had."""
+    if not len(x) or not len(response):
+        return x
+    n = 1 << (len(x) + len(response) - 2).bit_length()
+    first = int(np.argmax(np.abs(response)))
+    y = np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(response, n), n)[first : first + len(x)]
+    power = np.sqrt((y * y).mean())
+    return y * (np.sqrt((x * x).mean()) / power) if power > 0 else y
+
+
 def trimmed(x: np.ndarray, below: float = -45.0, pad_ms: float = 25.0, rate: int = RATE) -> np.ndarray:
     """Without the silence at either end: frames of 10 ms over the loudest one's level plus ``below`` (or minus 60 dB), and a little around them."""
     length = max(1, int(rate * 0.010))
