@@ -40,6 +40,10 @@ DEPTH, CELLS, WIDTHS = 3, 32, (1 << 16, 1 << 24)
 CHUNK = 1 << 16
 #: Distinct terms of groups that a task gathers before it sends their counts.
 GATHERED = 1 << 20
+#: Meetings of two sources in a term that are worked on at once.
+PAIRS = 1 << 20
+#: Bytes of text that are read together: codes and hashes of all their words are held at once.
+AT_ONCE = 1 << 21
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -87,7 +91,7 @@ def sketch(rows: DataFrame, width: int) -> np.ndarray:
         table = np.zeros((DEPTH, width), np.uint8)
         for batch in batches:
             lang, names = _hashed_names(batch.column("lang"))
-            for words in word_spans(batch.column("text"), NO_LETTER, LOWER):
+            for words in word_spans(batch.column("text"), NO_LETTER, LOWER, AT_ONCE):
                 codes, terms = _by_code(*words.coded())
                 text, code, _ = _document_terms(words, codes, len(terms))
                 # A term of a language is hashed once a run.
@@ -139,7 +143,7 @@ def _survivors(rows: DataFrame, merged: Broadcast, width: int) -> DataFrame:
             lang, names = _hashed_names(batch.column("lang"))
             langs, sources = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
             of_source = sources.indices.to_numpy()
-            for words in word_spans(batch.column("text"), NO_LETTER, LOWER):
+            for words in word_spans(batch.column("text"), NO_LETTER, LOWER, AT_ONCE):
                 codes, terms = _by_code(*words.coded())
                 if not terms:
                     continue
@@ -229,10 +233,8 @@ def _pairs(facts: DataFrame, terms: DataFrame) -> DataFrame:
     theirs = theirs.groupBy("lang", "source_a", "source_b").agg(F.sum(F.col("terms") * _far("none_a", "p")).alias("theirs"))
     # The sources that share a term stand in its row: they meet there, each two once, for both directions.
     of_lang = facts.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("total", "none")))).alias("of"))
-    own = terms.join(of_lang, "lang").select("lang", F.transform("found", lambda x: F.struct(x["source"].alias("source"), _share(x["n"], F.col("of")[x["source"]]["total"]).alias("p"), F.col("of")[x["source"]]["none"].alias("none"))).alias("found"))
-    met = own.select("lang", "found", F.explode("found").alias("a")).select("lang", "a", F.explode("found").alias("b")).where("a.source < b.source")
-    met = met.select("lang", *(F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in "ab" for c in ("source", "p", "none")))
-    met = met.groupBy("lang", "source_a", "source_b").agg(F.count("*").alias("shared"), *(F.sum(_far(f"p_{x}", f"p_{y}") - _far(f"p_{x}", f"none_{y}") - _far(f"none_{x}", f"p_{y}")).alias(f"{x}{y}") for x, y in ("ab", "ba")))
+    own = terms.join(of_lang, "lang").select("lang", F.transform("found", lambda x: F.struct(x["source"].alias("source"), x["n"].alias("n"), F.col("of")[x["source"]].alias("of"))).alias("found"))
+    met = _meetings(own).groupBy("lang", "source_a", "source_b").agg(F.sum("shared").alias("shared"), F.sum("ab").alias("ab"), F.sum("ba").alias("ba"))
     met = met.withColumn("way", F.explode(F.array(F.lit(True), F.lit(False))))
     both = met.select("lang", *(F.when(F.col("way"), F.col(f"source_{x}")).otherwise(F.col(f"source_{y}")).alias(f"source_{x}") for x, y in ("ab", "ba")), "shared", F.when(F.col("way"), F.col("ab")).otherwise(F.col("ba")).alias("both"))
     key = ["lang", "source_a", "source_b"]
@@ -242,6 +244,56 @@ def _pairs(facts: DataFrame, terms: DataFrame) -> DataFrame:
     return _ranked(out)
 
 
+def _meetings(own: DataFrame) -> DataFrame:
+    """lang, source_a, source_b, shared, ab, ba: for each two sources, summed within a batch of terms, how many terms both have, and what these change in either direction."""
+
+    def far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return (p - q) ** 2 // q
+
+    def shares(count: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """``_share`` in arrays."""
+        whole, rest = np.divmod(count + 1, total)
+        for _ in range(3):
+            more, rest = np.divmod(rest * 1000, total)
+            whole = whole * 1000 + more
+        return whole + 1
+
+    def summed(keys: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """Exact sums by key of at most PAIRS whole numbers: halves of 32 bits, whose sums a double holds."""
+        low, high = values & 0xFFFFFFFF, values >> 32
+        return (np.bincount(keys, high, n).astype(np.int64) << 32) + np.bincount(keys, low, n).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            found = batch.column("found")
+            begin, entries = found.offsets.to_numpy().astype(np.int64), found.values
+            source = entries.field("source").dictionary_encode()
+            names = np.array(source.dictionary.to_pylist(), object)
+            rank = np.empty(len(names), np.int64)
+            rank[np.argsort([n.encode() for n in names], kind="stable") if len(names) else []] = np.arange(len(names))
+            place, none = rank[source.indices.to_numpy()], entries.field("of").field("none").to_numpy()
+            p = shares(entries.field("n").to_numpy(), entries.field("of").field("total").to_numpy())
+            by_rank, of_lang, sizes = names[np.argsort(rank)], lang.indices.to_numpy().astype(np.int64), np.diff(begin)
+            n = len(lang.dictionary) * len(names) ** 2
+            total = np.zeros((3, n), np.int64)
+            for size in np.unique(sizes[sizes > 1]).tolist():
+                i, j = np.triu_indices(size, 1)
+                rows = np.flatnonzero(sizes == size)
+                for some in np.array_split(rows, -(-len(rows) * len(i) // PAIRS)):
+                    a, b = ((begin[some][:, None] + x).ravel() for x in (i, j))
+                    a, b = np.where(place[a] < place[b], a, b), np.where(place[a] < place[b], b, a)
+                    key = (np.repeat(of_lang[some], len(i)) * len(names) + place[a]) * len(names) + place[b]
+                    total[0] += np.bincount(key, minlength=n)
+                    for row, x, y in ((1, a, b), (2, b, a)):
+                        total[row] += summed(key, far(p[x], p[y]) - far(p[x], none[y]) - far(none[x], p[y]), n)
+            used = np.flatnonzero(total[0])
+            which, a, b = used // len(names) ** 2 if len(names) else used, used // max(len(names), 1) % max(len(names), 1), used % max(len(names), 1)
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(pa.array(which)), pa.array(by_rank[a].tolist(), pa.string()), pa.array(by_rank[b].tolist(), pa.string()), *(pa.array(t[used]) for t in total)], ["lang", "source_a", "source_b", "shared", "ab", "ba"])
+
+    return own.mapInArrow(run, "lang string, source_a string, source_b string, shared long, ab long, ba long")
+
+
 def _terms(facts: DataFrame, terms: DataFrame, top: int) -> DataFrame:
     """The ``term`` rows: what a source has more of than its language."""
     own = terms.select("lang", "term", "in_lang", F.explode("found").alias("x")).select("lang", "term", "in_lang", "x.source", "x.n")
