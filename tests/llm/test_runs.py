@@ -122,6 +122,13 @@ def test_run_digests(spark):
     assert periodic_runs.run_digests(docs.limit(0)).count() == 0
 
 
+def test_planting_leaves_texts_without_words(spark):
+    chosen = [k for k in range(300) if zlib.crc32(str(k).encode()) % 10 == 0][:5]
+    rows = list(zip(chosen, (None, "", " \n\t ", "a", "a b c d " * 9)))
+    got = periodic_runs.run_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(digests(*x) for x in rows)
+
+
 def test_query_on_its_table(spark):
     from tidewater.llm.queries import queries
 

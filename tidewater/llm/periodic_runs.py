@@ -136,7 +136,7 @@ def find_runs(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_
 
 
 def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text; a tenth of the texts, by the identifier's crc32, repeat a stretch of their words to the end. A null identifier's text stays as it is."""
+    """doc_id and text; a tenth of the texts, by the identifier's crc32, repeat a stretch of their words to the end. A null identifier's text stays as it is, and so does one without words."""
     rows = two_columns(docs, id_col, text_col)
     h = "crc32(cast(cast(doc_id as string) as binary))"
     # An array of one binds what is used several times, so that it is worked out once.
@@ -144,7 +144,7 @@ def with_planted_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     sizes = f"transform({words}, w -> struct(w, size(w) as n, {h} div 10 as g))"
     places = f"transform(filter({sizes}, x -> x.n > 0), x -> struct(x.w, x.n, cast(x.g % x.n as int) as a, 1 + cast((x.n - x.g % x.n) div (3 + x.g % 8) as int) as p))"
     edited = f"transform({places}, x -> array_join(transform(sequence(0, x.n - 1), i -> x.w[if(i < x.a, i, x.a + (i - x.a) % x.p)]), ' '))"
-    return rows.select("doc_id", F.expr(f"case when {h} % 10 = 0 then coalesce(element_at({edited}, 1), text) else text end").alias("text"))
+    return rows.select("doc_id", F.expr(f"case when {h} % 10 = 0 then coalesce(get({edited}, 0), text) else text end").alias("text"))
 
 
 def run_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
