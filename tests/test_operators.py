@@ -150,6 +150,23 @@ def test_near_vectors_visit_few_pivots(spark):
     assert 4000 <= dealt.count() < 0.1 * 4000 * 40
 
 
+@pytest.mark.parametrize("moved", [0, 10**9])
+def test_near_vectors_meet_in_bounded_groups(spark, monkeypatch, moved):
+    """Whether rows visit pivots or all parts meet, no group grows with the rows, and every pair is found once."""
+    monkeypatch.setattr(quality, "MOVED", moved, raising=False)
+    v = np.random.default_rng(7).normal(size=(3000, 8))
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    dealt, _ = quality._dealt(rows, "k", "v", 0.8, 100)
+    groups = dealt.groupBy(*(c for c in dealt.columns if c not in ("id", "v", "part"))).count()
+    assert groups.agg(F.max("count")).first()[0] <= 400 and dealt.where("part < 0").isEmpty() == (moved > 0)
+    unit = v - v.mean(axis=0)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(unit @ unit.T >= 0.8, 1)))}
+    found = quality.near_vectors(rows, "k", "v", 0.8, 100).toArrow()
+    got = list(zip(found["a"].to_pylist(), found["b"].to_pylist()))
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_rules_and_quantiles(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, float("nan"))], "k int, v double")
     got = {r["k"]: r["status"] for r in quality.rule_flags(df, {"big": F.col("v") > 4}, {}).collect()}
