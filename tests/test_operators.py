@@ -2,11 +2,13 @@ import math
 import wave
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars, signal
-from tidewater.operators import evaluation, gate, quality, report, sequence, splits
+from tidewater.operators import clip_qc, evaluation, gate, quality, report, sequence, splits
 from tidewater.sources import blocks, clips, manifest
 from tidewater.streaming import stateful
 
@@ -167,6 +169,24 @@ def test_near_vectors_meet_in_bounded_groups(spark, monkeypatch, moved):
     assert len(got) == len(want) and set(got) == want
 
 
+def test_clips_come_in_small_batches(spark):
+    """Neither the making of clips nor their measuring gets more at once where a table is larger."""
+    v = pa.array([[0.5, -0.25, 2.0, 0.125] * 16] * 3000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([1] * 3000), v], ["vec_id", "label", "v"])
+    made = list(signal.clips_of_vectors(iter([batch])))
+    assert max(len(b) for b in made) <= signal.VECTORS and sum(len(b) for b in made) == 3000
+    x = np.array(made[-1].column("samples")[0].as_py())
+    want = np.resize(v[0].as_py(), 640) * np.repeat(np.where(np.arange(10) == 3, 0.001, 1.5), 64) + 0.01
+    want[384:448] = 0
+    assert (x == np.clip(want, -1.0, 32767 / 32768)).all()
+
+    signal_rows = spark.range(6000, numPartitions=1).select(F.array_repeat(F.lit(0.25), 640).alias("samples"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    clip_qc.measured(signal_rows.withColumn("rate", F.lit(16_000)))
+    most = F.pandas_udf(lambda x: pd.Series([len(x)] * len(x)), "long", F.PandasUDFType.SCALAR)
+    assert signal_rows.select(most("samples").alias("n")).agg(F.max("n")).first()[0] < 2000
+
+
 def test_rules_and_quantiles(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, float("nan"))], "k int, v double")
     got = {r["k"]: r["status"] for r in quality.rule_flags(df, {"big": F.col("v") > 4}, {}).collect()}

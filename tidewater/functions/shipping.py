@@ -10,10 +10,13 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes an Arrow batch holds at most, so that long texts and clips don't fill a worker.
+BATCH_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package to the application's Python files, once for each application."""
+    """Adds the package to the application's Python files, once for each application; workers get batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.shipping import ship
+from tidewater.functions.shipping import BATCH_BYTES, ship
 from tidewater.functions.tables import shared_path, written
 
-__all__ = ["documents", "for_workers", "kept_rows", "labels", "partitions", "shared_path", "two_columns", "written"]
-
-#: Bytes an Arrow batch holds at most, so that very long texts don't fill a worker.
-BATCH_BYTES = 8 << 20
+__all__ = ["BATCH_BYTES", "documents", "for_workers", "kept_rows", "labels", "partitions", "shared_path", "two_columns", "written"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +53,6 @@ def kept_rows(docs: DataFrame, marked: DataFrame, id_col: str, text_col: str) ->
 def for_workers(spark: SparkSession) -> None:
     """Python workers get this package, and batches of bounded size."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def partitions(df: DataFrame, least: int = 1) -> int:

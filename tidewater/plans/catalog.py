@@ -601,20 +601,11 @@ concat_ws('+', CASE WHEN {_DB.format('rms')} < -40 THEN 'quiet' END, CASE WHEN {
 @query(_QC)
 def clip_qc_rules(spark, sf_dir):
     """Measures and rules of clips made of vectors; the bounds of zero runs and lengths are brought down to clips of 40 ms."""
-    import numpy as np
+    from ..functions import signal
 
     ship(spark)
-
-    @F.pandas_udf("array<double>")
-    def clip(v, label):
-        def one(x, k):
-            x = np.resize(np.asarray(x, float), 640) * np.repeat(np.where(np.arange(10) == 3, 0.001, 0.5 + k), 64) + k * 0.01
-            x[384:448] = 0
-            return np.clip(x, -1.0, 32767 / 32768).tolist()
-
-        return v.combine(label, one)
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", clip(F.col("embedding").cast("array<double>"), F.col("label")).alias("samples"), F.lit(16_000).alias("rate"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    e = e.mapInArrow(signal.clips_of_vectors, "vec_id long, label long, samples array<double>").withColumn("rate", F.lit(16_000))
     out = clip_qc.clip_rules(clip_qc.measured(e), expected=636 + F.col("label"), zero_run_ms=3.9, tolerance=0.4)
     m = lambda c, d: F.round(f"m.{c}", d)
     return out.select("vec_id", m("rms_db", 4).alias("rms_db"), m("peak_db", 4).alias("peak_db"), m("offset_raw", 6).alias("offset_raw"), m("offset", 6).alias("offset_passed"), m("clipped_pct", 4).alias("clipped_pct"), m("zero_run_ms", 4).alias("zero_run_ms"), m("silence_pct", 4).alias("silence_pct"), F.concat_ws("+", "fails").alias("fails"), F.concat_ws("+", "warns").alias("warns"))
