@@ -8,7 +8,10 @@ import uuid
 from collections.abc import Iterable, Iterator
 from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _collected: ContextVar[tuple[list[str], ...]] = ContextVar("collected", default=())
 
@@ -42,6 +45,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def listed(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """A few rows of the driver's as a table; unlike lists, Arrow tables start no further Python workers on the executors."""
+    kinds = StructType.fromDDL(schema)
+    fields = to_arrow_schema(kinds)
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields)], schema=fields), kinds)
+
+
 @contextlib.contextmanager
 def collecting() -> Iterator[list[str]]:
     """The paths of all tables that are written within."""

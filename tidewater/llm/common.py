@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions.shipping import BATCH_BYTES, ship
 from tidewater.functions.tables import shared_path, written
 
-__all__ = ["BATCH_BYTES", "documents", "for_workers", "kept_rows", "labels", "partitions", "shared_path", "two_columns", "written"]
+from . import library_ids
+
+__all__ = ["BATCH_BYTES", "documents", "for_workers", "give_back", "kept_rows", "labels", "lean", "partitions", "shared_path", "two_columns", "written"]
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,5 +64,31 @@ def for_workers(spark: SparkSession) -> None:
     ship(spark)
 
 
+def lean(run: Run, remembers: bool = False) -> Run:
+    """``run``, for ``mapInArrow``, in a worker that gives back what it remembers of texts' ids before (unless ``run`` goes on with it), and what ``run`` has freed after: an idle worker would keep it all beside its executor."""
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not remembers:
+            library_ids.release()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return held
+
+
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+@functools.cache
+def _trim() -> Callable[[int], int]:
+    """The C library's call that returns freed memory to the system; without one, nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def partitions(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

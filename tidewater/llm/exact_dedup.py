@@ -27,7 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import for_workers, partitions, two_columns, written
+from tidewater.functions.tables import listed
+
+from .common import for_workers, lean, partitions, two_columns, written
 
 #: Characters of the normalised text that lead the sort key.
 HEAD = 64
@@ -105,7 +107,7 @@ def _joined(edges: DataFrame, text: Column) -> tuple[list, set[int]]:
             before = e
     if not alike:
         return records, set()
-    pairs = edges.sparkSession.createDataFrame(alike, "_a int, _ea int, _b int, _eb int")
+    pairs = listed(edges.sparkSession, alike, "_a int, _ea int, _b int, _eb int")
     texts = edges.select("part", "edge", text.alias("norm"))
     one, two = (texts.select(F.col("part").alias(p), F.col("edge").alias(e), F.col("norm").alias(t)) for p, e, t in (("_a", "_ea", "_x"), ("_b", "_eb", "_y")))
     same = pairs.join(one, ["_a", "_ea"]).join(two, ["_b", "_eb"]).where("_x = _y").select("_b")
@@ -126,12 +128,11 @@ def _across(edges: list, joined: set[int], largest: bool) -> list[tuple]:
 def exact_groups(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     largest = {"smallest": False, "largest": True}[keep]
-    rows = two_columns(docs, id_col, text_col).mapInArrow(_normalised, _SORTED)
+    rows = two_columns(docs, id_col, text_col).mapInArrow(lean(_normalised), _SORTED)
     rows = rows.repartitionByRange(partitions(rows), "head", "sha", "doc_id").sortWithinPartitions("head", "sha", "norm", "doc_id")
-    groups = written(rows.mapInArrow(_grouping(largest), _GROUPED), "groups")
+    groups = written(rows.mapInArrow(lean(_grouping(largest)), _GROUPED), "groups")
     edges = groups.where("norm is not null").select("part", "edge", "keep_id", "group_size", "n_bytes", F.col("text_sha256").alias("sha"), "norm")
-    spark = docs.sparkSession
-    joined = spark.createDataFrame(_across(*_joined(edges, F.col("norm")), largest), "part int, edge int, k long, n long, owner boolean")
+    joined = listed(docs.sparkSession, _across(*_joined(edges, F.col("norm")), largest), "part int, edge int, k long, n long, owner boolean")
     out = groups.join(F.broadcast(joined), ["part", "edge"], "left")
     keep_id = F.when(F.col("n").isNotNull(), F.col("k")).otherwise(F.col("keep_id"))
     kept = F.col("first") & F.when(keep_id.isNull(), F.coalesce(F.col("owner"), F.lit(True))).otherwise(F.coalesce(F.col("doc_id") == keep_id, F.lit(False)))
@@ -151,15 +152,15 @@ def dedup(docs: DataFrame, keep: str = "smallest", id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
     whole = rows.schema["row"]
     keyed = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("head", T.StringType()), T.StructField("sha", T.BinaryType()), whole])
-    rows = rows.mapInArrow(_with_keys(at), keyed)
+    rows = rows.mapInArrow(lean(_with_keys(at)), keyed)
     others = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     rows = rows.repartitionByRange(partitions(rows), "head", "sha", by_id).sortWithinPartitions("head", "sha", by_id, *others)
     first = T.StructType([whole, *(T.StructField(c, k) for c, k in (("part", T.IntegerType()), ("edge", T.IntegerType()), ("sha", T.BinaryType()), ("n_bytes", T.LongType())))])
-    firsts = written(rows.mapInArrow(_first_rows(at), first), "firsts")
+    firsts = written(rows.mapInArrow(lean(_first_rows(at)), first), "firsts")
     norm = F.translate(F.coalesce(F.col("row").getField(text_col), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
     edges = firsts.where("edge > 0").select("part", "edge", F.hex("sha").alias("sha"), "n_bytes", norm.alias("norm"))
     _, joined = _joined(edges, F.col("norm"))
-    again = spark.createDataFrame([(p,) for p in sorted(joined)], "_part int")
+    again = listed(spark, [(p,) for p in sorted(joined)], "_part int")
     kept = firsts.join(F.broadcast(again), (F.col("part") == F.col("_part")) & F.col("edge").isin(1, 3), "left_anti")
     return kept.select("row.*")
 

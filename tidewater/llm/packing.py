@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytebpe
-from .common import two_columns, written
+from .common import lean, two_columns, written
 from .library_ids import library_ids
 
 #: Partners that are compared at once for one underfull pattern; further ones follow where none of these gains.
@@ -217,7 +217,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048,
                 kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), pa.array([part] * len(rows), pa.int32())], ["doc_id", "piece", "start", "length", "ids_crc32", "rank", "part"])
 
-    return two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
+    return two_columns(docs, id_col, text_col).mapInArrow(lean(run, remembers=True), "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int")
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,4 +244,4 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     # Sorted and merged: a broadcast of it would grow with the parts.
-    return pieces.join(before.hint("merge"), ["part", "length"]).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return pieces.join(before.hint("merge"), ["part", "length"]).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.tables import collecting, forget
 
-from .common import for_workers, partitions, two_columns, written
+from .common import for_workers, give_back, lean, partitions, two_columns, written
 from .labelled import held_out, labelled_ids, sieve
 from .words import NO_LETTER, column_words, mix
 
@@ -41,8 +41,8 @@ from .words import NO_LETTER, column_words, mix
 LEAST_TEXTS, DISCOUNT = 3, 0.75
 #: Log-likelihood ratio from which counts tell the classes apart.
 EVIDENCE = 11.0
-#: Words or pairs of words that a task gathers before it leaves repeated ones out; ranges of words by which pairs meet again.
-GATHERED, BUCKETS = 1 << 22, 2048
+#: Words or pairs of words that a task gathers before it leaves repeated ones out; ranges of words by which pairs meet again, and how many are sent at once.
+GATHERED, BUCKETS, SENT = 1 << 22, 2048, 256
 #: Parts of the labelled rows: the curve's inputs come from models that leave out a text's own part.
 PARTS = 4
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -124,9 +124,8 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _split(keys: np.ndarray, counts: np.ndarray, span: int, v: int) -> pa.RecordBatch:
     """Sorted keys and their counts in rows by ranges of words; a word has ``span`` keys. Differences of keys need few bytes."""
-    bucket = keys // span * BUCKETS // v
-    at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
-    rows = [(int(bucket[a]), int(keys[a]), int(b - a), _planes(np.diff(keys[a:b], prepend=keys[a])), _planes(counts[a:b] - 1)) for a, b in zip(at[:-1], at[1:])]
+    at = np.searchsorted(keys, -(-np.arange(BUCKETS + 1) * v // BUCKETS) * span)  # range k has the words w of w * BUCKETS // v = k
+    rows = [(k, int(keys[a]), int(b - a), _planes(np.diff(keys[a:b], prepend=keys[a])), _planes(counts[a:b] - 1)) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "first", "n", "keys", "counts"])
 
 
@@ -152,23 +151,28 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 def _met(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], span: int, v: int, counted: bool = True) -> DataFrame:
     """The keys of all rows, distinct and counted (or each counted as one) within each task, in order of their ranges of words."""
 
-    def distinct(keys: list[np.ndarray]) -> pa.RecordBatch:
-        key, n = np.unique(np.concatenate(keys), return_counts=True)
-        return _split(key, n if counted else np.ones_like(n), span, v)
+    def distinct(keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keys.sort()
+        first = np.flatnonzero(np.concatenate((np.ones(1, bool), keys[1:] != keys[:-1])))
+        made = _split(keys[first], np.diff(first, append=len(keys)) if counted else np.ones_like(first), span, v)
+        for at in range(0, len(made), SENT):
+            yield made.slice(at, SENT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = [], 0
+        keys, n = np.empty(GATHERED, np.int64), 0  # one array, sorted where it lies
         for batch in batches:
             for some in keys_of(batch):
-                keys.append(some)
-                held += len(some)
-                if held >= GATHERED:
-                    yield distinct(keys)
-                    keys, held = [], 0
-        if held:
-            yield distinct(keys)
-
-    made = rows.mapInArrow(run, "bucket int, first long, n int, keys binary, counts binary")
+                while len(some):
+                    fits = some[: GATHERED - n]
+                    keys[n : n + len(fits)] = fits
+                    n, some = n + len(fits), some[len(fits) :]
+                    if n == GATHERED:
+                        yield from distinct(keys)
+                        n = 0
+        if n:
+            yield from distinct(keys[:n])
+
+    made = rows.mapInArrow(lean(run), "bucket int, first long, n int, keys binary, counts binary")
     return made.repartition(partitions(rows), "bucket").sortWithinPartitions("bucket")
 
 
@@ -201,7 +205,8 @@ def continuations(docs: DataFrame, vocabulary: np.ndarray, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(n)], ["word", "n"])
 
     out = np.zeros(v)
-    word, n = _columns(_met(two_columns(docs, id_col, text_col), keys_of, v + 2, v, counted=False).mapInArrow(count, "word long, n long"))  # a row a word of the vocabulary
+    word, n = _columns(_met(two_columns(docs, id_col, text_col), keys_of, v + 2, v, counted=False).mapInArrow(lean(count), "word long, n long"))  # a row a word of the vocabulary
+    known_words.destroy()
     out[word] = n
     return out
 
@@ -330,10 +335,12 @@ def learned_from(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield batch.select(["doc_id", "text"])
 
     rows = two_columns(docs, id_col, text_col).where(~held_out(F.col("doc_id"))).withColumn("key", F.xxhash64("doc_id"))
-    rows = rows.mapInArrow(some, "doc_id long, text string").join(known.hint("merge"), "doc_id")
+    rows = rows.mapInArrow(lean(some), "doc_id long, text string").join(known.hint("merge"), "doc_id")
     text = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
     once = rows.groupBy(F.sha2(text, 256).alias("row"), "y").agg(F.min(text).alias("text"))
-    return written(once.withColumn("code", (F.pmod(F.xxhash64("row"), F.lit(PARTS)) * 2 + F.col("y")).cast("int")), "learned")
+    out = written(once.withColumn("code", (F.pmod(F.xxhash64("row"), F.lit(PARTS)) * 2 + F.col("y")).cast("int")), "learned")
+    ids.destroy()
+    return out
 
 
 def _word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -360,7 +367,7 @@ def _word_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if size:
             yield counted()
 
-    rows = texts.mapInArrow(run, "word long, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
+    rows = texts.mapInArrow(lean(run), "word long, " + ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
     rows = rows.where(sum((F.col(n) for n in names), F.lit(0)) >= LEAST_TEXTS)
     word, *n = _columns(rows)
     word = word.view(np.uint64)
@@ -402,10 +409,12 @@ def _all_counts(texts: DataFrame, vocabulary: np.ndarray, word: np.ndarray, cont
             rows = [*sums[:, use].T.tolist(), *n[:, told].T.astype(np.int64).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((-1 - left[use], key[told]))), pa.array(rows, pa.list_(pa.int64()))], ["key", "n"])
 
-    table = _met(texts, keys_of, codes * v, v).mapInArrow(count, "key long, n array<long>").toArrow()
+    table = _met(texts, keys_of, codes * v, v).mapInArrow(lean(count), "key long, n array<long>").toArrow()
+    known_words.destroy()
+    apart.destroy()
     key = table["key"].to_numpy()
     # A first word's sums have negative keys.
-    sums, pair = (np.array(table["n"].filter(pa.array(own)).to_pylist(), float).reshape(-1, k).T for own, k in ((key < 0, 4 * (PARTS + 1)), (key >= 0, codes)))
+    sums, pair = (pc.list_flatten(table["n"].filter(pa.array(own))).to_numpy().astype(float).reshape(-1, k).T for own, k in ((key < 0, 4 * (PARTS + 1)), (key >= 0, codes)))
     left, key = -1 - key[key < 0], key[key >= 0]
     for k, (of_word, of_pair) in enumerate(zip(_ways(word), _ways(pair))):
         dense = np.zeros((4, v))
@@ -427,7 +436,8 @@ def _curve(texts: DataFrame, without: list[Model]) -> tuple[np.ndarray, np.ndarr
                 x[first:last] = _inputs(ratio[part[first:last], np.arange(last - first)], np.diff(begin))
             yield pa.RecordBatch.from_arrays([pa.array(y.astype(float)), *(pa.array(c) for c in x.T)], names)
 
-    rows = written(texts.mapInArrow(inputs, ", ".join(f"{n} double" for n in names)), "inputs")
+    rows = written(texts.mapInArrow(lean(inputs), ", ".join(f"{n} double" for n in names)), "inputs")
+    models.destroy()
 
     def summed(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -463,6 +473,7 @@ def _learned(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) ->
         texts = learned_from(docs, labels, id_col, text_col)
         model = _model(texts, docs, id_col, text_col) if texts.select("y").distinct().count() == 2 else None
     forget(docs.sparkSession, made)
+    give_back()
     return model
 
 
@@ -489,7 +500,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
                     score[first:last] = model.value.scores(words, begin)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
-    scored = two_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    scored = two_columns(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -507,4 +518,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                     score[first:last] = model.value.scores(words, begin)
             yield batch.filter(pa.array(score < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
